@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from gramweave.llm.textkernel import LOWER, Words, alnum_table, mix, words
 
 #: The fit reads so many labelled documents of each class at most, none longer than TRAIN_CHARS; it is the only bound on what is read.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 2500, 60_000
-BITS, EPOCHS, RATE = 18, 12, 0.15
+BITS, EPOCHS, RATE = 20, 12, 0.15
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -39,12 +40,11 @@ class Model:
     head: np.ndarray
 
 
-def feature_slots(part: Words) -> np.ndarray:
-    """(features, words) slots in the weight table; the part's buffer keeps its case, hashes fold it."""
+def feature_keys(part: Words) -> np.ndarray:
+    """(features, words) hashes of each word's features; the part's buffer keeps its case, hashes fold it."""
     n = len(part.start)
     low = Words.__new__(Words)
     low.buf, low._sums = LOWER[part.buf], None
-    mask = np.uint64((1 << BITS) - 1)
     word = low.range_hash(part.start, part.end)
     rows = [word]
     for k in PREFIXES:
@@ -63,7 +63,12 @@ def feature_slots(part: Words) -> np.ndarray:
     after[:-1] = np.where(inner[1:], word[1:], 0)
     rows += [before + np.uint64(0x51), after + np.uint64(0x77)]
     salt = (np.arange(1, len(rows) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
-    return (mix(np.stack(rows) ^ salt) & mask).astype(np.int32)
+    return mix(np.stack(rows) ^ salt)
+
+
+def feature_slots(keys: np.ndarray) -> np.ndarray:
+    """Places of the features in the weight table."""
+    return (keys & np.uint64((1 << BITS) - 1)).astype(np.int32)
 
 
 def marginal_odds(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,10 +125,11 @@ def expected_moves(p: np.ndarray, scores: np.ndarray, first: np.ndarray, moves:
     return (joint / joint.sum(axis=0)).sum(axis=1)
 
 
-def fit(slots: np.ndarray, first: np.ndarray, tags: np.ndarray, toxic: np.ndarray) -> Model:
+def fit(slots: np.ndarray, first: np.ndarray, tags: np.ndarray, toxic: np.ndarray, prior: float = 0.5) -> Model:
     """Conditional likelihood by AdaGrad over batches of documents; then the document head, on the fitted documents' marginals.
 
-    slots: (features, words); first: word offsets of documents; tags: 0 or 1 a word; toxic: 0 or 1 a document.
+    slots: (features, words); first: word offsets of documents; tags: 0 or 1 a word; toxic: 0 or 1 a document;
+    prior: the share of toxic documents that scores are to fit.
     """
     rng = np.random.default_rng(7)
     model = Model(np.zeros(1 << BITS, np.float64), -3.0, np.log(np.array([0.97, 0.03, 0.6, 0.4])), np.array([-2.0, 1.0, 0.5]))
@@ -162,13 +168,13 @@ def fit(slots: np.ndarray, first: np.ndarray, tags: np.ndarray, toxic: np.ndarra
     p = marginals(scores + model.bias, first, model.moves)
     x = document_features(p, first)
     w = np.zeros(3)
+    balance = np.where(toxic == 1, prior / max(1, (toxic == 1).sum()), (1 - prior) / max(1, (toxic == 0).sum()))
     for _ in range(400):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        balance = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
         grad = x.T @ ((q - toxic) * balance) + 1e-3 * w
         hess = (x * (balance * np.maximum(q * (1 - q), 1e-4))[:, None]).T @ x + 1e-3 * np.eye(3)
         w -= 0.5 * np.linalg.solve(hess, grad)
-    model.head = w
+    model.head, model.weights = w, model.weights.astype(np.float32)
     return model
 
 
@@ -184,25 +190,36 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(docs), np.log(most / (1 - most)), np.log(total + 1e-2)], axis=1)
 
 
-def mark_tokens(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, least: int = 3, pure: float = 0.9) -> np.ndarray:
+def mark_tokens(keys: np.ndarray, first: np.ndarray, toxic: np.ndarray, chance: float = 1.0, pure: float = 0.9) -> np.ndarray:
     """1 for the words of toxic documents of which the word itself or one of its beginnings is toxic.
 
-    A key (a word, or a beginning of 4 to 6 bytes) is toxic if ``least`` toxic documents or more have it, and its share of toxic
-    documents, rates being balanced between the classes, is above ``pure`` and well beyond chance.
+    A key (a word, or a beginning of 4 to 6 bytes) is toxic if the share of toxic documents among those that have it, rates being
+    balanced between the classes, is above ``pure``, and if so many toxic ones would be expected of fewer than ``chance`` of all
+    keys, were each document that has the key toxic with the share of words that toxic documents hold.
     """
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n1, n0 = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
-    tags = np.zeros(slots.shape[1], np.int8)
+    share = min(0.9, max(n1 / (n1 + n0), float((toxic[doc] == 1).mean()) if len(doc) else 0.0))
+    tags = np.zeros(keys.shape[1], np.int8)
     for row in (0, 2, 3, 4):
-        pairs = np.unique(doc.astype(np.int64) << BITS | slots[row])
-        key, is_toxic = pairs & ((1 << BITS) - 1), toxic[pairs >> BITS] == 1
-        with_toxic, with_clean = np.bincount(key[is_toxic], minlength=1 << BITS), np.bincount(key[~is_toxic], minlength=1 << BITS)
+        names, at = np.unique(keys[row], return_inverse=True)
+        pairs = np.unique(at.astype(np.int64) * len(first) + doc)
+        key, is_toxic = pairs // len(first), toxic[pairs % len(first)] == 1
+        with_toxic, with_clean = np.bincount(key[is_toxic], minlength=len(names)), np.bincount(key[~is_toxic], minlength=len(names))
         r1, r0 = with_toxic / n1, (with_clean + 0.25) / n0
-        marked = (with_toxic >= least) & (r1 / (r1 + r0) > pure)
-        tags |= marked[slots[row]].astype(np.int8)
+        marked = np.zeros(len(names), bool)
+        candidates = np.flatnonzero((with_toxic >= 3) & (r1 / (r1 + r0) > pure))
+        for i in candidates:
+            marked[i] = len(names) * binomial_tail(int(with_toxic[i]), int(with_toxic[i] + with_clean[i]), share) < chance
+        tags |= marked[at].astype(np.int8)
     return tags * (toxic[doc] == 1)
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(Binomial(n, p) >= k)."""
+    return sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log(1 - p)) for j in range(k, n + 1))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most TRAIN_TOXIC and TRAIN_CLEAN documents (doc_id, text) whose label (doc_id, toxic) is 1 or 0.
 
@@ -210,8 +227,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     label, is left out.  Without any labelled document of a class, the model scores every text alike.
     """
     spark = docs.sparkSession
-    ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top")).where("toxic = top")
+    ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top")).where("toxic = top")
     draw = F.xxhash64(F.lit("sample"), "doc_id")
+    counts = {int(r.toxic): r["count"] for r in ids.groupBy("toxic").count().collect() if r.toxic in (0, 1)}
     sample = [r for kind, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)) for r in ids.where(F.col("toxic") == kind).orderBy(draw, "doc_id").limit(most).select("doc_id", "toxic").collect()]
     chosen = spark.createDataFrame([(int(a), int(b)) for a, b in sample], "doc_id long, toxic int")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")
@@ -221,23 +239,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros(1 << BITS), -9.0, np.log(np.array([0.97, 0.03, 0.6, 0.4])), np.array([-3.0, 0.0, 0.0]))
     parts, first, held = [], [0], 0
     for part in words(pa.array([t for _, _, t in found]), alnum_table(), lower=False):
-        parts.append(feature_slots(part))
+        parts.append(feature_keys(part))
         first += (held + part.first[1:]).tolist()
         held = first[-1]
-    slots, bounds = np.concatenate(parts, axis=1), np.array(first)
-    return fit(slots, bounds, mark_tokens(slots, bounds, toxic), toxic)
+    keys, bounds = np.concatenate(parts, axis=1), np.array(first)
+    return fit(feature_slots(keys), bounds, mark_tokens(keys, bounds, toxic), toxic, counts[1] / (counts[0] + counts[1]))
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) -> Iterator[pa.RecordBatch]:
     model, table = shared.value, alnum_table()
-    weights = model.weights.astype(np.float32)
+    weights = model.weights
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             piece = batch.slice(lo, 4096)
             scores, first, where = [], [np.zeros(1, np.int64)], []
             held = 0
             for part in words(piece.column("text"), table, lower=False):
-                slots = feature_slots(part)
+                slots = feature_slots(feature_keys(part))
                 total = np.full(slots.shape[1], model.bias)
                 for row in slots:
                     total += weights[row]
