@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gramweave.llm import bpe_tree, decontaminate, near_dup, quality_ledger, sharding, toxicity
+from gramweave.llm import bpe_tree, decontaminate, html_extract, lm_score, near_dup, quality_ledger, sharding, toxicity, url_filter, warc
 from gramweave.llm.store import table
 
 TOKENS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,12 +37,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.op7_lm_scoring(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op8_warc(table(spark, sf_dir, "pages"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op9_html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.op10_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENS), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_decontamination, op4_quality_rules, op5_sharding, op6_toxicity, op10_bpe)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_decontamination, op4_quality_rules, op5_sharding, op6_toxicity, op7_lm_scoring, op8_warc, op9_html_extraction, op10_bpe)
 }
 
-ORACLES: dict[str, str] = {"op3_decontamination": decontaminate.SQL, "op4_quality_rules": quality_ledger.SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": decontaminate.SQL, "op4_quality_rules": quality_ledger.SQL, "op5_sharding": sharding.SQL, "op7_lm_scoring": lm_score.SQL, "op8_warc": warc.SQL}

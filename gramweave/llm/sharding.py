@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from gramweave.llm.store import written
 
-#: Rows of a block that are numbered by one task, about.
-BLOCK_ROWS = 50_000
+#: Rows that one task sorts and numbers, about.
+RANGE_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -84,18 +84,46 @@ def levels(keyed: DataFrame, node: Node, out: str, scratch: str = "_node") -> Da
 
 
 def numbered(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
-    """``out``: gapless numbers from 0 within each ``group``, whatever its size.
+    """``out``: gapless numbers from 0 within each ``group`` by ``order``, whatever the group's size; ties go in any order.
 
-    Rows are dealt to blocks by a hash of ``order``; a block is numbered by a window over its own rows, and starts after the rows
-    of the group's earlier blocks, which are counted first.  Rows alike in all of ``order`` get their numbers in any order.
+    Rows are sorted by ranges of group, order and a row id, so even rows alike in all of them are spread over ranges; a range's rows
+    follow those of the same group in the ranges before it, which are counted first.
     """
-    n = max(1, -(-df.count() // BLOCK_ROWS))
-    blocked = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(n)))
-    before = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocked.groupBy(group, "_block").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    within = W.partitionBy(group, "_block").orderBy(*order)
-    rows = blocked.withColumn("_row", F.row_number().over(within) - 1)
-    return rows.join(starts.drop("_n"), [group, "_block"]).withColumn(out, (F.col("_row") + F.col("_start")).cast("long")).drop("_row", "_start", "_block")
+    rows = written(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    n = max(1, -(-rows.count() // RANGE_ROWS))
+    keys = [group, *order, "_id"]
+    ranged = written(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_at", 33)
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy(group, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return ranged.withColumn("_part", part).join(starts, [group, "_part"]).withColumn(out, (F.col("_start") + F.col("_at") - F.col("_first")).cast("long")).drop("_id", "_at", "_part", "_n", "_first", "_start")
+
+
+def _sql_place(node: Node, path: str = "") -> str:
+    """``place`` as a DuckDB expression over key."""
+    if not node.children:
+        return str(node.shard)
+    if len(node.children) == 1:
+        return _sql_place(node.children[0], f"{path}/{node.children[0].name}")
+    draws = [f"-ln((cast('0x' || substr(md5(key || '|{path}/{c.name}'), 1, 13) as bigint) + 0.5) / {float(1 << 52)}) / {float(c.weight)}" for c in node.children]
+    cases = " ".join(f"when {i + 1} then {_sql_place(c, f'{path}/{c.name}')}" for i, c in enumerate(node.children))
+    draws_list = ", ".join(draws)
+    return f"(case list_position([{draws_list}], least({draws_list})) {cases} end)"
+
+
+def sql(shards: int = 16) -> str:
+    """DuckDB SQL of the query; it has no CRC, so that is folded over the bytes with a table made by its rule."""
+    return f"""
+with t as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+k as (select doc_id, coalesce(cast(doc_id as varchar), '') as key, encode(coalesce(text, '')) as b from documents),
+s as (select doc_id, octet_length(b) + 1 as size, {_sql_place(tree(shards))} as shard, {_sql_place(tree(shards, grown=1))} as grown_shard, hex(b) as h from k),
+c as (select doc_id, size, shard, grown_shard, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))),
+  lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1]))) as text_crc32 from s, t)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard from c
+"""
+
+
+SQL = sql()
 
 
 def op5_sharding(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -103,11 +131,11 @@ def op5_sharding(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     The law is ``key``: doc_id and the shard count decide alone, so copies of a text may part and rows that repeat a doc_id stay
     together.  size is the text's UTF-8 bytes (null: none) plus 1; a null doc_id is placed as the empty key.  slot numbers a
-    shard's rows gaplessly from 0, in an order that rests on the rows alone.  grown_shard is the shard if there is one more:
+    shard's rows gaplessly from 0, by doc_id (null first), text_crc32 and size.  grown_shard is the shard if there is one more:
     the row's shard as before, or the new one.  Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
     placed = levels(levels(rows, tree(shards), "shard"), tree(shards, grown=1), "grown_shard").drop("_key")
-    out = numbered(written(placed, "placed"), "shard", ["doc_id", "text_crc32", "size"], "slot")
+    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

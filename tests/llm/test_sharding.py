@@ -9,7 +9,7 @@ from gramweave.llm.sharding import Node, levels, numbered, op5_sharding, place,
 
 
 def test_law_and_slots(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 100)
     rows = [(i, f"text {i % 7} é", "x") for i in range(1500)] + [(3, "text 3 é", "x"), (3, "text 3 é", "x"), (None, None, None), (9999, "", "x")]
     got = op5_sharding(spark.createDataFrame(rows, "doc_id long, text string, shard string")).collect()
     assert len(got) == len(rows)
