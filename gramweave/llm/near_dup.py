@@ -1,17 +1,18 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Every text gives its set of word shingles: size, an order-free 128-bit digest and a MinHash signature.  Equal sets collapse to
-   one node (the least doc_id), so exact copies never reach the pair stages.
-2. Signature bands are hashed to buckets.  Of each bucket, every member is first paired with the bucket's leader only: as many
-   pairs as memberships, however many copies a bucket holds.
+1. Every text gives its set of word shingles: size, an order-free 128-bit digest, hashes of its MinHash bands, and a signature.  Equal
+   sets collapse to one node (the least doc_id), so exact copies never reach the pair stages.
+2. Band hashes are buckets.  Of each bucket, every member is paired with the bucket's leader only: as many pairs as memberships,
+   however many copies a bucket holds.  Links found make components; in two further rounds, only members outside their new
+   leader's component are paired with it.
 3. Pairs are compared in batches of signature positions.  After each batch a pair is dropped if the posterior probability that its
-   similarity reaches the threshold, given the matches so far, is below ``miss``.
+   similarity reaches the threshold, given the matches so far, is below ``MISS``.
 4. Survivors are verified on the full shingle sets of the whole texts, streamed behind their leader's text in blocks.
-5. Components of the links so far leave most buckets in one piece.  In the others, the members outside the leader's component are
-   paired with all members of other components, so no link between two texts that share a bucket is lost; these pairs take
-   steps 3 and 4 too.
+5. By then most buckets lie in one component.  In the others, the members outside the bucket's largest component are compared with all
+   members of other components, so no link between texts that share a bucket is lost.  The bucket's signatures are packed in blocks of
+   bounded size for that, so step 3 runs over whole blocks and only its survivors become pairs, for step 4.
 
-Banding misses a pair at the threshold with probability (1 - t**rows)**bands: 3e-6 with the defaults.
+Banding misses a pair at the threshold with probability (1 - t**ROWS)**BANDS: 2e-6 with the defaults.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from math import lgamma, log, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramweave.llm.components import connected_components
 from gramweave.llm.store import written
 from gramweave.llm.textkernel import mix, shingle_hashes, space_table, words
 
-BANDS, ROWS, BATCH, MISS, BLOCK = 32, 5, 32, 1e-6, 256
+BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK, ROUNDS = 56, 7, 128, 32, 1e-6, 256, 3
 
 
 def minhash(values: np.ndarray, count: int) -> np.ndarray:
@@ -42,10 +43,11 @@ def minhash(values: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch], shingle: int, count: int) -> Iterator[pa.RecordBatch]:
-    table = space_table()
+def _features(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Band hashes as 8 bytes each; of the first POSITIONS minima, the signature keeps 16 bits each."""
+    table, salt = space_table(), np.arange(1, BANDS + 1, dtype=np.uint64)
     for batch in batches:
-        ids, sizes, high, low, signatures = batch.column(0), [], [], [], []
+        ids, sizes, high, low, bands, signatures = batch.column(0), [], [], [], [], []
         for part in words(batch.column(1), table):
             hashes = part.hashes()
             for d in range(part.docs):
@@ -53,13 +55,21 @@ def _features(batches: Iterator[pa.RecordBatch], shingle: int, count: int) -> It
                 sizes.append(len(found))
                 low.append(int(found.sum(dtype=np.uint64).astype(np.int64)))
                 high.append(int(mix(found ^ np.uint64(0xD1B54A32D192ED03)).sum(dtype=np.uint64).astype(np.int64)))
-                signatures.append(minhash(found, count).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "high", "low", "signature"])
+                if not len(found):
+                    bands.append(None), signatures.append(None)
+                    continue
+                minima = minhash(found, BANDS * ROWS)
+                total = salt.copy()
+                for column in minima.reshape(BANDS, ROWS).T:
+                    total = mix(total + column)
+                bands.append(total.astype(np.int64))
+                signatures.append(minima[:POSITIONS].astype(np.uint16).tobytes())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "high", "low", "bands", "signature"])
 
 
-def features(docs: DataFrame, shingle: int, count: int = BANDS * ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest (high, low) and signature of each row of (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_features, shingle=shingle, count=count), "doc_id long, n_shingles long, high long, low long, signature binary")
+def features(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n_shingles, digest (high, low), bands and signature of each row of (doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_features, shingle=shingle), "doc_id long, n_shingles long, high long, low long, bands array<long>, signature binary")
 
 
 @cache
@@ -77,19 +87,42 @@ def least_matches(seen: int, percent: int, miss: float) -> int:
     return seen
 
 
-def _screen(batches: Iterator[pa.RecordBatch], percent: int, miss: float, step: int) -> Iterator[pa.RecordBatch]:
+def screen(left: np.ndarray, right: np.ndarray, percent: int, miss: float = MISS, step: int = BATCH) -> np.ndarray:
+    """Places of the rows of two signature matrices that no batch of positions rules out; a single left row meets all right ones."""
+    alive, matches = np.arange(len(right)), np.zeros(len(right), np.int64)
+    for at in range(0, right.shape[1], step):
+        own = left[:, at : at + step] if len(left) == 1 and len(right) != 1 else left[alive, at : at + step]
+        matches = matches + (own == right[alive, at : at + step]).sum(axis=1)
+        keep = matches >= least_matches(min(at + step, right.shape[1]), percent, miss)
+        alive, matches = alive[keep], matches[keep]
+    return alive
+
+
+def _screen(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
-            left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(part.num_rows, -1) for c in ("left", "right"))
-            alive, matches = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
-            for at in range(0, left.shape[1], step):
-                matches = matches + (left[alive, at : at + step] == right[alive, at : at + step]).sum(axis=1)
-                keep = matches >= least_matches(min(at + step, left.shape[1]), percent, miss)
-                alive, matches = alive[keep], matches[keep]
+            left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(part.num_rows, -1) for c in ("left", "right"))
+            alive = screen(left, right, percent)
             yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(alive)) for c in ("a", "b")], ["a", "b"])
 
 
+def _screen_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows are a member x of a bucket and a block of the bucket's members; survivors of other components and near sizes come out."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            a, b = [], []
+            for x, n, part, own, ids, sizes, parts, sigs in zip(*(batch.slice(lo, 64).column(c).to_pylist() for c in ("x", "x_n", "x_part", "own", "ids", "sizes", "parts", "sigs")), strict=True):
+                ids, sizes, parts = np.array(ids), np.array(sizes), np.array(parts)
+                some = np.flatnonzero((parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                if len(some):
+                    right = np.frombuffer(b"".join([sigs[i] for i in some]), np.uint16).reshape(len(some), -1)
+                    found = ids[some[screen(np.frombuffer(own, np.uint16)[None, :], right, percent)]]
+                    a += np.minimum(found, x).tolist()
+                    b += np.maximum(found, x).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (a, block, role): a block's first row is the leader's text, the others are compared with it."""
     table, at, leader = space_table(), None, np.zeros(0, np.uint64)
@@ -112,17 +145,43 @@ def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> It
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "id")], ["a", "b"])
 
 
+def near_sizes(x: str, y: str, percent: int) -> Column:
+    """Sets of which one has less than ``percent`` of the other's size can't reach that similarity."""
+    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold: screened by signature, then verified on the texts."""
-    sig = nodes.select("id", "signature")
-    joined = pairs.join(sig.toDF("a", "left"), "a").join(sig.toDF("b", "right"), "b").select("a", "b", "left", "right")
-    alive = written(joined.mapInArrow(partial(_screen, percent=percent, miss=MISS, step=BATCH), "a long, b long"), "screened")
+    sig = nodes.select("id", "n", "signature")
+    joined = pairs.join(sig.toDF("a", "a_n", "left"), "a").join(sig.toDF("b", "b_n", "right"), "b").where(near_sizes("a_n", "b_n", percent)).select("a", "b", "left", "right")
+    return _verified(written(joined.mapInArrow(partial(_screen, percent=percent), "a long, b long"), "screened"), texts, shingle, percent)
+
+
+def _verified(alive: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs come as (leader, member): the leader's text is sent once for each block of its members."""
     blocks = alive.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = alive.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
     leaders = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("id"))
     rows = members.unionByName(leaders).join(texts, "id").select("a", "block", "role", "id", "text")
     dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id")
-    return dealt.mapInArrow(partial(_verify, shingle=shingle, percent=percent), "a long, b long")
+    return written(dealt.mapInArrow(partial(_verify, shingle=shingle, percent=percent), "a long, b long"), "links")
+
+
+def _rest(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of buckets' members outside their largest component with members of other components that the signatures let pass."""
+    largest = placed.groupBy("key", "part").agg(F.count("*").alias("members")).groupBy("key").agg(F.max(F.struct("members", "part"))["part"].alias("main"), F.ceil(F.sum("members") / BLOCK).alias("blocks"))
+    rows = written(placed.join(largest, "key").join(nodes.select("id", "signature"), "id"), "members")
+    cells = [F.collect_list(c).alias(name) for c, name in (("id", "ids"), ("n", "sizes"), ("part", "parts"), ("signature", "sigs"))]
+    blocks = rows.groupBy("key", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(*cells)
+    others = rows.where("part != main").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"), F.col("signature").alias("own"))
+    return written(others.join(blocks, "key").drop("key", "block").mapInArrow(partial(_screen_blocks, percent=percent), "a long, b long").distinct(), "rest")
+
+
+def _placed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (key, id, n, part) of the buckets whose members lie in several components."""
+    rows = buckets.join(parts.toDF("id", "in"), "id", "left").select("key", "id", "n", F.coalesce("in", "id").alias("part"))
+    mixed = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
+    return written(rows.join(mixed, "key"), "placed")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -136,35 +195,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     feats = written(features(docs, shingle), "features")
     sets = feats.where("n_shingles > 0")
-    nodes = sets.groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n")).where("id is not null")
-    own = sets.select("high", "low", F.col("doc_id").alias("id"), "signature")
-    nodes = written(nodes.join(own, ["high", "low", "id"]).groupBy("high", "low", "id").agg(F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
-    width = 4 * ROWS
-    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 1 + b * width, width)) for b in range(BANDS)))
-    rows = nodes.select("id", "n", F.explode(keys).alias("key"))
-    leaders = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
-    buckets = written(rows.join(leaders.select("key", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")), "key"), "buckets")
-    near = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+    reps = sets.groupBy("high", "low").agg(F.min("doc_id").alias("id")).where("id is not null")
+    same = (F.col("s.doc_id") == F.col("r.id")) & (F.col("s.high") == F.col("r.high")) & (F.col("s.low") == F.col("r.low"))
+    nodes = sets.alias("s").join(reps.alias("r"), same).select("s.high", "s.low", "id", F.col("n_shingles").alias("n"), "bands", "signature")
+    nodes = written(nodes.dropDuplicates(["high", "low"]) if repeated_ids(feats) else nodes, "nodes")
+    rows = nodes.select("id", F.explode("bands").alias("key"))
+    leaders = rows.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
+    buckets = written(rows.join(leaders, "key").join(nodes.select("id", "n"), "id"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(buckets.select("id").distinct(), "id", "left_semi")
     texts = written(texts.dropDuplicates(["id"]), "texts")
-    stars = buckets.where("id != leader").where(near("n", "leader_n")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_links(stars, nodes, texts, shingle, percent), "star-links")
-    first = connected_components(links)
-    of = lambda name: first.toDF(name, f"{name}_of")
-    placed = buckets.join(of("id"), "id", "left").join(of("leader"), "leader", "left").select("key", "id", "n", F.coalesce("id_of", "id").alias("part"), F.coalesce("leader_of", "leader").alias("lead_part"))
-    placed = written(placed, "placed")
-    others = placed.where("part != lead_part").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"))
-    more = others.join(placed, (others.key == placed.key) & (F.col("part") != F.col("x_part")) & near("n", "x_n"))
-    pairs = more.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = _links(written(pairs, "rest"), nodes, texts, shingle, percent)
-    rest = written(rest, "rest-links")
-    final = first if rest.isEmpty() else connected_components(links.unionByName(rest))
+    links = _links(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), nodes, texts, shingle, percent)
+    parts = connected_components(links)
+    placed = _placed(buckets, parts)
+    for turn in range(1, ROUNDS):
+        lead = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "n", "part")).alias("lead")).select("key", F.col("lead.id").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.part").alias("a_part"))
+        pairs = placed.join(lead, "key").where(F.col("part") != F.col("a_part")).where(near_sizes("n", "a_n", percent)).select("a", F.col("id").alias("b")).distinct()
+        links = links.unionByName(_links(pairs, nodes, texts, shingle, percent))
+        parts = connected_components(links)
+        placed = _placed(placed.select("key", "id", "n"), parts)
+    rest = _verified(_rest(placed, nodes, percent), texts, shingle, percent)
+    final = parts if rest.isEmpty() else connected_components(links.unionByName(rest))
     member = nodes.select("high", "low", "id").join(final, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
     out = feats.select("doc_id", "n_shingles", "high", "low").join(member, ["high", "low"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def repeated_ids(feats: DataFrame) -> bool:
+    """Whether a doc_id stands in several rows; only then the nodes need a pass that drops repeated ones."""
+    return not feats.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows whose document is not the least of its component; rows with a null doc_id and no copy stay."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
