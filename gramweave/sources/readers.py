@@ -111,9 +111,10 @@ def bracketed(lines: DataFrame, rows: int, columns: int) -> DataFrame:
     inner = F.regexp_replace("value", r"[\[\]]", "")
     rows_of = F.filter(F.split(inner, ";"), lambda r: F.trim(r) != "")
     cells = F.transform(rows_of, lambda r: F.regexp_extract_all(r, F.lit(f"({NUMBER})"), F.lit(1)))
-    parsed = lines.where(F.trim("value") != "").select("line", cells.alias("m"))
+    blank = F.trim("value") == ""
+    parsed = lines.where(~blank).select("line", blank.alias("blank"), cells.alias("m"))
     fits = (F.size("m") == rows) & F.forall("m", lambda r: F.size(r) == columns)
-    checked = parsed.select("line", F.when(fits, F.col("m")).otherwise(F.raise_error(F.concat(F.lit("another shape in line "), F.col("line").cast("string"))).cast("array<array<string>>")).alias("m"))
+    checked = parsed.select("line", F.when(fits, F.col("m")).when(F.col("blank"), None).otherwise(F.raise_error(F.concat(F.lit("another shape in line "), F.col("line").cast("string"))).cast("array<array<string>>")).alias("m"))
     return checked.select("line", F.posexplode("m").alias("i", "r")).select("line", "i", F.posexplode("r").alias("j", "x")).select("line", "i", "j", F.col("x").cast("double").alias("v"))
 
 
