@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial
 from hashlib import md5
 
 import numpy as np
@@ -112,7 +111,7 @@ def nested_cv(d: DataFrame, subjects: DataFrame, splits: DataFrame, grid: Grid)
     held = lambda c: splits.select("repeat", F.col("fold").alias(f"fold_{c}"), F.col("s").alias(c))
     rows = d.join(label("s"), "s").join(label("t"), "t").join(held("s"), "s").join(held("t"), ["repeat", "t"]).join(folds, "repeat")
     rows = rows.select("p", "repeat", "fold", F.col("s").cast("long"), F.col("t").cast("long"), "d", "y_s", "y_t", (F.col("fold") == F.col("fold_s")).alias("test_s"), (F.col("fold") == F.col("fold_t")).alias("test_t"))
-    return rows.groupBy("p", "repeat", "fold").applyInPandas(partial(_fit, grid=grid), FOLD_SCHEMA)
+    return rows.groupBy("p", "repeat", "fold").applyInPandas(lambda rows: _fit(rows, grid), FOLD_SCHEMA)
 
 
 def oof(fits: DataFrame) -> DataFrame:

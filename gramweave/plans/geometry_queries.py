@@ -267,7 +267,7 @@ def geo13_subject_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.subject_profiles(supplier_distances(spark, sf))
 
 
-@query("""select p, 100 * (1 - min(n) / min(n0)) as scale_contraction, 100 * sqrt(2 * sum(power(d / n - d0 / n0, 2))) / sqrt(2) as shape_change, 100 * (1 - corr(r, r0)) as rank_loss from (
+@query("""select p, 100 * (1 - min(n) / min(n0)) as scale_contraction, 100 * sqrt(2 * sum(power(d / n - d0 / n0, 2))) / sqrt(2) as shape_change, 100 * (1 - (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end)) as rank_loss from (
   select *, sqrt(2 * sum(d * d) over (partition by p)) as n, sqrt(2 * sum(d0 * d0) over (partition by p)) as n0 from rk) group by p""", ["scale_contraction", "shape_change", "rank_loss"], DISTANCES + PAIR_RANKS)
 def geo14_cumulative_change(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.cumulative_change(supplier_distances(spark, sf), 1.0)
@@ -279,7 +279,7 @@ def geo15_heterogeneity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""select p, count(*) as n_pairs, median(d) as median_distance, avg(d) as mean_distance, median(d) / median(d0) as median_scale_ratio_vs_p1, avg(d) / avg(d0) as mean_scale_ratio_vs_p1,
-  ln(median(d) / median(d0)) as log_median_scale_ratio_vs_p1, corr(r, r0) as distance_spearman_vs_p1, 1 - corr(r, r0) as relational_loss from rk group by p""",
+  ln(median(d) / median(d0)) as log_median_scale_ratio_vs_p1, (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as distance_spearman_vs_p1, 1 - (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as relational_loss from rk group by p""",
   ["median_distance", "mean_distance", "median_scale_ratio_vs_p1", "mean_scale_ratio_vs_p1", "log_median_scale_ratio_vs_p1", "distance_spearman_vs_p1", "relational_loss"], DISTANCES + PAIR_RANKS)
 def geo16_phc1_deformation(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: how the order of pairs changes from p = 1 to p = 16."""
@@ -413,7 +413,7 @@ def sel9_10_dimension_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return selection.recommendation(selection.dimension_sweep(class_operators(spark, sf).select("s", "n", F.col("rho").alias("a")), [4, 16, 32, 64]))
 
 
-@query("select k as m, corr(r, r0) as spearman from (select k, rank() over (partition by k order by d) as r, rank() over (partition by k order by d0) as r0 from (select k, s, t, case k when 2 then sqrt(2 * a * a) else sqrt(2 * (a * a + b * b + c * c)) end as d, sqrt(2 * (a * a + b * b + c * c)) as d0 from delta, (select unnest([2, 3]) as k))) group by k", ["spearman"], SPECTRA)
+@query("select k as m, (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as spearman from (select k, rank() over (partition by k order by d) as r, rank() over (partition by k order by d0) as r0 from (select k, s, t, case k when 2 then sqrt(2 * a * a) else sqrt(2 * (a * a + b * b + c * c)) end as d, sqrt(2 * (a * a + b * b + c * c)) as d0 from delta, (select unnest([2, 3]) as k))) group by k", ["spearman"], SPECTRA)
 def sel11_preservation(spark: SparkSession, sf: str) -> DataFrame:
     """Spearman of the distances by the first m units with those by all."""
     ops = supplier_operators(spark, sf)

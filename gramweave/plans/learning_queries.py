@@ -142,7 +142,7 @@ def dec3_class_summary(spark: SparkSession, sf: str) -> DataFrame:
 VERSUS = f""",
 b as (select su.p, su.s, su.score_median as x, r.score_median as x0 from su join su r on r.s = su.s and r.p = 1.0),
 br as (select *, {rank("x", "p")} as rx, {rank("x0", "p")} as rx0 from b),
-de as (select p, corr(x, x0) as pearson, avg(((x >= 0) = (x0 >= 0))::int) as label_agreement, count(*) filter ((x >= 0) <> (x0 >= 0)) as n_label_changes, median(abs(x - x0)) as median_abs_delta_score, corr(rx, rx0) as spearman from br group by p),
+de as (select p, corr(x, x0) as pearson, avg(((x >= 0) = (x0 >= 0))::int) as label_agreement, count(*) filter ((x >= 0) <> (x0 >= 0)) as n_label_changes, median(abs(x - x0)) as median_abs_delta_score, (case when count(*) >= 3 and stddev_samp(rx) > 0 and stddev_samp(rx0) > 0 then corr(rx, rx0) end) as spearman from br group by p),
 ag as (select p, quantile_cont(oof_auc, 0.25) as oof_auc_q25, median(oof_auc) as oof_auc_median, quantile_cont(oof_auc, 0.75) as oof_auc_q75 from auc group by p)"""
 
 
@@ -284,7 +284,7 @@ def phc3_flt11_fragility(spark: SparkSession, sf: str) -> DataFrame:
 LOSS = f""",
 lo as (select o.p, o.repeat, o.s, o.score, r.score as score0 from oof o join oof r on r.repeat = o.repeat and r.s = o.s and r.p = 1.0),
 lr as (select *, {rank("score", "p, repeat")} as r, {rank("score0", "p, repeat")} as r0 from lo),
-dl as (select p, repeat, corr(r, r0) as concordance, 1 - corr(r, r0) as decision_loss from lr group by all)"""
+dl as (select p, repeat, (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as concordance, 1 - (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as decision_loss from lr group by all)"""
 
 
 @query("select * from dl", ["concordance", "decision_loss"], SURROGATE + LOSS)
@@ -292,7 +292,7 @@ def phc4_decision_loss(spark: SparkSession, sf: str) -> DataFrame:
     return posthoc.decision_loss(stored(surrogate(spark, sf), "oof"), 1.0)
 
 
-@query(f"select p, repeat, fold, 1 - corr(r, r0) as kernel_relational_loss, avg(abs(k - k0)) as kernel_mean_abs_change from (select *, {rank('k', 'p, repeat, fold')} as r, {rank('k0', 'p, repeat, fold')} as r0 from (select a.*, b.k as k0 from ke a join ke b using (repeat, fold, s, t) where b.p = 1.0)) group by all", ["kernel_relational_loss", "kernel_mean_abs_change"], DISTANCES + ",\n" + SPLITS + TRAIN + ",\nke as (select p, repeat, fold, s, t, exp(-p * d * d) as k from tr)")
+@query(f"select p, repeat, fold, 1 - (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as kernel_relational_loss, avg(abs(k - k0)) as kernel_mean_abs_change from (select *, {rank('k', 'p, repeat, fold')} as r, {rank('k0', 'p, repeat, fold')} as r0 from (select a.*, b.k as k0 from ke a join ke b using (repeat, fold, s, t) where b.p = 1.0)) group by all", ["kernel_relational_loss", "kernel_mean_abs_change"], DISTANCES + ",\n" + SPLITS + TRAIN + ",\nke as (select p, repeat, fold, s, t, exp(-p * d * d) as k from tr)")
 def phc5_kernel_deformation(spark: SparkSession, sf: str) -> DataFrame:
     """Each p's gamma is p itself."""
     spl = splits(spark, sf)
@@ -331,12 +331,12 @@ def support_by_p(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p", "repeat", "fold", "sv", (F.col("alpha") * (1 + F.col("p") * (F.col("sv") % 2))).alias("alpha"))
 
 
-@query(f"""select p, repeat, fold, count(*) filter (in_a) as n_sv, count(*) filter (in_0) as n_sv_reference, count(*) filter (in_a and in_0) / count(*) as sv_jaccard, sum(a * a0) / (sqrt(sum(a * a)) * sqrt(sum(a0 * a0))) as dual_cosine, case when count(*) >= 3 then corr(r, r0) end as dual_spearman from (select *, {rank('a', 'p, repeat, fold')} as r, {rank('a0', 'p, repeat, fold')} as r0 from uz) group by all""", ["sv_jaccard", "dual_cosine", "dual_spearman"], SPLITS + HELD + SV_P)
+@query(f"""select p, repeat, fold, count(*) filter (in_a) as n_sv, count(*) filter (in_0) as n_sv_reference, count(*) filter (in_a and in_0) / count(*) as sv_jaccard, sum(a * a0) / (sqrt(sum(a * a)) * sqrt(sum(a0 * a0))) as dual_cosine, (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as dual_spearman from (select *, {rank('a', 'p, repeat, fold')} as r, {rank('a0', 'p, repeat, fold')} as r0 from uz) group by all""", ["sv_jaccard", "dual_cosine", "dual_spearman"], SPLITS + HELD + SV_P)
 def phc9_11_14_support_sets(spark: SparkSession, sf: str) -> DataFrame:
     return posthoc.support_sets(stored(support_by_p(spark, sf), "support"), 1.0)
 
 
-@query(f"""select p, repeat, fold, sum(c * c0) / (sqrt(sum(c * c)) * sqrt(sum(c0 * c0))) as contribution_cosine, corr(r, r0) as contribution_spearman from (select *, {rank('c', 'p, repeat, fold')} as r, {rank('c0', 'p, repeat, fold')} as r0 from (
+@query(f"""select p, repeat, fold, sum(c * c0) / (sqrt(sum(c * c)) * sqrt(sum(c0 * c0))) as contribution_cosine, (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as contribution_spearman from (select *, {rank('c', 'p, repeat, fold')} as r, {rank('c0', 'p, repeat, fold')} as r0 from (
   select uz.p, uz.repeat, uz.fold, a * exp(-x.d * x.d) as c, a0 * exp(-y.d * y.d) as c0 from uz join spl using (repeat, fold) join bd x on x.p = uz.p and x.s = spl.s and x.t = uz.sv join bd y on y.p = 1.0 and y.s = spl.s and y.t = uz.sv)) group by all""", ["contribution_cosine", "contribution_spearman"], DISTANCES + ",\n" + SPLITS + HELD + SV_P + ",\nbd as (select p, s, t, d from d union all select p, t, s, d from d)")
 def phc10_12_contribution_fields(spark: SparkSession, sf: str) -> DataFrame:
     spl = splits(spark, sf)
@@ -345,7 +345,7 @@ def phc10_12_contribution_fields(spark: SparkSession, sf: str) -> DataFrame:
     return fields.drop("reference_kernel_spearman")
 
 
-@query(f"select p, repeat, fold, corr(r, r0) as concordance, 1 - corr(r, r0) as decision_loss from (select *, {rank('score', 'p, repeat, fold')} as r, {rank('score0', 'p, repeat, fold')} as r0 from (select o.p, o.repeat, o.fold, o.score, r.score as score0 from oof o join oof r on r.repeat = o.repeat and r.fold = o.fold and r.s = o.s and r.p = 1.0)) group by all", ["concordance", "decision_loss"], SURROGATE)
+@query(f"select p, repeat, fold, (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as concordance, 1 - (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as decision_loss from (select *, {rank('score', 'p, repeat, fold')} as r, {rank('score0', 'p, repeat, fold')} as r0 from (select o.p, o.repeat, o.fold, o.score, r.score as score0 from oof o join oof r on r.repeat = o.repeat and r.fold = o.fold and r.s = o.s and r.p = 1.0)) group by all", ["concordance", "decision_loss"], SURROGATE)
 def phc13_fold_loss(spark: SparkSession, sf: str) -> DataFrame:
     return posthoc.decision_loss(stored(surrogate(spark, sf), "oof"), 1.0, ("repeat", "fold"))
 
@@ -358,7 +358,7 @@ def phc17_split_invariance(spark: SparkSession, sf: str) -> DataFrame:
 BOOT = f""",
 dr as (select b, slot, s from (select b, slot, ('0x' || substr(md5('{SEED}|' || b || '|' || slot), 1, 8))::bigint % n as k from (select count(*) as n from ops), range(10) x(b), range(1000) y(slot) where slot < n) join (select s, row_number() over (order by s) - 1 as k from ops) using (k)),
 bp as (select z.p, x.b, z.d, w.d as d0 from dr x join dr y on x.b = y.b and x.slot < y.slot and x.s <> y.s join d z on z.s = least(x.s, y.s) and z.t = greatest(x.s, y.s) join d w on w.s = z.s and w.t = z.t and w.p = 1.0),
-bo as (select p, b, count(*) as n_pairs, 100 * (1 - median(d) / median(d0)) as scale_contraction_pct, 100 * (1 - corr(r, r0)) as ordering_loss_pct from (select *, {rank('d', 'p, b')} as r, {rank('d0', 'p, b')} as r0 from bp) group by all)"""
+bo as (select p, b, count(*) as n_pairs, 100 * (1 - median(d) / median(d0)) as scale_contraction_pct, 100 * (1 - (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end)) as ordering_loss_pct from (select *, {rank('d', 'p, b')} as r, {rank('d0', 'p, b')} as r0 from bp) group by all)"""
 
 
 @query("select p, cast(b as int) as b, n_pairs, scale_contraction_pct, ordering_loss_pct from bo", ["scale_contraction_pct", "ordering_loss_pct"], DISTANCES + BOOT)
