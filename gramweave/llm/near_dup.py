@@ -31,6 +31,8 @@ from gramweave.llm.store import written
 from gramweave.llm.textkernel import mix, shingle_hashes, space_table, words
 
 BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK, ROUNDS = 56, 7, 128, 32, 1e-6, 256, 3
+#: Signatures in a packed block: an Arrow batch of 10,000 rows then stays under 90 MB.
+PACK = 32
 
 
 def minhash(values: np.ndarray, count: int) -> np.ndarray:
@@ -169,7 +171,7 @@ def _verified(alive: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 def _rest(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of buckets' members outside their largest component with members of other components that the signatures let pass."""
-    largest = placed.groupBy("key", "part").agg(F.count("*").alias("members")).groupBy("key").agg(F.max(F.struct("members", "part"))["part"].alias("main"), F.ceil(F.sum("members") / BLOCK).alias("blocks"))
+    largest = placed.groupBy("key", "part").agg(F.count("*").alias("members")).groupBy("key").agg(F.max(F.struct("members", "part"))["part"].alias("main"), F.ceil(F.sum("members") / PACK).alias("blocks"))
     rows = written(placed.join(largest, "key").join(nodes.select("id", "signature"), "id"), "members")
     cells = [F.collect_list(c).alias(name) for c, name in (("id", "ids"), ("n", "sizes"), ("part", "parts"), ("signature", "sigs"))]
     blocks = rows.groupBy("key", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(*cells)
