@@ -161,3 +161,26 @@ def heterogeneity_ratio(shared: DataFrame, independent: DataFrame) -> DataFrame:
     """GEO18: (replicate, value) tables of two designs: ratio of means, and mean and deviation of the replicates' ratios."""
     both = shared.join(independent.withColumnRenamed("value", "other"), "replicate").withColumn("ratio", F.try_divide(F.col("value"), F.col("other")))
     return both.agg(F.try_divide(F.avg("value"), F.avg("other")).alias("ratio_of_means"), F.avg("ratio").alias("mean_ratio"), F.stddev_samp("ratio").alias("sd_ratio"))
+
+
+def _factor_frobenius(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    square = lambda a, b: (np.einsum("mni,mnj->mij", a, b) ** 2).sum(axis=(1, 2))
+    for batch in batches:
+        a, b = (_matrix(batch.column(c), batch.num_rows).reshape(batch.num_rows, n, -1) for c in ("f_s", "f_t"))
+        d = np.sqrt(np.maximum(square(a, a) + square(b, b) - 2 * square(a, b), 0))
+        yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("t"), pa.array(d)], ["s", "t", "d"])
+
+
+def factor_frobenius(factors: DataFrame, n: int, blocks: int = 8) -> DataFrame:
+    """GEO9: d_2 of every pair from Gram matrices of the factors alone."""
+    kind = dict(factors.dtypes)["s"]
+    return pairs(factors, ["f"], blocks).mapInArrow(partial(_factor_frobenius, n=n), f"s {kind}, t {kind}, d double")
+
+
+def dense_check(factors: DataFrame, n: int) -> DataFrame:
+    """GEO4: per pair, the largest difference between the low-rank and the dense singular values."""
+    gram = lambda f: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.aggregate(F.zip_with(F.slice(f, i * (F.size(f) / n).cast("int") + 1, (F.size(f) / n).cast("int")), F.slice(f, j * (F.size(f) / n).cast("int") + 1, (F.size(f) / n).cast("int")), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))))
+    low = factor_spectra(factors, n).select("s", "t", F.sort_array("sv", asc=False).alias("low"))
+    dense = spectra(factors.select("s", gram("f").alias("rho"))).select("s", "t", F.sort_array("sv", asc=False).alias("dense"))
+    error = F.aggregate(F.zip_with("low", F.slice("dense", F.lit(1), F.size("low")), lambda x, y: F.abs(x - F.coalesce(y, F.lit(0.0)))), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    return low.join(dense, ["s", "t"]).select("s", "t", error.alias("max_error"))
