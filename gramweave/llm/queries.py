@@ -57,4 +57,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_decontamination, op4_quality_rules, op5_sharding, op6_toxicity, op7_lm_scoring, op8_warc, op9_html_extraction, op10_bpe)
 }
 
-ORACLES: dict[str, str] = {"op3_decontamination": decontaminate.SQL, "op4_quality_rules": quality_ledger.SQL, "op5_sharding": sharding.SQL, "op7_lm_scoring": lm_score.SQL, "op8_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontaminate.SQL, "op4_quality_rules": quality_ledger.SQL, "op5_sharding": sharding.SQL, "op7_lm_scoring": lm_score.SQL, "op8_warc": warc.SQL}
