@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,30 +73,53 @@ def distinct(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[at], np.diff(np.r_[at, len(every)])
 
 
-SENT = "block string, lead int, part int, words long, seconds binary, rest binary, counts binary"
+def small(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as a byte each; 255 stands for those that are at least that, which follow as longs."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def large(low: bytes, high: bytes) -> np.ndarray:
+    out = np.frombuffer(low, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(high, np.int64)
+    return out
+
+
+SENT = "block string, lead int, part int, seconds binary, rest binary, low binary, high binary"
+ANSWER = "block string, lead int, part int, low binary, high binary"
+KINDS = {"block": pa.string(), "lead": pa.int32(), "part": pa.int32()}
+
+
+def _rows(rows: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: pa.array(v, KINDS.get(c, pa.binary())) for c, v in rows.items()})
 
 
 def _send(batches: Iterator[pa.RecordBatch], folder: str, order: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Writes the task's rows to block files in the shared folder and emits each block's n-grams."""
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-    held, size = [], 0
+    task = TaskContext.get().partitionId()
+    held, size, made = [], 0, 0
 
     def block() -> pa.RecordBatch:
+        nonlocal made
         table = pa.Table.from_batches(held)
-        name = uuid.uuid4().hex  # an attempt's own: files of failed attempts are never named by a kept row
-        pq.write_table(table, f"{path}/{name}.parquet", filesystem=fs, compression="zstd", row_group_size=2048)
-        own_grams, first = grams(pa.concat_arrays(table.column("text").chunks), order)
-        found, counts = distinct(own_grams)
+        # A task that runs again reads the same rows, so it makes the same blocks under the same names.
+        name, draft = f"{task}-{made}", f"{path}/draft-{uuid.uuid4().hex}"
+        made += 1
+        pq.write_table(table, draft, filesystem=fs, compression="zstd", row_group_size=2048)
+        try:
+            fs.move(draft, f"{path}/{name}.parquet")
+        except OSError:  # a store whose rename does not replace: the block is there already
+            fs.delete_file(draft)
+        found, counts = distinct(grams(pa.concat_arrays(table.column("text").chunks), order)[0])
         cut = np.searchsorted(found, np.arange(1, 256, dtype=np.uint64) << np.uint64(56))
-        rows: dict[str, list] = {c: [] for c in ("block", "lead", "part", "words", "seconds", "rest", "counts")}
+        rows: dict[str, list] = {c.split()[0]: [] for c in SENT.split(", ")}
         for lead, (own, n) in enumerate(zip(np.split(found, cut), np.split(counts, cut), strict=True)):
             steps = np.searchsorted((own >> np.uint64(48)) & np.uint64(255), (np.arange(1, parts) * 256 // parts).astype(np.uint64)) if parts > 1 else []
             for part, (some, m) in enumerate(zip(np.split(own, steps), np.split(n, steps), strict=True)):
-                seconds, rest = packed(some)
-                for c, v in zip(rows, (name, lead, part, int(first[-1]) if lead == part == 0 else 0, seconds, rest, m.astype(np.uint32 if len(m) and m.max() > 255 else np.uint8).tobytes()), strict=True):
+                for c, v in zip(rows, (name, lead, part, *packed(some), *small(m)), strict=True):
                     rows[c].append(v)
         held.clear()
-        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c in ("lead", "part") else pa.int64() if c == "words" else pa.string() if c == "block" else pa.binary()) for c, v in rows.items()})
+        return _rows(rows)
 
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
@@ -109,10 +133,6 @@ def _send(batches: Iterator[pa.RecordBatch], folder: str, order: int, parts: int
         yield block()
 
 
-def _sizes(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8 if len(blob) == n else np.uint32).astype(np.int64)
-
-
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (lead, part): each range's table is made, and its blocks' counts are answered."""
     held: list[tuple[str, np.ndarray, np.ndarray]] = []
@@ -128,25 +148,23 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, h, _ in held:
             own = total[where[lo : lo + len(h)]]
             lo += len(h)
-            kind = next(t for t in (np.uint8, np.uint16, np.int64) if not len(own) or own.max() <= np.iinfo(t).max)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "lead": pa.array([at[0]], pa.int32()), "part": pa.array([at[1]], pa.int32()), "width": pa.array([np.dtype(kind).itemsize], pa.int32()), "corpus": pa.array([own.astype(kind).tobytes()], pa.binary())})
+            yield _rows(dict(zip(("block", "lead", "part", "low", "high"), ([v] for v in (block, *at, *small(own))), strict=True)))
         held.clear()
 
     for batch in batches:
-        for block, lead, part, seconds, rest, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "lead", "part", "seconds", "rest", "counts")), strict=True):
+        for block, lead, part, seconds, rest, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (lead, part) != at:
                 yield from table()
                 at = (lead, part)
-            h = unpacked(lead, seconds, rest)
-            held.append((block, h, _sizes(counts, len(h))))
+            held.append((block, unpacked(lead, seconds, rest), large(low, high)))
     yield from table()
 
 
-def score_words(found: list[np.ndarray], look: np.ndarray, counts: np.ndarray, total: int, alpha: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's log score and the order that gave it."""
+def score_words(found: list[np.ndarray], look: np.ndarray, counts: np.ndarray, alpha: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's log score and the order that gave it; where that is 1, the score is short of -ln N."""
     of = lambda g: np.where(g > 0, counts[np.minimum(np.searchsorted(look, g), max(0, len(look) - 1))], 0)
     c = [of(g) for g in found]
-    out, used = np.log(c[0] / total), np.ones(len(c[0]), np.int64)
+    out, used = np.log(np.maximum(c[0], 1)), np.ones(len(c[0]), np.int64)
     penalty = np.zeros(len(out))
     done = np.zeros(len(out), bool)
     for k in range(len(found) - 1, 0, -1):
@@ -161,7 +179,7 @@ def score_words(found: list[np.ndarray], look: np.ndarray, counts: np.ndarray, t
     return out, used
 
 
-def _sum(batches: Iterator[pa.RecordBatch], folder: str, order: int, total: int, alpha: float, least: int) -> Iterator[pa.RecordBatch]:
+def _sum(batches: Iterator[pa.RecordBatch], folder: str, order: int, alpha: float, least: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (block, lead, part): a block's counts, and with the last of them its documents' scores."""
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     at, counts = None, []
@@ -173,24 +191,25 @@ def _sum(batches: Iterator[pa.RecordBatch], folder: str, order: int, total: int,
         text = pa.concat_arrays(table.column("text").chunks)
         found, first = grams(text, order)
         look, _ = distinct(found)
-        logs, used = score_words(found, look, known, total, alpha, least)
+        logs, used = score_words(found, look, known, alpha, least)
         n = np.diff(first)
-        sums, backed = np.zeros(len(n)), np.zeros(len(n), np.int64)
+        sums, backed, single = np.zeros(len(n)), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         has = np.flatnonzero(n > 0)
         place = np.arange(len(logs)) - np.repeat(first[:-1], n)
         if len(has):
             sums[has] = np.add.reduceat(logs, first[:-1][has])
+            single[has] = np.add.reduceat((used == 1).astype(np.int64), first[:-1][has])
             backed[has] = np.add.reduceat((used < np.minimum(place + 1, order)).astype(np.int64), first[:-1][has])
         ids = pa.concat_arrays(table.column("doc_id").chunks)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sums), pa.array(backed, pa.int64())], ["doc_id", "n_words", "log_score", "n_backoff"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sums), pa.array(backed, pa.int64()), pa.array(single, pa.int64())], ["doc_id", "n_words", "log_part", "n_backoff", "n_single"])
 
     for batch in batches:
-        for name, width, corpus in zip(*(batch.column(c).to_pylist() for c in ("block", "width", "corpus")), strict=True):
+        for name, low, high in zip(*(batch.column(c).to_pylist() for c in ("block", "low", "high")), strict=True):
             if name != at:
                 if counts:
                     yield from block()
                 at = name
-            counts.append(np.frombuffer(corpus, {1: np.uint8, 2: np.uint16, 8: np.int64}[width]).astype(np.int64))
+            counts.append(large(low, high))
     if counts:
         yield from block()
 
@@ -200,7 +219,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
     their place allows) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are runs of other characters than ASCII white space, A-Z in lower case; n-grams do not cross texts.  Null, empty and blank
-    texts have no words and score 0.  Rows that repeat count as often as they stand there.  No rows give no rows.
+    texts have no words and score 0.  ``docs`` is a table or any frame whose partitions come out alike when they are computed again.  Rows that repeat count as often as they stand there.  No rows give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -210,11 +229,13 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
     text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Distinct n-grams take about as many bytes as the text does; each lead is cut so that a range stays under RANGE_BYTES.
     parts = max(1, min(256, -(-3 * text_bytes // (256 * RANGE_BYTES))))
-    sent = written(rows.mapInArrow(partial(_send, folder=folder, order=order, parts=parts), SENT), "lm-ngrams")
-    total = sent.agg(F.sum("words")).first()[0] or 0
-    answers = sent.repartition("lead", "part").sortWithinPartitions("lead", "part").mapInArrow(_answer, "block string, lead int, part int, width int, corpus binary")
-    scored = answers.repartition("block").sortWithinPartitions("block", "lead", "part").mapInArrow(partial(_sum, folder=folder, order=order, total=total, alpha=alpha, least=least), "doc_id long, n_words long, log_score double, n_backoff long")
-    return scored.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log"), "n_backoff")
+    sent = rows.mapInArrow(partial(_send, folder=folder, order=order, parts=parts), SENT)
+    answers = sent.repartition("lead", "part").sortWithinPartitions("lead", "part").mapInArrow(_answer, ANSWER)
+    scored = answers.repartition("block").sortWithinPartitions("block", "lead", "part").mapInArrow(partial(_sum, folder=folder, order=order, alpha=alpha, least=least), "doc_id long, n_words long, log_part double, n_backoff long, n_single long")
+    scored = written(scored, "lm-scores")
+    total = scored.agg(F.sum("n_words")).first()[0] or 1
+    score = F.col("log_part") - F.col("n_single") * F.log(F.lit(float(total)))
+    return scored.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log"), "n_backoff")
 
 
 def op7_lm_scoring(docs: DataFrame) -> DataFrame:

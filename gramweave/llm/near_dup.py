@@ -2,9 +2,9 @@
 
 1. Every text gives its set of word shingles: size, an order-free 128-bit digest, hashes of its MinHash bands, and a signature.  Equal
    sets collapse to one node (the least doc_id), so exact copies never reach the pair stages.
-2. Band hashes are buckets.  Of each bucket, every member is paired with the bucket's leader only: as many pairs as memberships,
-   however many copies a bucket holds.  Links found make components; in two further rounds, only members outside their new
-   leader's component are paired with it.
+2. Band hashes are buckets.  Every member is paired with the leaders of its buckets, and of these with the TRIES that it shares most
+   buckets with: a bounded number of pairs for each node, however many copies a bucket holds.  Links found make components; in two
+   further rounds with other leaders, only members outside the leader's component are paired.
 3. Pairs are compared in batches of signature positions.  After each batch a pair is dropped if the posterior probability that its
    similarity reaches the threshold, given the matches so far, is below ``MISS``.
 4. Survivors are verified on the full shingle sets of the whole texts, streamed behind their leader's text in blocks.
@@ -24,6 +24,7 @@ from math import lgamma, log, exp
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gramweave.llm.components import connected_components
@@ -33,6 +34,8 @@ from gramweave.llm.textkernel import mix, shingle_hashes, space_table, words
 BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK, ROUNDS = 56, 7, 128, 32, 1e-6, 256, 3
 #: Signatures in a packed block: an Arrow batch of 10,000 rows then stays under 90 MB.
 PACK = 32
+#: Leaders that a member is paired with in a round: those it shares most buckets with.  Step 5 compares what this leaves open.
+TRIES = 2
 
 
 def minhash(values: np.ndarray, count: int) -> np.ndarray:
@@ -179,6 +182,12 @@ def _rest(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return written(others.join(blocks, "key").drop("key", "block").mapInArrow(partial(_screen_blocks, percent=percent), "a long, b long").distinct(), "rest")
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b), once for each shared bucket, every b's TRIES most frequent ones."""
+    w = W.partitionBy("b").orderBy(F.col("shared").desc(), "a")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= TRIES).select("a", "b")
+
+
 def _placed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows (key, id, n, part) of the buckets whose members lie in several components."""
     rows = buckets.join(parts.toDF("id", "in"), "id", "left").select("key", "id", "n", F.coalesce("in", "id").alias("part"))
@@ -206,13 +215,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     buckets = written(rows.join(leaders, "key").join(nodes.select("id", "n"), "id"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(buckets.select("id").distinct(), "id", "left_semi")
     texts = written(texts.dropDuplicates(["id"]), "texts")
-    links = _links(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), nodes, texts, shingle, percent)
+    links = _links(_closest(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))), nodes, texts, shingle, percent)
     parts = connected_components(links)
     placed = _placed(buckets, parts)
     for turn in range(1, ROUNDS):
         lead = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "n", "part")).alias("lead")).select("key", F.col("lead.id").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.part").alias("a_part"))
-        pairs = placed.join(lead, "key").where(F.col("part") != F.col("a_part")).where(near_sizes("n", "a_n", percent)).select("a", F.col("id").alias("b")).distinct()
-        links = links.unionByName(_links(pairs, nodes, texts, shingle, percent))
+        pairs = placed.join(lead, "key").where(F.col("part") != F.col("a_part")).where(near_sizes("n", "a_n", percent)).select("a", F.col("id").alias("b"))
+        links = links.unionByName(_links(_closest(pairs), nodes, texts, shingle, percent))
         parts = connected_components(links)
         placed = _placed(placed.select("key", "id", "n"), parts)
     rest = _verified(_rest(placed, nodes, percent), texts, shingle, percent)
@@ -232,3 +241,18 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     """``docs`` without the rows whose document is not the least of its component; rows with a null doc_id and no copy stay."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
+
+
+#: All pairs that share a shingle, counted, and their closure.
+SQL = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sh as (select distinct doc_id, case when len(ws) = 1 then ws[1] else ws[i] || ' ' || ws[i + 1] end as s from (select doc_id, ws, unnest(range(1, greatest(2, len(ws)))) as i from t where len(ws) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+e as (select x, y from shared join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+l as (select x, y from e union select y, x from e),
+r(doc_id, far) as (select x, y from l union select r.doc_id, l.y from r join l on l.x = r.far),
+m as (select doc_id, min(far) as low from r group by doc_id)
+select t.doc_id, coalesce(n, 0) as n_shingles, least(t.doc_id, coalesce(low, t.doc_id)) as component_id, t.doc_id = least(t.doc_id, coalesce(low, t.doc_id)) as kept
+from t left join n using (doc_id) left join m using (doc_id)
+"""

@@ -134,11 +134,11 @@ def fit(slots: np.ndarray, first: np.ndarray, tags: np.ndarray, toxic: np.ndarra
     rng = np.random.default_rng(7)
     model = Model(np.zeros(1 << BITS, np.float64), -3.0, np.log(np.array([0.97, 0.03, 0.6, 0.4])), np.array([-2.0, 1.0, 0.5]))
     gain, gain_bias, gain_moves = np.full(1 << BITS, 1e-6), 1e-6, np.full(4, 1e-6)
-    docs = np.arange(len(first) - 1)
+    # Documents of like length share a batch: a batch takes as many steps as its longest has words.
+    docs = np.argsort(np.diff(first), kind="stable")
+    groups = [np.sort(docs[lo : lo + 64]) for lo in range(0, len(docs), 64)]
     for _ in range(EPOCHS):
-        rng.shuffle(docs)
-        for lo in range(0, len(docs), 64):
-            some = np.sort(docs[lo : lo + 64])
+        for some in (groups[i] for i in rng.permutation(len(groups))):
             at = np.concatenate([np.arange(first[d], first[d + 1]) for d in some]) if len(some) else np.zeros(0, int)
             if not len(at):
                 continue
