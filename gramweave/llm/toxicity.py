@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from gramweave.llm.textkernel import LOWER, Words, alnum_table, mix, words
 
 #: The fit reads so many labelled documents of each class at most, none longer than TRAIN_CHARS; it is the only bound on what is read.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 2500, 60_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 2500, 20_000
 BITS, EPOCHS, RATE = 20, 12, 0.15
 PREFIXES = (3, 4, 5, 6)
 
@@ -190,6 +190,10 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(docs), np.log(most / (1 - most)), np.log(total + 1e-2)], axis=1)
 
 
+#: Rows of the features by which words are marked: the word, and its beginnings of 4 to 6 bytes.
+MARKS = (0, 2, 3, 4)
+
+
 def mark_tokens(keys: np.ndarray, first: np.ndarray, toxic: np.ndarray, chance: float = 1.0, pure: float = 0.9) -> np.ndarray:
     """1 for the words of toxic documents of which the word itself or one of its beginnings is toxic.
 
@@ -201,8 +205,8 @@ def mark_tokens(keys: np.ndarray, first: np.ndarray, toxic: np.ndarray, chance:
     n1, n0 = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
     share = min(0.9, max(n1 / (n1 + n0), float((toxic[doc] == 1).mean()) if len(doc) else 0.0))
     tags = np.zeros(keys.shape[1], np.int8)
-    for row in (0, 2, 3, 4):
-        names, at = np.unique(keys[row], return_inverse=True)
+    for row in keys:
+        names, at = np.unique(row, return_inverse=True)
         pairs = np.unique(at.astype(np.int64) * len(first) + doc)
         key, is_toxic = pairs // len(first), toxic[pairs % len(first)] == 1
         with_toxic, with_clean = np.bincount(key[is_toxic], minlength=len(names)), np.bincount(key[~is_toxic], minlength=len(names))
@@ -237,13 +241,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     toxic = np.array([t for _, t, _ in found], np.int64)
     if len(set(toxic)) < 2:
         return Model(np.zeros(1 << BITS), -9.0, np.log(np.array([0.97, 0.03, 0.6, 0.4])), np.array([-3.0, 0.0, 0.0]))
-    parts, first, held = [], [0], 0
+    slots, marks, first, held = [], [], [0], 0
     for part in words(pa.array([t for _, _, t in found]), alnum_table(), lower=False):
-        parts.append(feature_keys(part))
+        keys = feature_keys(part)
+        slots.append(feature_slots(keys))
+        marks.append(keys[list(MARKS)])
         first += (held + part.first[1:]).tolist()
         held = first[-1]
-    keys, bounds = np.concatenate(parts, axis=1), np.array(first)
-    return fit(feature_slots(keys), bounds, mark_tokens(keys, bounds, toxic), toxic, counts[1] / (counts[0] + counts[1]))
+    del found, keys
+    bounds = np.array(first)
+    tags = mark_tokens(np.concatenate(marks, axis=1), bounds, toxic)
+    del marks
+    return fit(np.concatenate(slots, axis=1), bounds, tags, toxic, counts[1] / (counts[0] + counts[1]))
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) -> Iterator[pa.RecordBatch]:
