@@ -3,7 +3,7 @@
 1. Every text gives its set of word shingles: size, an order-free 128-bit digest, hashes of its MinHash bands, and a signature.  Equal
    sets collapse to one node (the least doc_id), so exact copies never reach the pair stages.
 2. Band hashes are buckets.  Every member is paired with the leaders of its buckets, and of these with the TRIES that it shares most
-   buckets with: a bounded number of pairs for each node, however many copies a bucket holds.  Links found make components; in two
+   buckets with: a bounded number of pairs for each node, however many copies a bucket holds.  Links found make components; in three
    further rounds with other leaders, only members outside the leader's component are paired.
 3. Pairs are compared in batches of signature positions.  After each batch a pair is dropped if the posterior probability that its
    similarity reaches the threshold, given the matches so far, is below ``MISS``.
@@ -31,11 +31,11 @@ from gramweave.llm.components import connected_components
 from gramweave.llm.store import written
 from gramweave.llm.textkernel import mix, shingle_hashes, space_table, words
 
-BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK, ROUNDS = 56, 7, 128, 32, 1e-6, 256, 3
+BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK, ROUNDS = 56, 7, 128, 32, 1e-6, 256, 4
 #: Signatures in a packed block: an Arrow batch of 10,000 rows then stays under 90 MB.
 PACK = 32
 #: Leaders that a member is paired with in a round: those it shares most buckets with.  Step 5 compares what this leaves open.
-TRIES = 2
+TRIES = 12
 
 
 def minhash(values: np.ndarray, count: int) -> np.ndarray:
