@@ -65,8 +65,9 @@ def unpacked(lead: int, seconds: bytes, rest: bytes) -> np.ndarray:
 
 
 def distinct(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes other than 0, and their counts."""
+    """Sorted distinct hashes other than 0, and their counts; ``hashes`` is emptied to free its arrays."""
     every = np.concatenate(hashes)
+    hashes.clear()
     every.sort()
     every = every[np.searchsorted(every, np.uint64(1)) :]
     at = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
@@ -105,7 +106,7 @@ def _send(batches: Iterator[pa.RecordBatch], folder: str, order: int, parts: int
         # A task that runs again reads the same rows, so it makes the same blocks under the same names.
         name, draft = f"{task}-{made}", f"{path}/draft-{uuid.uuid4().hex}"
         made += 1
-        pq.write_table(table, draft, filesystem=fs, compression="zstd", row_group_size=2048)
+        pq.write_table(table, draft, filesystem=fs, compression="zstd", compression_level=6, row_group_size=2048)
         try:
             fs.move(draft, f"{path}/{name}.parquet")
         except OSError:  # a store whose rename does not replace: the block is there already
@@ -160,20 +161,39 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from table()
 
 
-def score_words(found: list[np.ndarray], look: np.ndarray, counts: np.ndarray, alpha: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's log score and the order that gave it; where that is 1, the score is short of -ln N."""
-    of = lambda g: np.where(g > 0, counts[np.minimum(np.searchsorted(look, g), max(0, len(look) - 1))], 0)
-    c = [of(g) for g in found]
+def spread(found: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
+    """``known`` has the counts of the sorted distinct hashes other than 0; here they come in the words' order, 0 for the hash 0.  ``found`` is
+    emptied to free its arrays."""
+    orders, every = len(found), np.concatenate(found)
+    found.clear()
+    order = np.argsort(every)
+    every = every[order]
+    none = int(np.searchsorted(every, np.uint64(1)))
+    if none < len(every):
+        run = np.cumsum(np.r_[False, every[none + 1 :] != every[none:-1]])
+    else:
+        run = np.zeros(0, np.int64)
+    del every
+    out = np.zeros(len(order), np.int64)
+    out[order[none:]] = known[run]
+    return np.split(out, orders)
+
+
+def score_words(c: list[np.ndarray], there: list[np.ndarray], alpha: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's log score and the order that gave it; where that is 1, the score is short of -ln N.
+
+    c: corpus counts of the n-grams that end at each word, by order; there: whether the text has so many words up to it.
+    """
     out, used = np.log(np.maximum(c[0], 1)), np.ones(len(c[0]), np.int64)
     penalty = np.zeros(len(out))
     done = np.zeros(len(out), bool)
-    for k in range(len(found) - 1, 0, -1):
+    for k in range(len(c) - 1, 0, -1):
         history = np.r_[0, c[k - 1][:-1]]
-        hit = ~done & (found[k] > 0) & (c[k] >= least)
+        hit = ~done & there[k] & (c[k] >= least)
         out[hit] = penalty[hit] + np.log(c[k][hit] / history[hit])
         used[hit] = k + 1
         done |= hit
-        penalty[~done & (found[k] > 0)] += np.log(alpha)
+        penalty[~done & there[k]] += np.log(alpha)
     rest = ~done
     out[rest] += penalty[rest]
     return out, used
@@ -190,8 +210,8 @@ def _sum(batches: Iterator[pa.RecordBatch], folder: str, order: int, alpha: floa
         table = pq.read_table(f"{path}/{at}.parquet", filesystem=fs)
         text = pa.concat_arrays(table.column("text").chunks)
         found, first = grams(text, order)
-        look, _ = distinct(found)
-        logs, used = score_words(found, look, known, alpha, least)
+        there = [g > 0 for g in found]
+        logs, used = score_words(spread(found, known), there, alpha, least)
         n = np.diff(first)
         sums, backed, single = np.zeros(len(n)), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         has = np.flatnonzero(n > 0)
