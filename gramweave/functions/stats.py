@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gramweave.session import stored
+
 
 def clean(x: str | Column) -> Column:
     """NaN and infinities as NULL."""
@@ -27,10 +29,26 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
     return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str, least: int = 3) -> DataFrame:
-    """STA3: one row per ``by`` with the rank correlation of x and y over rows where both are defined."""
+def average_rank_by_ranges(df: DataFrame, by: Sequence[str], value: str, out: str, range_rows: int = 500_000) -> DataFrame:
+    """``average_rank`` for groups too large for one task: distinct values are dealt to ranges, a range is ranked by itself and starts
+    after the rows of its group in the ranges before it.  Ties are counted once, so a value that a third of all rows share is one row.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = stored(counts, "rank-counts")
+    n = max(1, -(-counts.count() // range_rows))
+    ranged = stored(counts.repartitionByRange(n, *by, value).withColumn("_part", F.spark_partition_id()), "rank-ranges")
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part", *by).agg(F.sum("_c").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.coalesce(F.sum("_c").over(W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = ranged.withColumn("_inside", inside).join(starts, ["_part", *by]).select(*by, value, (F.col("_start") + F.col("_inside") + (F.col("_c") + 1) / 2.0).alias(out))
+    return df.join(ranks, [*by, value])
+
+
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str, least: int = 3, ranges: bool = False) -> DataFrame:
+    """STA3: one row per ``by`` with the rank correlation of x and y over rows where both are defined; ``ranges`` for very long groups."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(rows, by, x, "_rx"), by, y, "_ry")
+    rank = average_rank_by_ranges if ranges else average_rank
+    ranked = rank(rank(rows, by, x, "_rx"), by, y, "_ry")
     return ranked.groupBy(*by).agg(pearson("_rx", "_ry", least).alias(out))
 
 

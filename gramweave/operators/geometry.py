@@ -133,12 +133,15 @@ def heterogeneity(operators: DataFrame, blocks: int = 8) -> DataFrame:
     return pair.crossJoin(spread).withColumn("share_of_sqrt2", 100 * F.col("pair_rms") / F.lit(2**0.5))
 
 
-def deformation(d: DataFrame, reference: float) -> DataFrame:
-    """GEO16, PHC1: per p, median and mean distance, their ratios to the reference, the log ratio and 1 - Spearman against it."""
+def deformation(d: DataFrame, reference: float, ranges: bool = False) -> DataFrame:
+    """GEO16, PHC1: per p, median and mean distance, their ratios to the reference, the log ratio and 1 - Spearman against it.
+
+    ``ranges`` ranks the pairs of a p in many tasks instead of one.
+    """
     ref = d.where(F.col("p") == reference).select("s", "t", F.col("d").alias("d0"))
     both = d.join(ref, ["s", "t"])
     level = both.groupBy("p").agg(F.count(F.lit(1)).alias("n_pairs"), F.percentile("d", 0.5).alias("median_distance"), F.avg("d").alias("mean_distance"), F.percentile("d0", 0.5).alias("_m"), F.avg("d0").alias("_a"))
-    rho = spearman(both, ["p"], "d0", "d", "distance_spearman_vs_p1")
+    rho = spearman(both, ["p"], "d0", "d", "distance_spearman_vs_p1", ranges=ranges)
     ratio = F.try_divide(F.col("median_distance"), F.col("_m"))
     return level.join(rho, "p").select("p", "n_pairs", "median_distance", "mean_distance", ratio.alias("median_scale_ratio_vs_p1"), F.try_divide(F.col("mean_distance"), F.col("_a")).alias("mean_scale_ratio_vs_p1"), F.log(ratio).alias("log_median_scale_ratio_vs_p1"), "distance_spearman_vs_p1", (1 - F.col("distance_spearman_vs_p1")).alias("relational_loss"))
 
