@@ -31,11 +31,11 @@ from gramweave.llm.components import connected_components
 from gramweave.llm.store import written
 from gramweave.llm.textkernel import mix, shingle_hashes, space_table, words
 
-BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK, ROUNDS = 56, 7, 128, 32, 1e-6, 256, 4
-#: Signatures in a packed block: an Arrow batch of 10,000 rows then stays under 90 MB.
-PACK = 32
+BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK, ROUNDS = 56, 7, 392, 56, 1e-6, 256, 4
+#: Signatures in a packed block: an Arrow batch of 10,000 rows then stays under 100 MB.
+PACK = 12
 #: Leaders that a member is paired with in a round: those it shares most buckets with.  Step 5 compares what this leaves open.
-TRIES = 12
+TRIES = 24
 
 
 def minhash(values: np.ndarray, count: int) -> np.ndarray:
