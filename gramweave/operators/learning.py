@@ -56,12 +56,13 @@ def inner_folds(y: np.ndarray, ids: np.ndarray, k: int, seed: int) -> np.ndarray
     return fold
 
 
-def search(d: np.ndarray, y: np.ndarray, ids: np.ndarray, grid: Grid, seed: int) -> tuple[float, float, float, np.ndarray]:
-    """LRN5: gamma and C of the best mean inner AUC, the first in grid order on ties, that AUC, and the surface [gamma, C, fold].
+def search(d: np.ndarray, y: np.ndarray, ids: np.ndarray, grid: Grid, seed: int) -> tuple[float, float, float, np.ndarray, bool]:
+    """LRN5: gamma and C of the best mean inner AUC, the first in grid order on ties, that AUC, the surface [gamma, C, fold], and whether every fit converged.
 
     Folds whose validation part has one class have no AUC and are left out of the mean.  Along C the duals start from the smaller C's.
     """
     fold = inner_folds(y, ids, grid.inner, seed)
+    converged = True
     surface = np.full((len(grid.gammas), len(grid.penalties), grid.inner), np.nan)
     for g, gamma in enumerate(grid.gammas):
         k = np.exp(-gamma * d * d)
@@ -71,17 +72,18 @@ def search(d: np.ndarray, y: np.ndarray, ids: np.ndarray, grid: Grid, seed: int)
                 continue
             start = None
             for c, penalty in enumerate(grid.penalties):
-                dual, bias, _ = kernels.fit_svc(k[np.ix_(a, a)], y[a], penalty, alpha=start)
+                dual, bias, done = kernels.fit_svc(k[np.ix_(a, a)], y[a], penalty, alpha=start)
+                converged &= done
                 start = np.abs(dual)
                 surface[g, c, f] = kernels.auc(y[b], k[np.ix_(b, a)] @ dual + bias)
     known = (~np.isnan(surface)).any(axis=2)
     mean = np.where(known, np.nansum(surface, axis=2) / np.maximum(1, (~np.isnan(surface)).sum(axis=2)), -np.inf)
     best = int(np.argmax(mean.ravel()))
     g, c = divmod(best, len(grid.penalties))
-    return grid.gammas[g], grid.penalties[c], float(mean[g, c]), surface
+    return grid.gammas[g], grid.penalties[c], float(mean[g, c]), surface, converged
 
 
-FOLD_SCHEMA = "p double, repeat int, fold int, gamma double, c double, inner_auc double, bias double, converged boolean, s array<long>, y array<int>, score array<double>, test array<boolean>, dual array<double>, surface array<double>"
+FOLD_SCHEMA = "p double, repeat int, fold int, gamma double, c double, inner_auc double, bias double, converged boolean, inner_converged boolean, s array<long>, y array<int>, score array<double>, test array<boolean>, dual array<double>, surface array<double>"
 
 
 def _fit(rows: pd.DataFrame, grid: Grid) -> pd.DataFrame:
@@ -93,12 +95,12 @@ def _fit(rows: pd.DataFrame, grid: Grid) -> pd.DataFrame:
     d[i, j] = d[j, i] = rows.d
     train = np.flatnonzero(~test)
     p, repeat, fold = float(rows.p.iloc[0]), int(rows.repeat.iloc[0]), int(rows.fold.iloc[0])
-    gamma, c, inner, surface = search(d[np.ix_(train, train)], y[train], ids[train], grid, grid.seed + 1000 * repeat + fold)
+    gamma, c, inner, surface, inner_converged = search(d[np.ix_(train, train)], y[train], ids[train], grid, grid.seed + 1000 * repeat + fold)
     k = np.exp(-gamma * d * d)
     dual, bias, converged = kernels.fit_svc(k[np.ix_(train, train)], y[train], c)
     own = np.zeros(len(ids))
     own[train] = dual
-    return pd.DataFrame([(p, repeat, fold, gamma, c, inner, bias, converged, ids.tolist(), y.tolist(), (k[:, train] @ dual + bias).tolist(), test.tolist(), own.tolist(), surface.ravel().tolist())], columns=[x.split()[0] for x in FOLD_SCHEMA.split(", ")])
+    return pd.DataFrame([(p, repeat, fold, gamma, c, inner, bias, converged, inner_converged, ids.tolist(), y.tolist(), (k[:, train] @ dual + bias).tolist(), test.tolist(), own.tolist(), surface.ravel().tolist())], columns=[x.split()[0] for x in FOLD_SCHEMA.split(", ")])
 
 
 def nested_cv(d: DataFrame, subjects: DataFrame, splits: DataFrame, grid: Grid) -> DataFrame:

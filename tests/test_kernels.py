@@ -66,3 +66,12 @@ def test_support_vector_machine():
         assert (margin[dual * s < 1e-9] > 1 - 5e-3).all()
     assert kernels.auc(np.array([0, 0, 1, 1]), np.array([0.1, 0.4, 0.35, 0.8])) == 0.75
     assert np.isnan(kernels.auc(np.ones(2), np.ones(2)))
+
+
+def test_support_vector_machine_runs_to_its_tolerance():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(300, 3)) * 0.02
+    y = r.integers(0, 2, 300)
+    k = np.exp(-100 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert not kernels.fit_svc(k, y, 1000.0, limit=20_000)[2]
+    assert kernels.fit_svc(k, y, 1000.0)[2]
