@@ -15,8 +15,8 @@ from gramweave.plans.inputs import DISTANCES, GRID, SEED, SPECTRA, SPLITS, SURRO
 from gramweave.plans.registry import query, table
 from gramweave.session import stored
 
-#: A grid that a check can afford; ``learning.Grid()`` has the full one.
-SMALL = learning.Grid(gammas=(0.1, 1.0, 10.0), penalties=(0.1, 1.0, 10.0), inner=2, seed=SEED)
+#: The reference's 29 gammas, 7 penalties and 5 inner folds.
+MACHINE = learning.Grid(seed=SEED)
 
 TRAIN = """,
 own as (select repeat, fold, s from spl), folds as (select distinct repeat, fold from spl),
@@ -37,18 +37,22 @@ def lrn3_kernel(spark: SparkSession, sf: str) -> DataFrame:
     return supplier_distances(spark, sf).groupBy("p").agg(F.sum(learning.kernel(F.col("d"), F.lit(2.0))).alias("total"), F.count("*").alias("n"))
 
 
+def fitted(spark: SparkSession, sf: str, d: DataFrame | None = None) -> DataFrame:
+    """Nested cross-validation over every p, repeat and fold."""
+    return stored(learning.nested_cv(supplier_distances(spark, sf) if d is None else d, suppliers(spark, sf), splits(spark, sf), MACHINE), "fits")
+
+
 @query()
 def lrn4_5_7_nested_cv(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (p, repeat, fold): chosen gamma and C, inner AUC, held-out AUC."""
-    fits = stored(learning.nested_cv(supplier_distances(spark, sf), suppliers(spark, sf), splits(spark, sf).where("repeat = 1"), SMALL), "fits")
+    fits = fitted(spark, sf)
     auc = stats.roc_auc(learning.oof(fits), ["p", "repeat", "fold"], "y", "score", "test_auc")
-    return fits.select("p", "repeat", "fold", "gamma", "c", "inner_auc", "converged").join(auc, ["p", "repeat", "fold"], "left")
+    return fits.select("p", "repeat", "fold", "gamma", "c", "inner_auc", "converged", "inner_converged").join(auc, ["p", "repeat", "fold"], "left")
 
 
 @query()
 def lrn6_14_15_16_17_surfaces(spark: SparkSession, sf: str) -> DataFrame:
-    fits = stored(learning.nested_cv(supplier_distances(spark, sf).where("p in (1.0, 2.0)"), suppliers(spark, sf), splits(spark, sf).where("repeat = 1"), SMALL), "fits")
-    points = stored(learning.surface_summary(learning.surface_rows(fits, SMALL)), "surface")
+    points = stored(learning.surface_summary(learning.surface_rows(fitted(spark, sf), MACHINE)), "surface")
     spans = learning.span_summary(learning.near_optimal_span(learning.gamma_profile(points)))
     audit = learning.boundary_audit(learning.best_point(points))
     best = learning.surface_quartiles(points).groupBy("p").agg(F.max("mean_auc_median").alias("best_median_auc"))
@@ -57,9 +61,8 @@ def lrn6_14_15_16_17_surfaces(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def lrn18_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
-    d = stored(supplier_distances(spark, sf).where("p = 2.0"), "d2")
-    fits = stored(learning.nested_cv(d, suppliers(spark, sf), splits(spark, sf).where("repeat = 1"), SMALL), "fits")
-    return learning.reconstruction(fits, d)
+    d = stored(supplier_distances(spark, sf), "d")
+    return learning.reconstruction(fitted(spark, sf, d), d)
 
 
 @query("select p, repeat, fold, sqrt(2 * sum(d * d)) as S_train, median(case when d > 0 then d end) as median_d, median(case when d > 0 then d * d end) as median_d2, 1 / median(case when d > 0 then d * d end) as gamma_scale from tr group by all", ["S_train", "median_d", "median_d2", "gamma_scale"], DISTANCES + ",\n" + SPLITS + TRAIN)

@@ -2,10 +2,14 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from gramweave.functions import kernels
-from gramweave.operators import geometry
+from gramweave.operators import geometry, learning
 from gramweave.plans import QUERIES
+from gramweave.plans.inputs import FOLDS, GRID, REPEATS
+
+SF = "/root/testdata/sf0.001"
 
 
 def embeddings(spark, path, count=12):
@@ -33,3 +37,32 @@ def test_dense_check_sees_lost_modes(monkeypatch):
     whole = kernels.spectra_lowrank
     monkeypatch.setattr(kernels, "spectra_lowrank", lambda a, b: np.sort(whole(a, b), axis=1)[:, 1:])
     assert error().min() > 1e-3
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["lrn4_5_7_nested_cv", "lrn6_14_15_16_17_surfaces", "lrn18_reconstruction"])
+def test_fits_cover_the_grid_and_all_repeats(spark, monkeypatch, name):
+    def nested_cv(d, subjects, splits, grid):
+        assert grid == learning.Grid()
+        assert {r.p for r in d.select("p").distinct().collect()} == set(GRID)
+        assert {tuple(r) for r in splits.select("repeat", "fold").distinct().collect()} == {(r, f) for r in range(1, REPEATS + 1) for f in range(1, FOLDS + 1)}
+        raise Seen
+
+    monkeypatch.setattr(learning, "nested_cv", nested_cv)
+    with pytest.raises(Seen):
+        QUERIES[name](spark, SF)
+
+
+def test_unconverged_inner_fits_are_reported(monkeypatch):
+    r = np.random.default_rng(1)
+    d, y = np.abs(r.normal(size=(20, 20))), np.arange(20) % 2
+    d = d + d.T
+    np.fill_diagonal(d, 0)
+    grid = learning.Grid((1.0,), (1.0, 10.0), 2)
+    assert learning.search(d, y, np.arange(20), grid, 1)[4]
+    whole = kernels.fit_svc
+    monkeypatch.setattr(kernels, "fit_svc", lambda *a, **b: whole(*a, **b, limit=1))
+    assert not learning.search(d, y, np.arange(20), grid, 1)[4]
