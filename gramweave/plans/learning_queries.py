@@ -248,16 +248,42 @@ def xai6_7_population_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return explain.population_profiles(explain.subject_profiles(importances(spark, sf)), suppliers(spark, sf))
 
 
+def fitted_support(spark: SparkSession, sf: str, d: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Support vectors (p, repeat, fold, sv, alpha, gamma) of the fitted machines, and their gammas (p, repeat, fold, gamma)."""
+    fits = fitted(spark, sf, d)
+    gammas = fits.select("p", "repeat", "fold", "gamma")
+    rows = learning.scores(fits).where("not test and abs(dual) > 1e-12").select("p", "repeat", "fold", F.col("s").alias("sv"), F.col("dual").alias("alpha"))
+    return rows.join(gammas, ["p", "repeat", "fold"]), gammas
+
+
+def fitted_importances(spark: SparkSession, sf: str) -> DataFrame:
+    sv, _ = fitted_support(spark, sf)
+    need = explain.needed_pairs(sv, splits(spark, sf))
+    return explain.importance(explain.node_contributions(supplier_operators(spark, sf), GRID, needed=need), sv, splits(spark, sf))
+
+
+@query()
+def xai4_needed_pairs_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs that the fitted machines need; the query above has the stated machine of its SQL, as have those below with a fitted form."""
+    return explain.needed_pairs(fitted_support(spark, sf)[0], splits(spark, sf))
+
+
+@query()
+def xai5_importance_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    return fitted_importances(spark, sf)
+
+
+@query()
+def xai6_7_population_profiles_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    return explain.population_profiles(explain.subject_profiles(fitted_importances(spark, sf)), suppliers(spark, sf))
+
+
 @query()
 def xai8_12_concordance(spark: SparkSession, sf: str) -> DataFrame:
-    """Profiles at several p by the kernel, their agreement with p = 1 and the decisions' beside it."""
-    grid = (1.0, 2.0, 4.0)
-    sv = support(spark, sf, grid)
-    need = explain.needed_pairs(sv, splits(spark, sf))
-    imp = explain.importance(explain.node_contributions(supplier_operators(spark, sf), grid, needed=need), sv, splits(spark, sf))
-    profiles = stored(explain.subject_profiles(imp), "profiles")
+    """The fitted machines' profiles at every p by the kernel, their agreement with p = 1 and the decisions' beside it."""
+    profiles = stored(explain.subject_profiles(fitted_importances(spark, sf)), "profiles")
     population = stored(explain.population_profiles(profiles, suppliers(spark, sf)), "population")
-    decisions = decision.against_reference(surrogate(spark, sf).where(F.col("p").isin(*grid)), 1.0)
+    decisions = decision.against_reference(surrogate(spark, sf), 1.0)
     table9 = explain.decision_comparison(decisions, explain.concordance(profiles, 1.0))
     leaders = explain.leading_trajectories(population, 1.0, 2).groupBy("p").agg(F.sum("global_rank").alias("rank_sum"))
     return table9.join(explain.class_concordance(population, 1.0), "p", "left").join(leaders, "p", "left")
@@ -348,6 +374,18 @@ def phc10_12_contribution_fields(spark: SparkSession, sf: str) -> DataFrame:
     return fields.drop("reference_kernel_spearman")
 
 
+@query()
+def phc9_11_14_support_sets_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    return posthoc.support_sets(stored(fitted_support(spark, sf)[0].drop("gamma"), "support"), 1.0)
+
+
+@query()
+def phc10_12_contribution_fields_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    d = stored(supplier_distances(spark, sf), "d")
+    sv, gammas = fitted_support(spark, sf, d)
+    return posthoc.contribution_fields(stored(sv.drop("gamma"), "support"), splits(spark, sf), d, gammas, 1.0)
+
+
 @query(f"select p, repeat, fold, (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as concordance, 1 - (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end) as decision_loss from (select *, {rank('score', 'p, repeat, fold')} as r, {rank('score0', 'p, repeat, fold')} as r0 from (select o.p, o.repeat, o.fold, o.score, r.score as score0 from oof o join oof r on r.repeat = o.repeat and r.fold = o.fold and r.s = o.s and r.p = 1.0)) group by all", ["concordance", "decision_loss"], SURROGATE)
 def phc13_fold_loss(spark: SparkSession, sf: str) -> DataFrame:
     return posthoc.decision_loss(stored(surrogate(spark, sf), "oof"), 1.0, ("repeat", "fold"))

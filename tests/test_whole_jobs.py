@@ -5,9 +5,9 @@ import pyarrow as pa
 import pytest
 
 from gramweave.functions import kernels
-from gramweave.operators import geometry, learning
+from gramweave.operators import explain, geometry, learning
 from gramweave.plans import QUERIES
-from gramweave.plans.inputs import FOLDS, GRID, REPEATS
+from gramweave.plans.inputs import FOLDS, GRID, REPEATS, splits, supplier_distances, supplier_operators, suppliers
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,11 +39,14 @@ def test_dense_check_sees_lost_modes(monkeypatch):
     assert error().min() > 1e-3
 
 
+FITTED = ["xai4_needed_pairs_fitted", "xai5_importance_fitted", "xai6_7_population_profiles_fitted", "xai8_12_concordance", "phc9_11_14_support_sets_fitted", "phc10_12_contribution_fields_fitted"]
+
+
 class Seen(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["lrn4_5_7_nested_cv", "lrn6_14_15_16_17_surfaces", "lrn18_reconstruction"])
+@pytest.mark.parametrize("name", ["lrn4_5_7_nested_cv", "lrn6_14_15_16_17_surfaces", "lrn18_reconstruction", *FITTED])
 def test_fits_cover_the_grid_and_all_repeats(spark, monkeypatch, name):
     def nested_cv(d, subjects, splits, grid):
         assert grid == learning.Grid()
@@ -66,3 +69,30 @@ def test_unconverged_inner_fits_are_reported(monkeypatch):
     whole = kernels.fit_svc
     monkeypatch.setattr(kernels, "fit_svc", lambda *a, **b: whole(*a, **b, limit=1))
     assert not learning.search(d, y, np.arange(20), grid, 1)[4]
+
+
+def test_explanations_are_those_of_the_fitted_machines(spark, monkeypatch):
+    """Against brute force over the duals of one fit, whatever the subjects' numbers."""
+    rows = learning.nested_cv(supplier_distances(spark, SF), suppliers(spark, SF), splits(spark, SF), learning.Grid((1.0,), (1.0,), 2)).toPandas()
+    frame = spark.createDataFrame(rows, learning.FOLD_SCHEMA)
+    monkeypatch.setattr(learning, "nested_cv", lambda *a: frame)
+    got = {(r.s, r.t) for r in QUERIES["xai4_needed_pairs_fitted"](spark, SF).collect()}
+    want, duals = set(), {}
+    for r in rows.itertuples():
+        sv = {int(s): a for s, a, out in zip(r.s, r.dual, r.test, strict=True) if not out and abs(a) > 1e-12}
+        duals[r.p, r.repeat, r.fold] = sv
+        want |= {(min(s, t), max(s, t)) for s, out in zip(map(int, r.s), r.test, strict=True) if out for t in sv}
+    assert got == want and any(s % 3 and t % 3 for s, t in got)
+    for r in QUERIES["phc9_11_14_support_sets_fitted"](spark, SF).collect():
+        a, b = duals[r.p, r.repeat, r.fold], duals[1.0, r.repeat, r.fold]
+        assert (r.n_sv, r.n_sv_reference) == (len(a), len(b)) and abs(r.sv_jaccard - len(a.keys() & b.keys()) / len(a.keys() | b.keys())) < 1e-6
+    con = {(c.p, c.s, c.t): (c.d, c.c) for c in explain.node_contributions(supplier_operators(spark, SF), GRID).collect()}
+    some = QUERIES["xai5_importance_fitted"](spark, SF).collect()
+    fold = {(r.repeat, s): r.fold for r in rows.itertuples() for s, out in zip(r.s, r.test, strict=True) if out}
+    assert len(some) == len(GRID) * len(fold) * 3
+    for r in some:
+        total = 0.0
+        for sv, a in duals[r.p, r.repeat, fold[r.repeat, r.s]].items():
+            d, c = con[r.p, min(r.s, sv), max(r.s, sv)]
+            total += a * (np.exp(-d * d) - np.exp(-(max(d - c[r.node], 0) ** 2)))
+        assert abs(abs(total) - r.importance) < 1e-6
