@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page's tags are read once into a tree of block containers.  Paragraph blocks give points for length and commas to their container
-and half as many to the one above; a container's points are discounted by its link density; the best container and those of its siblings
-that score alike are kept.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never enter the tree.
+and half as many to the one above; a container's points are discounted by its link density.  Of article and main elements the best is kept
+with those of its siblings that score alike.  A page without them keeps every block, short or long, wherever it stands, but those that are
+mostly links in a container that is mostly links.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+never enter the tree; a class or id marks one only if it does not hold most of the page's text.
 """
 
 from __future__ import annotations
@@ -33,11 +35,17 @@ UNLIKELY = {
 }
 #: Those of them that even an article element may be marked with.
 READERS = {"comment", "comments", "disqus", "reply", "replies", "respond", "ad", "ads", "advert", "related"}
+#: With one of these a class tells of the layout (no-sidebar, has-sidebar), not of the element.
+LAYOUT = {"no", "not", "non", "has", "with", "without", "hide", "show"}
 NAME_PART = re.compile(r"[A-Za-z]+")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 SPACE = re.compile(r"\s+")
 
 
+class Linked(str):
+    """A block that is mostly links."""
+
+
 class Box:
     """A container: its blocks and inner containers in page order."""
 
@@ -71,13 +79,46 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "main"):
-            marks = UNLIKELY & set(NAME_PART.findall(value)) - ({"header"} if in_article else set())
-            if marks & (READERS if tag == "article" else UNLIKELY):
-                return True
     return False
 
 
+def marked(tag: str, attributes: str, in_article: bool) -> set[str]:
+    """The words of class and id that mark an element as no part of an article."""
+    found: set[str] = set()
+    if "=" in attributes and tag not in ("body", "html", "main"):
+        for name, value in ATTRIBUTE.findall(attributes):
+            if name.lower() in ("class", "id"):
+                for token in value.strip("\"'").lower().split():
+                    words = set(NAME_PART.findall(token))
+                    if not words & LAYOUT:
+                        found |= words & (READERS if tag == "article" else UNLIKELY)
+    return found - ({"header"} if in_article else set())
+
+
+def extents(page: str) -> tuple[dict[int, tuple[int, bool]], int, bool]:
+    """By the place after each start tag, the characters of text in the element and whether an article or main is in it; and both for the page."""
+    held: dict[int, tuple[int, bool]] = {}
+    opened: dict[str, list[tuple[int, int, int]]] = {}
+    at, chars, articles = 0, 0, 0
+    while m := TAG.search(page, at):
+        chars += len("".join(page[at : m.start()].split()))
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if m[1]:
+            if opened.get(tag):
+                lo, n, k = opened[tag].pop()
+                held[lo] = (chars - n, articles > k)
+        elif tag in DROPPED:
+            at = past(page, at, tag, m[0].endswith("/>"))
+        elif tag and tag not in VOID:
+            opened.setdefault(tag, []).append((at, chars, articles))
+            articles += tag in ("article", "main")
+    chars += len("".join(page[at:].split()))
+    for lo, n, k in (x for rest in opened.values() for x in rest):
+        held[lo] = (chars - n, articles > k)
+    return held, chars, articles > 0
+
+
 def tree(page: str) -> Box:
     """The page's containers and blocks.  Unclosed elements end with their container, stray ends are passed over."""
     root = Box("html", None)
@@ -85,14 +126,26 @@ def tree(page: str) -> Box:
     text: list[str] = []
     links, in_link = 0, 0
     at, size = 0, len(page)
+    known = None
+
+    def left_out(tag: str, attributes: str, in_article: bool) -> bool:
+        """By class or id, but not what holds more than half of the page's text; where articles decide, that must hold one and not be the readers'."""
+        nonlocal known
+        words = marked(tag, attributes, in_article)
+        if not words:
+            return False
+        known = known or extents(page)
+        held, chars, articles = known
+        own, holds_article = held.get(at, (0, False))
+        return not (own * 2 > chars and (not articles or (holds_article and not words & READERS)))
 
     def flush() -> None:
         nonlocal text, links
         if text:
             block = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if block:
-                box.parts.append(block)
                 n, linked = len(block), min(links, len(block))
+                box.parts.append(Linked(block) if 2 * linked > n else block)
                 points = 1 + block.count(",") + min(n / 100, 3)
                 share = linked / n
                 box.points += points * (1 - share)
@@ -139,7 +192,8 @@ def tree(page: str) -> Box:
         if tag == "br":
             text.append(" ")
             continue
-        if unwanted(tag, m[3], any(b == "article" or b == "main" for b, _ in open_tags)):
+        in_article = any(b == "article" or b == "main" for b, _ in open_tags)
+        if unwanted(tag, m[3], in_article) or left_out(tag, m[3], in_article):
             if tag in BLOCKS or tag in CONTAINERS:
                 flush()
             at = past(page, at, tag, m[0].endswith("/>"))
@@ -200,8 +254,25 @@ def past(page: str, at: int, tag: str, closed: bool) -> int:
             at = past(page, at, inner, False)
 
 
+def unlinked(root: Box) -> Iterator[str]:
+    """Every block but those that are mostly links in a container that is mostly links, and containers of one letter or sign."""
+    stack = [(root, iter(root.parts))]
+    while stack:
+        box, parts = stack[-1]
+        for part in parts:
+            if isinstance(part, Box):
+                if part.chars > 1 or any(x.isalnum() and not (x.isascii() and x.isalpha()) for x in part.blocks()):
+                    stack.append((part, iter(part.parts)))
+                    break
+            elif not (isinstance(part, Linked) and 2 * box.linked > box.chars):
+                yield part
+        else:
+            stack.pop()
+
+
 def main_text(page: str | None) -> str:
-    """The best container's blocks, and those of its siblings that score a fifth of it or more, joined by line ends."""
+    """The best article's or main element's blocks, and those of its siblings that score a fifth of it or more; without such elements all
+    blocks outside link lists, and all there are if there is nothing else.  Joined by line ends."""
     root = tree(page or "")
     boxes, stack = [], [root]
     while stack:
@@ -212,12 +283,9 @@ def main_text(page: str | None) -> str:
         return ""
     value = lambda b: b.points * (1 - b.linked / b.chars) if b.chars else 0.0
     whole = [b for b in boxes if b.tag in ("article", "main") and b.chars]
-    best = max(whole or boxes, key=value)
-    # Lists, tables and figures belong to what they stand in.
-    while best.parent and best.tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "figure", "header", "hgroup", "details") and best.parent.chars:
-        best = best.parent
-    if best.parent is None:
-        return "\n".join(best.blocks())
+    if not whole:
+        return "\n".join(list(unlinked(root)) or root.blocks())
+    best = max(whole, key=value)
     top, out = value(best), []
     for part in best.parent.parts:
         if part is best or (isinstance(part, Box) and part.chars and value(part) >= max(2.0, 0.2 * top) and part.linked < 0.3 * part.chars):

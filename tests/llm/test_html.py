@@ -20,6 +20,25 @@ def test_container_is_found_by_score():
     assert main_text(page) == "\n".join([LONG.strip()] * 3)
 
 
+def test_text_beside_and_below_the_best_container():
+    text = LONG.strip()
+    assert main_text(f"<body><h1>Title</h1><p>Short one.</p><div><p>{LONG}</p><p>{LONG}</p></div><p>{LONG}</p><p>End.</p></body>") == "\n".join(["Title", "Short one.", text, text, text, "End."])
+    assert main_text(f"<body><div><div><p>{LONG}</p></div><div><p>Brief.</p></div><div><p>{LONG}</p></div></div></body>") == "\n".join([text, "Brief.", text])
+    chunks = "".join(f'<div class="c"><div><p>{LONG}{i}</p></div></div>' for i in range(6))
+    assert main_text(f'<body><div><a href="/">Home</a> <a href="/n">News</a></div><div id="post">{chunks}</div></body>') == "\n".join(f"{LONG}{i}" for i in range(6))
+    assert main_text('<body><ul><li><a href="/">Home</a><li><a href="/n">News</a></ul></body>') == "Home\nNews"
+
+
+def test_class_words_do_not_remove_the_text():
+    text = LONG.strip()
+    assert main_text(f'<body><div class="no-sidebar wrap"><p>{LONG}</p></div><p>{LONG}{LONG}</p></body>') == f"{text}\n{text} {text}"
+    assert main_text(f'<body><div class="header-2 related"><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>Aside</p></div><p>End.</p></body>') == f"{text}\n{text}\nEnd."
+    assert main_text(f'<body><div class="share-layout"><article><p>{LONG}</p></article></div><div class="ad">Buy</div></body>') == text
+    comment = f'<div class="comments"><article><p>{LONG}{LONG}</p></article></div>'
+    assert main_text(f"<body><article><p>{LONG}</p></article>{comment}</body>") == text
+    assert main_text('<div class="ad">' * 3000 + "deep") == "deep"
+
+
 def test_odd_pages():
     for page in (None, "", "   ", "<", "<p", "<!-- open", "<script>x", "<nav>a", "</p></div>", "<a<b>", "<p class='"):
         assert isinstance(main_text(page), str)
