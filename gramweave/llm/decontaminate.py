@@ -1,4 +1,6 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised items scans every text once.
+"""Benchmark decontamination: an Aho-Corasick automaton over the normalised items scans every text once.
+
+Windows of more than BLOCK_BYTES go to several automata, each of which scans every text; the offsets are those of the merged finds.
 
 Texts and items are normalised alike: A-Z in lower case, everything but words a single space.  The automaton holds every window of
 ``size`` item words with a space at both ends, so a match is a run of whole words.  Byte positions of the words give each matched run's
@@ -75,6 +77,7 @@ def _automaton(shared: Broadcast) -> tuple[ahocorasick.Automaton, list[list]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) -> Iterator[pa.RecordBatch]:
+    """``spans``: offsets of the runs of hit words; else of every hit word, from which runs over several automata are put together."""
     auto, owners = _automaton(shared)
     table = alnum_table()
     for batch in batches:
@@ -105,9 +108,9 @@ def _scan(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) ->
                     on = np.zeros(0, np.int64)
                 hits.append(on.tolist())
                 found.append(sorted(items))
-                if spans and len(on):
+                if len(on):
                     breaks = np.flatnonzero(np.diff(on) > 1)
-                    lo, hi = on[np.r_[0, breaks + 1]], on[np.r_[breaks, len(on) - 1]]
+                    lo, hi = (on[np.r_[0, breaks + 1]], on[np.r_[breaks, len(on) - 1]]) if spans else (on, on)
                     whole = part.buf[part.offsets[d] : part.offsets[d + 1]]
                     chars = np.r_[0, np.cumsum((whole & 0xC0) != 0x80)]
                     starts.append(chars[part.start[a + lo] - part.offsets[d]].tolist())
@@ -116,10 +119,8 @@ def _scan(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) ->
                     starts.append([]), ends.append([])
         keep = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
         names = [c for c in batch.schema.names if c != "text"]
-        cols = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
-        if spans:
-            cols += [pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(keep + cols, names + ["n_words", "hit", "items"] + ["span_start", "span_end"] * spans)
+        cols = [pa.array(n_words, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (hits, found, starts, ends))]
+        yield pa.RecordBatch.from_arrays(keep + cols, names + ["n_words", "hit", "items"] + (["span_start", "span_end"] if spans else ["word_start", "word_end"]))
 
 
 def scan(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -127,7 +128,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     items (ids of the items with occurring windows), span_start and span_end (character offsets of the runs of hit words).
 
     ``items`` (item_id, text) reaches the driver one row at a time and the executors in automata of at most BLOCK_BYTES; with more
-    than one, each scans all texts and its finds are merged by row.  Null texts have no words, items without words no window; items
+    than one, each scans all texts and its finds are merged by row, the runs of hit words too.  Null texts have no words, items without words no window; items
     with a null id are left out, equal items all count.  No items: nothing is hit.
     """
     rows = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator()
@@ -141,12 +142,15 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     numbered = written(keyed.withColumn("row", F.monotonically_increasing_id()), "numbered")
     for block in found:
         shared = spark.sparkContext.broadcast(block)
-        out.append(numbered.mapInArrow(partial(_scan, shared=shared, spans=False), "doc_id long, row long, n_words long, hit array<long>, items array<long>"))
+        out.append(numbered.mapInArrow(partial(_scan, shared=shared, spans=False), "doc_id long, row long, n_words long, hit array<long>, items array<long>, word_start array<long>, word_end array<long>"))
     every = out[0]
     for df in out[1:]:
         every = every.unionByName(df)
-    merged = every.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", "hit", "items", F.lit(None).cast("array<long>").alias("span_start"), F.lit(None).cast("array<long>").alias("span_end"))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = every.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), union(F.arrays_zip("hit", "word_start", "word_end")).alias("at"), union("items").alias("items"))
+    first = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1)["hit"] + 1 < x["hit"]))
+    last = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1)["hit"] - 1 > x["hit"]))
+    return merged.select("doc_id", "n_words", F.col("at")["hit"].alias("hit"), "items", F.transform(first, lambda x: x["word_start"]).alias("span_start"), F.transform(last, lambda x: x["word_end"]).alias("span_end"))
 
 
 def digest(ids: list[str]) -> str:

@@ -67,6 +67,16 @@ def test_offsets_map_to_the_original(spark):
     assert text[row.span_start[0] : row.span_end[0]] == item.upper().replace(" ", "; ")
 
 
+def test_offsets_over_several_automata(spark, monkeypatch):
+    docs, items = cases()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, scan(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "blocks", lambda items, size: list(decontaminate_blocks(items, size, 40)))
+    assert len(decontaminate.blocks(items, 10)) > 1
+    assert sorted(map(tuple, scan(d, b).collect())) == one
+    assert any(len(r[4]) > 1 for r in one)
+
+
 def test_empty_tables(spark):
     none, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert op3_decontamination(none, items).count() == 0
