@@ -238,9 +238,23 @@ def repeated_ids(feats: DataFrame) -> bool:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose document is not the least of its component; rows with a null doc_id and no copy stay."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the rows that are not the first of their component; rows with a null doc_id stay.
+
+    Where a doc_id is repeated or null, rows are linked by a number of their own, dealt once in the order of doc_id: rows that repeat a
+    doc_id are compared by their own texts, and of equal ones a single row stays.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = written(docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(row, F.monotonically_increasing_id()), "rows")
+    gone = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle, percent).where("not kept").select(F.col("doc_id").alias(row))
+    unnamed = rows.where("doc_id is null")
+    named = rows.where("doc_id is not null").join(gone, row, "left_anti").select(*rows.columns)
+    return named.unionByName(unnamed).drop(row)
 
 
 #: All pairs that share a shingle, counted, and their closure.

@@ -82,6 +82,15 @@ def test_defined_cases(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == ["3", "9", "None", "None"]
 
 
+def test_rows_of_repeated_ids_are_dropped_one_by_one(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other text here"), (2, "A b C"), (4, long), (5, long + " x"), (5, "quite another one"), (None, long + " y"), (None, "n o n e")]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2)
+    assert left.columns == ["doc_id", "text"]
+    got = sorted((str(r.doc_id), r.text) for r in left.collect())
+    assert got == sorted([("1", "a b c"), ("1", "other text here"), ("4", long), ("5", "quite another one"), ("None", long + " y"), ("None", "n o n e")])
+
+
 def test_posterior_bound():
     assert least_matches(160, 80, 1e-6) > 80
     assert least_matches(32, 80, 1e-6) < 25
