@@ -346,6 +346,18 @@ def spc8_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.with_intervals(spectral.summary(metrics), spectral.resampled(metrics, spectral.selections(supplier_operators(spark, sf), SEED, 20)))
 
 
+@query()
+def spc7_subject_resamples_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's 300 resamples; the SQL above names 20."""
+    return spectral.resampled(supplier_metrics(spark, sf), spectral.selections(supplier_operators(spark, sf), SEED, 300))
+
+
+@query()
+def spc8_intervals_full(spark: SparkSession, sf: str) -> DataFrame:
+    metrics = stored(supplier_metrics(spark, sf), "metrics")
+    return spectral.with_intervals(spectral.summary(metrics), spectral.resampled(metrics, spectral.selections(supplier_operators(spark, sf), SEED, 300)))
+
+
 @query("select min(p) as p_first, arg_min_null(b, p) as p_below, arg_min(share, p) as share_at_first from (select p, share, lag(p) over (order by p) as b from (select p, median(leading_share) as share from met group by p)) where share >= 0.6", ["share_at_first"], SPECTRA + RATIOS)
 def spc9_dominance(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.dominance(spectral.summary(supplier_metrics(spark, sf)), 0.6)
@@ -408,6 +420,12 @@ def sel7_stability(spark: SparkSession, sf: str) -> DataFrame:
     return selection.stability(event_series(spark, sf), 3, SEED, 20)
 
 
+@query()
+def sel7_stability_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's 30 resamples; the SQL above names 20."""
+    return selection.stability(event_series(spark, sf), 3, SEED, 30)
+
+
 @query()
 def sel9_10_dimension_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return selection.recommendation(selection.dimension_sweep(class_operators(spark, sf).select("s", "n", F.col("rho").alias("a")), [4, 16, 32, 64]))

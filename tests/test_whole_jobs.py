@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from gramweave.functions import kernels
-from gramweave.operators import explain, geometry, learning
+from gramweave.operators import explain, geometry, learning, selection
 from gramweave.plans import QUERIES
 from gramweave.plans.inputs import FOLDS, GRID, REPEATS, splits, supplier_distances, supplier_operators, suppliers
 
@@ -96,3 +96,15 @@ def test_explanations_are_those_of_the_fitted_machines(spark, monkeypatch):
             d, c = con[r.p, min(r.s, sv), max(r.s, sv)]
             total += a * (np.exp(-d * d) - np.exp(-(max(d - c[r.node], 0) ** 2)))
         assert abs(abs(total) - r.importance) < 1e-6
+
+
+def test_production_draws(spark):
+    assert {r.n_resamples for r in QUERIES["phc18_intervals_full"](spark, SF).collect()} == {500}
+    assert QUERIES["spc7_subject_resamples_full"](spark, SF).select("rep").distinct().count() == 300
+    assert QUERIES["sel7_stability_full"](spark, SF).count() == 30
+    counts = []
+    whole = selection.stability
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(selection, "stability", lambda series, m, seed, reps: counts.append(reps) or whole(series, m, seed, reps))
+        assert QUERIES["sel8_best_method"](spark, SF).count() == 1
+    assert counts == [30] * 4
