@@ -3,14 +3,15 @@
 1. Every text gives its set of word shingles: size, an order-free 128-bit digest, hashes of its MinHash bands, and a signature.  Equal
    sets collapse to one node (the least doc_id), so exact copies never reach the pair stages.
 2. Band hashes are buckets.  Every member is paired with the leaders of its buckets, and of these with the TRIES that it shares most
-   buckets with: a bounded number of pairs for each node, however many copies a bucket holds.  Links found make components; in three
-   further rounds with other leaders, only members outside the leader's component are paired.
+   buckets with: a bounded number of pairs for each node, however many copies a bucket holds.  Links found make components.
 3. Pairs are compared in batches of signature positions.  After each batch a pair is dropped if the posterior probability that its
    similarity reaches the threshold, given the matches so far, is below ``MISS``.
 4. Survivors are verified on the full shingle sets of the whole texts, streamed behind their leader's text in blocks.
 5. By then most buckets lie in one component.  In the others, the members outside the bucket's largest component are compared with all
-   members of other components, so no link between texts that share a bucket is lost.  The bucket's signatures are packed in blocks of
-   bounded size for that, so step 3 runs over whole blocks and only its survivors become pairs, for step 4.
+   members of other components, so no link between texts that share a bucket is lost.  Signatures and whole shingle sets go to cells of
+   two blocks of bounded size for that; steps 3 and 4 run inside a cell, in the first bucket that a pair shares, and only a spanning
+   forest of the links found comes out: the output grows with the members, though the CPU time of a group whose members are near the
+   threshold and not linked grows with its square.
 
 Banding misses a pair at the threshold with probability (1 - t**ROWS)**BANDS: 2e-6 with the defaults.
 """
@@ -31,10 +32,12 @@ from gramweave.llm.components import connected_components
 from gramweave.llm.store import written
 from gramweave.llm.textkernel import mix, shingle_hashes, space_table, words
 
-BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK, ROUNDS = 56, 7, 392, 56, 1e-6, 256, 4
-#: Signatures in a packed block: an Arrow batch of 10,000 rows then stays under 100 MB.
-PACK = 12
-#: Leaders that a member is paired with in a round: those it shares most buckets with.  Step 5 compares what this leaves open.
+BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK = 56, 7, 392, 56, 1e-6, 256
+#: Digests with more than this part of all rows are joined by broadcast: there are at most so many.
+HOT = 1000
+#: Bytes of sets, signatures and band hashes in a block of a bucket's members.
+CELL_BYTES = 8 << 20
+#: Leaders that a member is paired with: those it shares most buckets with.  Step 5 compares what this leaves open.
 TRIES = 24
 
 
@@ -112,20 +115,102 @@ def _screen(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(alive)) for c in ("a", "b")], ["a", "b"])
 
 
-def _screen_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows are a member x of a bucket and a block of the bucket's members; survivors of other components and near sizes come out."""
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The sorted shingle hashes of each text as bytes; other columns stay."""
+    table = space_table()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
+        for lo in range(0, batch.num_rows, 512):
+            piece, out = batch.slice(lo, 512), []
+            for part in words(piece.column("text"), table):
+                hashes = part.hashes()
+                out += [np.unique(shingle_hashes(hashes[part.first[d] : part.first[d + 1]], shingle)).tobytes() for d in range(part.docs)]
+            keep = [c for c in piece.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "set"])
+
+
+class Cell:
+    """The left members of a cell of one bucket, and the components that links found here have joined."""
+
+    def __init__(self, key: int, ids: list[int], parts: list[int], signatures: list[bytes], bands: list[bytes], sets: list[bytes]):
+        self.key, self.ids, self.parts = key, np.array(ids, np.int64), np.array(parts, np.int64)
+        self.signatures = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(ids), -1)
+        self.bands = np.frombuffer(b"".join(bands), ">i8").astype(np.int64).reshape(len(ids), -1)
+        self.sizes = np.array([len(s) // 8 for s in sets], np.int64)
+        self.ends = np.r_[0, np.cumsum(self.sizes)]
+        self.vocabulary, self.places = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        self.marks = np.zeros(len(self.vocabulary), bool)
+        self.joined: dict[int, int] = {}
+
+    def component(self, part: int) -> int:
+        while part in self.joined:
+            part = self.joined[part]
+        return part
+
+    def links(self, member: int, part: int, signature: bytes, bands: bytes, shingles: bytes, among: int, percent: int) -> list[int]:
+        """Ids of left members, of the first ``among``, that ``member`` is linked with: one of each other component that it reaches.
+
+        A pair that shares several buckets is compared in the first of them alone.
+        """
+        own, n = self.component(part), len(shingles) // 8
+        sizes = self.sizes[:among]
+        some = np.flatnonzero((self.parts[:among] != own) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+        if len(some):
+            mine = np.frombuffer(bands, ">i8").astype(np.int64)
+            some = some[mine[(self.bands[some] == mine).argmax(axis=1)] == self.key]
+        if len(some):
+            some = some[screen(np.frombuffer(signature, np.uint16)[None, :], self.signatures[some], percent)]
+        if not len(some):
+            return []
+        found = np.frombuffer(shingles, np.uint64)
+        at = np.searchsorted(self.vocabulary, found)
+        at = at[np.take(self.vocabulary, at, mode="clip") == found]
+        self.marks[at] = True
+        both = np.array([np.count_nonzero(self.marks[self.places[self.ends[i] : self.ends[i + 1]]]) for i in some])
+        self.marks[at] = False
+        out = []
+        for i in some[100 * both >= percent * (self.sizes[some] + n - both)]:
+            other, own = self.parts[i], self.component(own)
+            if other != own:
+                out.append(int(self.ids[i]))
+                self.joined[int(other)] = own
+                self.parts[self.parts == other] = own
+        return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows are members sorted by (key, i, j, role): role 0 makes the cell's left side, which role 1 meets; in a cell i = j all meet all."""
+    at, left, cell = None, [], None
+
+    def met() -> tuple[list[int], list[int]]:
+        """A cell i = j, once all its members are there."""
+        a, b = [], []
+        if left and at[1] == at[2]:
+            own = Cell(at[0], *zip(*left, strict=True))
+            for t, (member, *more) in enumerate(left):
+                found = own.links(member, *more, t, percent)
+                a += found
+                b += [member] * len(found)
+        return a, b
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
             a, b = [], []
-            for x, n, part, own, ids, sizes, parts, sigs in zip(*(batch.slice(lo, 64).column(c).to_pylist() for c in ("x", "x_n", "x_part", "own", "ids", "sizes", "parts", "sigs")), strict=True):
-                ids, sizes, parts = np.array(ids), np.array(sizes), np.array(parts)
-                some = np.flatnonzero((parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-                if len(some):
-                    right = np.frombuffer(b"".join([sigs[i] for i in some]), np.uint16).reshape(len(some), -1)
-                    found = ids[some[screen(np.frombuffer(own, np.uint16)[None, :], right, percent)]]
-                    a += np.minimum(found, x).tolist()
-                    b += np.maximum(found, x).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            piece = batch.slice(lo, 256)
+            for key, i, j, role, *row in zip(*(piece.column(c).to_pylist() for c in ("key", "i", "j", "role", "id", "part", "signature", "packed", "set")), strict=True):
+                if (key, i, j) != at:
+                    for into, more in zip((a, b), met(), strict=True):
+                        into += more
+                    at, left, cell = (key, i, j), [], None
+                if role == 0:
+                    left.append(row)
+                elif left:
+                    cell = cell or Cell(key, *zip(*left, strict=True))
+                    found = cell.links(*row, len(left), percent)
+                    a += found
+                    b += [row[0]] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+    a, b = met()
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -172,14 +257,28 @@ def _verified(alive: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return written(dealt.mapInArrow(partial(_verify, shingle=shingle, percent=percent), "a long, b long"), "links")
 
 
-def _rest(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of buckets' members outside their largest component with members of other components that the signatures let pass."""
-    largest = placed.groupBy("key", "part").agg(F.count("*").alias("members")).groupBy("key").agg(F.max(F.struct("members", "part"))["part"].alias("main"), F.ceil(F.sum("members") / PACK).alias("blocks"))
-    rows = written(placed.join(largest, "key").join(nodes.select("id", "signature"), "id"), "members")
-    cells = [F.collect_list(c).alias(name) for c, name in (("id", "ids"), ("n", "sizes"), ("part", "parts"), ("signature", "sigs"))]
-    blocks = rows.groupBy("key", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(*cells)
-    others = rows.where("part != main").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"), F.col("signature").alias("own"))
-    return written(others.join(blocks, "key").drop("key", "block").mapInArrow(partial(_screen_blocks, percent=percent), "a long, b long").distinct(), "rest")
+def _rest(placed: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between members of a bucket outside its largest component and members of other components: a spanning forest a cell.
+
+    A bucket of more than CELL_BYTES is cut into blocks, those outside the largest component first; a cell is one of these with itself
+    or with any later block.  Members stream through a cell's task one by one, so it holds one block.
+    """
+    ids = placed.select("id").distinct()
+    members = nodes.join(ids, "id", "left_semi").select("id", "signature", F.col("bands").alias("keys")).join(texts, "id")
+    packed = F.expr("unhex(array_join(transform(keys, x -> lpad(hex(x), 16, '0')), ''))")
+    made = written(members.select("id", "signature", packed.alias("packed"), "text").mapInArrow(partial(_sets, shingle=shingle), "id long, signature binary, packed binary, set binary"), "sets")
+    bytes_ = F.col("n") * 8 + 2 * POSITIONS + 8 * BANDS
+    largest = placed.groupBy("key", "part").agg(F.count("*").alias("members"), F.sum(bytes_).alias("size")).groupBy("key").agg(F.max_by(F.struct("part", "size"), F.struct("members", "part")).alias("main"), F.sum("size").alias("size"))
+    # A bucket of one block is the cell (0, 0); else blocks 0 to others - 1 hold what is outside the main component.
+    cut = lambda size: F.greatest(F.lit(1), F.ceil(size / CELL_BYTES)).cast("int")
+    plan = largest.select("key", F.col("main.part").alias("main"), (F.col("size") <= CELL_BYTES).alias("whole"), cut(F.col("size") - F.col("main.size")).alias("others"), cut(F.col("main.size")).alias("blocks"))
+    hashed, outside = F.abs(F.xxhash64("id", F.lit("block"))), F.col("part") != F.col("main")
+    block = F.when(F.col("whole"), 0).when(outside, hashed % F.col("others")).otherwise(F.col("others") + hashed % F.col("blocks")).cast("int")
+    total = F.when(F.col("whole"), 1).otherwise(F.col("others") + F.col("blocks"))
+    cells = F.filter(F.transform(F.sequence(F.lit(0), total - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"))), lambda c: F.col("whole") | (c["i"] < F.col("others")))
+    rows = placed.join(plan, "key").withColumn("block", block).select("key", "id", "part", "block", F.inline(cells)).withColumn("role", (F.col("block") != F.col("i")).cast("int"))
+    dealt = rows.join(made, "id").select("key", "i", "j", "role", "id", "part", "signature", "packed", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
+    return written(dealt.mapInArrow(partial(_cells, percent=percent), "a long, b long").distinct(), "rest")
 
 
 def _closest(pairs: DataFrame) -> DataFrame:
@@ -218,18 +317,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = _links(_closest(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))), nodes, texts, shingle, percent)
     parts = connected_components(links)
     placed = _placed(buckets, parts)
-    for turn in range(1, ROUNDS):
-        lead = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "n", "part")).alias("lead")).select("key", F.col("lead.id").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.part").alias("a_part"))
-        pairs = placed.join(lead, "key").where(F.col("part") != F.col("a_part")).where(near_sizes("n", "a_n", percent)).select("a", F.col("id").alias("b"))
-        links = links.unionByName(_links(_closest(pairs), nodes, texts, shingle, percent))
-        parts = connected_components(links)
-        placed = _placed(placed.select("key", "id", "n"), parts)
-    rest = _verified(_rest(placed, nodes, percent), texts, shingle, percent)
+    rest = _rest(placed, nodes, texts, shingle, percent)
     final = parts if rest.isEmpty() else connected_components(links.unionByName(rest))
     member = nodes.select("high", "low", "id").join(final, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
-    out = feats.select("doc_id", "n_shingles", "high", "low").join(member, ["high", "low"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    own = F.col("doc_id").alias("component_id")
+    out = _by_digest(sets.select("doc_id", "n_shingles", "high", "low"), member).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.unionByName(feats.where("n_shingles = 0").select("doc_id", "n_shingles", own))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _by_digest(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """``rows`` with the component of their digest.  Digests that hold more than a HOT-th of all rows, at most HOT, are joined by
+    broadcast, so that no task gets all copies of one text."""
+    digest = ["high", "low"]
+    most = rows.groupBy(digest).agg(F.count("*").alias("copies")).where(F.col("copies") > max(1000, rows.count() // HOT)).select(digest)
+    hot = written(most.join(member, digest, "left"), "hot")
+    rest = rows.join(F.broadcast(hot.select(digest)), digest, "left_anti").join(member, digest, "left")
+    return rows.join(F.broadcast(hot), digest).unionByName(rest)
 
 
 def repeated_ids(feats: DataFrame) -> bool:

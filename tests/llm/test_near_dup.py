@@ -1,6 +1,7 @@
 import random
 import re
 
+from gramweave.llm import near_dup
 from gramweave.llm.near_dup import drop_near_duplicates, least_matches, near_duplicates
 
 SCHEMA = "doc_id long, text string, component_id string, kept int"
@@ -71,6 +72,34 @@ def test_chain_and_hub(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_pairs_about_the_threshold_in_cells_of_many_blocks(spark, monkeypatch):
+    """Groups whose pairs lie between 0.75 and 0.87: every link is found, whatever the cells; few leaders leave most to the cells."""
+    r = random.Random(11)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for k in range(30):
+            own = list(base)
+            for j in r.sample(range(150), r.randrange(4, 9)):
+                own[j] = f"g{g}k{k}j{j}"
+            rows.append((len(rows), " ".join(own)))
+    want = {i: c for i, (_, c) in brute(rows, 2, 80).items()}
+    assert 6 < len(set(want.values())) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for size, tries in ((8 << 20, 1), (20_000, 1), (3_000, 0), (20_000, 24)):
+        monkeypatch.setattr(near_dup, "CELL_BYTES", size)
+        monkeypatch.setattr(near_dup, "TRIES", tries)
+        assert {x.doc_id: x.component_id for x in near_duplicates(df, 2, 80).collect()} == want
+
+
+def test_one_text_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 1)
+    rows = [(i, "same words here" if i % 3 else f"own text {i}" if i % 2 else None) for i in range(1900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(df, 2, 80).collect()}
+    assert got == {i: (2 if t else 0, 1 if t == "same words here" else i) for i, t in rows}
+
+
 def test_defined_cases(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).count() == 0
