@@ -10,6 +10,7 @@ the toxic words of toxic documents (``mark_tokens``); tables that have word labe
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from gramweave.llm.store import written
 from gramweave.llm.textkernel import LOWER, Words, alnum_table, mix, words
 
 #: The fit reads so many labelled documents of each class at most, none longer than TRAIN_CHARS; it is the only bound on what is read.
@@ -224,35 +226,48 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log(1 - p)) for j in range(k, n + 1))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on at most TRAIN_TOXIC and TRAIN_CLEAN documents (doc_id, text) whose label (doc_id, toxic) is 1 or 0.
-
-    The sample goes by a hash of doc_id; documents over TRAIN_CHARS characters or without text are not fitted on.  A doc_id that has both labels, or a null
-    label, is left out.  Without any labelled document of a class, the model scores every text alike.
-    """
-    spark = docs.sparkSession
-    ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top")).where("toxic = top")
-    draw = F.xxhash64(F.lit("sample"), "doc_id")
-    counts = {int(r.toxic): r["count"] for r in ids.groupBy("toxic").count().collect() if r.toxic in (0, 1)}
-    sample = [r for kind, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)) for r in ids.where(F.col("toxic") == kind).orderBy(draw, "doc_id").limit(most).select("doc_id", "toxic").collect()]
-    chosen = spark.createDataFrame([(int(a), int(b)) for a, b in sample], "doc_id long, toxic int")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")
-    found = sorted((r.doc_id, r.toxic, r.text) for r in read.dropDuplicates(["doc_id"]).collect())
-    toxic = np.array([t for _, t, _ in found], np.int64)
-    if len(set(toxic)) < 2:
-        return Model(np.zeros(1 << BITS), -9.0, np.log(np.array([0.97, 0.03, 0.6, 0.4])), np.array([-3.0, 0.0, 0.0]))
+def fit_rows(table: pa.Table, prior: float) -> Model:
+    """The model of rows (doc_id, toxic, text)."""
+    toxic = table.column("toxic").to_numpy().astype(np.int64)
+    if len(set(toxic.tolist())) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), -9.0, np.log(np.array([0.97, 0.03, 0.6, 0.4])), np.array([-3.0, 0.0, 0.0]))
     slots, marks, first, held = [], [], [0], 0
-    for part in words(pa.array([t for _, _, t in found]), alnum_table(), lower=False):
+    for part in words(table.column("text").combine_chunks(), alnum_table(), lower=False):
         keys = feature_keys(part)
         slots.append(feature_slots(keys))
         marks.append(keys[list(MARKS)])
         first += (held + part.first[1:]).tolist()
         held = first[-1]
-    del found, keys
     bounds = np.array(first)
     tags = mark_tokens(np.concatenate(marks, axis=1), bounds, toxic)
-    del marks
-    return fit(np.concatenate(slots, axis=1), bounds, tags, toxic, counts[1] / (counts[0] + counts[1]))
+    return fit(np.concatenate(slots, axis=1), bounds, tags, toxic, prior)
+
+
+def _fit(batches: Iterator[pa.RecordBatch], prior: float) -> Iterator[pa.RecordBatch]:
+    """All rows of the one partition in, the pickled model out."""
+    held = list(batches)
+    if held:
+        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows(rows, prior))], pa.binary())], ["model"])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits on at most TRAIN_TOXIC and TRAIN_CLEAN documents (doc_id, text) whose label (doc_id, toxic) is 1 or 0.
+
+    The fit runs in one executor task, and the driver gets the model alone.  The sample goes by a hash of doc_id; documents over
+    TRAIN_CHARS characters or without text are not fitted on.  A doc_id that has both labels, or a null label, is left out; of the texts
+    of a repeated doc_id the least counts.  Without any labelled document of a class, the model scores every text alike.
+    """
+    ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("doc_id")).agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("top")).where("toxic = top").select("doc_id", "toxic")
+    ids = written(ids, "labels")
+    draw = F.xxhash64(F.lit("sample"), "doc_id")
+    counts = {int(r.toxic): r["count"] for r in ids.groupBy("toxic").count().collect()}
+    chosen = written(ids.where("toxic = 1").orderBy(draw, "doc_id").limit(TRAIN_TOXIC).unionByName(ids.where("toxic = 0").orderBy(draw, "doc_id").limit(TRAIN_CLEAN)), "chosen")
+    read = docs.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")
+    rows = read.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    made = rows.coalesce(1).mapInArrow(partial(_fit, prior=prior), "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit_rows(pa.table({"toxic": pa.array([], pa.int64())}), prior)
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) -> Iterator[pa.RecordBatch]:
