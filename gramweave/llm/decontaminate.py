@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
 from gramweave.llm.store import written
 from gramweave.llm.textkernel import alnum_table, words
@@ -76,7 +79,7 @@ def _automaton(shared: Broadcast) -> tuple[ahocorasick.Automaton, list[list]]:
     return _built[key][1:]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool, item: DataType) -> Iterator[pa.RecordBatch]:
     """``spans``: offsets of the runs of hit words; else of every hit word, from which runs over several automata are put together."""
     auto, owners = _automaton(shared)
     table = alnum_table()
@@ -119,7 +122,8 @@ def _scan(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) ->
                     starts.append([]), ends.append([])
         keep = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
         names = [c for c in batch.schema.names if c != "text"]
-        cols = [pa.array(n_words, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (hits, found, starts, ends))]
+        kinds = [pa.int64(), to_arrow_type(item), pa.int64(), pa.int64()]
+        cols = [pa.array(n_words, pa.int64()), *(pa.array(x, pa.list_(k)) for x, k in zip((hits, found, starts, ends), kinds, strict=True))]
         yield pa.RecordBatch.from_arrays(keep + cols, names + ["n_words", "hit", "items"] + (["span_start", "span_end"] if spans else ["word_start", "word_end"]))
 
 
@@ -127,30 +131,35 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with n_words, hit (positions of the words in any occurrence of an item's window, from 0),
     items (ids of the items with occurring windows), span_start and span_end (character offsets of the runs of hit words).
 
-    ``items`` (item_id, text) reaches the driver one row at a time and the executors in automata of at most BLOCK_BYTES; with more
-    than one, each scans all texts and its finds are merged by row, the runs of hit words too.  Null texts have no words, items without words no window; items
-    with a null id are left out, equal items all count.  No items: nothing is hit.
+    ``items`` (item_id, text) reaches the driver one row at a time and the executors in automata of at most BLOCK_BYTES, of which the
+    driver holds one at a time; with more than one, each scans all texts and its finds are merged by row, the runs of hit words too.  Ids
+    keep their types.  Null texts have no words, items without words no window; items with a null id are left out, equal items all count.
+    No items: nothing is hit.
     """
-    rows = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator()
-    spark, out = docs.sparkSession, []
-    schema = "doc_id long, n_words long, hit array<long>, items array<long>, span_start array<long>, span_end array<long>"
-    keyed = docs.select(F.col("doc_id").cast("long"), "text")
-    found = list(blocks(((r[0], r[1]) for r in rows), size))
-    if len(found) <= 1:
-        shared = spark.sparkContext.broadcast(found[0] if found else {"\x00": []})
-        return keyed.mapInArrow(partial(_scan, shared=shared, spans=True), schema)
+    rows = items.where("item_id is not null").select("item_id", "text").toLocalIterator()
+    spark, item = docs.sparkSession, items.schema["item_id"].dataType
+    longs = ArrayType(LongType())
+
+    def fields(*more: StructField, ends: tuple[str, str]) -> StructType:
+        return StructType([docs.schema["doc_id"], *more, StructField("n_words", LongType()), StructField("hit", longs), StructField("items", ArrayType(item)), *(StructField(c, longs) for c in ends)])
+
+    keyed = docs.select("doc_id", "text")
+    more = blocks(((r[0], r[1]) for r in rows), size)
+    first = spark.sparkContext.broadcast(next(more, {"\x00": []}))
+    second = next(more, None)
+    if second is None:
+        return keyed.mapInArrow(partial(_scan, shared=first, spans=True, item=item), fields(ends=("span_start", "span_end")))
     numbered = written(keyed.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    for block in found:
-        shared = spark.sparkContext.broadcast(block)
-        out.append(numbered.mapInArrow(partial(_scan, shared=shared, spans=False), "doc_id long, row long, n_words long, hit array<long>, items array<long>, word_start array<long>, word_end array<long>"))
-    every = out[0]
-    for df in out[1:]:
-        every = every.unionByName(df)
+    schema, out = fields(StructField("row", LongType()), ends=("word_start", "word_end")), []
+    for shared in chain([first], map(spark.sparkContext.broadcast, chain([second], more))):
+        out.append(numbered.mapInArrow(partial(_scan, shared=shared, spans=False, item=item), schema))
+        second = None
+    every = reduce(DataFrame.unionByName, out)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     merged = every.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), union(F.arrays_zip("hit", "word_start", "word_end")).alias("at"), union("items").alias("items"))
-    first = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1)["hit"] + 1 < x["hit"]))
-    last = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1)["hit"] - 1 > x["hit"]))
-    return merged.select("doc_id", "n_words", F.col("at")["hit"].alias("hit"), "items", F.transform(first, lambda x: x["word_start"]).alias("span_start"), F.transform(last, lambda x: x["word_end"]).alias("span_end"))
+    starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1)["hit"] + 1 < x["hit"]))
+    stops = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1)["hit"] - 1 > x["hit"]))
+    return merged.select("doc_id", "n_words", F.col("at")["hit"].alias("hit"), "items", F.transform(starts, lambda x: x["word_start"]).alias("span_start"), F.transform(stops, lambda x: x["word_end"]).alias("span_end"))
 
 
 def digest(ids: list[str]) -> str:

@@ -52,7 +52,7 @@ def test_against_brute_force(spark, monkeypatch):
         return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in op3_decontamination(d, b).collect()}
 
     assert got() == want
-    monkeypatch.setattr(decontaminate, "blocks", lambda items, size: list(decontaminate_blocks(items, size, 40)))
+    monkeypatch.setattr(decontaminate, "blocks", lambda items, size: decontaminate_blocks(items, size, 40))
     assert got() == want
 
 
@@ -71,12 +71,19 @@ def test_offsets_over_several_automata(spark, monkeypatch):
     docs, items = cases()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(tuple, scan(d, b).collect()))
-    monkeypatch.setattr(decontaminate, "blocks", lambda items, size: list(decontaminate_blocks(items, size, 40)))
-    assert len(decontaminate.blocks(items, 10)) > 1
+    monkeypatch.setattr(decontaminate, "blocks", lambda items, size: decontaminate_blocks(items, size, 40))
+    assert len(list(decontaminate.blocks(items, 10))) > 1
     assert sorted(map(tuple, scan(d, b).collect())) == one
     assert any(len(r[4]) > 1 for r in one)
 
 
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", "three")], "doc_id string, text string")
+    items = spark.createDataFrame([("x1", "two"), ("x0", "ONE two")], "item_id string, text string")
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in op3_decontamination(docs, items).collect()} == {"a": (2, 2, hashlib.sha256(b"x0,x1").hexdigest()), "b": (0, 0, hashlib.sha256(b"").hexdigest())}
+    assert [r.doc_id for r in clean(docs, items).collect()] == ["b"]
+
+
 def test_empty_tables(spark):
     none, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert op3_decontamination(none, items).count() == 0
