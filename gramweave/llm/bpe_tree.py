@@ -7,7 +7,9 @@ That gives both proofs a join needs:
 * right: once a piece of the window starts where a piece of the right half starts, all that follows is the right half's.
 
 The window grows, doubling, until such a place is found beyond the boundary and its last piece cannot change with what comes after
-it; if none is found up to the end, the window is the rest of the text.  Decoding concatenates the parts' bytes up the tree.
+it; if none is found up to the end, the window is the rest of the right half.  Decoding concatenates the parts' bytes up the tree.
+
+Every text is halved, at the white space next to its middle, down to leaves of some characters or to runs without white space.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-LEAF_CHARS = 1 << 13
+#: Characters of a leaf; whatever its length, a text with white space inside has two leaves at least.
+LEAF_CHARS = 1 << 11
 WINDOW_CHARS = 64
 
 
@@ -64,21 +67,34 @@ def settled(text: str, start: int, cut: int) -> int:
     return at
 
 
+WHITE, LAST_WHITE = regex.compile(r"\s"), regex.compile(r"(?r)\s")
+
+
+def near_middle(text: str, start: int, end: int) -> int:
+    """The white space next to the middle of text[start:end], other than its first character; ``start`` if there is none.
+
+    Long runs without white space are so never cut: no join has to encode them again.
+    """
+    middle = (start + end) // 2
+    after, before = WHITE.search(text, max(middle, start + 1), end), LAST_WHITE.search(text, start + 1, middle) if middle > start + 1 else None
+    places = [m.start() for m in (before, after) if m]
+    return min(places, key=lambda p: abs(p - middle), default=start)
+
+
 class Encoder:
     def __init__(self, path: str, pattern: str, leaf: int = LEAF_CHARS, window: int = WINDOW_CHARS):
         self.encoding, self.pattern, self.back, self.shown = codec(path, pattern)
         self.leaf, self.window = leaf, window
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
-        return self._tree(text, 0, len(text)).ids
+        return self._tree(text, 0, len(text), min(self.leaf, len(text) - 1)).ids
 
-    def _tree(self, text: str, start: int, end: int) -> Part:
-        if end - start <= self.leaf:
+    def _tree(self, text: str, start: int, end: int, leaf: int) -> Part:
+        """Halves are cut at the white space next to the middle; a stretch of at most ``leaf`` characters, or without such a place, is a leaf."""
+        cut = start if end - start <= leaf else near_middle(text, start, end)
+        if cut == start:
             return Part(start, end, self.encoding.encode_ordinary(text[start:end]))
-        middle = (start + end) // 2
-        return self.join(text, self._tree(text, start, middle), self._tree(text, middle, end))
+        return self.join(text, self._tree(text, start, cut, self.leaf), self._tree(text, cut, end, self.leaf))
 
     def _ids(self, text: str, pieces: list[tuple[int, int]]) -> list[int]:
         """Each piece is encoded by itself: a stretch cut at piece ends may split otherwise than it does in its text."""

@@ -42,6 +42,16 @@ def test_long_texts():
         assert coder.encode(t) == want.encode_ordinary(t)
 
 
+def test_every_text_with_white_space_inside_is_joined(monkeypatch):
+    coder, joins, join = Encoder(PATH, PATTERN), [], Encoder.join
+    monkeypatch.setattr(Encoder, "join", lambda self, text, a, b: joins.append((a.end, b.end)) or join(self, text, a, b))
+    for t in ("a b", "Hello world's end", "one\ntwo three four"):
+        joins.clear()
+        assert coder.encode(t) == library().encode_ordinary(t) and joins
+    megabyte = "ab 漢字's\n " * 100_000
+    assert coder.encode(megabyte) == library().encode_ordinary(megabyte)
+
+
 def test_query(spark, monkeypatch):
     want = library()
     rows = [(1, "Hello world's end"), (2, None), (3, ""), (1, "Hello world's end"), (None, "漢字")]
