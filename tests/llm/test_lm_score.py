@@ -22,12 +22,12 @@ def brute(rows, order, alpha, least):
     out = []
     for (i, _), w in zip(rows, split, strict=True):
         grams = [tuple(w[max(0, j - order + 1) : j + 1]) for j in range(len(w))]
-        out.append((i, len(w), sum(math.log(s(g)) for g in grams), sum(len(g) > 1 and c[g] < least for g in grams)))
+        out.append((i, len(w), sum(math.log(s(g)) for g in grams), sum(len(g) > 1 and c[g] < least for g in grams), sum(c[g] == 1 for g in grams)))
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_against_brute_force(spark, monkeypatch, order):
+@pytest.mark.parametrize(("order", "least"), [(1, 2), (2, 2), (3, 1), (3, 2), (4, 2)])
+def test_against_brute_force(spark, monkeypatch, order, least):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 500)
     monkeypatch.setattr(lm_score, "RANGE_BYTES", 10)
     r = random.Random(order)
@@ -35,13 +35,38 @@ def test_against_brute_force(spark, monkeypatch, order):
     rows = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 2, 5, 40])))) for i in range(60)]
     rows += [(60, None), (61, " \n"), (3, rows[3][1]), (3, rows[3][1]), (None, "a b a b")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_words int").repartition(3)
-    got = backoff_scores(df, order, 0.4, 2).collect()
+    got = backoff_scores(df, order, 0.4, least).collect()
     key = lambda x: (str(x[0]), x[1])
-    for a, b in zip(sorted(((g.doc_id, g.n_words, g.log_score, g.n_backoff) for g in got), key=key), sorted(brute(rows, order, 0.4, 2), key=key), strict=True):
-        assert a[:2] == b[:2] and a[3] == b[3] and math.isclose(a[2], b[2], abs_tol=1e-9)
+    for a, b in zip(sorted(((g.doc_id, g.n_words, g.log_score, g.n_backoff, g.n_once) for g in got), key=key), sorted(brute(rows, order, 0.4, least), key=key), strict=True):
+        assert a[:2] == b[:2] and a[3:] == b[3:] and math.isclose(a[2], b[2], abs_tol=1e-9)
     assert all((g.mean_log is None) == (g.n_words == 0) for g in got)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 256, 257, 1000, 65536])
+def test_parts_of_a_lead(parts):
+    import numpy as np
+
+    h = np.sort(np.random.default_rng(parts).integers(5 << 56, 6 << 56, 3000, dtype=np.uint64))
+    pieces = np.split(h, lm_score.cuts(h, parts))
+    assert len(pieces) == parts
+    for k, own in enumerate(pieces):
+        if len(own):
+            lo, hi = lm_score.seconds_of(k, parts)
+            assert (unpacked(5, *packed(own, lo, hi), lo) == own).all()
+
+
+def test_counts_of_another_block_are_refused():
+    import numpy as np
+
+    with pytest.raises(ValueError, match="counts for a block"):
+        lm_score.spread([np.array([0, 5, 9], np.uint64)], np.array([1]))
+
+
+def test_string_ids(spark):
+    got = backoff_scores(spark.createDataFrame([("x", "a b"), (None, "a")], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.n_once for r in got} == {"x": 1, None: 0}
+
+
 def test_packing_and_empty(spark):
     import numpy as np
 
