@@ -1,7 +1,9 @@
 """Rule bitmask ledger: every quality rule is evaluated once, and policies are bit arithmetic over what it left.
 
 A ledger row holds the measurements and ``failed``, a long whose bit i says that rule i failed.  A policy is a named, versioned set of
-rules; applying it is one bitwise AND, so a new policy or an ablation never reads a text again.  Only DataFrame expressions run here.
+rules; applying it is one bitwise AND over the stored ledger, so a new policy or an ablation never reads a text again.  Only DataFrame
+expressions run here.  Equal windows of words are found by 64-bit hashes: a text of n words has a false repeat with a probability of
+about n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramweave.llm.store import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -55,13 +59,15 @@ def measured(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     taken = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_echo_words", "failed"}
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
-    split = docs.withColumns({
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    split = docs.select(F.struct(*kept).alias("_row"), text.alias("_text"))
+    text = F.col("_text")
+    split = split.withColumns({
         "_words": F.filter(F.split(text, BLANK), lambda w: w != ""),
         "_chars": F.length(F.regexp_replace(text, BLANK, "")),
         "_marks": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
         "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)),
-    })
+    }).drop("_text")
     size = F.size("_words")
     hashed = split.withColumns({
         "_hash": F.transform("_words", lambda w: F.xxhash64(w)),
@@ -81,18 +87,13 @@ def measured(docs: DataFrame) -> DataFrame:
     repeated = paired.withColumn("_at", F.array_sort(F.filter(flagged, lambda p: p.isNotNull()))).drop("_win", "_same")
     covered = F.aggregate(F.zip_with("_at", shift("_at", 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda x, y: x + y)
     out = {"n_words": F.col("_n"), "word_chars": F.col("_chars"), "n_symbols": F.col("_marks"), "n_lines": F.col("_ln"), "n_dup_lines": F.col("_ln") - F.col("_ld"), "n_repeat_words": covered, "n_echo_words": F.col("_echo")}
-    return repeated.withColumns({k: v.cast("long") for k, v in out.items()}).drop("_n", "_chars", "_marks", "_ln", "_ld", "_at", "_echo")
-
+    return repeated.select("_row.*", *(v.cast("long").alias(k) for k, v in out.items()))
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``measured(docs)`` and ``failed``: bit i is set if rule i of RULES failed.
 
-    The last bit, of a row number that never reaches it, makes the column one that filters are not moved below: moved, a filter would
-    measure a text again for every rule.
-    """
+def ledger(docs: DataFrame, without: Sequence[str] = ()) -> DataFrame:
+    """``measured(docs)`` and ``failed``, written to the shared folder but for columns ``without``: bit i is set if rule i of RULES failed."""
     bits = [F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, condition) in enumerate(RULES)]
-    once = F.shiftright(F.monotonically_increasing_id(), 63)
-    return measured(docs).withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), [*bits, once]))
+    return written(measured(docs).withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits)).drop(*without), "ledger")
 
 
 def fails(policy: Policy) -> Column:
@@ -125,19 +126,34 @@ def ablations(entries: DataFrame, policies: Sequence[Policy]) -> DataFrame:
 
 
 def op4_quality_rules(docs: DataFrame) -> DataFrame:
-    out = apply_policy(ledger(docs.select("doc_id", "text")), STANDARD).withColumn("base_failed", fails(BASE))
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept (by STANDARD) and failed of every row of ``docs``
+    (doc_id, text; other columns are ignored).
+
+    A null, empty or blank text has no words and fails few_words alone; repeated rows and null ids are rows like all others; ties
+    cannot arise; whole texts are measured, however long.  No rows give no rows.
+    """
+    out = apply_policy(ledger(docs.select("doc_id", "text"), without=["text"]), STANDARD).withColumn("base_failed", fails(BASE))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+#: Policies whose ablations the registered query counts.
+POLICIES = (BASE, STANDARD, Policy("repeats", 1, ("repeated_windows", "repeated_lines", "stuttering")))
+
+
+def quality_ablations(docs: DataFrame) -> DataFrame:
+    """``ablations`` of POLICIES over the stored ledger of all rows of ``docs`` (doc_id, text); no rows give no rows."""
+    return ablations(ledger(docs.select("text"), without=["text"]), POLICIES)
+
+
 def reject(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """``docs``, all its columns, without the rows that the policy rejects."""
+    """``docs``, all its columns, without the rows that the policy rejects; every row is judged by its own text, null texts as empty."""
     names = list(docs.columns)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text"))
-    return ledger(whole).where(~fails(policy)).select("row.*")
+    return ledger(whole, without=["text"]).where(~fails(policy)).select("row.*")
 
 
 #: Words, lines and windows by DuckDB's lists; the same rules.
-SQL = r"""
+_LEDGER = r"""
 with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 m as (select doc_id, t, ws, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
   length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols,
@@ -147,7 +163,18 @@ dup as (select doc_id, unnest(list_distinct(flatten(list(range(i, i + 5))))) as
 rep as (select doc_id, count(*) as n_repeat_words from dup group by doc_id),
 e as (select doc_id, n_words, word_chars, n_symbols, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
   len(list_filter(range(2, n_words + 1), lambda i: ws[i] = ws[i - 1])) as n_echo_words from m left join rep using (doc_id)),
-b as (select *, n_words < 10 as b0, 100 * n_repeat_words > 20 * n_words as b1, 10 * n_symbols > n_words as b2, 2 * n_dup_lines > n_lines as b3, 100 * n_echo_words > 20 * n_words as b4, word_chars > 40 * n_words as b5 from e)
+b as (select *, n_words < 10 as b0, 100 * n_repeat_words > 20 * n_words as b1, 10 * n_symbols > n_words as b2, 2 * n_dup_lines > n_lines as b3, 100 * n_echo_words > 20 * n_words as b4, word_chars > 40 * n_words as b5 from e)"""
+
+SQL = _LEDGER + r"""
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 or b1 as base_failed, not (b0 or b1 or b2 or b3 or b4 or b5) as kept,
   cast(b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int + 16 * b4::int + 32 * b5::int as bigint) as failed from b
 """
+
+ABLATIONS_SQL = _LEDGER + """,
+f as (select cast(b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int + 16 * b4::int + 32 * b5::int as bigint) as failed from b),
+r(rule, bit) as (values ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('stuttering', 16), ('long_words', 32)),
+p(policy, version, mask) as (values ('base', 1, 3), ('standard', 1, 63), ('repeats', 1, 26))
+select policy, version, rule, cast(count(*) filter (failed & bit <> 0) as bigint) as n_failed, cast(count(*) filter (failed & mask = bit) as bigint) as n_alone,
+  cast(count(*) filter (failed & mask = 0) as bigint) as n_kept, cast(count(*) filter (failed & mask & ~bit = 0) as bigint) as n_kept_without
+from f, p join r on mask & bit <> 0 group by policy, version, rule
+"""

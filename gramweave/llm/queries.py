@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.op4_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ledger.quality_ablations(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op5_sharding(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_decontamination, op4_quality_rules, op5_sharding, op6_toxicity, op7_lm_scoring, op8_warc, op9_html_extraction, op10_bpe)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_decontamination, op4_quality_rules, op5_sharding, op6_toxicity, op7_lm_scoring, op8_warc, op9_html_extraction, op10_bpe, quality_ablations)
 }
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontaminate.SQL, "op4_quality_rules": quality_ledger.SQL, "op5_sharding": sharding.SQL, "op7_lm_scoring": lm_score.SQL, "op8_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontaminate.SQL, "op4_quality_rules": quality_ledger.SQL, "quality_ablations": quality_ledger.ABLATIONS_SQL, "op5_sharding": sharding.SQL, "op7_lm_scoring": lm_score.SQL, "op8_warc": warc.SQL}

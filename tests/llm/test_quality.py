@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 from gramweave.llm.quality_ledger import BASE, STANDARD, Policy, ablations, apply_policy, ledger, measured, op4_quality_rules, reject
 
 
@@ -27,6 +31,30 @@ def test_policies_and_ablations(spark):
     assert got[("lines", "repeated_lines")] == (0, 0, 4, 4)
 
 
+def brute(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    found = Counter(windows)
+    repeated = {j for i, w in enumerate(windows) if found[w] > 1 for j in range(i, i + 5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated), sum(a == b for a, b in zip(words, words[1:], strict=False))
+
+
+def test_against_brute_force(spark):
+    r = random.Random(9)
+    parts = ["a", "b", "Ab", "é", "漢|", "#", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\xa0", "a b c d e "]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.choice([0, 3, 30, 200])))) for i in range(150)] + [(150, None), (151, "x y z " * 180_000)]
+    got = {x.doc_id: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.n_echo_words) for x in measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+
+
+def test_names_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e a b c d e f", 7, 8)], "doc_id long, text string, _words int, _at int")
+    row = measured(df).first()
+    assert (row["_words"], row["_at"], row.n_words, row.n_repeat_words) == (7, 8, 11, 10)
+    assert reject(df, Policy("few", 1, ("few_words",))).collect() == df.collect()
+
+
 def test_reject_keeps_columns(spark):
     rows = [(1, "one two three four five six seven eight nine ten eleven", 3, "f"), (2, "short", 4, "g")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, failed string")
