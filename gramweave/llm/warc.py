@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from gramweave.llm.store import fresh, written
 
-RUN_BYTES, LEAST_REVISIT, RANGE_ROWS = 32 << 20, 1000, 5_000
+RUN_BYTES, LEAST_REVISIT, RANGE_ROWS = 32 << 20, 1000, 20_000
+#: Payloads that more than this part of all copies repeat are looked up by broadcast: there are at most so many.
+HOT = 1000
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 INDEX = "url_key string, captured string, page_id long, file string, offset long, length long"
 
@@ -198,9 +200,20 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     when = F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'") if "captured" in pages.columns else F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", when.alias("captured"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    large = F.octet_length("payload") >= LEAST_REVISIT
-    copies = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
-    placed = rows.join(copies, "digest", "left").withColumn("refers_to", F.when(large & F.coalesce(F.col("page_id") != F.col("response"), F.col("response").isNotNull()), F.col("response")))
+    size = F.octet_length("payload")
+    small = rows.where(size < LEAST_REVISIT).withColumn("response", F.lit(None).cast("long"))
+    large = rows.where(size >= LEAST_REVISIT)
+    copies = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
+    copies = written(copies, "copies")
+    # Small payloads stay where they are.  A payload that more than a HOT-th of all rows repeat is looked up by broadcast, and its rows are
+    # dealt by page for the join of the others, so that no task gets them all.
+    most = max(1000, (copies.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(copies.where(F.col("n") > most).select("digest", F.col("response").alias("hot")))
+    looked = large.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    rest = copies.where(F.col("n") <= most).select(F.col("digest").alias("key"), "response")
+    found = looked.join(rest, "key", "left").select(*rows.columns, F.coalesce("hot", "response").alias("response"))
+    refers = F.when(F.coalesce(F.col("page_id") != F.col("response"), F.col("response").isNotNull()), F.col("response"))
+    placed = small.unionByName(found).withColumn("refers_to", refers)
     spark = pages.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)

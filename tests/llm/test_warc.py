@@ -49,6 +49,15 @@ def test_round_trip(spark, monkeypatch):
     assert order == sorted(order)
 
 
+def test_one_page_in_most_captures(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 1)
+    error, other = "e" * 1200, "o" * 1100
+    rows = [(i, f"http://h/{i}", error if i % 4 else None if i % 8 else other) for i in range(1600)] + [(None, "http://n/", error)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in op8_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    last = {error: 1599, other: 1592, None: None}
+    assert got == {i: ("response", None) if t is None or i == last[t] else ("revisit", last[t]) for i, _, t in rows}
+
+
 def test_own_times_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a/", "x", datetime(2020, 5, 1, 12)), (2, "http://a/", "y", datetime(2019, 5, 1, 12))], "page_id long, url string, html string, captured timestamp")
     folder = f"file://{tmp_path}"
