@@ -1,7 +1,14 @@
+import random
+from collections import Counter
+from math import log1p, log2
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from gramweave.llm import url_filter
 from gramweave.llm.boosting import boost
-from gramweave.llm.url_filter import filter_urls, split_url, with_rule
+from gramweave.llm.url_filter import RULES, filter_urls, lexical, sampled, seed_labels, split_url, statistics, with_rule
 
 CASES = [
     ("https://WWW.Example.com/en/1?x=/y#z", "www.example.com", "/en/1", "www.example.com/en/"),
@@ -28,6 +35,85 @@ def test_parts_and_rules(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), CASES[i]
 
 
+def brute(url):
+    """Host, path and the longest rule that fits, by strings alone."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url[url.index("://") + 3 :]
+        cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+        host, path = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:]
+        path = path[: next((i for i, c in enumerate(path) if c in "?#"), len(path))]
+    fit = [(len(h), len(p), h + p, v) for v, h, p in RULES if (host == h or host[-len(h) - 1 :] == "." + h) and path[: len(p)] == p]
+    return host, path, *(max(fit)[2:] if fit else (None, None))
+
+
+def urls(n):
+    r = random.Random(8)
+    hosts = ["com", "example.com", "WWW.example.COM", "a.www.example.com", "net", "x.net", "internet", "org.", "É.com", ""]
+    paths = ["", "/", "/en/", "/en", "/es/", "/fr/x", "/EN/", "//en/", "/es/\n", "/x?/en/", "?q=/fr/", "#/es/"]
+    return [(i, r.choice(["http://", "https://", "HTTP://", "", "://", "a://b://"]) + r.choice(hosts) + r.choice(paths) + r.choice(["", "1", "?a=1&&b", "#t"])) for i in range(n)] + [(n, None), (n + 1, "")]
+
+
+def test_rules_against_brute_force(spark):
+    rows = urls(600)
+    got = {r.page_id: (r.host, r.path, r.rule, r.rule_verdict) for r in with_rule(split_url(spark.createDataFrame(rows, "page_id long, url string"))).collect()}
+    assert got == {i: brute(u) for i, u in rows}
+
+
+def test_lexical_features(spark):
+    rows = urls(200)
+    df = split_url(spark.createDataFrame(rows, "page_id long, url string"))
+    parts = lexical(F.col("url"), F.col("host"), F.col("path"))
+    got = {r.page_id: r for r in df.select("page_id", *(c.cast("double").alias(k) for k, c in parts.items())).collect()}
+    for i, u in rows:
+        host, path, *_ = brute(u)
+        u = u or ""
+        query = u.partition("#")[0].partition("?")[2]
+        counts = Counter(u).values()
+        want = {
+            "url_length": len(u), "path_length": len(path), "depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in u) / max(1, len(u)), "entropy": -sum(c / len(u) * log2(c / len(u)) for c in counts),
+            "parameters": len([p for p in query.split("&") if p]), "query_length": len(query), "host_labels": len(host.split(".")), "slash_end": path.endswith("/"), "dot_in_last": "." in path.rpartition("/")[2], "fragment": "#" in u,
+        }
+        for k, v in want.items():
+            assert got[i][k] == pytest.approx(float(v)), (u, k)
+
+
+def test_suffix_statistics_leave_out_the_fold(spark):
+    known = spark.createDataFrame([("a", 0, 1), ("a", 0, 1), ("a", 1, 0), ("b", 2, 1)], "suffix string, fold int, label int")
+    every = spark.createDataFrame([("a",)] * 3 + [("b",), ("c",)], "suffix string")
+    got = {(r.suffix, r.fold): (r.suffix_log, r.suffix_known, r.suffix_rate) for r in statistics(every, known).collect()}
+    want = {("a", None): (3, 3, 3 / 5), ("a", 0): (3, 1, 1 / 3), ("a", 1): (3, 2, 3 / 4), ("b", None): (1, 1, 2 / 3), ("b", 2): (1, 0, 1 / 2), ("c", None): (1, 0, 1 / 2)}
+    assert got == {k: pytest.approx((log1p(a), log1p(b), c)) for k, (a, b, c) in want.items()}
+
+
+def test_sample_is_bounded_and_distinct(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "TRAIN_ROWS", 100)
+    known = spark.createDataFrame([(f"u{i % 700}", "h", "p", "s", 0, i % 2) for i in range(1400)] + [("hot", "h", "p", "s", 0, 1)] * 500, "url string, host string, path string, suffix string, fold int, label int")
+    got = [r.url for r in sampled(known).collect()]
+    assert len(got) == len(set(got)) == 100
+
+
+def test_unseen_hosts_of_pages(spark):
+    """Held-out accuracy: the hosts of one fold after the other are not fitted on."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    labels = seed_labels(pages).distinct().collect()
+    host = lambda u: u.split("/")[2]
+    hosts = sorted({host(r.url) for r in labels if r.label}) + sorted({host(r.url) for r in labels if not r.label})
+    wrong = total = caught = bad = 0
+    for k in range(3):
+        out = set(hosts[k::3])
+        fitted = spark.createDataFrame([(r.url, r.label) for r in labels if host(r.url) not in out], "url string, label int")
+        score = {r.page_id: r.block_score for r in filter_urls(pages, fitted, rules=()).collect()}
+        truth = {r.url: r.label for r in labels}
+        for r in pages.collect():
+            if host(r.url) in out:
+                total += 1
+                wrong += (score[r.page_id] >= 0.5) != truth[r.url]
+                bad += truth[r.url]
+                caught += truth[r.url] and score[r.page_id] >= 0.5
+    assert total == pages.count() and bad and wrong / total < 0.05 and caught / bad > 0.5, (wrong, total, caught, bad)
+
+
 def test_verdicts(spark):
     df = spark.createDataFrame([(i, c[0], "clash") for i, c in enumerate(CASES)] + [(None, "http://q.org/a", ""), (3, CASES[3][0], "")], "page_id long, url string, verdict string")
     got = filter_urls(df).collect()
