@@ -1,10 +1,13 @@
 """Main text of web pages by tree scoring.
 
-A page's tags are read once into a tree of block containers.  Paragraph blocks give points for length and commas to their container
-and half as many to the one above; a container's points are discounted by its link density.  Of article and main elements the best is kept
-with those of its siblings that score alike.  A page without them keeps every block, short or long, wherever it stands, but those that are
-mostly links in a container that is mostly links.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-never enter the tree; a class or id marks one only if it does not hold most of the page's text.
+A page's tags are read once into a tree of block containers, in time linear in its length.  Paragraph blocks give points for length and
+commas to their container, and half of what a container has goes on to the one above, up to the root; a container's value is its points
+discounted by its link density, by class words that speak against it, and doubled for article and main.  The best container is kept with
+its siblings: in an article or main (its shell), all text of the shell, and those siblings of the shell that score a fifth of it; elsewhere, level by level up to the root,
+all siblings that hold a block of their own text.  Blocks that are mostly links in a container that is mostly links are left out.
+
+Menus, headers, footers, sidebars, notices, forms, scripts and styles never enter the tree.  A class or id that marks an advert or the like
+takes its container out only if that does not hold most of the page's text.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "head", "title", "template", "iframe", "svg", "button", "select", "textarea", "input", "menu", "dialog", "object", "canvas", "math", "noembed", "noframes", "xmp", "map", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -47,24 +50,47 @@ class Linked(str):
 
 
 class Box:
-    """A container: its blocks and inner containers in page order."""
-
-    __slots__ = ("tag", "parent", "parts", "points", "chars", "linked", "depth")
-
-    def __init__(self, tag: str, parent: Box | None):
-        self.tag, self.parent, self.parts, self.points, self.chars, self.linked = tag, parent, [], 0.0, 0, 0
-        self.depth = parent.depth + 1 if parent else 0
-
-    def blocks(self) -> Iterator[str]:
-        stack = [iter(self.parts)]
-        while stack:
-            for part in stack[-1]:
-                if isinstance(part, Box):
-                    stack.append(iter(part.parts))
-                    break
-                yield part
-            else:
-                stack.pop()
+    """A container: its blocks and inner containers in page order; ``held`` counts the characters in it, ``articles`` the article and main
+    elements in it, and size, linked, points and raw (points without the halving) leave out what is marked."""
+
+    __slots__ = ("tag", "parent", "parts", "marks", "held", "articles", "out", "size", "linked", "points", "raw")
+
+    def __init__(self, tag: str, parent: Box | None, marks: frozenset[str] | set[str] = frozenset()):
+        self.tag, self.parent, self.marks, self.parts = tag, parent, marks, []
+        self.held = self.articles = self.size = self.linked = 0
+        self.points = self.raw = 0.0
+        self.out = False
+
+    def add(self, block: str, linked: int) -> None:
+        n = len(block)
+        self.parts.append(Linked(block) if 2 * linked > n else block)
+        points = (1 + block.count(",") + min(n / 100, 3)) * (1 - linked / n)
+        self.held, self.size, self.linked, self.points, self.raw = self.held + n, self.size + n, self.linked + linked, self.points + points, self.raw + points
+
+    @property
+    def is_shell(self) -> bool:
+        return self.tag in ("article", "main")
+
+    @property
+    def value(self) -> float:
+        if not self.size:
+            return 0.0
+        return self.points * (1 - self.linked / self.size) * (2 if self.is_shell else 1) * (0.5 if self.marks else 1)
+
+
+def weigh(boxes: list[Box]) -> None:
+    """Sums over the containers, listed from the root down: all that they hold, who is out, and then points of what is in."""
+    for b in reversed(boxes[1:]):
+        b.parent.held += b.held
+        b.parent.articles += b.articles + b.is_shell
+    held, articles = boxes[0].held, boxes[0].articles
+    for b in boxes[1:]:
+        most = 2 * b.held > held and (not articles or (b.articles + b.is_shell and not b.marks & READERS))
+        b.out = b.parent.out or bool(b.marks and not most)
+    for b in reversed(boxes[1:]):
+        if not b.out:
+            up = b.parent
+            up.size, up.linked, up.points, up.raw = up.size + b.size, up.linked + b.linked, up.points + b.points / 2, up.raw + b.raw
 
 
 def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -119,53 +145,79 @@ def extents(page: str) -> tuple[dict[int, tuple[int, bool]], int, bool]:
     return held, chars, articles > 0
 
 
-def tree(page: str) -> Box:
-    """The page's containers and blocks.  Unclosed elements end with their container, stray ends are passed over."""
-    root = Box("html", None)
-    box, open_tags = root, []  # open_tags: (tag, box before it, the block text gathered before it)
+class Open:
+    """The open elements.  Places of each tag, of blocks and containers and of containers alone are kept apart, so no question walks the stack."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, Box] | None] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []
+        self.boxes: list[int] = []
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, box: Box) -> None:
+        k = len(self.tags)
+        self.tags.append((tag, box))
+        self.places.setdefault(tag, []).append(k)
+        if tag in CONTAINERS or tag in BLOCKS:
+            self.solid.append(k)
+        if tag in CONTAINERS:
+            self.boxes.append(k)
+
+    def pop(self) -> tuple[str, Box] | None:
+        """Takes the last place off; None if its element has ended before."""
+        k, item = len(self.tags) - 1, self.tags.pop()
+        if item:
+            self.places[item[0]].pop()
+            for kept in (self.solid, self.boxes):
+                if kept and kept[-1] == k:
+                    kept.pop()
+        return item
+
+    def end(self, k: int) -> None:
+        """Ends an element inside others that stay open: its place becomes empty."""
+        if k == len(self.tags) - 1:
+            self.pop()
+        else:
+            self.places[self.tags[k][0]].pop()
+            self.tags[k] = None
+
+
+def tree(page: str) -> list[Box]:
+    """The page's containers, from the root on in page order.  Unclosed elements end with their container, stray ends are passed over."""
+    box = Box("html", None)
+    boxes, opened = [box], Open()
     text: list[str] = []
-    links, in_link = 0, 0
+    links, in_link, in_article = 0, 0, 0
     at, size = 0, len(page)
     known = None
 
-    def left_out(tag: str, attributes: str, in_article: bool) -> bool:
-        """By class or id, but not what holds more than half of the page's text; where articles decide, that must hold one and not be the readers'."""
+    def left_out(marks: set[str]) -> bool:
+        """Marked elements within a block go at once, by the rule of ``weigh``."""
         nonlocal known
-        words = marked(tag, attributes, in_article)
-        if not words:
-            return False
         known = known or extents(page)
-        held, chars, articles = known
-        own, holds_article = held.get(at, (0, False))
-        return not (own * 2 > chars and (not articles or (holds_article and not words & READERS)))
+        own, holds_article = known[0].get(at, (0, False))
+        return not (2 * own > known[1] and (not known[2] or (holds_article and not marks & READERS)))
 
     def flush() -> None:
         nonlocal text, links
         if text:
             block = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if block:
-                n, linked = len(block), min(links, len(block))
-                box.parts.append(Linked(block) if 2 * linked > n else block)
-                points = 1 + block.count(",") + min(n / 100, 3)
-                share = linked / n
-                box.points += points * (1 - share)
-                if box.parent:
-                    box.parent.points += points * (1 - share) / 2
-                up = box
-                while up:
-                    up.chars += n
-                    up.linked += linked
-                    up = up.parent
+                box.add(block, min(links, len(block)))
             text, links = [], 0
 
     def close(k: int) -> None:
-        """Ends open_tags[k] and all that are open inside it."""
-        nonlocal box, in_link
+        """Ends the k-th open element and all that are open inside it."""
+        nonlocal box, in_link, in_article
         flush()
-        for tag, _ in open_tags[k:]:
-            in_link -= tag == "a"
-        box = open_tags[k][1]
-        del open_tags[k:]
+        while len(opened.tags) > k:
+            if item := opened.pop():
+                box = item[1]
+                in_link -= item[0] == "a"
+                in_article -= item[0] in ("article", "main")
 
     while at < size:
         m = TAG.search(page, at)
@@ -181,19 +233,18 @@ def tree(page: str) -> Box:
         if not tag:
             continue
         if m[1]:
-            k = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag), None)
-            if k is not None:
+            k = opened.last(tag)
+            if k >= 0:
                 if tag in BLOCKS or tag in CONTAINERS:
                     close(k)
-                elif not any(t in BLOCKS or t in CONTAINERS for t, _ in open_tags[k + 1 :]):
+                elif not opened.solid or opened.solid[-1] < k:
                     in_link -= tag == "a"
-                    del open_tags[k]
+                    opened.end(k)
             continue
         if tag == "br":
             text.append(" ")
             continue
-        in_article = any(b == "article" or b == "main" for b, _ in open_tags)
-        if unwanted(tag, m[3], in_article) or left_out(tag, m[3], in_article):
+        if unwanted(tag, m[3], in_article > 0):
             if tag in BLOCKS or tag in CONTAINERS:
                 flush()
             at = past(page, at, tag, m[0].endswith("/>"))
@@ -203,31 +254,34 @@ def tree(page: str) -> Box:
                 flush()
             continue
         if tag in CLOSES_P:
-            k = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == "p"), None)
-            if k is not None and not any(t in CONTAINERS for t, _ in open_tags[k + 1 :]):
+            k = opened.last("p")
+            if k >= 0 and (not opened.boxes or opened.boxes[-1] < k):
                 close(k)
         if tag in ("li", "tr", "td", "th", "dt", "dd"):
-            same = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}
-            scope = {"tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}.get(tag, {"ul", "ol", "dl"})
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] in scope:
-                    break
-                if open_tags[i][0] in same:
-                    close(i)
-                    break
-        if tag in BLOCKS:
-            flush()
-            open_tags.append((tag, box))
-        elif tag in CONTAINERS:
-            flush()
-            open_tags.append((tag, box))
-            box = Box(tag, box)
-            box.parent.parts.append(box)
+            same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+            scope = {"tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ("ul", "ol", "dl"))
+            k = opened.last(*same)
+            if k > opened.last(*scope):
+                close(k)
+        marks = marked(tag, m[3], in_article > 0)
+        if tag not in BLOCKS and tag not in CONTAINERS:
+            if marks and left_out(marks):
+                at = past(page, at, tag, m[0].endswith("/>"))
+            else:
+                opened.push(tag, box)
+                in_link += tag == "a"
         else:
-            in_link += tag == "a"
-            open_tags.append((tag, box))
+            flush()
+            opened.push(tag, box)
+            in_article += tag in ("article", "main")
+            # A marked block is a container of its own, so that it can be taken out.
+            if tag in CONTAINERS or marks:
+                inner = Box(tag, box, marks)
+                box.parts.append(inner)
+                boxes.append(inner)
+                box = inner
     flush()
-    return root
+    return boxes
 
 
 def past(page: str, at: int, tag: str, closed: bool) -> int:
@@ -254,43 +308,46 @@ def past(page: str, at: int, tag: str, closed: bool) -> int:
             at = past(page, at, inner, False)
 
 
-def unlinked(root: Box) -> Iterator[str]:
-    """Every block but those that are mostly links in a container that is mostly links, and containers of one letter or sign."""
-    stack = [(root, iter(root.parts))]
+def blocks(box: Box, menus: bool = False) -> Iterator[str]:
+    """The blocks in a container without those that are out and, but with ``menus``, those that are mostly links in a container that is
+    mostly links, and containers of one letter or sign."""
+    stack = [(box, iter(box.parts))]
     while stack:
         box, parts = stack[-1]
         for part in parts:
             if isinstance(part, Box):
-                if part.chars > 1 or any(x.isalnum() and not (x.isascii() and x.isalpha()) for x in part.blocks()):
+                if not part.out and (menus or part.size > 1 or any(x.isalnum() and not (x.isascii() and x.isalpha()) for x in part.parts if isinstance(x, str))):
                     stack.append((part, iter(part.parts)))
                     break
-            elif not (isinstance(part, Linked) and 2 * box.linked > box.chars):
+            elif menus or not (isinstance(part, Linked) and 2 * box.linked > box.size):
                 yield part
         else:
             stack.pop()
 
 
 def main_text(page: str | None) -> str:
-    """The best article's or main element's blocks, and those of its siblings that score a fifth of it or more; without such elements all
-    blocks outside link lists, and all there are if there is nothing else.  Joined by line ends."""
-    root = tree(page or "")
-    boxes, stack = [], [root]
-    while stack:
-        b = stack.pop()
-        boxes.append(b)
-        stack.extend(reversed([p for p in b.parts if isinstance(p, Box)]))
-    if not root.chars:
+    """The blocks of the best container and its siblings, joined by line ends; all there are outside marked containers if that is nothing."""
+    boxes = tree(page or "")
+    weigh(boxes)
+    root = boxes[0]
+    if not root.size:
         return ""
-    value = lambda b: b.points * (1 - b.linked / b.chars) if b.chars else 0.0
-    whole = [b for b in boxes if b.tag in ("article", "main") and b.chars]
-    if not whole:
-        return "\n".join(list(unlinked(root)) or root.blocks())
-    best = max(whole, key=value)
-    top, out = value(best), []
-    for part in best.parent.parts:
-        if part is best or (isinstance(part, Box) and part.chars and value(part) >= max(2.0, 0.2 * top) and part.linked < 0.3 * part.chars):
-            out.extend(part.blocks())
-        elif isinstance(part, str) and best.parent.tag not in ("html", "body") and len(part) > 80:
+    best = max((b for b in boxes if not b.out and b.size), key=lambda b: b.value)
+    shell, up = None, best
+    while up:
+        if up.is_shell:
+            shell = up
+        up = up.parent
+    if shell is None or shell.parent is None:
+        return "\n".join(list(blocks(root)) or blocks(root, menus=True))
+    out: list[str] = []
+    for part in shell.parent.parts:
+        if part is shell:
+            out.extend(list(blocks(shell)) or blocks(shell, menus=True))
+        elif isinstance(part, Box):
+            if not part.out and part.size and part.value >= max(2.0, 0.2 * shell.value) and part.linked < 0.3 * part.size:
+                out.extend(blocks(part))
+        elif shell.parent.tag not in ("html", "body") and not isinstance(part, Linked):
             out.append(part)
     return "\n".join(out)
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 from gramweave.llm.html_extract import main_text, op9_html_extraction
 
 LONG = "A sentence of some length, with commas, that fills the paragraph well enough. " * 3
@@ -39,6 +42,118 @@ def test_class_words_do_not_remove_the_text():
     assert main_text('<div class="ad">' * 3000 + "deep") == "deep"
 
 
+def test_marked_words_within_a_block():
+    assert main_text(f'<article><p>{LONG}One <span class="share">Tweet</span> two <a class="related" href="/">More</a>three.</p></article>') == f"{LONG}One two three."
+    assert main_text(f'<body><span class="header">{LONG}</span></body>') == LONG.strip()
+    assert main_text(f'<div class="with-sidebar"><p>{LONG}</p></div>') == LONG.strip() == main_text(f'<div class="sidebar"><p>{LONG}</p></div>')
+
+
+def brute(node, root):
+    """The scoring over a tree of (tag, class, children), children being nodes or (text, linked) blocks; walks all descendants every time."""
+
+    def inside(n):
+        yield n
+        for c in n[2]:
+            if len(c) == 3:
+                yield from inside(c)
+
+    def texts(n):
+        return [b for x in inside(n) for b in x[2] if len(b) == 2]
+
+    def shells(n):
+        return [x for x in inside(n) if x[0] == "article"]
+
+    def marked(n):
+        return n[1] == "ad" or (n[1] == "sidebar" and n[0] != "article")
+
+    total = sum(len(t) for t, _ in texts(root))
+    parents = {id(c): n for n in inside(root) for c in n[2] if len(c) == 3}
+
+    def out(n):
+        if n is root:
+            return False
+        most = 2 * sum(len(t) for t, _ in texts(n)) > total and (not shells(root) or (shells(n) and n[1] != "ad"))
+        return out(parents[id(n)]) or (marked(n) and not most)
+
+    def kept(n):
+        return [b for x in inside(n) if not out(x) for b in x[2] if len(b) == 2]
+
+    def density(n):
+        size = sum(len(t) for t, _ in kept(n))
+        return sum(len(t) for t, linked in kept(n) if linked) / size if size else 0
+
+    def points(n):
+        own = sum(1 + t.count(",") + min(len(t) / 100, 3) for t, linked in (b for b in n[2] if len(b) == 2) if not linked)
+        return own + sum(points(c) / 2 for c in n[2] if len(c) == 3 and not out(c))
+
+    def value(n):
+        return points(n) * (1 - density(n)) * (2 if n[0] == "article" else 1) * (0.5 if marked(n) else 1)
+
+    def emit(n, menus=False):
+        got = []
+        for c in n[2]:
+            if len(c) == 2:
+                if menus or not (c[1] and density(n) > 0.5):
+                    got.append(c[0])
+            elif not out(c) and (menus or sum(len(t) for t, _ in kept(c)) > 1):
+                got += emit(c, menus)
+        return got
+
+    candidates = [n for n in inside(root) if not out(n) and kept(n)]
+    if not candidates:
+        return ""
+    best = max(candidates, key=value)
+    shell, up = None, best
+    while up is not None:
+        shell = up if up[0] == "article" else shell
+        up = parents.get(id(up))
+    if shell is None:
+        return "\n".join(emit(root) or emit(root, True))
+    got = []
+    for c in parents[id(shell)][2]:
+        if c is shell:
+            got += emit(shell) or emit(shell, True)
+        elif len(c) == 3:
+            if not out(c) and kept(c) and value(c) >= max(2.0, 0.2 * value(shell)) and density(c) < 0.3:
+                got += emit(c)
+        elif parents[id(shell)] is not root and not c[1]:
+            got.append(c[0])
+    return "\n".join(got)
+
+
+def test_scoring_against_brute_force():
+    r = random.Random(6)
+
+    def grow(depth):
+        tag = r.choice(["div", "div", "section", "article"])
+        parts = []
+        for _ in range(r.choice([1, 2, 4])):
+            if depth and r.random() < 0.5:
+                parts.append(grow(depth - 1))
+            else:
+                words = " ".join(r.choice(["one", "two,", "three", "fourteen"]) for _ in range(r.choice([1, 5, 40, 90])))
+                parts.append((words, r.random() < 0.2))
+        return tag, r.choice(["", "", "", "ad", "sidebar", "x"]), parts
+
+    def show(n):
+        inner = "".join(show(c) if len(c) == 3 else f"<p>{f'<a>{c[0]}</a>' if c[1] else c[0]}</p>" for c in n[2])
+        return f'<{n[0]} class="{n[1]}">{inner}</{n[0]}>'
+
+    for _ in range(600):
+        body = [grow(3) for _ in range(r.choice([1, 2, 3]))]
+        if r.random() < 0.3:
+            body.insert(1, ("loose text, here", r.random() < 0.3))
+        root = ("body", "", body)
+        assert main_text("".join(show(c) if len(c) == 3 else f"<p>{f'<a>{c[0]}</a>' if c[1] else c[0]}</p>" for c in body)) == brute(root, root)
+
+
+def test_time_grows_with_the_page():
+    for piece in ("<div><p>x</p>", "<b>x", '<div class="ad">x', "<ul><li>a", "<table><tr><td>x", "<b><i></b>", '<span class="ad">x'):
+        started = time.process_time()
+        main_text(piece * 100_000)
+        assert time.process_time() - started < 10, piece
+
+
 def test_odd_pages():
     for page in (None, "", "   ", "<", "<p", "<!-- open", "<script>x", "<nav>a", "</p></div>", "<a<b>", "<p class='"):
         assert isinstance(main_text(page), str)
