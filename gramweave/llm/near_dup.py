@@ -2,18 +2,20 @@
 
 1. Every text gives its set of word shingles: size, an order-free 128-bit digest, hashes of its MinHash bands, and a signature.  Equal
    sets collapse to one node (the least doc_id), so exact copies never reach the pair stages.
-2. Band hashes are buckets.  Every member is paired with the leaders of its buckets, and of these with the TRIES that it shares most
-   buckets with: a bounded number of pairs for each node, however many copies a bucket holds.  Links found make components.
+2. Band hashes are buckets, found by one sort.  Every member is paired with the leaders of its buckets, and of these with the TRIES that it
+   shares most buckets with: a bounded number of pairs for each node, however many copies a bucket holds.  Links found make components.
 3. Pairs are compared in batches of signature positions.  After each batch a pair is dropped if the posterior probability that its
    similarity reaches the threshold, given the matches so far, is below ``MISS``.
-4. Survivors are verified on the full shingle sets of the whole texts, streamed behind their leader's text in blocks.
+4. Survivors are verified on the full shingle sets of the whole texts, streamed behind their leader's in blocks.
 5. By then most buckets lie in one component.  In the others, the members outside the bucket's largest component are compared with all
-   members of other components, so no link between texts that share a bucket is lost.  Signatures and whole shingle sets go to cells of
-   two blocks of bounded size for that; steps 3 and 4 run inside a cell, in the first bucket that a pair shares, and only a spanning
-   forest of the links found comes out: the output grows with the members, though the CPU time of a group whose members are near the
-   threshold and not linked grows with its square.
-
-Banding misses a pair at the threshold with probability (1 - t**ROWS)**BANDS: 2e-6 with the defaults.
+   members of other components, so no link between texts that share a bucket is lost, in cells of two blocks of bounded size.  A first pass
+   over sizes and band hashes alone finds which members have anything to compare there; theirs are the signatures and whole shingle sets
+   that go to the cells.  Steps 3 and 4 run inside a cell, in the first bucket that a pair shares, and only a spanning forest of the links
+   found comes out: the output grows with the members, though the CPU time of a group whose members are near the threshold and not linked
+   grows with its square.
+
+Banding misses a pair at the threshold with probability (1 - t**ROWS)**BANDS: 2e-6 with the defaults.  Joins on hot keys (a digest, a
+leader, a component) are left to adaptive skew joins but for the digest, which is looked up by broadcast.
 """
 
 from __future__ import annotations
@@ -24,17 +26,19 @@ from math import lgamma, log, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gramweave.llm.components import connected_components
-from gramweave.llm.store import written
+from gramweave.llm.store import dropped, written
 from gramweave.llm.textkernel import mix, shingle_hashes, space_table, words
 
 BANDS, ROWS, POSITIONS, BATCH, MISS, BLOCK = 56, 7, 392, 56, 1e-6, 256
 #: Digests with more than this part of all rows are joined by broadcast: there are at most so many.
 HOT = 1000
+#: Ids (of 8 bytes) that are broadcast at most.
+LOOKED_UP = 2_000_000
 #: Bytes of sets, signatures and band hashes in a block of a bucket's members.
 CELL_BYTES = 8 << 20
 #: Leaders that a member is paired with: those it shares most buckets with.  Step 5 compares what this leaves open.
@@ -106,17 +110,33 @@ def screen(left: np.ndarray, right: np.ndarray, percent: int, miss: float = MISS
     return alive
 
 
-def _screen(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, n) come sorted; those of keys with two members or more go on with the key's first id, the leader."""
+    last: np.ndarray | None = None  # the row before: key, id, n, its key's first id, and whether it is still to be emitted
     for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
-            left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(part.num_rows, -1) for c in ("left", "right"))
-            alive = screen(left, right, percent)
-            yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(alive)) for c in ("a", "b")], ["a", "b"])
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        if not rows.shape[1]:
+            continue
+        key, first = rows[0], rows[1].copy()
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first = np.repeat(rows[1][begin], np.diff(np.r_[begin, len(key)]))
+        keep = np.zeros(len(key), bool)
+        keep[1:] = key[1:] == key[:-1]
+        keep[:-1] |= keep[1:]
+        more: list[np.ndarray] = []
+        if last is not None and last[0] == key[0]:
+            first[: begin[1] if len(begin) > 1 else len(key)] = last[3]
+            keep[0] = True
+            if last[4]:
+                more.append(last[:4, None])
+        more.append(np.stack([key, rows[1], rows[2], first])[:, keep])
+        last = np.array([key[-1], rows[1][-1], rows[2][-1], first[-1], not keep[-1]])
+        key, ids, n, lead = np.concatenate(more, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, n, lead)], ["key", "id", "n", "leader"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The sorted shingle hashes of each text as bytes; other columns stay."""
+    """The sorted shingle hashes of each text as bytes, and the lower halves of its band hashes; other columns stay."""
     table = space_table()
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
@@ -124,8 +144,65 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             for part in words(piece.column("text"), table):
                 hashes = part.hashes()
                 out += [np.unique(shingle_hashes(hashes[part.first[d] : part.first[d + 1]], shingle)).tobytes() for d in range(part.docs)]
-            keep = [c for c in piece.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "set"])
+            half = [np.array(x, np.int64).astype(np.uint32).tobytes() for x in piece.column("bands").to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("signature"), pa.array(half, pa.binary()), pa.array(out, pa.binary())], ["id", "signature", "packed", "set"])
+
+
+def first_shared(mine: np.ndarray, others: np.ndarray, key: int) -> np.ndarray:
+    """Whether the bucket ``key`` is the first that a member shares with each of others, by the lower halves of their band hashes.
+
+    Two different hashes of a band agree in 32 bits with a probability of 2e-10, far below MISS.
+    """
+    return mine[(others == mine).argmax(axis=1)] == np.uint32(key & 0xFFFFFFFF)
+
+
+def near(sizes: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Sets of which one has less than ``percent`` of the other's size can't reach that similarity."""
+    return 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+
+
+def _live(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows as for ``_cells``, with the set's size in place of signature and set; those that have a member to be compared with go on."""
+    at, ids, parts, sizes, bands, on = None, [], [], [], [], []
+    left: tuple[np.ndarray, ...] | None = None
+    out: list[tuple] = []
+
+    def meet(part: int, n: int, packed: bytes, among: int) -> bool:
+        nonlocal left
+        if left is None:
+            left = np.array(parts), np.array(sizes), np.frombuffer(b"".join(bands), np.uint32).reshape(len(ids), -1)
+        some = np.flatnonzero((left[0][:among] != part) & near(left[1][:among], n, percent))
+        if len(some):
+            some = some[first_shared(np.frombuffer(packed, np.uint32), left[2][some], at[0])]
+        for i in some:
+            on[i] = True
+        return len(some) > 0
+
+    def ended() -> None:
+        if ids and at[1] == at[2]:
+            for t in range(len(ids)):
+                on[t] |= meet(parts[t], sizes[t], bands[t], t)
+        out.extend((*at, 0, ids[t], parts[t]) for t in range(len(ids)) if on[t])
+
+    def rows() -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * 6
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "i", "j", "role", "id", "part"])
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for key, i, j, role, member, part, n, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "role", "id", "part", "n", "packed")), strict=True):
+            if (key, i, j) != at:
+                ended()
+                at, ids, parts, sizes, bands, on, left = (key, i, j), [], [], [], [], [], None
+            if role == 0:
+                for kept, v in zip((ids, parts, sizes, bands, on), (member, part, n, packed, False), strict=True):
+                    kept.append(v)
+            elif ids and meet(part, n, packed, len(ids)):
+                out.append((key, i, j, 1, member, part))
+        yield rows()
+    ended()
+    yield rows()
 
 
 class Cell:
@@ -134,7 +211,7 @@ class Cell:
     def __init__(self, key: int, ids: list[int], parts: list[int], signatures: list[bytes], bands: list[bytes], sets: list[bytes]):
         self.key, self.ids, self.parts = key, np.array(ids, np.int64), np.array(parts, np.int64)
         self.signatures = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(ids), -1)
-        self.bands = np.frombuffer(b"".join(bands), ">i8").astype(np.int64).reshape(len(ids), -1)
+        self.bands = np.frombuffer(b"".join(bands), np.uint32).reshape(len(ids), -1)
         self.sizes = np.array([len(s) // 8 for s in sets], np.int64)
         self.ends = np.r_[0, np.cumsum(self.sizes)]
         self.vocabulary, self.places = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
@@ -152,11 +229,9 @@ class Cell:
         A pair that shares several buckets is compared in the first of them alone.
         """
         own, n = self.component(part), len(shingles) // 8
-        sizes = self.sizes[:among]
-        some = np.flatnonzero((self.parts[:among] != own) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-        if len(some):
-            mine = np.frombuffer(bands, ">i8").astype(np.int64)
-            some = some[mine[(self.bands[some] == mine).argmax(axis=1)] == self.key]
+        some = np.flatnonzero((self.parts[:among] != own) & near(self.sizes[:among], n, percent))
+        if len(some) and bands is not None:
+            some = some[first_shared(np.frombuffer(bands, np.uint32), self.bands[some], self.key)]
         if len(some):
             some = some[screen(np.frombuffer(signature, np.uint16)[None, :], self.signatures[some], percent)]
         if not len(some):
@@ -213,61 +288,43 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (a, block, role): a block's first row is the leader's text, the others are compared with it."""
-    table, at, leader = space_table(), None, np.zeros(0, np.uint64)
+def _star(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (a, block, role): a block's first row is the leader's, the others are screened and then compared with it."""
+    at, signature, leader = None, np.zeros(0, np.uint16), np.zeros(0, np.uint64)
     for batch in batches:
-        a, block, role, ids = (batch.column(c).to_pylist() for c in ("a", "block", "role", "id"))
-        kept = []
-        for part in words(batch.column("text"), table):
-            hashes = part.hashes()
-            for d in range(part.docs):
-                i = part.lo + d
-                found = np.unique(shingle_hashes(hashes[part.first[d] : part.first[d + 1]], shingle))
-                if role[i] == 0:
-                    at, leader = (a[i], block[i]), found
+        for lo in range(0, batch.num_rows, 1024):
+            piece, kept = batch.slice(lo, 1024), []
+            for i, (a, block, role, own, shingles) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("a", "block", "role", "signature", "set")), strict=True)):
+                signs, found = np.frombuffer(own, np.uint16), np.frombuffer(shingles, np.uint64)
+                if role == 0:
+                    at, signature, leader = (a, block), signs, found
                     continue
-                if at != (a[i], block[i]):
-                    raise ValueError(f"no text of document {a[i]} before its block's members")
-                both = len(np.intersect1d(leader, found, assume_unique=True))
-                if 100 * both >= percent * (len(leader) + len(found) - both):
-                    kept.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "id")], ["a", "b"])
-
-
-def near_sizes(x: str, y: str, percent: int) -> Column:
-    """Sets of which one has less than ``percent`` of the other's size can't reach that similarity."""
-    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold: screened by signature, then verified on the texts."""
-    sig = nodes.select("id", "n", "signature")
-    joined = pairs.join(sig.toDF("a", "a_n", "left"), "a").join(sig.toDF("b", "b_n", "right"), "b").where(near_sizes("a_n", "b_n", percent)).select("a", "b", "left", "right")
-    return _verified(written(joined.mapInArrow(partial(_screen, percent=percent), "a long, b long"), "screened"), texts, shingle, percent)
-
-
-def _verified(alive: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs come as (leader, member): the leader's text is sent once for each block of its members."""
-    blocks = alive.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = alive.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
+                if at != (a, block):
+                    raise ValueError(f"no set of document {a} before its block's members")
+                if near(np.array([len(leader)]), len(found), percent)[0] and len(screen(signature[None, :], signs[None, :], percent)):
+                    both = len(np.intersect1d(leader, found, assume_unique=True))
+                    if 100 * both >= percent * (len(leader) + len(found) - both):
+                        kept.append(i)
+            yield pa.RecordBatch.from_arrays([piece.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "id")], ["a", "b"])
+
+
+def _links(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (leader a, member b) whose sets reach the threshold; the leader's set is sent once for each block of its members."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
     leaders = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    rows = members.unionByName(leaders).join(texts, "id").select("a", "block", "role", "id", "text")
-    dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id")
-    return written(dealt.mapInArrow(partial(_verify, shingle=shingle, percent=percent), "a long, b long"), "links")
+    sent = rows.unionByName(leaders).join(members.select("id", "signature", "set"), "id").select("a", "block", "role", "id", "signature", "set")
+    dealt = sent.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id")
+    return written(dealt.mapInArrow(partial(_star, percent=percent), "a long, b long"), "links")
 
 
-def _rest(placed: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _rest(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between members of a bucket outside its largest component and members of other components: a spanning forest a cell.
 
     A bucket of more than CELL_BYTES is cut into blocks, those outside the largest component first; a cell is one of these with itself
     or with any later block.  Members stream through a cell's task one by one, so it holds one block.
     """
-    ids = placed.select("id").distinct()
-    members = nodes.join(ids, "id", "left_semi").select("id", "signature", F.col("bands").alias("keys")).join(texts, "id")
-    packed = F.expr("unhex(array_join(transform(keys, x -> lpad(hex(x), 16, '0')), ''))")
-    made = written(members.select("id", "signature", packed.alias("packed"), "text").mapInArrow(partial(_sets, shingle=shingle), "id long, signature binary, packed binary, set binary"), "sets")
-    bytes_ = F.col("n") * 8 + 2 * POSITIONS + 8 * BANDS
+    bytes_ = F.col("n") * 8 + 2 * POSITIONS + 4 * BANDS
     largest = placed.groupBy("key", "part").agg(F.count("*").alias("members"), F.sum(bytes_).alias("size")).groupBy("key").agg(F.max_by(F.struct("part", "size"), F.struct("members", "part")).alias("main"), F.sum("size").alias("size"))
     # A bucket of one block is the cell (0, 0); else blocks 0 to others - 1 hold what is outside the main component.
     cut = lambda size: F.greatest(F.lit(1), F.ceil(size / CELL_BYTES)).cast("int")
@@ -276,9 +333,14 @@ def _rest(placed: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, p
     block = F.when(F.col("whole"), 0).when(outside, hashed % F.col("others")).otherwise(F.col("others") + hashed % F.col("blocks")).cast("int")
     total = F.when(F.col("whole"), 1).otherwise(F.col("others") + F.col("blocks"))
     cells = F.filter(F.transform(F.sequence(F.lit(0), total - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"))), lambda c: F.col("whole") | (c["i"] < F.col("others")))
-    rows = placed.join(plan, "key").withColumn("block", block).select("key", "id", "part", "block", F.inline(cells)).withColumn("role", (F.col("block") != F.col("i")).cast("int"))
-    dealt = rows.join(made, "id").select("key", "i", "j", "role", "id", "part", "signature", "packed", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
-    return written(dealt.mapInArrow(partial(_cells, percent=percent), "a long, b long").distinct(), "rest")
+    rows = placed.join(plan, "key").withColumn("block", block).select("key", "id", "n", "part", "block", F.inline(cells)).withColumn("role", (F.col("block") != F.col("i")).cast("int"))
+    order = ("key", "i", "j", "role")
+    first = rows.join(members.select("id", "packed"), "id").select(*order, "id", "part", "n", "packed").repartition("key", "i", "j").sortWithinPartitions(*order, "id")
+    live = written(first.mapInArrow(partial(_live, percent=percent), "key long, i int, j int, role int, id long, part long"), "live")
+    dealt = live.join(members, "id").select(*order, "id", "part", "signature", "packed", "set").repartition("key", "i", "j").sortWithinPartitions(*order, "id")
+    rest = written(dealt.mapInArrow(partial(_cells, percent=percent), "a long, b long").distinct(), "rest")
+    dropped(live)
+    return rest
 
 
 def _closest(pairs: DataFrame) -> DataFrame:
@@ -303,23 +365,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     repeat it are one document and share its component.  A null doc_id joins the component of an equal set with an id, else its
     component_id is null and it is kept.  No rows give no rows.
     """
-    feats = written(features(docs, shingle), "features")
+    wide = written(features(docs, shingle), "features")
+    feats = written(wide.select("doc_id", "n_shingles", "high", "low"), "digests")
     sets = feats.where("n_shingles > 0")
     reps = sets.groupBy("high", "low").agg(F.min("doc_id").alias("id")).where("id is not null")
     same = (F.col("s.doc_id") == F.col("r.id")) & (F.col("s.high") == F.col("r.high")) & (F.col("s.low") == F.col("r.low"))
-    nodes = sets.alias("s").join(reps.alias("r"), same).select("s.high", "s.low", "id", F.col("n_shingles").alias("n"), "bands", "signature")
+    nodes = wide.alias("s").join(reps.alias("r"), same).select("s.high", "s.low", "id", F.col("n_shingles").alias("n"), "bands", "signature")
     nodes = written(nodes.dropDuplicates(["high", "low"]) if repeated_ids(feats) else nodes, "nodes")
-    rows = nodes.select("id", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
-    buckets = written(rows.join(leaders, "key").join(nodes.select("id", "n"), "id"), "buckets")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(buckets.select("id").distinct(), "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id"]), "texts")
-    links = _links(_closest(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))), nodes, texts, shingle, percent)
+    dropped(wide)
+    rows = nodes.select(F.explode("bands").alias("key"), "id", "n").repartition("key").sortWithinPartitions("key", "id")
+    buckets = written(rows.mapInArrow(_buckets, "key long, id long, n long, leader long"), "buckets")
+    members = _members(docs, nodes, written(buckets.select("id").distinct(), "ids"), shingle)
+    ids = nodes.select("high", "low", "id")
+    ids = written(ids, "names")
+    dropped(nodes)
+    pairs = _closest(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    links = _links(pairs, members, percent)
     parts = connected_components(links)
     placed = _placed(buckets, parts)
-    rest = _rest(placed, nodes, texts, shingle, percent)
+    rest = _rest(placed, members, percent)
+    dropped(members, placed, buckets)
     final = parts if rest.isEmpty() else connected_components(links.unionByName(rest))
-    member = nodes.select("high", "low", "id").join(final, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
+    member = ids.join(final, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
     own = F.col("doc_id").alias("component_id")
     out = _by_digest(sets.select("doc_id", "n_shingles", "high", "low"), member).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.unionByName(feats.where("n_shingles = 0").select("doc_id", "n_shingles", own))
@@ -336,6 +403,17 @@ def _by_digest(rows: DataFrame, member: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(hot), digest).unionByName(rest)
 
 
+def _members(docs: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, signature, the lower halves of the band hashes and the shingle set of every node that shares a bucket.
+
+    Up to LOOKED_UP ids are broadcast, so that the texts need no shuffle; more are joined by sorting."""
+    few = F.broadcast(ids) if ids.count() <= LOOKED_UP else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few, "id", "left_semi")
+    signed = nodes.select("id", "signature", "bands").join(few, "id", "left_semi")
+    rows = signed.join(texts.dropDuplicates(["id"]), "id").select("id", "signature", "bands", "text")
+    return written(rows.mapInArrow(partial(_sets, shingle=shingle), "id long, signature binary, packed binary, set binary"), "members")
+
+
 def repeated_ids(feats: DataFrame) -> bool:
     """Whether a doc_id stands in several rows; only then the nodes need a pass that drops repeated ones."""
     return not feats.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
