@@ -106,12 +106,26 @@ def fit_svc(k: np.ndarray, y: np.ndarray, c: float, tol: float = 1e-3, limit: in
     return a * s, bias, done
 
 
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties sharing their mean."""
+    _, at, counts = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(counts) - (counts - 1) / 2)[at]
+
+
+def rank_correlation(x: np.ndarray, y: np.ndarray, least: int = 3) -> float | None:
+    """Spearman; None for fewer than ``least`` values or a constant side."""
+    if len(x) < least:
+        return None
+    a, b = average_ranks(x), average_ranks(y)
+    a, b = a - a.mean(), b - b.mean()
+    size = float(np.sqrt((a @ a) * (b @ b)))
+    return float(a @ b) / size if size > 0 else None
+
+
 def auc(y: np.ndarray, score: np.ndarray) -> float:
     """ROC area with ties counted half; NaN with one class."""
     n1 = int((y == 1).sum())
     n0 = len(y) - n1
     if not n1 or not n0:
         return float("nan")
-    _, at, counts = np.unique(score, return_inverse=True, return_counts=True)
-    rank = np.cumsum(counts) - (counts - 1) / 2
-    return float((rank[at][y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
+    return float((average_ranks(score)[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))

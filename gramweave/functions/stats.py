@@ -29,23 +29,60 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
     return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def average_rank_by_ranges(df: DataFrame, by: Sequence[str], value: str, out: str, range_rows: int = 500_000) -> DataFrame:
-    """``average_rank`` for groups too large for one task: distinct values are dealt to ranges, a range is ranked by itself and starts
-    after the rows of its group in the ranges before it.  Ties are counted once, so a value that a third of all rows share is one row.
+#: Distinct values of a range: what one task sorts.
+RANGE_ROWS = 500_000
+
+
+def positions(df: DataFrame, by: Sequence[str], value: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(by, value, _count, _start, _total): each distinct value of a group, how often it stands there, how many smaller ones there are,
+    and the group's rows.
+
+    No task holds a group: distinct values are dealt to ranges, a range is summed by itself and starts after the rows of its group in the
+    ranges before it.  Ties are counted first, so a value that a third of all rows share is one row.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    counts = stored(counts, "rank-counts")
+    counts = stored(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count")), "value-counts")
     n = max(1, -(-counts.count() // range_rows))
-    ranged = stored(counts.repartitionByRange(n, *by, value).withColumn("_part", F.spark_partition_id()), "rank-ranges")
+    ranged = stored(counts.repartitionByRange(n, *by, value).withColumn("_part", F.spark_partition_id()), "value-ranges")
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part", *by).agg(F.sum("_c").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.coalesce(F.sum("_c").over(W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = ranged.withColumn("_inside", inside).join(starts, ["_part", *by]).select(*by, value, (F.col("_start") + F.col("_inside") + (F.col("_c") + 1) / 2.0).alias(out))
+    sums = ranged.groupBy("_part", *by).agg(F.sum("_count").alias("_n"))
+    starts = sums.select("_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("_total"))
+    inside = F.coalesce(F.sum("_count").over(W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("_inside", inside).join(starts, ["_part", *by])
+    return placed.select(*by, value, "_count", (F.col("_before") + F.col("_inside")).alias("_start"), "_total")
+
+
+def average_rank_by_ranges(df: DataFrame, by: Sequence[str], value: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``average_rank`` for groups too large for one task."""
+    ranks = positions(df, by, value, range_rows).select(*by, value, (F.col("_start") + (F.col("_count") + 1) / 2.0).alias(out))
     return df.join(ranks, [*by, value])
 
 
+def order_points(df: DataFrame, by: Sequence[str], columns: Sequence[str], points: Sequence[float], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(by, _column, _lo, _hi, _at): per group and column, for each of ``points`` the values at the places around it among the column's
+    defined values, as arrays, and how far the point lies beyond the lower.  One pass serves all columns and points."""
+    cells = F.array(*(F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns))
+    long = df.select(*by, F.inline(cells)).where("_value is not null")
+    place = positions(long, [*by, "_column"], "_value", range_rows)
+    exact = [F.lit(float(q)) * (F.col("_total") - 1) for q in points]
+    at = lambda k: F.max(F.when((F.col("_start") <= k) & (k < F.col("_start") + F.col("_count")), F.col("_value")))
+    found = place.groupBy(*by, "_column", "_total").agg(F.array(*(at(F.floor(x)) for x in exact)).alias("_lo"), F.array(*(at(F.ceil(x)) for x in exact)).alias("_hi"))
+    return found.select(*by, "_column", "_lo", "_hi", F.array(*(x - F.floor(x) for x in exact)).alias("_at"))
+
+
+def quantiles_by_ranges(df: DataFrame, by: Sequence[str], columns: Sequence[str], points: dict[str, float], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Exact, linearly interpolated quantiles <column>_<name> per ``by``, for groups too large for one task; NULL without defined values."""
+    rows = order_points(df, by, columns, list(points.values()), range_rows)
+    mixed = F.zip_with(F.zip_with("_lo", "_hi", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), "_at", lambda x, f: x["lo"] * (1 - f) + x["hi"] * f)
+    wide = [F.max(F.when(F.col("_column") == c, mixed[k])).alias(f"{c}_{name}" if name else c) for c in columns for k, name in enumerate(points)]
+    return rows.groupBy(*by).agg(*wide)
+
+
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str, least: int = 3, ranges: bool = False) -> DataFrame:
-    """STA3: one row per ``by`` with the rank correlation of x and y over rows where both are defined; ``ranges`` for very long groups."""
+    """STA3: one row per ``by`` with the rank correlation of x and y over rows where both are defined; ``ranges`` for groups of pairs,
+    which may be too long for one task."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rank = average_rank_by_ranges if ranges else average_rank
     ranked = rank(rank(rows, by, x, "_rx"), by, y, "_ry")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gramweave.functions import kernels
-from gramweave.functions.stats import spearman
+from gramweave.functions.stats import quantiles_by_ranges, spearman
+from gramweave.session import stored
 
 
 def pairs(df: DataFrame, columns: Sequence[str], blocks: int = 8) -> DataFrame:
@@ -28,40 +30,133 @@ def pairs(df: DataFrame, columns: Sequence[str], blocks: int = 8) -> DataFrame:
     return left.join(right, ["_b", "_c"]).where("s < t").drop("_b", "_c")
 
 
-def _matrix(column: pa.ListArray, rows: int) -> np.ndarray:
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _spectra(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+#: Bytes of a block's rows in ``paired``, and of the pairs that a kernel gets at a time.
+BLOCK_BYTES, STEP_BYTES = 16 << 20, 8 << 20
+
+Work = Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray], pa.RecordBatch]
+
+
+def _stacks(left: tuple[list, np.ndarray], right: tuple[list, np.ndarray], kind: pa.DataType, work: Work, step: int, wanted: set | None) -> Iterator[pa.RecordBatch]:
+    """``work`` over the pairs of two lists of rows, ``step`` at a time; of one list with itself if both are the same."""
+    ids = pa.array(left[0] + right[0], kind)
+    names, rows = np.array(left[0] + right[0]), (left[1], right[1])
+    n, m = len(left[0]), len(right[0])
+    high = max(1, step // max(1, n))
+    wide = max(1, min(n, step))
+    for lo in range(0, m, high):
+        for at in range(0, n, wide):
+            k, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(n, at + wide)), np.arange(lo, min(m, lo + high))))
+            if left is right:
+                k, j = k[k < j], j[k < j]
+            less = names[k] < names[n + j]
+            s, t = np.where(less, k, n + j), np.where(less, n + j, k)
+            if wanted is not None:
+                keep = np.array([pair in wanted for pair in zip(names[s].tolist(), names[t].tolist(), strict=True)], bool)
+                k, j, less, s, t = k[keep], j[keep], less[keep], s[keep], t[keep]
+            if len(k):
+                one, other = rows[0][k], rows[1][j]
+                first = less[:, None]
+                yield work(ids.take(pa.array(s)), np.where(first, one, other), ids.take(pa.array(t)), np.where(first, other, one))
+
+
+def _meet(batches: Iterator[pa.RecordBatch], column: str, work: Work, step_bytes: int, chosen: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (i, j, role, s): role 0 is the cell's left block, which role 1 meets; in a cell i = j all meet all.
+
+    ``chosen``: rows of role -1 name the pairs of the cell that are asked for.
+    """
+    at: tuple | None = None
+    sides: tuple[list, list] = ([], [])
+    left: tuple[list, np.ndarray] | None = None
+    wanted: set = set()
+    kind = pa.int64()
+
+    def step(row: np.ndarray) -> int:
+        return max(1, step_bytes // max(1, 16 * row.size))
+
+    def stacked(side: list) -> tuple[list, np.ndarray]:
+        return [x for x, _ in side], np.stack([x for _, x in side])
+
+    def met() -> Iterator[pa.RecordBatch]:
+        nonlocal left
+        own, other = sides
+        if own and (wanted or not chosen):
+            left = left or stacked(own)
+            right = left if at[0] == at[1] else stacked(other) if other else None
+            if right:
+                yield from _stacks(left, right, kind, work, step(own[0][1]), wanted if chosen else None)
+        other.clear()
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
-            a, b = (_matrix(part.column(c), part.num_rows) for c in ("rho_s", "rho_t"))
-            n = int(round(a.shape[1] ** 0.5))
-            sv = kernels.spectrum_dense(a.reshape(-1, n, n), b.reshape(-1, n, n))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sv.size + 1, n), pa.int32()), pa.array(sv.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("s"), part.column("t"), lists], ["s", "t", "sv"])
+        kind = batch.column("s").type
+        values = batch.column(column)
+        others = batch.column("t").to_pylist() if chosen else [None] * batch.num_rows
+        for k, (i, j, role, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("i", "j", "role", "s")), others, strict=True)):
+            if (i, j) != at:
+                yield from met()
+                at, left, wanted = (i, j), None, set()
+                sides[0].clear()
+            if role < 0:
+                wanted.add((s, t))
+                continue
+            row = values.slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+            sides[role].append((s, row))
+            if role and len(sides[0]) * len(sides[1]) >= step(row):
+                yield from met()
+    yield from met()
+
+
+def paired(df: DataFrame, column: str, work: Work, schema: str, blocks: int = 8, only: DataFrame | None = None) -> DataFrame:
+    """GEO1 for kernels on arrays: ``work(s, rows of s, t, rows of t)`` over every pair s < t once, in stacks of STEP_BYTES.
+
+    Rows are dealt to blocks of about BLOCK_BYTES at most, ``blocks`` at least; a cell of the grid of blocks is a group of its own.  A row
+    is sent to as many cells as there are blocks and never to a pair, and a task holds one block.  ``only`` (s, t) names the pairs to be
+    worked on, all others cost nothing.  Ids must be distinct.
+    """
+    size = df.agg(F.sum(F.size(column)).alias("n")).first()["n"] or 0
+    blocks = max(blocks, -(-8 * size // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, "_b").alias("i"), F.greatest(k, "_b").alias("j")))
+    rows = df.select("s", F.col(column).cast("array<double>").alias(column), block("s").alias("_b")).select("s", column, "_b", F.inline(cells))
+    rows = rows.select("i", "j", (F.col("_b") != F.col("i")).cast("int").alias("role"), "s", column)
+    if only is not None:
+        ends = only.select(F.least(block("s"), block("t")).alias("i"), F.greatest(block("s"), block("t")).alias("j"), F.lit(-1).alias("role"), F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
+        rows = rows.unionByName(ends, allowMissingColumns=True)
+    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", "role", "s")
+    return dealt.mapInArrow(partial(_meet, column=column, work=work, step_bytes=STEP_BYTES, chosen=only is not None), schema)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+def _square(a: np.ndarray) -> np.ndarray:
+    n = int(round(a.shape[1] ** 0.5))
+    return a.reshape(-1, n, n)
 
 
-def spectra(operators: DataFrame, blocks: int = 8, step: int = 256) -> DataFrame:
+def _spectra(s: pa.Array, a: np.ndarray, t: pa.Array, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([s, t, _lists(kernels.spectrum_dense(_square(a), _square(b)))], ["s", "t", "sv"])
+
+
+def spectra(operators: DataFrame, blocks: int = 8) -> DataFrame:
     """GEO2: (s, t, sv), sv the unsorted |eigenvalues| of rho_s - rho_t; all operators have one size."""
     kind = dict(operators.dtypes)["s"]
-    return pairs(operators.select("s", "rho"), ["rho"], blocks).mapInArrow(partial(_spectra, step=step), f"s {kind}, t {kind}, sv array<double>")
+    return paired(operators, "rho", _spectra, f"s {kind}, t {kind}, sv array<double>", blocks)
 
 
-def _factor_spectra(batches: Iterator[pa.RecordBatch], n: int, step: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
-            sv = kernels.spectra_lowrank(*(_matrix(part.column(c), part.num_rows).reshape(part.num_rows, n, -1) for c in ("f_s", "f_t")))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sv.size + 1, sv.shape[1]), pa.int32()), pa.array(sv.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("s"), part.column("t"), lists], ["s", "t", "sv"])
+def _factor_spectra(s: pa.Array, a: np.ndarray, t: pa.Array, b: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([s, t, _lists(kernels.spectra_lowrank(a.reshape(len(s), n, -1), b.reshape(len(s), n, -1)))], ["s", "t", "sv"])
 
 
-def factor_spectra(factors: DataFrame, n: int, blocks: int = 8, step: int = 1024) -> DataFrame:
+def factor_spectra(factors: DataFrame, n: int, blocks: int = 8) -> DataFrame:
     """GEO3: the same from row-major factors f of n rows and one rank r, rho = f f': 2r values, of which vanishing modes are 0."""
     kind = dict(factors.dtypes)["s"]
-    return pairs(factors, ["f"], blocks).mapInArrow(partial(_factor_spectra, n=n, step=step), f"s {kind}, t {kind}, sv array<double>")
+    return paired(factors, "f", partial(_factor_spectra, n=n), f"s {kind}, t {kind}, sv array<double>", blocks)
 
 
 def schatten(sv: str | Column, p: Column) -> Column:
@@ -119,9 +214,9 @@ def cumulative_change(d: DataFrame, reference: float) -> DataFrame:
     """GEO14: per p against the reference, in per cent: scale contraction, shape change (of its maximum sqrt 2), pair rank loss."""
     shaped = shape_and_scale(d)
     ref = shaped.where(F.col("p") == reference).select("s", "t", F.col("shape").alias("shape0"), F.col("scale").alias("scale0"), F.col("d").alias("d0"))
-    both = shaped.join(ref, ["s", "t"])
+    both = stored(shaped.join(ref, ["s", "t"]), "against-reference")
     moved = both.groupBy("p").agg((100 * (1 - F.first("scale") / F.first("scale0"))).alias("scale_contraction"), (100 * F.sqrt(2 * F.sum((F.col("shape") - F.col("shape0")) ** 2)) / 2**0.5).alias("shape_change"))
-    rank = spearman(both, ["p"], "d", "d0", "rho").select("p", (100 * (1 - F.col("rho"))).alias("rank_loss"))
+    rank = spearman(both, ["p"], "d", "d0", "rho", ranges=True).select("p", (100 * (1 - F.col("rho"))).alias("rank_loss"))
     return moved.join(rank, "p")
 
 
@@ -133,31 +228,78 @@ def heterogeneity(operators: DataFrame, blocks: int = 8) -> DataFrame:
     return pair.crossJoin(spread).withColumn("share_of_sqrt2", 100 * F.col("pair_rms") / F.lit(2**0.5))
 
 
-def deformation(d: DataFrame, reference: float, ranges: bool = False) -> DataFrame:
+def deformation(d: DataFrame, reference: float, ranges: bool = True) -> DataFrame:
     """GEO16, PHC1: per p, median and mean distance, their ratios to the reference, the log ratio and 1 - Spearman against it.
 
-    ``ranges`` ranks the pairs of a p in many tasks instead of one.
+    Medians go by ranges; without ``ranges`` the pairs of a p are ranked in one task.
     """
     ref = d.where(F.col("p") == reference).select("s", "t", F.col("d").alias("d0"))
-    both = d.join(ref, ["s", "t"])
-    level = both.groupBy("p").agg(F.count(F.lit(1)).alias("n_pairs"), F.percentile("d", 0.5).alias("median_distance"), F.avg("d").alias("mean_distance"), F.percentile("d0", 0.5).alias("_m"), F.avg("d0").alias("_a"))
+    both = stored(d.join(ref, ["s", "t"]), "against-reference")
+    level = both.groupBy("p").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean_distance"), F.avg("d0").alias("_a"))
+    level = level.join(quantiles_by_ranges(both, ["p"], ["d", "d0"], {"middle": 0.5}), "p").withColumnsRenamed({"d_middle": "median_distance", "d0_middle": "_m"})
     rho = spearman(both, ["p"], "d0", "d", "distance_spearman_vs_p1", ranges=ranges)
     ratio = F.try_divide(F.col("median_distance"), F.col("_m"))
     return level.join(rho, "p").select("p", "n_pairs", "median_distance", "mean_distance", ratio.alias("median_scale_ratio_vs_p1"), F.try_divide(F.col("mean_distance"), F.col("_a")).alias("mean_scale_ratio_vs_p1"), F.log(ratio).alias("log_median_scale_ratio_vs_p1"), "distance_spearman_vs_p1", (1 - F.col("distance_spearman_vs_p1")).alias("relational_loss"))
 
 
+#: Pairs in a row of ``packed_pairs``.
+CHUNK = 1 << 16
+
+
+def packed_pairs(d: DataFrame, columns: Sequence[str] = ("d",)) -> DataFrame:
+    """(p, s, t, columns) as arrays of about CHUNK pairs a row, stored once: what is copied to several tasks costs its numbers alone."""
+    names = ("s", "t", *columns)
+    d = stored(d.select("p", *names), "distances")
+    most = d.groupBy("p").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    chunk = F.pmod(F.xxhash64("s", "t"), F.lit(max(1, -(-most // CHUNK)))).alias("chunk")
+    return stored(d.groupBy("p", chunk).agg(*(F.collect_list(c).alias(c) for c in names)).drop("chunk"), "packed")
+
+
+def flat(rows: pd.DataFrame, columns: Sequence[str]) -> dict[str, np.ndarray]:
+    """The pairs of some rows of ``packed_pairs``."""
+    return {c: np.concatenate(list(rows[c])) if len(rows) else np.zeros(0) for c in columns}
+
+
+def by_folds(d: DataFrame, splits: DataFrame, work: Callable[[dict[str, np.ndarray], np.ndarray, tuple], tuple], schema: str, columns: Sequence[str] = ("d",)) -> DataFrame:
+    """``work(pairs, train, (p, repeat, fold))``, a row of ``schema``, for every fold of every p and repeat; ``train`` marks the pairs of which no end is held out.
+
+    ``d`` is (p, s, t, columns), ``splits`` (repeat, fold, s): the subjects held out.  The packed distances of a p are copied for each repeat,
+    not for each fold, and a task holds those of one p, as the kernel machines on them do.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def folds(key: tuple, rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        order = held.sort_values("s")
+        ids, fold = order["s"].to_numpy(), order["fold"].to_numpy()
+        pairs = flat(rows, ("s", "t", *columns))
+        known = np.isin(pairs["s"], ids) & np.isin(pairs["t"], ids)
+        if not known.any():
+            return pd.DataFrame(columns=names)
+        pairs = {c: x[known] for c, x in pairs.items()}
+        at = [fold[np.searchsorted(ids, pairs[c])] for c in ("s", "t")]
+        return pd.DataFrame([work(pairs, (at[0] != f) & (at[1] != f), (*key, f)) for f in np.unique(fold).tolist()], columns=names)
+
+    packed = packed_pairs(d, columns)
+    left = packed.crossJoin(F.broadcast(splits.select("repeat").distinct())).groupBy("p", "repeat")
+    right = stored(splits.select("repeat", "fold", "s").crossJoin(F.broadcast(packed.select("p").distinct())), "held").groupBy("p", "repeat")
+    return left.cogroup(right).applyInPandas(folds, schema)
+
+
+def _diagnostics(pairs: dict[str, np.ndarray], train: np.ndarray, key: tuple) -> tuple:
+    d = pairs["d"][train]
+    some = d[d > 0]
+    middle, square = (float(np.median(x)) if len(x) else None for x in (some, some**2))
+    return (*key, float(np.sqrt(2 * (d**2).sum())), middle, square, 1 / square if square else None)
+
+
 def train_diagnostics(d: DataFrame, splits: DataFrame) -> DataFrame:
     """GEO17: per (p, repeat, fold), |D| of the train block, medians of d and d^2 over d > 0, and 1 / median d^2.
 
     ``splits`` is (repeat, fold, s): the subjects held out; all others of the repeat train.
     """
-    own = lambda c: splits.select("repeat", F.col("fold").alias(f"fold_{c}"), F.col("s").alias(c))
-    placed = d.join(own("s"), "s").join(own("t"), ["repeat", "t"])
-    folds = splits.select("repeat", "fold").distinct()
-    train = placed.join(folds, "repeat").where((F.col("fold") != F.col("fold_s")) & (F.col("fold") != F.col("fold_t")))
-    some = F.when(F.col("d") > 0, F.col("d"))
-    out = train.groupBy("p", "repeat", "fold").agg(F.sqrt(2 * F.sum(F.col("d") ** 2)).alias("S_train"), F.percentile(some, 0.5).alias("median_d"), F.percentile(some**2, 0.5).alias("median_d2"))
-    return out.withColumn("gamma_scale", F.try_divide(F.lit(1.0), F.col("median_d2")))
+    kinds = dict(splits.dtypes)
+    schema = f"p double, repeat {kinds['repeat']}, fold {kinds['fold']}, S_train double, median_d double, median_d2 double, gamma_scale double"
+    return by_folds(d, splits, _diagnostics, schema)
 
 
 def heterogeneity_ratio(shared: DataFrame, independent: DataFrame) -> DataFrame:
@@ -166,34 +308,37 @@ def heterogeneity_ratio(shared: DataFrame, independent: DataFrame) -> DataFrame:
     return both.agg(F.try_divide(F.avg("value"), F.avg("other")).alias("ratio_of_means"), F.avg("ratio").alias("mean_ratio"), F.stddev_samp("ratio").alias("sd_ratio"))
 
 
-def _factor_frobenius(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    square = lambda a, b: (np.einsum("mni,mnj->mij", a, b) ** 2).sum(axis=(1, 2))
-    for batch in batches:
-        a, b = (_matrix(batch.column(c), batch.num_rows).reshape(batch.num_rows, n, -1) for c in ("f_s", "f_t"))
-        d = np.sqrt(np.maximum(square(a, a) + square(b, b) - 2 * square(a, b), 0))
-        yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("t"), pa.array(d)], ["s", "t", "d"])
+def _factor_frobenius(s: pa.Array, a: np.ndarray, t: pa.Array, b: np.ndarray, n: int) -> pa.RecordBatch:
+    square = lambda x, y: (np.einsum("mni,mnj->mij", x, y) ** 2).sum(axis=(1, 2))
+    a, b = a.reshape(len(s), n, -1), b.reshape(len(s), n, -1)
+    d = np.sqrt(np.maximum(square(a, a) + square(b, b) - 2 * square(a, b), 0))
+    return pa.RecordBatch.from_arrays([s, t, pa.array(d)], ["s", "t", "d"])
 
 
 def factor_frobenius(factors: DataFrame, n: int, blocks: int = 8) -> DataFrame:
     """GEO9: d_2 of every pair from Gram matrices of the factors alone."""
     kind = dict(factors.dtypes)["s"]
-    return pairs(factors, ["f"], blocks).mapInArrow(partial(_factor_frobenius, n=n), f"s {kind}, t {kind}, d double")
+    return paired(factors, "f", partial(_factor_frobenius, n=n), f"s {kind}, t {kind}, d double", blocks)
+
+
+def _dense_error(s: pa.Array, a: np.ndarray, t: pa.Array, b: np.ndarray, n: int) -> pa.RecordBatch:
+    a, b = a.reshape(len(s), n, -1), b.reshape(len(s), n, -1)
+    dense = np.sort(kernels.spectrum_dense(a @ a.transpose(0, 2, 1), b @ b.transpose(0, 2, 1)), axis=1)[:, ::-1]
+    low = np.sort(kernels.spectra_lowrank(a, b), axis=1)[:, ::-1]
+    wide = [np.pad(x, ((0, 0), (0, max(dense.shape[1], low.shape[1]) - x.shape[1]))) for x in (dense, low)]
+    return pa.RecordBatch.from_arrays([s, t, pa.array(np.abs(wide[0] - wide[1]).max(axis=1))], ["s", "t", "max_error"])
 
 
 def _dense_check(batches: Iterator[pa.RecordBatch], n: int, step: int) -> Iterator[pa.RecordBatch]:
+    """GEO4 over pairs that are at hand with both factors, ``step`` at a time."""
     for batch in batches:
-        error = [np.zeros(0)]
         for lo in range(0, batch.num_rows, step):
             part = batch.slice(lo, step)
-            a, b = (_matrix(part.column(c), part.num_rows).reshape(part.num_rows, n, -1) for c in ("f_s", "f_t"))
-            dense = np.sort(kernels.spectrum_dense(a @ a.transpose(0, 2, 1), b @ b.transpose(0, 2, 1)), axis=1)[:, ::-1]
-            low = np.sort(kernels.spectra_lowrank(a, b), axis=1)[:, ::-1]
-            wide = [np.pad(x, ((0, 0), (0, max(dense.shape[1], low.shape[1]) - x.shape[1]))) for x in (dense, low)]
-            error.append(np.abs(wide[0] - wide[1]).max(axis=1))
-        yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("t"), pa.array(np.concatenate(error))], ["s", "t", "max_error"])
+            a, b = (_matrix(part.column(c), part.num_rows) for c in ("f_s", "f_t"))
+            yield _dense_error(part.column("s"), a, part.column("t"), b, n)
 
 
-def dense_check(factors: DataFrame, n: int, blocks: int = 8, step: int = 256) -> DataFrame:
+def dense_check(factors: DataFrame, n: int, blocks: int = 8) -> DataFrame:
     """GEO4: per pair, the largest difference between the low-rank and all n dense singular values; those that one side lacks count as 0."""
     kind = dict(factors.dtypes)["s"]
-    return pairs(factors, ["f"], blocks).mapInArrow(partial(_dense_check, n=n, step=step), f"s {kind}, t {kind}, max_error double")
+    return paired(factors, "f", partial(_dense_error, n=n), f"s {kind}, t {kind}, max_error double", blocks)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from gramweave.functions import kernels
 from gramweave.functions.stats import clean, md5_order, quartiles, roc_auc
-from gramweave.operators.geometry import both_ways
+from gramweave.operators.geometry import both_ways, flat, packed_pairs
+from gramweave.session import stored
 
 
 @dataclass(frozen=True)
@@ -86,34 +87,49 @@ def search(d: np.ndarray, y: np.ndarray, ids: np.ndarray, grid: Grid, seed: int)
 FOLD_SCHEMA = "p double, repeat int, fold int, gamma double, c double, inner_auc double, bias double, converged boolean, inner_converged boolean, s array<long>, y array<int>, score array<double>, test array<boolean>, dual array<double>, surface array<double>"
 
 
-def _fit(rows: pd.DataFrame, grid: Grid) -> pd.DataFrame:
-    """One (p, repeat, fold): rows are the pairs of all subjects with both ends' label and test flag."""
-    ends = pd.concat([rows[["s", "y_s", "test_s"]].set_axis(["s", "y", "test"], axis=1), rows[["t", "y_t", "test_t"]].set_axis(["s", "y", "test"], axis=1)]).drop_duplicates("s").sort_values("s")
-    ids, y, test = ends.s.to_numpy(), ends.y.to_numpy(int), ends.test.to_numpy(bool)
-    d = np.zeros((len(ids), len(ids)))
-    i, j = np.searchsorted(ids, rows.s), np.searchsorted(ids, rows.t)
-    d[i, j] = d[j, i] = rows.d
+def _fit(d: np.ndarray, ids: np.ndarray, y: np.ndarray, test: np.ndarray, key: tuple, grid: Grid) -> tuple:
+    """One (p, repeat, fold) on the distance matrix of all subjects."""
     train = np.flatnonzero(~test)
-    p, repeat, fold = float(rows.p.iloc[0]), int(rows.repeat.iloc[0]), int(rows.fold.iloc[0])
+    p, repeat, fold = key
     gamma, c, inner, surface, inner_converged = search(d[np.ix_(train, train)], y[train], ids[train], grid, grid.seed + 1000 * repeat + fold)
     k = np.exp(-gamma * d * d)
     dual, bias, converged = kernels.fit_svc(k[np.ix_(train, train)], y[train], c)
     own = np.zeros(len(ids))
     own[train] = dual
-    return pd.DataFrame([(p, repeat, fold, gamma, c, inner, bias, converged, inner_converged, ids.tolist(), y.tolist(), (k[:, train] @ dual + bias).tolist(), test.tolist(), own.tolist(), surface.ravel().tolist())], columns=[x.split()[0] for x in FOLD_SCHEMA.split(", ")])
+    return p, repeat, fold, gamma, c, inner, bias, converged, inner_converged, ids.tolist(), y.tolist(), (k[:, train] @ dual + bias).tolist(), test.tolist(), own.tolist(), surface.ravel().tolist()
+
+
+def _fit_folds(rows: pd.DataFrame, held: pd.DataFrame, grid: Grid) -> pd.DataFrame:
+    """One (p, repeat) and a share of its folds: the distance matrix is made once."""
+    names = [x.split()[0] for x in FOLD_SCHEMA.split(", ")]
+    held = held.sort_values("s")
+    ids, y, fold = held["s"].to_numpy(), held["y"].to_numpy(int), held["fold"].to_numpy(int)
+    pairs = flat(rows, ("s", "t", "d"))
+    known = np.isin(pairs["s"], ids) & np.isin(pairs["t"], ids)
+    if not known.any():
+        return pd.DataFrame(columns=names)
+    d = np.zeros((len(ids), len(ids)))
+    i, j = (np.searchsorted(ids, pairs[c][known]) for c in ("s", "t"))
+    d[i, j] = d[j, i] = pairs["d"][known]
+    key = float(rows["p"].iloc[0]), int(held["repeat"].iloc[0])
+    share, shares = int(held["share"].iloc[0]), int(held["shares"].iloc[0])
+    return pd.DataFrame([_fit(d, ids, y, fold == f, (*key, f), grid) for f in np.unique(fold).tolist() if f % shares == share], columns=names)
 
 
-def nested_cv(d: DataFrame, subjects: DataFrame, splits: DataFrame, grid: Grid) -> DataFrame:
+def nested_cv(d: DataFrame, subjects: DataFrame, splits: DataFrame, grid: Grid, shares: int | None = None) -> DataFrame:
     """LRN4, LRN5, LRN7: one row per (p, repeat, fold) with the chosen parameters, every subject's score and the signed duals.
 
-    A task holds one distance matrix; its size is the number of subjects squared, whatever the number of folds.
+    A task holds one distance matrix, whose size is the number of subjects squared, and fits the folds of a repeat that fall into one of
+    ``shares``; by default every fold is a task of its own.  The packed distances alone are copied for them.
     """
-    folds = splits.select("repeat", "fold").distinct()
-    label = lambda c: subjects.select(F.col("s").alias(c), F.col("y").cast("int").alias(f"y_{c}"))
-    held = lambda c: splits.select("repeat", F.col("fold").alias(f"fold_{c}"), F.col("s").alias(c))
-    rows = d.join(label("s"), "s").join(label("t"), "t").join(held("s"), "s").join(held("t"), ["repeat", "t"]).join(folds, "repeat")
-    rows = rows.select("p", "repeat", "fold", F.col("s").cast("long"), F.col("t").cast("long"), "d", "y_s", "y_t", (F.col("fold") == F.col("fold_s")).alias("test_s"), (F.col("fold") == F.col("fold_t")).alias("test_t"))
-    return rows.groupBy("p", "repeat", "fold").applyInPandas(lambda rows: _fit(rows, grid), FOLD_SCHEMA)
+    packed = packed_pairs(d.select("p", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"), "d"))
+    shares = shares or max(1, splits.select("fold").distinct().count())
+    labels = subjects.select(F.col("s").cast("long").alias("s"), F.col("y").cast("int").alias("y"))
+    tasks = splits.select("repeat").distinct().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    held = splits.select("repeat", "fold", F.col("s").cast("long").alias("s")).join(labels, "s").join(tasks, "repeat").withColumn("shares", F.lit(shares))
+    left = packed.crossJoin(F.broadcast(tasks)).groupBy("p", "repeat", "share")
+    right = stored(held.crossJoin(F.broadcast(packed.select("p").distinct())), "held").groupBy("p", "repeat", "share")
+    return left.cogroup(right).applyInPandas(lambda rows, held: _fit_folds(rows, held, grid), FOLD_SCHEMA)
 
 
 def oof(fits: DataFrame) -> DataFrame:

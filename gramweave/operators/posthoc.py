@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gramweave.functions import kernels
 from gramweave.functions.stats import cosine, md5_int, robust_z, sem, spearman
-from gramweave.operators.geometry import both_ways
+from gramweave.operators.geometry import both_ways, by_folds
 from gramweave.operators.learning import kernel
+from gramweave.session import stored
 
 
 def fragility(reference_scores: DataFrame, boundary: float = 0.5, gap: float = 0.1, blocks: int = 4) -> DataFrame:
@@ -38,17 +41,25 @@ def decision_loss(oof: DataFrame, reference: float, by: Sequence[str] = ("repeat
     return rho.withColumn("decision_loss", 1 - F.col("concordance"))
 
 
+def _kernel_change(pairs: dict[str, np.ndarray], train: np.ndarray, key: tuple, gammas: dict[tuple, tuple[float, float]]) -> tuple:
+    if key not in gammas or not train.any():
+        return (*key, None, None)
+    k, k0 = (np.exp(-g * pairs[c][train] ** 2) for c, g in zip(("d", "d0"), gammas[key], strict=True))
+    rho = kernels.rank_correlation(k, k0)
+    return (*key, None if rho is None else 1 - rho, float(np.abs(k - k0).mean()))
+
+
 def kernel_deformation(d: DataFrame, splits: DataFrame, gammas: DataFrame, reference: float) -> DataFrame:
     """PHC5: per (p, repeat, fold), 1 - Spearman and the mean absolute change between the train pairs' kernels at the reference and at p, each with
     its own gamma (``gammas``: p, repeat, fold, gamma)."""
-    own = lambda c: splits.select("repeat", F.col("fold").alias(f"fold_{c}"), F.col(c if c in splits.columns else "s").alias(c))
-    train = d.join(own("s"), "s").join(own("t"), ["repeat", "t"]).join(gammas, ["p", "repeat"]).where((F.col("fold") != F.col("fold_s")) & (F.col("fold") != F.col("fold_t")))
-    k = train.select("p", "repeat", "fold", "s", "t", kernel(F.col("d"), F.col("gamma")).alias("k"))
-    ref = k.where(F.col("p") == reference).select("repeat", "fold", "s", "t", F.col("k").alias("k0"))
-    both = k.join(ref, ["repeat", "fold", "s", "t"])
-    change = both.groupBy("p", "repeat", "fold").agg(F.avg(F.abs(F.col("k") - F.col("k0"))).alias("kernel_mean_abs_change"))
-    rho = spearman(both, ["p", "repeat", "fold"], "k", "k0", "rho")
-    return change.join(rho, ["p", "repeat", "fold"]).select("p", "repeat", "fold", (1 - F.col("rho")).alias("kernel_relational_loss"), "kernel_mean_abs_change")
+    ref = d.where(F.col("p") == reference).select("s", "t", F.col("d").alias("d0"))
+    chosen = gammas.select("p", "repeat", "fold", F.col("gamma").cast("double").alias("gamma"))
+    first = chosen.where(F.col("p") == reference).select("repeat", "fold", F.col("gamma").alias("gamma0"))
+    known = {(r.p, r.repeat, r.fold): (r.gamma, r.gamma0) for r in chosen.join(first, ["repeat", "fold"]).toLocalIterator()}
+    kinds = dict(splits.dtypes)
+    schema = f"p double, repeat {kinds['repeat']}, fold {kinds['fold']}, kernel_relational_loss double, kernel_mean_abs_change double"
+    out = by_folds(d.join(ref, ["s", "t"]), splits, partial(_kernel_change, gammas=known), schema, ("d", "d0"))
+    return out.where("kernel_mean_abs_change is not null")
 
 
 def means(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -71,6 +82,15 @@ def propagation(geometry: DataFrame, decisions: DataFrame, kernels: DataFrame |
     return out
 
 
+def with_decision_loss(summary: DataFrame, losses: DataFrame | None, by: Sequence[str] = ("p",)) -> DataFrame:
+    """PHC16: ``summary`` with the mean decision loss of the repeats (left), if there are any, and ``decision_axis``: that mean, or the folds' own
+    where no table of repeats was given."""
+    if losses is None:
+        return summary.withColumn("decision_axis", F.col("decision_loss_fold_mean"))
+    means_ = losses.groupBy(*by).agg(F.avg("decision_loss").alias("decision_loss_repeat_mean"))
+    return summary.join(means_, list(by), "left").withColumn("decision_axis", F.col("decision_loss_repeat_mean"))
+
+
 def support_sets(support: DataFrame, reference: float) -> DataFrame:
     """PHC9, PHC11: per (p, repeat, fold) against the reference, Jaccard of the support sets (1 for two empty ones), cosine of the duals
     on the union with zeros for absent ones, and sizes.  ``support``: (p, repeat, fold, sv, alpha)."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,3 +49,45 @@ def inconsistent(df: DataFrame, key: str, label: str) -> DataFrame:
 def capped(df: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """FLT15: of each class the first ``most`` rows by ``order``: the limit is the operator."""
     return df.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("_k") <= most).drop("_k")
+
+
+def normalised(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """FLT19: each named column trimmed and cast; what is blank or cannot be cast is NULL."""
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    return df.withColumns({c: text(c).try_cast(kind) for c, kind in kinds.items()})
+
+
+def chosen_layer(layers: Mapping[str, DataFrame | None], source: str = "auto") -> tuple[str, DataFrame]:
+    """SRC16: the layer asked for; by default the raw counts if they are there, else X.  A missing layer is an error."""
+    name = source if source != "auto" else "raw" if layers.get("raw") is not None else "X"
+    found = layers.get(name)
+    if found is None:
+        raise ValueError(f"there is no layer {name}")
+    return name, found
+
+
+def zipped(a: DataFrame, b: DataFrame, order_a: Column, order_b: Column) -> DataFrame:
+    """JON8: rows of two tables of one length side by side, both in their own order; other lengths are an error."""
+    place = lambda df, order: df.withColumn("_k", F.row_number().over(W.orderBy(order)))
+    lone = F.raise_error(F.lit("the tables differ in length")).cast("int")
+    both = place(a, order_a).withColumn("_a", F.lit(1)).join(place(b, order_b).withColumn("_b", F.lit(1)), "_k", "full")
+    return both.where(F.when(F.col("_a").isNull() | F.col("_b").isNull(), lone).otherwise(1) == 1).drop("_k", "_a", "_b")
+
+
+def looked_up(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """JON9: ``df`` with what a table of few rows (its size is left to the planner's broadcast limit) says of ``key``; NULL where it says nothing."""
+    return df.join(names, key, "left")
+
+
+def interpolated(df: DataFrame, value: str, points: DataFrame, out: str) -> DataFrame:
+    """JON11: ``out`` is the piecewise linear function through ``points`` (x, y) at ``value``, constant beyond its ends.
+
+    The points, of which there are few by nature (bins, p values), become intervals [x, next x) that a range join looks up.
+    """
+    w = W.orderBy("x")
+    ends = points.select("x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.lag("x").over(w).alias("before"))
+    at = F.col(value)
+    low, high = F.col("before").isNull() & (at < F.col("x")), F.col("x1").isNull()
+    on = ((at >= F.col("x")) | F.col("before").isNull()) & ((at < F.col("x1")) | high)
+    y = F.when(low | high, F.col("y")).otherwise(F.col("y") + (at - F.col("x")) / (F.col("x1") - F.col("x")) * (F.col("y1") - F.col("y")))
+    return df.join(F.broadcast(ends), on, "left").withColumn(out, y).drop("x", "y", "x1", "y1", "before")

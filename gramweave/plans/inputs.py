@@ -23,7 +23,7 @@ def supplier_operators(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def supplier_spectra(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.spectra(supplier_operators(spark, sf), step=4096)
+    return geometry.spectra(supplier_operators(spark, sf))
 
 
 def supplier_distances(spark: SparkSession, sf: str) -> DataFrame:

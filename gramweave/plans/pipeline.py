@@ -56,8 +56,13 @@ class Config:
 class Run:
     """Tables of a run under ``folder``/<name>-<hash>/<stage>/<table>, made when first asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config, operators: DataFrame, subjects: DataFrame):
+    def __init__(self, spark: SparkSession, folder: str, config: Config, operators: DataFrame | None, subjects: DataFrame, factor_rows: int = 0, spectra: DataFrame | None = None):
+        if operators is None and spectra is None:
+            raise ValueError("operators, factors or spectra are needed")
+        if operators is None and "xai" in config.stages:
+            raise ValueError("explanations need operators or factors")
         self.spark, self.config, self.operators, self.subjects = spark, config, operators, subjects
+        self.factor_rows, self.known = factor_rows, spectra
         self.root = f"{folder.rstrip('/')}/{config.name}-{config.key}"
 
     def kept(self, stage: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -70,7 +75,12 @@ class Run:
 
     @property
     def spectra(self) -> DataFrame:
-        return self.kept("classifier", "spectra", lambda: geometry.spectra(self.operators))
+        def make() -> DataFrame:
+            if self.known is not None:
+                return self.known
+            return geometry.factor_spectra(self.operators, self.factor_rows) if self.factor_rows else geometry.spectra(self.operators)
+
+        return self.kept("classifier", "spectra", make)
 
     @property
     def distances(self) -> DataFrame:
@@ -115,7 +125,7 @@ class Run:
             rows = learning.scores(self.fits).where("not test and abs(dual) > 1e-12")
             support = rows.select("p", "repeat", "fold", F.col("s").alias("sv"), F.col("dual").alias("alpha")).join(self.fits.select("p", "repeat", "fold", "gamma"), ["p", "repeat", "fold"])
             need = explain.needed_pairs(support, self.splits)
-            parts = self.kept("xai", "contributions", lambda: explain.node_contributions(self.operators, self.config.grid, needed=need))
+            parts = self.kept("xai", "contributions", lambda: explain.node_contributions(self.operators, self.config.grid, self.factor_rows, need))
             profiles = self.kept("xai", "profiles", lambda: explain.subject_profiles(explain.importance(parts, support, self.splits)))
             self.kept("xai", "population", lambda: explain.population_profiles(profiles, self.subjects))
             return explain.decision_comparison(self.decision(), explain.concordance(profiles, self.config.reference))
@@ -132,8 +142,11 @@ class Run:
         return self.kept("summary", "fingerprint", make)
 
 
-def run(spark: SparkSession, folder: str, config: Config, operators: DataFrame, subjects: DataFrame) -> dict[str, DataFrame]:
-    """The configured stages' main tables; ``operators`` is (s, n, rho), ``subjects`` (s, y)."""
-    job = Run(spark, folder, config, operators, subjects)
+def run(spark: SparkSession, folder: str, config: Config, operators: DataFrame | None, subjects: DataFrame, factor_rows: int = 0, spectra: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The configured stages' main tables; ``operators`` is (s, n, rho), or (s, f) of factors with ``factor_rows`` rows, ``subjects`` (s, y).
+
+    ``spectra`` (s, t, sv) of an earlier run takes the place of the pairs' eigenvalues; without operators there are no explanations.
+    """
+    job = Run(spark, folder, config, operators, subjects, factor_rows, spectra)
     make: dict[str, Callable[[], DataFrame]] = {"classifier": lambda: job.repeats, "spectral": job.spectral, "decision": job.decision, "xai": job.xai, "summary": job.summary}
     return {stage: make[stage]() for stage in config.stages}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder in the store that all executors share (spark.checkpoint.dir); removed when the driver's JVM ends."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gramweave-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="gramweave-")
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/run-{uuid.uuid4().hex}")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         fs.mkdirs(path)

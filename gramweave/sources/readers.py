@@ -58,13 +58,14 @@ def matrix_npy(spark: SparkSession, path: str) -> DataFrame:
 
 def _npz(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [(p, name, list(map(int, a.shape)), np.nan_to_num(a.astype(float)).ravel().tolist()) for p, c in zip(frame.path, frame.content, strict=True) for name, a in np.load(io.BytesIO(c), allow_pickle=False).items()]
+        arrays = [(p, name, a) for p, c in zip(frame.path, frame.content, strict=True) for name, a in np.load(io.BytesIO(c), allow_pickle=False).items()]
+        rows = [(p, name, list(map(int, a.shape)), np.nan_to_num(a.astype(float)).ravel().tolist()) for p, name, a in arrays if a.dtype.kind in "biuf"]
         yield pd.DataFrame(rows, columns=["path", "name", "shape", "a"])
 
 
-def archive_npz(spark: SparkSession, path: str) -> DataFrame:
-    """SRC6, SRC9, SRC11: (path, name, shape, a) of every array in .npz archives; NaN padding reads as 0."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content").mapInPandas(_npz, "path string, name string, shape array<int>, a array<double>")
+def archive_npz(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """SRC6, SRC9, SRC11: (path, name, shape, a) of every array of numbers in .npz archives; NaN padding reads as 0."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", recursive).load(path).select("path", "content").mapInPandas(_npz, "path string, name string, shape array<int>, a array<double>")
 
 
 def file_format(path: Column) -> Column:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from gramweave.functions import stats
 
 
@@ -23,3 +25,25 @@ def test_undefined_is_null(spark):
     assert all(r.auc is None for r in auc)
     z = stats.robust_z(df, ["g"], "x", "z").collect()
     assert all(r.z == 0 for r in z)
+
+
+def test_quantiles_by_ranges_equal_percentiles(spark):
+    r = random.Random(5)
+    rows = [(g, r.choice([1.0, 1.0, r.random(), None]), r.choice([-0.0, 0.0, 2.5, float(r.randrange(9))])) for g in r.choices("abc", k=400)] + [("lone", 3.0, None), ("pair", 1.0, 2.0), ("pair", 4.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
+    points = {"low": 0.025, "q25": 0.25, "median": 0.5, "high": 0.975, "top": 1.0}
+    want = {w.g: w for w in df.groupBy("g").agg(*(F.percentile(c, q).alias(f"{c}_{n}") for c in "xy" for n, q in points.items())).collect()}
+    for size in (7, 50, 10_000):
+        got = {w.g: w for w in stats.quantiles_by_ranges(df, ["g"], ["x", "y"], points, range_rows=size).collect()}
+        assert got.keys() == want.keys()
+        for g in got:
+            for c in [f"{c}_{n}" for c in "xy" for n in points]:
+                assert (got[g][c] is None) == (want[g][c] is None) and (got[g][c] is None or abs(got[g][c] - want[g][c]) < 1e-12), (g, c)
+
+
+def test_no_task_holds_a_group(spark):
+    """400 distinct values of one group lie in ranges of 20 or so."""
+    df = spark.range(2000).selectExpr("0 as g", "cast(id % 400 as double) as x")
+    place = stats.positions(df, ["g"], "x", range_rows=20)
+    got = {p.x: (p._count, p._start, p._total) for p in place.collect()}
+    assert got == {float(k): (5, 5 * k, 2000) for k in range(400)}
