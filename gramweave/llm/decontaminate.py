@@ -127,6 +127,17 @@ def _scan(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool, ite
         yield pa.RecordBatch.from_arrays(keep + cols, names + ["n_words", "hit", "items"] + (["span_start", "span_end"] if spans else ["word_start", "word_end"]))
 
 
+def _shared(items: DataFrame, size: int) -> Iterator[Broadcast]:
+    """The items' windows in blocks, one after the other made, sent to the executors and forgotten by the driver."""
+    rows = items.where("item_id is not null").select("item_id", "text").toLocalIterator()
+    none = True
+    for block in blocks(((r[0], r[1]) for r in rows), size):
+        none = False
+        yield items.sparkSession.sparkContext.broadcast(block)
+    if none:
+        yield items.sparkSession.sparkContext.broadcast({"\x00": []})
+
+
 def scan(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with n_words, hit (positions of the words in any occurrence of an item's window, from 0),
     items (ids of the items with occurring windows), span_start and span_end (character offsets of the runs of hit words).
@@ -136,24 +147,21 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     keep their types.  Null texts have no words, items without words no window; items with a null id are left out, equal items all count.
     No items: nothing is hit.
     """
-    rows = items.where("item_id is not null").select("item_id", "text").toLocalIterator()
-    spark, item = docs.sparkSession, items.schema["item_id"].dataType
+    item = items.schema["item_id"].dataType
     longs = ArrayType(LongType())
 
     def fields(*more: StructField, ends: tuple[str, str]) -> StructType:
         return StructType([docs.schema["doc_id"], *more, StructField("n_words", LongType()), StructField("hit", longs), StructField("items", ArrayType(item)), *(StructField(c, longs) for c in ends)])
 
     keyed = docs.select("doc_id", "text")
-    more = blocks(((r[0], r[1]) for r in rows), size)
-    first = spark.sparkContext.broadcast(next(more, {"\x00": []}))
-    second = next(more, None)
+    shared = _shared(items, size)
+    first = next(shared)
+    second = next(shared, None)
     if second is None:
         return keyed.mapInArrow(partial(_scan, shared=first, spans=True, item=item), fields(ends=("span_start", "span_end")))
     numbered = written(keyed.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    schema, out = fields(StructField("row", LongType()), ends=("word_start", "word_end")), []
-    for shared in chain([first], map(spark.sparkContext.broadcast, chain([second], more))):
-        out.append(numbered.mapInArrow(partial(_scan, shared=shared, spans=False, item=item), schema))
-        second = None
+    schema = fields(StructField("row", LongType()), ends=("word_start", "word_end"))
+    out = [numbered.mapInArrow(partial(_scan, shared=one, spans=False, item=item), schema) for one in chain([first, second], shared)]
     every = reduce(DataFrame.unionByName, out)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     merged = every.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), union(F.arrays_zip("hit", "word_start", "word_end")).alias("at"), union("items").alias("items"))
@@ -176,10 +184,23 @@ def op3_decontamination(docs: DataFrame, items: DataFrame, size: int = 10) -> Da
     )
 
 
+def _clean(batches: Iterator[pa.RecordBatch], shared: Broadcast, doc: int, text: int, item: DataType) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text)], ["doc_id", "text"])
+        hits = [len(h) for found in _scan(iter([one]), shared, False, item) for h in found.column("hit")]
+        unnamed = batch.column(doc).is_null().to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array((np.array(hits, np.int64) == 0) | unnamed))
+
+
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """``docs``, all its columns, without the documents that an item's window occurs in; rows with a null doc_id stay."""
-    bad = scan(docs, items, size).where(F.size("hit") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """``docs``, all its columns, without the rows whose text an item's window occurs in; rows with a null doc_id stay.
+
+    Every row is judged by its own text where it lies: nothing is shuffled.  Windows of several automata are looked for one after the other.
+    """
+    doc, text, item = docs.columns.index("doc_id"), docs.columns.index("text"), items.schema["item_id"].dataType
+    for shared in _shared(items, size):
+        docs = docs.mapInArrow(partial(_clean, shared=shared, doc=doc, text=text, item=item), docs.schema)
+    return docs
 
 
 #: Windows by DuckDB's lists, joined to the items' windows.

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gramweave.llm.components import connected_components
 from gramweave.llm.store import dropped, written
@@ -360,7 +361,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their sets of distinct ``shingle``-word shingles (A-Z in
-    lower case; a text of fewer words is one shingle).  component_id is the least doc_id that links reach, kept says it is the
+    lower case; a text of fewer words is one shingle).  doc_id is a whole number; ``drop_near_duplicates`` takes any.  component_id is the least doc_id that links reach, kept says it is the
     row's own.  Null, empty and blank texts have no shingles and are linked with nothing.  doc_id names a document: rows that
     repeat it are one document and share its component.  A null doc_id joins the component of an equal set with an id, else its
     component_id is null and it is kept.  No rows give no rows.
@@ -422,11 +423,11 @@ def repeated_ids(feats: DataFrame) -> bool:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows that are not the first of their component; rows with a null doc_id stay.
 
-    Where a doc_id is repeated or null, rows are linked by a number of their own, dealt once in the order of doc_id: rows that repeat a
+    Where a doc_id is repeated, null or no whole number, rows are linked by a number of their own, dealt once in the order of doc_id: rows that repeat a
     doc_id are compared by their own texts, and of equal ones a single row stays.
     """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    if ids.where("n > 1 or doc_id is null").isEmpty():
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType) and ids.where("n > 1 or doc_id is null").isEmpty():
         gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti")
     row = "_row"

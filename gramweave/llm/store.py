@@ -1,11 +1,12 @@
 """Tables written once into the folder that all executors share.
 
 Iterative operators cut their lineage by writing a table and reading it back, so a lost executor costs only the tasks it was
-running.  The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a single machine) one is made.
+running.  The folder is the cluster's ``spark.checkpoint.dir``; only in local mode (tests, a single machine) one is made where that is unset.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="gramweave-")
             spark.sparkContext.setCheckpointDir(root)
         uri = f"{root.rstrip('/')}/gramweave-{uuid.uuid4().hex}"

@@ -84,6 +84,17 @@ def test_string_ids(spark):
     assert [r.doc_id for r in clean(docs, items).collect()] == ["b"]
 
 
+def test_rows_are_judged_by_their_own_text(spark, monkeypatch):
+    docs, items = cases()
+    want = brute(docs, items)
+    d = spark.createDataFrame([(i % 50, t, i) for i, t in docs], "doc_id long, text string, hit int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, 40):
+        monkeypatch.setattr(decontaminate, "blocks", lambda items, size, limit=limit: decontaminate_blocks(items, size, limit))
+        left = clean(d, b)
+        assert left.columns == d.columns and {r.hit for r in left.collect()} == {i for i, x in want.items() if not x[4]}
+
+
 def test_empty_tables(spark):
     none, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert op3_decontamination(none, items).count() == 0

@@ -120,6 +120,12 @@ def test_rows_of_repeated_ids_are_dropped_one_by_one(spark):
     assert got == sorted([("1", "a b c"), ("1", "other text here"), ("4", long), ("5", "quite another one"), ("None", long + " y"), ("None", "n o n e")])
 
 
+def test_string_ids(spark):
+    rows = [("b", "x y z"), ("a", "X y z"), ("c", "other words"), ("d", None)]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 2)
+    assert sorted(r.doc_id for r in left.collect()) == ["a", "c", "d"]
+
+
 def test_posterior_bound():
     assert least_matches(160, 80, 1e-6) > 80
     assert least_matches(32, 80, 1e-6) < 25
