@@ -17,28 +17,47 @@ TOKENS = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the standard policy of the rule ledger rejects."""
+    """Drops what the standard policy of the rule ledger rejects.
+
+    Every row is judged by its own whole text: a null, empty or blank one has no words and goes, repeated rows and null ids are rows like all
+    others.  No rows give no rows; columns of any name stay.
+    """
     return quality_ledger.reject(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the tagger, fitted on the labelled documents of the stage's input, scores one half or more."""
+    """Drops documents that the tagger, fitted on the labelled documents of the stage's input, scores one half or more.
+
+    Labels of ids whose crc32 is a multiple of 5 are not learnt from.  Every row is judged by its own whole text; null and empty texts stay, and
+    without labelled rows of both classes all do.  A doc_id with both labels counts as unlabelled.  No rows give no rows; columns of any name stay.
+    """
     labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     return toxicity.reject(docs, toxicity.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: five-word shingles, similarity of 0.8 or more."""
+    """Keeps one document of each group, the least doc_id: five-word shingles, similarity of 0.8 or more.
+
+    Null, empty and blank texts are in no group.  Rows that repeat a doc_id are compared by their own texts and of equal ones one stays; rows with a
+    null doc_id link others but stay.  No rows give no rows; columns of any name stay.
+    """
     return near_dup.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that any window of a benchmark item occurs in."""
+    """Drops documents that any window of a benchmark item occurs in.
+
+    Every row is judged by its own whole text; null and wordless texts have no window, rows with a null doc_id stay.  Without items nothing goes.
+    No rows give no rows; columns of any name stay.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token_ids to every document; text is what decoding them gives."""
+    """Adds token_ids to every document; text is what decoding them gives.
+
+    A null text becomes empty, with no ids; a column token_ids of the input gives way.  Rows, repeated ones too, come out one for one.
+    """
     return bpe_tree.encode_documents(docs, public_tokenizers.path(TOKENS), public_tokenizers.PATTERN)
 
 
