@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gramweave.session import stored
 
@@ -29,51 +34,147 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
     return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-#: Distinct values of a range: what one task sorts.
-RANGE_ROWS = 500_000
+#: Rows of a range: what one task sorts.
+RANGE_ROWS = 200_000
+
+
+def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch once, with their number: a value that a third of all rows share reaches the sort a few times a task."""
+    for batch in batches:
+        names = batch.schema.names
+        rows = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")])
+        yield from rows.rename_columns([*names, "_n"]).combine_chunks().to_batches()
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Numbers that are equal where the column's values are."""
+    if column.null_count or not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return np.asarray(column.dictionary_encode("encode").indices)
+    return column.to_numpy()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (by, _value, _n) of a range come sorted; each distinct value with its rows and the rows of its group before it in this range."""
+    part = TaskContext.get().partitionId()
+    held: tuple[list, float, int, int, pa.RecordBatch] | None = None  # key, value, count, start and the row's columns of the last run
+
+    def rows(columns: pa.RecordBatch, count: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        more = [pa.array(count, pa.int64()), pa.array(start, pa.int64()), pa.array(np.full(len(count), part), pa.int32())]
+        return pa.RecordBatch.from_arrays([*(columns.column(c) for c in (*by, "_value")), *more], [*by, "_value", "_count", "_inside", "_part"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        value, weight = batch.column("_value").to_numpy(), batch.column("_n").to_numpy()
+        group = np.ones(n, bool)
+        group[1:] = False
+        for c in by:
+            code = _codes(batch.column(c))
+            group[1:] |= code[1:] != code[:-1]
+        run = group.copy()
+        run[1:] |= value[1:] != value[:-1]
+        first = np.flatnonzero(run)
+        count = np.add.reduceat(weight, first)
+        before = np.r_[0, np.cumsum(count)[:-1]]
+        own = np.maximum.accumulate(np.where(group[first], np.arange(len(first)), 0))
+        start = before - before[own]
+        key = [batch.column(c)[0].as_py() for c in by]
+        if held is not None:
+            if held[0] == key:
+                start[own == 0] += held[3] + held[2]
+            if held[0] == key and held[1] == value[0]:
+                count[0] += held[2]
+                start[0] = held[3]
+            else:
+                yield rows(held[4], np.array([held[2]]), np.array([held[3]]))
+        columns = batch.take(pa.array(first))
+        yield rows(columns.slice(0, len(first) - 1), count[:-1], start[:-1])
+        last = columns.slice(len(first) - 1, 1)
+        held = [last.column(c)[0].as_py() for c in by], float(value[-1]), int(count[-1]), int(start[-1]), last
+    if held is not None:
+        yield rows(held[4], np.array([held[2]]), np.array([held[3]]))
 
 
 def positions(df: DataFrame, by: Sequence[str], value: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(by, value, _count, _start, _total): each distinct value of a group, how often it stands there, how many smaller ones there are,
     and the group's rows.
 
-    No task holds a group: distinct values are dealt to ranges, a range is summed by itself and starts after the rows of its group in the
-    ranges before it.  Ties are counted first, so a value that a third of all rows share is one row.
+    No task holds a group: rows are dealt to ranges by one sort, a range counts its runs and starts after the rows of its group in the ranges
+    before it.  Ties are counted before the sort.  ``value`` is read as a double; rows without it are left out.
     """
-    counts = stored(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count")), "value-counts")
-    n = max(1, -(-counts.count() // range_rows))
-    ranged = stored(counts.repartitionByRange(n, *by, value).withColumn("_part", F.spark_partition_id()), "value-ranges")
+    rows = df.select(*by, F.col(value).cast("double").alias("_value")).where("_value is not null")
+    fields = list(rows.schema.fields)
+    counted = stored(rows.mapInArrow(_compacted, StructType([*fields, StructField("_n", LongType())])), "value-counts")
+    n = max(1, -(-counted.count() // range_rows))
+    ranged = counted.repartitionByRange(n, *by, "_value").sortWithinPartitions(*by, "_value")
+    made = StructType([*fields, StructField("_count", LongType()), StructField("_inside", LongType()), StructField("_part", IntegerType())])
+    ranged = stored(ranged.mapInArrow(partial(_runs, by=list(by)), made), "value-ranges")
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sums = ranged.groupBy("_part", *by).agg(F.sum("_count").alias("_n"))
     starts = sums.select("_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("_total"))
-    inside = F.coalesce(F.sum("_count").over(W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.withColumn("_inside", inside).join(starts, ["_part", *by])
-    return placed.select(*by, value, "_count", (F.col("_before") + F.col("_inside")).alias("_start"), "_total")
+    placed = ranged.join(starts, ["_part", *by])
+    return placed.select(*by, F.col("_value").alias(value), "_count", (F.col("_before") + F.col("_inside")).alias("_start"), "_total")
+
+
+def _long(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(by, _column, _value): the defined values of several columns, each by its place among ``columns``."""
+    cells = F.array(*(F.struct(F.lit(k).alias("_column"), F.col(c).cast("double").alias("_value")) for k, c in enumerate(columns)))
+    return df.select(*by, F.inline(cells)).where("_value is not null")
+
+
+AVERAGE_RANK = "_start + (_count + 1) / 2.0"
 
 
 def average_rank_by_ranges(df: DataFrame, by: Sequence[str], value: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``average_rank`` for groups too large for one task."""
-    ranks = positions(df, by, value, range_rows).select(*by, value, (F.col("_start") + (F.col("_count") + 1) / 2.0).alias(out))
+    """``average_rank`` for groups too large for one task; rows without a value are left out."""
+    ranks = positions(df, by, value, range_rows).select(*by, value, F.expr(AVERAGE_RANK).alias(out))
     return df.join(ranks, [*by, value])
 
 
-def order_points(df: DataFrame, by: Sequence[str], columns: Sequence[str], points: Sequence[float], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(by, _column, _lo, _hi, _at): per group and column, for each of ``points`` the values at the places around it among the column's
-    defined values, as arrays, and how far the point lies beyond the lower.  One pass serves all columns and points."""
-    cells = F.array(*(F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns))
-    long = df.select(*by, F.inline(cells)).where("_value is not null")
-    place = positions(long, [*by, "_column"], "_value", range_rows)
-    exact = [F.lit(float(q)) * (F.col("_total") - 1) for q in points]
-    at = lambda k: F.max(F.when((F.col("_start") <= k) & (k < F.col("_start") + F.col("_count")), F.col("_value")))
-    found = place.groupBy(*by, "_column", "_total").agg(F.array(*(at(F.floor(x)) for x in exact)).alias("_lo"), F.array(*(at(F.ceil(x)) for x in exact)).alias("_hi"))
+#: Bins of a histogram and of all groups' histograms together.
+BINS, ALL_BINS = 4096, 2_000_000
+
+
+def order_points(df: DataFrame, by: Sequence[str], columns: Sequence[str], points: Sequence[float], range_rows: int = RANGE_ROWS, bins: int = BINS) -> DataFrame:
+    """(by, _column, _lo, _hi, _at): for each of ``points`` the values at the places around it among a column's defined values, as arrays, and how far
+    the point lies beyond the lower.  ``df`` is read three times and never sorted or shuffled as a whole:
+
+    its groups' least and largest values and counts; histograms of equal bins, of which the bins that hold the places are found; and the values in
+    these bins alone, counted and put in order.  Broadcast are one row for each group of the result and the bins it asks for.
+    """
+    long, keys = _long(df, by, columns), [*by, "_column"]
+    same = lambda a, b, more=(): reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*keys, *more)])
+    bounds = stored(long.groupBy(*keys).agg(F.min("_value").alias("_least"), F.max("_value").alias("_most"), F.count(F.lit(1)).alias("_all")), "bounds")
+    bins = max(16, min(bins, ALL_BINS // max(1, bounds.count())))
+    share = F.try_divide(F.col("_value") - F.col("_least"), F.col("_most") - F.col("_least"))
+    binned = long.alias("a").join(F.broadcast(bounds.alias("b")), same("a", "b")).select(*(F.col(f"a.{c}") for c in keys), "_value", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int").alias("_bin"))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_held"))
+    w = W.partitionBy(*keys).orderBy("_bin")
+    placed = counts.withColumn("_under", F.sum("_held").over(w) - F.col("_held")).withColumn("_all", F.sum("_held").over(W.partitionBy(*keys)))
+    exact = [F.lit(float(q)) * (F.col("_all") - 1) for q in points]
+    inside = lambda k: (F.col("_under") <= k) & (k < F.col("_under") + F.col("_held"))
+    asked = stored(placed.where(reduce(lambda x, y: x | y, [inside(f(x)) for x in exact for f in (F.floor, F.ceil)])), "bins")
+    chosen = binned.alias("a").join(F.broadcast(asked.alias("b")), same("a", "b", ["_bin"])).select(*(F.col(f"a.{c}") for c in (*keys, "_bin")), "_value", "_under", "_all")
+    extra = [*keys, "_bin", "_under", "_all"]
+    if (asked.agg(F.max("_held")).first()[0] or 0) <= range_rows:
+        values = chosen.groupBy(*extra, "_value").agg(F.count(F.lit(1)).alias("_count"))
+        values = values.withColumn("_inside", F.sum("_count").over(W.partitionBy(*keys, "_bin").orderBy("_value")) - F.col("_count"))
+    else:
+        values = positions(chosen, extra, "_value", range_rows).withColumnRenamed("_start", "_inside").select(*extra, "_value", "_count", "_inside")
+    start = F.col("_under") + F.col("_inside")
+    at = lambda k: F.max(F.when((start <= k) & (k < start + F.col("_count")), F.col("_value")))
+    found = values.groupBy(*keys, "_all").agg(F.array(*(at(F.floor(x)) for x in exact)).alias("_lo"), F.array(*(at(F.ceil(x)) for x in exact)).alias("_hi"))
     return found.select(*by, "_column", "_lo", "_hi", F.array(*(x - F.floor(x) for x in exact)).alias("_at"))
 
 
-def quantiles_by_ranges(df: DataFrame, by: Sequence[str], columns: Sequence[str], points: dict[str, float], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Exact, linearly interpolated quantiles <column>_<name> per ``by``, for groups too large for one task; NULL without defined values."""
-    rows = order_points(df, by, columns, list(points.values()), range_rows)
+def quantiles_by_ranges(df: DataFrame, by: Sequence[str], columns: Sequence[str], points: dict[str, float], range_rows: int = RANGE_ROWS, bins: int = BINS) -> DataFrame:
+    """Exact, linearly interpolated quantiles <column>_<name> per ``by``, for groups too large for one task; NULL without defined values.
+
+    ``df`` is read several times: a stored table."""
+    rows = order_points(df, by, columns, list(points.values()), range_rows, bins)
     mixed = F.zip_with(F.zip_with("_lo", "_hi", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), "_at", lambda x, f: x["lo"] * (1 - f) + x["hi"] * f)
-    wide = [F.max(F.when(F.col("_column") == c, mixed[k])).alias(f"{c}_{name}" if name else c) for c in columns for k, name in enumerate(points)]
+    wide = [F.max(F.when(F.col("_column") == i, mixed[k])).alias(f"{c}_{name}" if name else c) for i, c in enumerate(columns) for k, name in enumerate(points)]
     return rows.groupBy(*by).agg(*wide)
 
 
@@ -82,10 +183,14 @@ QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str, least: int = 3, ranges: bool = False) -> DataFrame:
     """STA3: one row per ``by`` with the rank correlation of x and y over rows where both are defined; ``ranges`` for groups of pairs,
-    which may be too long for one task."""
+    which may be too long for one task (``df`` is then read several times: a stored table)."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rank = average_rank_by_ranges if ranges else average_rank
-    ranked = rank(rank(rows, by, x, "_rx"), by, y, "_ry")
+    if ranges:
+        place = positions(_long(rows, by, [x, y]), [*by, "_column"], "_value")
+        rank = lambda k, c, name: place.where(F.col("_column") == k).select(*by, F.col("_value").alias(c), F.expr(AVERAGE_RANK).alias(name))
+        ranked = rows.select(*by, x, y).join(rank(0, x, "_rx"), [*by, x]).join(rank(1, y, "_ry"), [*by, y])
+    else:
+        ranked = average_rank(average_rank(rows, by, x, "_rx"), by, y, "_ry")
     return ranked.groupBy(*by).agg(pearson("_rx", "_ry", least).alias(out))
 
 

@@ -212,7 +212,7 @@ def subject_profiles(d: DataFrame) -> DataFrame:
 
 def cumulative_change(d: DataFrame, reference: float) -> DataFrame:
     """GEO14: per p against the reference, in per cent: scale contraction, shape change (of its maximum sqrt 2), pair rank loss."""
-    shaped = shape_and_scale(d)
+    shaped = shape_and_scale(stored(d, "distances"))
     ref = shaped.where(F.col("p") == reference).select("s", "t", F.col("shape").alias("shape0"), F.col("scale").alias("scale0"), F.col("d").alias("d0"))
     both = stored(shaped.join(ref, ["s", "t"]), "against-reference")
     moved = both.groupBy("p").agg((100 * (1 - F.first("scale") / F.first("scale0"))).alias("scale_contraction"), (100 * F.sqrt(2 * F.sum((F.col("shape") - F.col("shape0")) ** 2)) / 2**0.5).alias("shape_change"))
@@ -233,8 +233,8 @@ def deformation(d: DataFrame, reference: float, ranges: bool = True) -> DataFram
 
     Medians go by ranges; without ``ranges`` the pairs of a p are ranked in one task.
     """
-    ref = d.where(F.col("p") == reference).select("s", "t", F.col("d").alias("d0"))
-    both = stored(d.join(ref, ["s", "t"]), "against-reference")
+    first = F.max(F.when(F.col("p") == reference, F.col("d"))).over(W.partitionBy("s", "t"))
+    both = stored(d.select("p", "s", "t", "d", first.alias("d0")).where("d0 is not null"), "against-reference")
     level = both.groupBy("p").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean_distance"), F.avg("d0").alias("_a"))
     level = level.join(quantiles_by_ranges(both, ["p"], ["d", "d0"], {"middle": 0.5}), "p").withColumnsRenamed({"d_middle": "median_distance", "d0_middle": "_m"})
     rho = spearman(both, ["p"], "d0", "d", "distance_spearman_vs_p1", ranges=ranges)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,21 +99,51 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bad = np.isnan(x).all(axis=0) | (np.diag(x) == 0)
             e = np.linalg.eigvalsh(np.nan_to_num(x))
             share = np.clip(e, 0, None) / max(e.clip(0).sum(), 1e-300)
-            out.append((s, m, int((~bad).sum()), int((e > 1e-10).sum()), float(np.exp(-(share[share > 0] * np.log(share[share > 0])).sum())), float(e[0]), float(e[-1])))
-        yield pd.DataFrame(out, columns=["s", "m", "nonconstant", "matrix_rank", "effective_rank", "min_eig", "max_eig"])
+            condition = float(e[-1] / e[e > 1e-10][0]) if (e > 1e-10).any() else float("inf")
+            out.append((s, m, int((~bad).sum()), int((e > 1e-10).sum()), float(np.exp(-(share[share > 0] * np.log(share[share > 0])).sum())), float(e[0]), float(e[-1]), condition))
+        yield pd.DataFrame(out, columns=["s", "m", "nonconstant", "matrix_rank", "effective_rank", "min_eig", "max_eig", "condition"])
 
 
 def dimension_sweep(operators: DataFrame, sizes: list[int]) -> DataFrame:
-    """SEL9: per (s, m), the leading m x m block's rank, effective rank and eigenvalue range; units come in ranking order."""
+    """SEL9: per (s, m), the leading m x m block's rank, effective rank, eigenvalue range and condition (infinite without an eigenvalue over 1e-10); units
+    come in ranking order."""
     kind = dict(operators.dtypes)["s"]
     rows = operators.select("s", F.explode(F.array(*map(F.lit, sizes))).alias("m"), "n", "a")
-    return rows.mapInPandas(_sweep, f"s {kind}, m int, nonconstant int, matrix_rank int, effective_rank double, min_eig double, max_eig double")
+    return rows.mapInPandas(_sweep, f"s {kind}, m int, nonconstant int, matrix_rank int, effective_rank double, min_eig double, max_eig double, condition double")
 
 
 def recommendation(sweep: DataFrame, least_rank: float = 0.95) -> DataFrame:
-    """SEL10, FLT12: per m, shares of groups of full rank and without constant units; passes if both reach ``least_rank``; the largest passing m."""
+    """SEL10: per m, shares of groups of full rank and without constant units; passes if both reach ``least_rank``; the largest passing m."""
     full = F.avg((F.col("matrix_rank") == F.col("m")).cast("double"))
     varied = F.avg((F.col("nonconstant") == F.col("m")).cast("double"))
     rows = sweep.groupBy("m").agg(full.alias("full_rank_fraction"), varied.alias("nonconstant_fraction"), F.percentile("effective_rank", 0.5).alias("effective_rank_median"))
     passed = rows.withColumn("passes", (F.col("full_rank_fraction") >= least_rank) & (F.col("nonconstant_fraction") >= least_rank))
     return passed.withColumn("recommended", F.max(F.when(F.col("passes"), F.col("m"))).over(W.partitionBy()))
+
+
+#: The prespecified limits of ``passes``.
+LIMITS = {"q": 0.5, "stability": 0.75, "least_eig": -1e-8, "condition": 1e6}
+
+
+def rolled_up(sweep: DataFrame, observations: int, stabilities: DataFrame | None = None) -> DataFrame:
+    """SEL10: per m of a dimension sweep, q = m / observations, the mean stability (NULL if unknown; ``stabilities`` is (m, jaccard)), shares of groups
+    without constant units and of full rank, and the worst eigenvalue and condition."""
+    share = lambda c: F.avg((F.col(c) == F.col("m")).cast("double"))
+    rows = sweep.groupBy("m").agg(share("nonconstant").alias("nonconstant_fraction"), F.avg((F.col("matrix_rank") == F.col("nonconstant")).cast("double")).alias("full_rank_fraction"), F.min("min_eig").alias("least_eig"), F.max("condition").alias("condition"))
+    known = rows.select(F.lit(None).cast("int").alias("m"), F.lit(None).cast("double").alias("stability")).limit(0) if stabilities is None else stabilities.groupBy("m").agg(F.avg("jaccard").alias("stability"))
+    return rows.join(known, "m", "left").withColumn("q", F.col("m") / F.lit(float(observations)))
+
+
+def passes(rows: DataFrame, limits: Mapping[str, float] = LIMITS, unknown: bool = True) -> DataFrame:
+    """FLT12: ``rows`` (m, q, stability, nonconstant_fraction, full_rank_fraction, least_eig, condition) with whether all six rules hold, and the largest m that
+    passes (NULL: none).  ``unknown``: whether an unknown stability passes; any other unknown value does not."""
+    stable = F.coalesce(F.col("stability") >= limits["stability"], F.lit(unknown))
+    rules = stable & (F.col("q") <= limits["q"]) & (F.col("nonconstant_fraction") == 1) & (F.col("full_rank_fraction") == 1) & (F.col("least_eig") >= limits["least_eig"]) & (F.col("condition") <= limits["condition"])
+    out = rows.withColumn("passes", F.coalesce(rules, F.lit(False)))
+    return out.withColumn("recommended", F.max(F.when(F.col("passes"), F.col("m"))).over(W.partitionBy()))
+
+
+def smallest_sufficient(rows: DataFrame, levels: Mapping[str, float]) -> DataFrame:
+    """SEL10: one row: the smallest m whose named columns all reach their levels; NULL if none does."""
+    enough = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) >= level, F.lit(False)) for c, level in levels.items()])
+    return rows.agg(F.min(F.when(enough, F.col("m"))).alias("m"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramweave.operators import benchmark, construct, explain, figures, geometry, learning, posthoc, tables
+from gramweave.operators import benchmark, construct, explain, figures, geometry, learning, posthoc, selection, tables
 from gramweave.plans.inputs import COUNTS, DISTANCES, FOLDS, GRID, OPS, REPEATS, SPECTRA, SPLITS, SURROGATE, splits, supplier_distances, supplier_matrices, supplier_operators, surrogate, token_counts, vectors
 from gramweave.plans.learning_queries import CELLS, FOLD_ROWS, LOSS, TRAIN, fold_rows
 from gramweave.plans.registry import query, table
@@ -135,6 +135,38 @@ def flt19_normalised(spark: SparkSession, sf: str) -> DataFrame:
     return tables.normalised(rows, {"whole": "int", "name": "string", "no_number": "int"})
 
 
+RULE_ROWS = """
+ru as (select l_partkey as m, avg(l_discount) * 10 as q, case when any_value(l_partkey) % 3 > 0 then avg(l_quantity) / 30 end as stability, case when any_value(l_partkey) % 11 = 0 then 0.9 else 1.0 end as nonconstant_fraction, case when any_value(l_partkey) % 13 = 0 then 0.5 else 1.0 end as full_rank_fraction, (min(l_tax) - 0.01) * 1e-8 - 1e-9 as least_eig, max(l_extendedprice) * 10 as condition from lineitem group by l_partkey)"""
+
+
+def rule_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A row of each part's line items in the role of a dimension's statistics: about half break one rule or another."""
+    key = F.col("l_partkey")
+    return table(spark, sf, "lineitem").groupBy(key.alias("m")).agg(
+        (F.avg("l_discount") * 10).alias("q"), F.when(F.first(key) % 3 > 0, F.avg("l_quantity") / 30).alias("stability"), F.when(F.first(key) % 11 == 0, 0.9).otherwise(1.0).alias("nonconstant_fraction"),
+        F.when(F.first(key) % 13 == 0, 0.5).otherwise(1.0).alias("full_rank_fraction"), ((F.min("l_tax") - 0.01) * 1e-8 - 1e-9).alias("least_eig"), (F.max("l_extendedprice") * 10).alias("condition"),
+    )
+
+
+RULES = "q <= 0.5 and {stable} and nonconstant_fraction = 1 and full_rank_fraction = 1 and least_eig >= -1e-8 and condition <= 1e6"
+
+
+@query(f"select m, passes, max(case when passes then m end) over () as recommended from (select m, {RULES.format(stable='(stability is null or stability >= 0.75)')} as passes from ru)", (), RULE_ROWS)
+def flt12_pass_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.passes(rule_rows(spark, sf)).select("m", "passes", "recommended")
+
+
+@query(f"select m, passes, max(case when passes then m end) over () as recommended from (select m, coalesce({RULES.format(stable='stability >= 0.75')}, false) as passes from ru)", (), RULE_ROWS)
+def flt12_pass_rules_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """An unknown stability doesn't pass."""
+    return selection.passes(rule_rows(spark, sf), unknown=False).select("m", "passes", "recommended")
+
+
+@query("select min(m) as m from ru where stability >= 0.95 and q >= 0.5", (), RULE_ROWS)
+def sel10_smallest_sufficient(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.smallest_sufficient(rule_rows(spark, sf), {"stability": 0.95, "q": 0.5})
+
+
 # Joins
 
 

@@ -441,4 +441,4 @@ def sel11_preservation(spark: SparkSession, sf: str) -> DataFrame:
         cut = ops.select("s", F.array(*(F.element_at("rho", 3 * i + j + 1) for i in range(m) for j in range(m))).alias("rho"))
         one = geometry.frobenius(cut).join(full, ["s", "t"]).withColumn("m", F.lit(m))
         out = one if out is None else out.unionByName(one)
-    return stats.spearman(out, ["m"], "d", "d0", "spearman", ranges=True)
+    return stats.spearman(stored(out, "candidates"), ["m"], "d", "d0", "spearman", ranges=True)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gramweave.operators import figures, geometry, posthoc, tables
+from gramweave.operators import figures, geometry, posthoc, selection, tables
 from gramweave.plans.pipeline import Config, Run
 from gramweave.sources import checkpoints, readers
 
@@ -91,3 +91,22 @@ def test_pipeline_from_factors_and_from_spectra(spark, tmp_path):
     assert all(abs(low[k] - full[k]) < 1e-9 and abs(known[k] - full[k]) < 1e-12 for k in full)
     with pytest.raises(ValueError, match="need operators"):
         Run(spark, f"{tmp_path}/d", Config("x"), None, subjects, spectra=geometry.spectra(dense))
+
+
+def test_six_rules(spark):
+    good = (4, 0.2, 0.9, 1.0, 1.0, 0.0, 10.0)
+    rows = [good] + [(10 + k, *(v if i != k else bad for i, v in enumerate(good[1:]))) for k, bad in enumerate((0.6, 0.5, 0.9, 0.9, -1e-3, 1e9))] + [(3, 0.2, None, 1.0, 1.0, 0.0, 10.0), (30, 0.2, 0.9, 1.0, 1.0, None, 10.0)]
+    df = spark.createDataFrame(rows, "m int, q double, stability double, nonconstant_fraction double, full_rank_fraction double, least_eig double, condition double")
+    assert {r.m for r in selection.passes(df).where("passes").collect()} == {3, 4}
+    assert {(r.m, r.recommended) for r in selection.passes(df, unknown=False).where("passes").collect()} == {(4, 4)}
+    assert selection.smallest_sufficient(df, {"stability": 0.9, "full_rank_fraction": 1.0}).first().m == 4
+    assert selection.smallest_sufficient(df, {"stability": 0.99}).first().m is None
+
+
+def test_roll_up_of_a_sweep(spark):
+    sweep = selection.dimension_sweep(spark.createDataFrame([(1, 3, [1.0, 0.5, 0.0, 0.5, 1.0, 0.0, 0.0, 0.0, 1.0]), (2, 3, [1.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "s int, n int, a array<double>"), [2, 3])
+    known = spark.createDataFrame([(2, 0.8), (2, 0.9)], "m int, jaccard double")
+    got = {r.m: r for r in selection.rolled_up(sweep, 10, known).collect()}
+    assert (got[2].q, round(got[2].stability, 9), got[2].full_rank_fraction) == (0.2, 0.85, 0.5) and got[3].stability is None
+    assert np.isclose(got[2].condition, 3.0) and abs(got[2].least_eig) < 1e-12
+    assert selection.rolled_up(sweep, 10).where("stability is not null").isEmpty()

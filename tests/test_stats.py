@@ -33,8 +33,8 @@ def test_quantiles_by_ranges_equal_percentiles(spark):
     df = spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
     points = {"low": 0.025, "q25": 0.25, "median": 0.5, "high": 0.975, "top": 1.0}
     want = {w.g: w for w in df.groupBy("g").agg(*(F.percentile(c, q).alias(f"{c}_{n}") for c in "xy" for n, q in points.items())).collect()}
-    for size in (7, 50, 10_000):
-        got = {w.g: w for w in stats.quantiles_by_ranges(df, ["g"], ["x", "y"], points, range_rows=size).collect()}
+    for size, bins in ((7, 4096), (2, 16), (10_000, 4096), (10_000, 16)):
+        got = {w.g: w for w in stats.quantiles_by_ranges(df, ["g"], ["x", "y"], points, range_rows=size, bins=bins).collect()}
         assert got.keys() == want.keys()
         for g in got:
             for c in [f"{c}_{n}" for c in "xy" for n in points]:
