@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +45,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -53,10 +57,8 @@ def dropped(*tables: DataFrame) -> None:
     """
     spark = tables[0].sparkSession
     for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if folder.startswith(shared_dir(spark)):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     spark._jvm.System.gc()
 
 
