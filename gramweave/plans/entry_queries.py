@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from gramweave.plans.inputs import COUNTS, DISTANCES, FOLDS, GRID, OPS, REPEATS,
 from gramweave.plans.learning_queries import CELLS, FOLD_ROWS, LOSS, TRAIN, fold_rows
 from gramweave.plans.registry import query, table
 from gramweave.session import new_path, stored
-from gramweave.sources import checkpoints, readers
+from gramweave.sources import audio, checkpoints, readers
 
 # Array files and checkpoints
 
@@ -71,6 +73,26 @@ def src16_layer_choice(spark: SparkSession, sf: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def _recorded(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    for frame in frames:
+        for path, samples in zip(frame["path"], frame["samples"], strict=True):
+            checkpoints.put(fs, f"{root}/{path}", audio.wav_bytes(np.asarray(samples), 16000))
+        yield pd.DataFrame({"path": frame["path"]})
+
+
+@query("select case when c_nationkey % 3 = 0 then 'abnormal' else 'normal' end as kind, 'id_' || lpad(cast(c_nationkey as varchar), 2, '0') as machine, 16000 as rate, count(*) as n_samples, sum(round_even(c_acctbal, 0)) / 32768 as total from customer group by all", ["total"])
+def src17_recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """Each nation's account balances as a recording of 16 bit integers, written and read back."""
+    folder, nation = new_path(spark, "wav"), F.col("c_nationkey")
+    samples = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.bround("c_acctbal", 0).cast("int").alias("v")))), lambda x: x["v"])
+    rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(samples.alias("samples"))
+    named = rows.select(F.concat(F.when(nation % 3 == 0, "abnormal/").otherwise("normal/"), F.format_string("id_%d/a.wav", "c_nationkey")).alias("path"), "samples")
+    stored(named.mapInPandas(partial(_recorded, folder=folder), "path string"), "written")
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return audio.recordings(spark, folder).select("kind", "machine", "rate", F.size("samples").cast("long").alias("n_samples"), total.alias("total"))
+
+
 FAULTY = DISTANCES + """,
 whole as (select p, s, t, d from d union all select p, t, s, d from d union all select p, s, s, 0.0 from ops, grid),
 bad as (select p, s, t, case when p = 1.5 and s % 4 = 0 then 'nan'::double when p = 2 and s < t and s % 2 = 0 then d + 1 when p = 4 and s % 7 = 0 then -1 - d when p = 16 and s = t and s % 3 = 0 then 0.5 else d end as d from whole where not (p = 1 and s % 3 = 0 and t % 5 = 0))"""

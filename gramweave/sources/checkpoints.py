@@ -24,7 +24,7 @@ from gramweave.sources.readers import archive_npz
 PLACES = ("/checkpoints/p%02d_fold%03d.npz", "/checkpoints/p%02d_fold_%03d.npz", "/p%02d_fold%03d.npz")
 
 
-def _put(fs: pyarrow.fs.FileSystem, path: str, data: bytes) -> None:
+def put(fs: pyarrow.fs.FileSystem, path: str, data: bytes) -> None:
     """A file is complete or not there: an attempt writes under a name of its own and renames it."""
     draft = f"{path}.{uuid.uuid4().hex}"
     fs.create_dir(path.rpartition("/")[0], recursive=True)
@@ -43,7 +43,7 @@ def _write(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame
                 np.save(out, next(iter(made.values())))
             else:
                 np.savez_compressed(out, **made)
-            _put(fs, f"{root}/{name}", out.getvalue())
+            put(fs, f"{root}/{name}", out.getvalue())
         yield pd.DataFrame({"path": frame["path"]})
 
 

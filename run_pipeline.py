@@ -1,31 +1,19 @@
-"""Command line: run_pipeline.py --config settings.yaml --operators operators.parquet --subjects subjects.parquet --output folder."""
+"""Command line: run_pipeline.py --config settings.yaml --operators operators.parquet --subjects subjects.parquet --output folder,
+or run_pipeline.py COMMAND ..., with one of the commands that run_pipeline.py --help lists."""
 
 from __future__ import annotations
 
-import argparse
-import json
+import sys
 
-from gramweave.plans.pipeline import Config, run
+from gramweave.plans.commands import execute
 from gramweave.session import session
-from gramweave.sources.writers import report
 
 
 def main() -> None:
-    parser = argparse.ArgumentParser(description=__doc__)
-    for name in ("config", "operators", "subjects", "output"):
-        parser.add_argument(f"--{name}", required=True)
-    a = parser.parse_args()
-    with open(a.config) as f:
-        if a.config.endswith(".json"):
-            settings = json.load(f)
-        else:
-            import yaml
-
-            settings = yaml.safe_load(f)
-    spark = session("gramweave-pipeline")
-    tables = run(spark, a.output, Config.load(settings), spark.read.parquet(a.operators), spark.read.parquet(a.subjects))
-    for stage, df in tables.items():
-        print(stage, report(df), sep="\n")
+    arguments = sys.argv[1:]
+    if arguments and arguments[0] == "--config":
+        arguments = ["pipeline", *arguments]
+    execute(session("gramweave-pipeline"), arguments)
 
 
 if __name__ == "__main__":
