@@ -118,7 +118,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.stack([c.to_numpy() for c in batch.columns])
         if not rows.shape[1]:
             continue
-        key, first = rows[0], rows[1].copy()
+        key = rows[0]
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         first = np.repeat(rows[1][begin], np.diff(np.r_[begin, len(key)]))
         keep = np.zeros(len(key), bool)
@@ -231,7 +231,7 @@ class Cell:
         """
         own, n = self.component(part), len(shingles) // 8
         some = np.flatnonzero((self.parts[:among] != own) & near(self.sizes[:among], n, percent))
-        if len(some) and bands is not None:
+        if len(some):
             some = some[first_shared(np.frombuffer(bands, np.uint32), self.bands[some], self.key)]
         if len(some):
             some = some[screen(np.frombuffer(signature, np.uint16)[None, :], self.signatures[some], percent)]
@@ -330,8 +330,8 @@ def _rest(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     # A bucket of one block is the cell (0, 0); else blocks 0 to others - 1 hold what is outside the main component.
     cut = lambda size: F.greatest(F.lit(1), F.ceil(size / CELL_BYTES)).cast("int")
     plan = largest.select("key", F.col("main.part").alias("main"), (F.col("size") <= CELL_BYTES).alias("whole"), cut(F.col("size") - F.col("main.size")).alias("others"), cut(F.col("main.size")).alias("blocks"))
-    hashed, outside = F.abs(F.xxhash64("id", F.lit("block"))), F.col("part") != F.col("main")
-    block = F.when(F.col("whole"), 0).when(outside, hashed % F.col("others")).otherwise(F.col("others") + hashed % F.col("blocks")).cast("int")
+    dealt_to = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n))
+    block = F.when(F.col("whole"), 0).when(F.col("part") != F.col("main"), dealt_to("others")).otherwise(F.col("others") + dealt_to("blocks")).cast("int")
     total = F.when(F.col("whole"), 1).otherwise(F.col("others") + F.col("blocks"))
     cells = F.filter(F.transform(F.sequence(F.lit(0), total - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"))), lambda c: F.col("whole") | (c["i"] < F.col("others")))
     rows = placed.join(plan, "key").withColumn("block", block).select("key", "id", "n", "part", "block", F.inline(cells)).withColumn("role", (F.col("block") != F.col("i")).cast("int"))

@@ -1,5 +1,8 @@
 import random
 import re
+from collections import Counter
+
+import pyarrow as pa
 
 from gramweave.llm import near_dup
 from gramweave.llm.near_dup import drop_near_duplicates, least_matches, near_duplicates
@@ -126,6 +129,20 @@ def test_string_ids(spark):
     assert sorted(r.doc_id for r in left.collect()) == ["a", "c", "d"]
 
 
+def test_buckets_over_batches():
+    """Runs of equal keys that batches cut anywhere."""
+    r = random.Random(4)
+    for _ in range(200):
+        rows = sorted((r.randrange(6), i, r.randrange(1, 5)) for i in range(r.randrange(12)))
+        cuts = sorted(r.randrange(len(rows) + 1) for _ in range(3))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], pa.int64()) for k in range(3)], ["key", "id", "n"]) for part in parts]
+        got = [tuple(x.values()) for b in near_dup._buckets(iter(batches)) for x in b.to_pylist()]
+        members = Counter(k for k, _, _ in rows)
+        lead = {k: min(i for q, i, _ in rows if q == k) for k in members}
+        assert got == [(k, i, n, lead[k]) for k, i, n in rows if members[k] > 1]
+
+
 def test_posterior_bound():
     assert least_matches(160, 80, 1e-6) > 80
     assert least_matches(32, 80, 1e-6) < 25
