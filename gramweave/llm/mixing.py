@@ -103,9 +103,9 @@ src as (select k, sum(size)::bigint as source_size from sized group by k),
 weighed as (select k, source_size, {list(WEIGHTS)}[(row_number() over (order by k) - 1) % {len(WEIGHTS)} + 1] as w, {CAP} * source_size as most from src),
 turn as (select *, sum(source_size) over () as total, sum(w) over () as weights, coalesce(sum(most) over b, 0) as most_before, coalesce(sum(w) over b, 0) as w_before
   from weighed window b as (order by most / w, k rows between unbounded preceding and 1 preceding)),
-capped as (select *, w * (total - most_before) / (weights - w_before) > most as full from turn),
-rest as (select any_value(total) - coalesce(sum(most) filter (full), 0) as spare, any_value(weights) - coalesce(sum(w) filter (full), 0) as share from capped),
-aims as (select k, source_size, case when full then most::double else (w * spare / share)::double end as target from capped, rest),
+capped as (select *, w * (total - most_before) / (weights - w_before) > most as is_full from turn),
+rest as (select any_value(total) - coalesce(sum(most) filter (is_full), 0) as spare, any_value(weights) - coalesce(sum(w) filter (is_full), 0) as share from capped),
+aims as (select k, source_size, case when is_full then most::double else (w * spare / share)::double end as target from capped, rest),
 steps as (select k, source_size, target, case when source_size > 0 then least({CAP * UNITS}, floor(target * {float(UNITS)} / source_size + 0.5)::bigint) else 0 end as e,
   cast('0x' || substr(md5('mix|' || k), 1, 10) as bigint) as u from aims),
 placed as (select sized.*, row_number() over (partition by k order by size, doc_id nulls first)::hugeint as i from sized)
