@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gramweave.llm import bpe_tree, decontaminate, html_extract, lm_score, mixing, near_dup, quality_ledger, sharding, toxicity, url_filter, warc
+from gramweave.llm import bpe_tree, decontaminate, html_extract, lm_score, mixing, near_dup, quality_ledger, sharding, spelling, toxicity, url_filter, warc
 from gramweave.llm.store import table
 
 TOKENS = "byte_bpe_multi_50k.tiktoken"
@@ -61,8 +61,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op11_mixing(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op12_spelling(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_decontamination, op4_quality_rules, op5_sharding, op6_toxicity, op7_lm_scoring, op8_warc, op9_html_extraction, op10_bpe, op11_mixing, quality_ablations)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_decontamination, op4_quality_rules, op5_sharding, op6_toxicity, op7_lm_scoring, op8_warc, op9_html_extraction, op10_bpe, op11_mixing, op12_spelling, quality_ablations)
 }
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontaminate.SQL, "op4_quality_rules": quality_ledger.SQL, "quality_ablations": quality_ledger.ABLATIONS_SQL, "op5_sharding": sharding.SQL, "op7_lm_scoring": lm_score.SQL, "op8_warc": warc.SQL, "op11_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontaminate.SQL, "op4_quality_rules": quality_ledger.SQL, "quality_ablations": quality_ledger.ABLATIONS_SQL, "op5_sharding": sharding.SQL, "op7_lm_scoring": lm_score.SQL, "op8_warc": warc.SQL, "op11_mixing": mixing.SQL, "op12_spelling": spelling.SQL}
