@@ -122,7 +122,9 @@ def factor_density(b: DataFrame) -> DataFrame:
     return b.join(other, ["s", "t"]).groupBy("s", F.col("unit").alias("unit_i"), "unit_j").agg(F.sum(F.col("b") * F.col("c")).alias("v"))
 
 
-def log_normalised(counts: DataFrame, scale: float = 1e4) -> DataFrame:
-    """OPR7: ln(1 + count * scale / library) of (cell, gene, count); a cell without counts gives 0."""
-    library = F.sum("count").over(W.partitionBy("cell"))
-    return counts.withColumn("x", F.coalesce(F.log1p(F.try_divide(F.col("count") * scale, library)), F.lit(0.0)))
+def log_normalised(counts: DataFrame, scale: float = 1e4, library: str | None = None) -> DataFrame:
+    """OPR7: ln(1 + count * scale / library) of (cell, gene, count); a cell without counts gives 0.
+
+    ``library`` names a column that has each cell's total already, so that its rows need not meet."""
+    total = F.sum("count").over(W.partitionBy("cell")) if library is None else F.col(library)
+    return counts.withColumn("x", F.coalesce(F.log1p(F.try_divide(F.col("count") * scale, total)), F.lit(0.0)))

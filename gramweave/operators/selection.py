@@ -14,14 +14,23 @@ from pyspark.sql import functions as F
 from gramweave.operators.spectral import selections
 
 
+def donor_sums(values: DataFrame) -> DataFrame:
+    """SEL1: sums, sums of squares and detected cells of (donor, gene, x), one row a cell and gene; those of parts add up (``merged_sums``)."""
+    return values.groupBy("donor", "gene").agg(F.sum("x").alias("sum_x"), F.sum(F.col("x") ** 2).alias("sum_x2"), F.count_if(F.col("x") > 0).alias("detected"))
+
+
+def merged_sums(parts: DataFrame) -> DataFrame:
+    """SEL1: ``donor_sums`` of the whole from those of disjoint parts."""
+    return parts.groupBy("donor", "gene").agg(*(F.sum(c).alias(c) for c in ("sum_x", "sum_x2", "detected")))
+
+
 def group_statistics(values: DataFrame, cells: DataFrame) -> DataFrame:
     """SEL1: per (donor, gene), sums, sums of squares and detected cells of sparse (cell, gene, x), with the donor's number of cells.
 
     ``cells`` is (cell, donor); a gene that a cell does not list is 0, so means divide by all cells of the donor.
     """
     size = cells.groupBy("donor").agg(F.count(F.lit(1)).alias("n_cells"))
-    sums = values.join(cells, "cell").groupBy("donor", "gene").agg(F.sum("x").alias("sum_x"), F.sum(F.col("x") ** 2).alias("sum_x2"), F.count_if(F.col("x") > 0).alias("detected"))
-    return sums.join(size, "donor")
+    return donor_sums(values.join(cells, "cell")).join(size, "donor")
 
 
 def gene_statistics(stats: DataFrame, cells: DataFrame) -> DataFrame:

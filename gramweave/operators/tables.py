@@ -91,3 +91,11 @@ def interpolated(df: DataFrame, value: str, points: DataFrame, out: str) -> Data
     on = ((at >= F.col("x")) | F.col("before").isNull()) & ((at < F.col("x1")) | high)
     y = F.when(low | high, F.col("y")).otherwise(F.col("y") + (at - F.col("x")) / (F.col("x1") - F.col("x")) * (F.col("y1") - F.col("y")))
     return df.join(F.broadcast(ends), on, "left").withColumn(out, y).drop("x", "y", "x1", "y1", "before")
+
+
+def run_lengths(values: Column) -> Column:
+    """Distinct values of an array and how often each occurs, as an array of (value, count) in their order, inside the row; ``values`` is a
+    sorted array of a column of its own."""
+    starts = F.filter(F.transform(values, lambda x, i: F.when(F.get(values, i - 1).isNull() | (x != F.get(values, i - 1)), i)), lambda i: i.isNotNull())
+    ends = F.slice(F.concat(starts, F.array(F.size(values))), F.lit(2), F.size(starts))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(values, a).alias("value"), (b - a).cast("long").alias("count")))

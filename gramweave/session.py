@@ -27,16 +27,21 @@ def session(app: str = "gramweave", master: str | None = None, **conf: str) -> S
     return builder.config(map=settings).getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode without one a new temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gramweave-")
+    return root.rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A folder in the store that all executors share (spark.checkpoint.dir); removed when the driver's JVM ends."""
+    """A folder in the store that all executors share; removed when the driver's JVM ends."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="gramweave-")
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/run-{uuid.uuid4().hex}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/run-{uuid.uuid4().hex}")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         fs.mkdirs(path)
         fs.deleteOnExit(path)
