@@ -100,7 +100,7 @@ def _fit(d: np.ndarray, ids: np.ndarray, y: np.ndarray, test: np.ndarray, key: t
 
 
 def _fit_folds(rows: pd.DataFrame, held: pd.DataFrame, grid: Grid) -> pd.DataFrame:
-    """One (p, repeat) and a share of its folds: the distance matrix is made once."""
+    """One (p, repeat) and some of its folds: the distance matrix is made once."""
     names = [x.split()[0] for x in FOLD_SCHEMA.split(", ")]
     held = held.sort_values("s")
     ids, y, fold = held["s"].to_numpy(), held["y"].to_numpy(int), held["fold"].to_numpy(int)
@@ -112,23 +112,30 @@ def _fit_folds(rows: pd.DataFrame, held: pd.DataFrame, grid: Grid) -> pd.DataFra
     i, j = (np.searchsorted(ids, pairs[c][known]) for c in ("s", "t"))
     d[i, j] = d[j, i] = pairs["d"][known]
     key = float(rows["p"].iloc[0]), int(held["repeat"].iloc[0])
-    share, shares = int(held["share"].iloc[0]), int(held["shares"].iloc[0])
-    return pd.DataFrame([_fit(d, ids, y, fold == f, (*key, f), grid) for f in np.unique(fold).tolist() if f % shares == share], columns=names)
+    return pd.DataFrame([_fit(d, ids, y, fold == f, (*key, f), grid) for f in sorted(held["folds"].iloc[0])], columns=names)
 
 
-def nested_cv(d: DataFrame, subjects: DataFrame, splits: DataFrame, grid: Grid, shares: int | None = None) -> DataFrame:
+def fold_units(d: DataFrame, splits: DataFrame) -> DataFrame:
+    """(p, repeat, fold) of every fit."""
+    return splits.select("repeat", "fold").distinct().join(F.broadcast(d.select("p").distinct())).select("p", "repeat", "fold")
+
+
+def nested_cv(d: DataFrame, subjects: DataFrame, splits: DataFrame, grid: Grid, shares: int | None = None, only: DataFrame | None = None, packed: DataFrame | None = None) -> DataFrame:
     """LRN4, LRN5, LRN7: one row per (p, repeat, fold) with the chosen parameters, every subject's score and the signed duals.
 
     A task holds one distance matrix, whose size is the number of subjects squared, and fits the folds of a repeat that fall into one of
-    ``shares``; by default every fold is a task of its own.  The packed distances alone are copied for them.
+    ``shares``; by default every fold is a task of its own.  The packed distances alone are copied for them; ``packed`` has them
+    already.  ``only`` (p, repeat, fold) names the fits to be made.
     """
-    packed = packed_pairs(d.select("p", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"), "d"))
+    if packed is None:
+        packed = packed_pairs(d.select("p", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"), "d"))
     shares = shares or max(1, splits.select("fold").distinct().count())
     labels = subjects.select(F.col("s").cast("long").alias("s"), F.col("y").cast("int").alias("y"))
-    tasks = splits.select("repeat").distinct().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    held = splits.select("repeat", "fold", F.col("s").cast("long").alias("s")).join(labels, "s").join(tasks, "repeat").withColumn("shares", F.lit(shares))
-    left = packed.crossJoin(F.broadcast(tasks)).groupBy("p", "repeat", "share")
-    right = stored(held.crossJoin(F.broadcast(packed.select("p").distinct())), "held").groupBy("p", "repeat", "share")
+    units = fold_units(packed, splits) if only is None else only
+    tasks = stored(units.groupBy("p", "repeat", (F.col("fold") % shares).alias("share")).agg(F.collect_set("fold").alias("folds")), "tasks")
+    held = splits.select("repeat", "fold", F.col("s").cast("long").alias("s")).join(labels, "s")
+    left = packed.join(F.broadcast(tasks.select("p", "repeat", "share")), "p").groupBy("p", "repeat", "share")
+    right = stored(held.join(F.broadcast(tasks), "repeat"), "held").groupBy("p", "repeat", "share")
     return left.cogroup(right).applyInPandas(lambda rows, held: _fit_folds(rows, held, grid), FOLD_SCHEMA)
 
 

@@ -13,7 +13,8 @@ from gramweave.operators import construct, decision, explain, geometry, learning
 from gramweave.plans.geometry_queries import supplier_metrics
 from gramweave.plans.inputs import DISTANCES, GRID, SEED, SPECTRA, SPLITS, SURROGATE, splits, supplier_distances, supplier_operators, suppliers, surrogate
 from gramweave.plans.registry import query, table
-from gramweave.session import stored
+from gramweave.session import new_path, stored
+from gramweave.sources.writers import by_units
 
 #: The reference's 29 gammas, 7 penalties and 5 inner folds.
 MACHINE = learning.Grid(seed=SEED)
@@ -50,6 +51,19 @@ def lrn4_5_7_nested_cv(spark: SparkSession, sf: str) -> DataFrame:
     return fits.select("p", "repeat", "fold", "gamma", "c", "inner_auc", "converged", "inner_converged").join(auc, ["p", "repeat", "fold"], "left")
 
 
+@query("select p, repeat, fold, 1.0 as gamma, count(*) as n_subjects, count(*) filter (own = fold) as n_test, count(*) filter (own = fold and y = 1) as positives from (select repeat, fold as own, s, y from spl join sub using (s)), (select distinct fold from spl), grid group by p, repeat, fold", ["gamma"], "grid as (select unnest([1.0, 1.5, 2.0, 4.0, 16.0]::double[]) as p),\n" + SPLITS)
+def snk9_lrn7_resumed_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Fits of one gamma and C in three runs into one table: the first repeat, then all, then nothing that is left."""
+    d, spl = stored(supplier_distances(spark, sf), "d"), stored(splits(spark, sf), "splits")
+    packed, path = geometry.packed_pairs(d), new_path(spark, "fits")
+    fit = lambda units: learning.nested_cv(d, suppliers(spark, sf), spl, learning.Grid((1.0,), (1.0,), 2), only=units, packed=packed)
+    units = learning.fold_units(d, spl)
+    for work in (units.where("repeat = 1"), units, units):
+        fits = by_units(work, path, learning.FOLD_SCHEMA, fit, 16)
+    rows = fits.select("p", "repeat", "fold", "gamma", F.inline(F.arrays_zip("test", "y")))
+    return rows.groupBy("p", "repeat", "fold", "gamma").agg(F.count(F.lit(1)).alias("n_subjects"), F.count_if("test").alias("n_test"), F.count_if((F.col("y") == 1) & F.col("test")).alias("positives"))
+
+
 @query()
 def lrn6_14_15_16_17_surfaces(spark: SparkSession, sf: str) -> DataFrame:
     points = stored(learning.surface_summary(learning.surface_rows(fitted(spark, sf), MACHINE)), "surface")

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from gramweave.functions.stats import roc_auc
 from gramweave.operators import decision, explain, geometry, learning, posthoc, spectral
-from gramweave.sources.writers import configuration_hash, try_read
+from gramweave.sources.writers import by_units, configuration_hash, try_read
 
+#: Fits that a broken run can lose.
+FITS = 64
 STAGES = ("classifier", "spectral", "decision", "xai", "summary")
 
 
@@ -65,8 +67,11 @@ class Run:
         self.factor_rows, self.known = factor_rows, spectra
         self.root = f"{folder.rstrip('/')}/{config.name}-{config.key}"
 
+    def path(self, stage: str, name: str) -> str:
+        return f"{self.root}/{1 + STAGES.index(stage):02d}_{stage}/{name}"
+
     def kept(self, stage: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        path = f"{self.root}/{1 + STAGES.index(stage):02d}_{stage}/{name}"
+        path = self.path(stage, name)
         found = try_read(self.spark, path)
         if found is None:
             make().write.mode("overwrite").parquet(path)
@@ -93,7 +98,10 @@ class Run:
 
     @property
     def fits(self) -> DataFrame:
-        return self.kept("classifier", "fits", lambda: learning.nested_cv(self.distances, self.subjects, self.splits, self.config.machine))
+        """All fits, made FITS at a time: a run that broke off goes on at the first batch that it had not written."""
+        packed = self.kept("classifier", "packed", lambda: geometry.packed_pairs(self.distances.withColumns({c: F.col(c).cast("long") for c in ("s", "t")})))
+        fit = lambda units: learning.nested_cv(self.distances, self.subjects, self.splits, self.config.machine, only=units, packed=packed.join(F.broadcast(units.select("p").distinct()), "p"))
+        return by_units(learning.fold_units(packed, self.splits), self.path("classifier", "fits"), learning.FOLD_SCHEMA, fit, FITS)
 
     @property
     def oof(self) -> DataFrame:

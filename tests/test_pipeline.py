@@ -3,6 +3,7 @@ import pytest
 
 from gramweave.operators import explain, geometry, learning, posthoc
 from gramweave.operators.simulate import toy_population
+from gramweave.plans import pipeline
 from gramweave.plans.pipeline import Config, run
 
 SETTINGS = {
@@ -28,6 +29,53 @@ def test_toy_pipeline(spark, tmp_path):
     assert all(r.all_close and r.same_grid for r in same)
 
 
+def test_a_killed_run_goes_on_at_its_open_folds(spark, tmp_path, monkeypatch):
+    """Two batches are fitted, the third breaks; the next run fits the open folds alone, and the table is that of a run in one go."""
+    config = Config.load(SETTINGS | {"pipeline": {"stages": ["classifier"]}})
+    toy = toy_population(spark, 16, 5, 3)
+    subjects = toy.select("s", "y")
+    monkeypatch.setattr(pipeline, "FITS", 5)
+    fit, asked = learning.nested_cv, []
+
+    def breaking(*a, only, **k):
+        asked.append([tuple(r) for r in only.collect()])
+        if len(asked) == 3:
+            raise RuntimeError("killed")
+        return fit(*a, only=only, **k)
+
+    monkeypatch.setattr(learning, "nested_cv", breaking)
+    with pytest.raises(RuntimeError, match="killed"):
+        run(spark, f"file://{tmp_path}/a", config, toy.select("s", "n", "rho"), subjects)
+    assert [len(x) for x in asked] == [5, 5, 2]
+    # What a broken append leaves beside whole rows is not read.
+    (left,) = tmp_path.glob("a/*/01_classifier/fits")
+    (left / "_temporary" / "0").mkdir(parents=True)
+    (left / "_SUCCESS").unlink()
+    run(spark, f"file://{tmp_path}/a", config, toy, subjects)
+    assert asked[3:] == [asked[2]]
+    broken = spark.read.parquet(f"file://{left}")
+    monkeypatch.setattr(learning, "nested_cv", fit)
+    run(spark, f"file://{tmp_path}/b", config, toy.select("s", "n", "rho"), subjects)
+    whole = spark.read.parquet(f"file://{next(tmp_path.glob('b/*/01_classifier/fits'))}")
+    key = lambda df: sorted((r.p, r.repeat, r.fold, r.gamma, r.c, r.score) for r in df.collect())
+    assert broken.count() == 12 and key(broken) == key(whole)
+
+
+def test_half_written_tables_are_made_anew(spark, tmp_path):
+    config = Config.load(SETTINGS | {"pipeline": {"stages": ["classifier"]}})
+    toy = toy_population(spark, 10, 4, 3)
+    job = pipeline.Run(spark, f"file://{tmp_path}", config, toy.select("s", "n", "rho"), toy.select("s", "y"))
+    whole = job.spectra.count()
+    for part in list(tmp_path.glob("*/01_classifier/spectra/part-*"))[::2]:
+        part.unlink()
+    (folder,) = tmp_path.glob("*/01_classifier/spectra")
+    (folder / "_SUCCESS").unlink()
+    assert job.spectra.count() == whole
+    for part in folder.glob("*"):
+        part.unlink()
+    assert job.spectra.count() == whole
+
+
 def test_stored_machine_is_reproduced(spark):
     toy = toy_population(spark, 20, 6, 3)
     d = geometry.distances(geometry.spectra(toy), (2.0,))
