@@ -16,7 +16,7 @@ from gramweave.plans.inputs import COUNTS, DISTANCES, FOLDS, GRID, OPS, REPEATS,
 from gramweave.plans.learning_queries import CELLS, FOLD_ROWS, LOSS, TRAIN, fold_rows
 from gramweave.plans.registry import query, table
 from gramweave.session import new_path, stored
-from gramweave.sources import audio, checkpoints, readers
+from gramweave.sources import arrays, audio, checkpoints, readers
 
 # Array files and checkpoints
 
@@ -31,6 +31,21 @@ def src3_snk3_matrix_npy(spark: SparkSession, sf: str) -> DataFrame:
     return construct.unpacked(read).select("s", F.col("i").cast("long"), F.col("j").cast("long"), "v")
 
 
+@query("""select label, block, row, embedding[4]::double as third, embedding[11]::double as tenth from (
+  select *, row_number() over (partition by label, block order by vec_id) - 1 as row from (select label, vec_id // 1000 as block, vec_id, embedding from embeddings)) where row >= 3 and row < 40""", ["third", "tenth"])
+def src6_npy_row_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors of a label and of a thousand ids as an array each, written, and read back in ranges of 8 rows: columns 3 and 10 of rows 3 to 39."""
+    folder = new_path(spark, "vectors")
+    own = table(spark, sf, "embeddings").select("label", F.floor(F.col("vec_id") / 1000).alias("block"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    rows = own.groupBy("label", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "e"))).alias("v"))
+    shape = F.array(F.array(F.size("v"), F.size(F.get("v", F.lit(0))["e"])))
+    files = rows.select(F.format_string("label_%d_block_%d.npy", "label", "block").alias("path"), F.array(F.lit("v")).alias("names"), shape.alias("shapes"), F.array(F.flatten(F.transform("v", lambda x: x["e"]))).alias("arrays"))
+    stored(checkpoints.array_files(files, folder), "written")
+    read = arrays.npy_rows(spark, folder, (3, 10), 8 * 64 * 8, 3, 40)
+    part = lambda k: F.regexp_extract("path", r"label_(\d+)_block_(\d+)", k)
+    return read.select(part(1).cast("int").alias("label"), part(2).cast("long").alias("block"), "row", F.get("values", F.lit(0)).alias("third"), F.get("values", F.lit(1)).alias("tenth"))
+
+
 def stored_folds(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """Every fold of the mean-difference machine as an archive; folds lie under each of the known names and under one that only a search finds."""
     folder, oof = new_path(spark, "folds"), stored(surrogate(spark, sf), "oof")

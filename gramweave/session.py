@@ -22,7 +22,7 @@ def session(app: str = "gramweave", master: str | None = None, **conf: str) -> S
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC"}
+    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.python.filterPushdown.enabled": "true"}
     settings |= {f"spark.executorEnv.{k}": v for k, v in BLAS.items()} | {k.replace("_", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
 
