@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gramweave.functions import kernels
+from gramweave.functions.masked import between, masked_pairs, masked_points, masked_sums, masks
 from gramweave.functions.stats import quantiles_by_ranges, spearman
 from gramweave.session import stored
 
@@ -285,21 +286,25 @@ def by_folds(d: DataFrame, splits: DataFrame, work: Callable[[dict[str, np.ndarr
     return left.cogroup(right).applyInPandas(folds, schema)
 
 
-def _diagnostics(pairs: dict[str, np.ndarray], train: np.ndarray, key: tuple) -> tuple:
-    d = pairs["d"][train]
-    some = d[d > 0]
-    middle, square = (float(np.median(x)) if len(x) else None for x in (some, some**2))
-    return (*key, float(np.sqrt(2 * (d**2).sum())), middle, square, 1 / square if square else None)
-
-
 def train_diagnostics(d: DataFrame, splits: DataFrame) -> DataFrame:
     """GEO17: per (p, repeat, fold), |D| of the train block, medians of d and d^2 over d > 0, and 1 / median d^2.
 
-    ``splits`` is (repeat, fold, s): the subjects held out; all others of the repeat train.
+    ``splits`` is (repeat, fold, s): the subjects held out; all others of the repeat train.  A subject's folds in which it trains are bits, and
+    a pair is in the train blocks of both its ends (``functions.masked``): no pair is copied for a fold, and none of a p meet.  The folds
+    of all repeats are numbered by the driver.
     """
+    folds = splits.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()
     kinds = dict(splits.dtypes)
-    schema = f"p double, repeat {kinds['repeat']}, fold {kinds['fold']}, S_train double, median_d double, median_d2 double, gamma_scale double"
-    return by_folds(d, splits, _diagnostics, schema)
+    numbered = d.sparkSession.createDataFrame([(r.repeat, r.fold, g) for g, r in enumerate(folds)], f"repeat {kinds['repeat']}, fold {kinds['fold']}, g int")
+    every = F.broadcast(numbered.withColumnRenamed("fold", "out"))
+    train = splits.join(every, "repeat").where("fold <> out").select("s", "g")
+    rows = d.select("p", "s", "t", "d", (F.col("d") * F.col("d")).alias("d2"), F.when(F.col("d") > 0, F.col("d")).alias("some"))
+    pairs = stored(masked_pairs(rows, masks(train, len(folds))).select("p", "d2", "some", "mask"), "train-pairs")
+    size = masked_sums(pairs, "p", ["d2"], len(folds)).select("p", "g", F.sqrt(2 * F.col("total")).alias("S_train"))
+    square = lambda c: F.col(c) * F.col(c)
+    middle = masked_points(pairs, "p", ["some"], len(folds)).select("p", "g", between("lo", "hi", "at").alias("median_d"), between(square("lo"), square("hi"), "at").alias("median_d2"))
+    out = size.join(middle, ["p", "g"], "left").join(F.broadcast(numbered), "g")
+    return out.select("p", "repeat", "fold", "S_train", "median_d", "median_d2", F.try_divide(F.lit(1.0), F.col("median_d2")).alias("gamma_scale"))
 
 
 def heterogeneity_ratio(shared: DataFrame, independent: DataFrame) -> DataFrame:
