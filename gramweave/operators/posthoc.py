@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import partial, reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,20 +18,51 @@ from gramweave.operators.learning import kernel
 from gramweave.session import stored
 
 
-def fragility(reference_scores: DataFrame, boundary: float = 0.5, gap: float = 0.1, blocks: int = 4) -> DataFrame:
+def _gaps_within(z: np.ndarray, x: float) -> int:
+    """Pairs of sorted ``z`` that lie no further apart than ``x``, by the very differences that doubles have."""
+    n = len(z)
+    at = np.searchsorted(z, z + x, "right")
+    # z + x is rounded, so the last one within reach may be a few places off.
+    while (more := (at < n) & (z[np.minimum(at, n - 1)] - z <= x)).any():
+        at = np.where(more, np.searchsorted(z, z[np.minimum(at, n - 1)], "right"), at)
+    while (less := z[at - 1] - z > x).any():
+        at = np.where(less, np.searchsorted(z, z[at - 1], "left"), at)
+    return int((at - np.arange(1, n + 1)).sum())
+
+
+def gap(z: np.ndarray, place: int) -> float:
+    """The gap at a place, from 0, of all pairs' gaps |z_i - z_j| in order, found by bisection over the doubles; no pair is made."""
+    z = np.sort(z)
+    lo, hi = 0, int(np.array([z[-1] - z[0]]).view(np.int64)[0])
+    while lo < hi:
+        middle = (lo + hi) // 2
+        lo, hi = (lo, middle) if _gaps_within(z, float(np.array([middle]).view(float)[0])) > place else (middle + 1, hi)
+    return float(np.array([lo]).view(float)[0])
+
+
+def _gap_points(rows: pd.DataFrame, points: dict[str, float]) -> pd.DataFrame:
+    z = rows["z"].dropna().to_numpy(float) + 0.0
+    last = len(z) * (len(z) - 1) // 2 - 1
+    out: dict[str, float | None] = dict.fromkeys(points)
+    for name, q in points.items():
+        if last >= 0:
+            at = q * last
+            lo, hi = (gap(z, int(k)) for k in (np.floor(at), np.ceil(at)))
+            out[name] = lo * (1 - at % 1) + hi * (at % 1)
+    return pd.DataFrame({"repeat": rows["repeat"].iloc[:1], **{k: [v] for k, v in out.items()}})
+
+
+def fragility(reference_scores: DataFrame, boundary: float = 0.5, near: float = 0.1) -> DataFrame:
     """PHC3, FLT11: per repeat at the reference p (rows: repeat, s, y, score), spread, class separation, share near the boundary and
-    quantiles of all pairs' gaps of robust z."""
+    quantiles of all pairs' gaps of robust z, by selection among a repeat's sorted subjects (N log N)."""
     z = robust_z(reference_scores, ["repeat"], "score", "z")
     level = z.groupBy("repeat").agg(
         F.count(F.lit(1)).alias("n_subjects"), F.stddev_samp("score").alias("score_sd_raw"), (F.percentile("score", 0.75) - F.percentile("score", 0.25)).alias("score_iqr_raw"),
         F.abs(F.avg(F.when(F.col("y") == 1, F.col("z"))) - F.avg(F.when(F.col("y") == 0, F.col("z")))).alias("class_separation_z"), F.avg((F.abs("z") < boundary).cast("double")).alias("near_boundary_fraction_z"),
     )
-    block = F.pmod(F.xxhash64("s"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = z.select("repeat", block.alias("b"), every.alias("c"), F.col("s").alias("s1"), F.col("z").alias("z1"))
-    right = z.select("repeat", every.alias("b"), block.alias("c"), F.col("s").alias("s2"), F.col("z").alias("z2"))
-    gaps = left.join(right, ["repeat", "b", "c"]).where("s1 < s2").select("repeat", F.abs(F.col("z1") - F.col("z2")).alias("g"))
-    q = gaps.groupBy("repeat").agg(F.percentile("g", gap).alias("pairwise_gap_q_value_z"), F.percentile("g", 0.5).alias("pairwise_gap_median_z"))
+    points = {"pairwise_gap_q_value_z": near, "pairwise_gap_median_z": 0.5}
+    kind = dict(reference_scores.dtypes)["repeat"]
+    q = stored(z.select("repeat", "z"), "z").groupBy("repeat").applyInPandas(lambda rows: _gap_points(rows, points), f"repeat {kind}, {', '.join(f'{c} double' for c in points)}")
     return level.join(q, "repeat", "left").withColumn("inverse_small_gap_z", 1 / F.greatest("pairwise_gap_q_value_z", F.lit(1e-12)))
 
 
@@ -138,18 +170,68 @@ def draws(subjects: DataFrame, seed: int, resamples: int, most: int = 1000) -> D
     return slots.withColumn("k", md5_int(seed, "b", "slot") % F.col("n")).join(numbered, "k").select("b", "slot", "s")
 
 
-def bootstrap(d: DataFrame, drawn: DataFrame, reference: float) -> DataFrame:
+def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of ``x`` in order, where runs of equal values begin among them, and the run of each place."""
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
+    return order, first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+
+
+def _weighted(x: np.ndarray, placed: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Median, and every value's average rank, as if each stood ``w`` times."""
+    order, first, run = placed
+    own = np.add.reduceat(w[order], first)
+    upto = np.cumsum(own)
+    middle = [x[order[first[np.searchsorted(upto, k, "right")]]] for k in ((upto[-1] - 1) // 2, upto[-1] // 2)]
+    ranks = np.empty(len(x))
+    ranks[order] = (upto - own + (own + 1) / 2)[run]
+    return (middle[0] + middle[1]) / 2, ranks
+
+
+def _resamples(rows: pd.DataFrame, times: pd.DataFrame) -> pd.DataFrame:
+    """All resamples of a share over one p's pairs: both orders are made once, a resample is a vector of weights."""
+    out = []
+    if len(rows) and len(times):
+        ids = np.unique(times["s"].to_numpy())
+        i, j = (np.searchsorted(ids, rows[c].to_numpy()) for c in ("s", "t"))
+        d, d0 = rows["d"].to_numpy(float), rows["d0"].to_numpy(float)
+        placed = _order(d), _order(d0)
+        for b, own in times.groupby("b"):
+            m = np.zeros(len(ids), np.int64)
+            m[np.searchsorted(ids, own["s"].to_numpy())] = own["m"].to_numpy()
+            w = m[i] * m[j]
+            n = int(w.sum())
+            if n:
+                (middle, r), (middle0, r0) = _weighted(d, placed[0], w), _weighted(d0, placed[1], w)
+                r, r0 = r - (n + 1) / 2, r0 - (n + 1) / 2
+                spread = (w @ (r * r)) * (w @ (r0 * r0))
+                rho = (w @ (r * r0)) / np.sqrt(spread) if n >= 3 and spread > 0 else None
+                out.append((rows["p"].iloc[0], b, n, None if middle0 == 0 else 100 * (1 - middle / middle0), None if rho is None else 100 * (1 - rho)))
+    return pd.DataFrame(out, columns=["p", "b", "n_pairs", "scale_contraction_pct", "ordering_loss_pct"])
+
+
+#: Resamples that share one task's order of pairs, where they draw from all subjects.
+SHARE = 50
+
+
+def bootstrap(d: DataFrame, drawn: DataFrame, reference: float, most: int = 1000) -> DataFrame:
     """PHC18: per (p, b), scale contraction and ordering loss in per cent over the drawn pairs; pairs of one subject with itself fall out.
 
-    A pair counts as often as its two subjects' copies meet, which their counts give without listing copies.
+    A pair counts as often as its two subjects' copies meet, which is a weight, never a copy.  Up to ``most`` subjects (as many as a resample
+    draws), SHARE resamples take the pairs of a p together; beyond, each takes the pairs that it draws.  Either way a task has no more than
+    ``most`` * (``most`` - 1) / 2 pairs.
     """
-    times = drawn.groupBy("b", "s").agg(F.count(F.lit(1)).alias("m"))
-    pairs = d.join(times.withColumnRenamed("m", "m1"), "s").join(times.select("b", F.col("s").alias("t"), F.col("m").alias("m2")), ["b", "t"])
+    times = stored(drawn.groupBy("b", "s").agg(F.count(F.lit(1)).alias("m")), "times")
+    subjects = d.select("s").union(d.select("t")).distinct().count()
+    share = F.floor(F.col("b") / (SHARE if subjects <= most else 1)).alias("share")
+    members = stored(times.select(share, "s").distinct(), "members")
     ref = d.where(F.col("p") == reference).select("s", "t", F.col("d").alias("d0"))
-    rows = pairs.join(ref, ["s", "t"]).select("p", "b", "d", "d0", F.explode(F.sequence(F.lit(1), (F.col("m1") * F.col("m2")).cast("int"))).alias("copy"))
-    scale = rows.groupBy("p", "b").agg(F.count(F.lit(1)).alias("n_pairs"), (100 * (1 - F.try_divide(F.percentile("d", 0.5), F.percentile("d0", 0.5)))).alias("scale_contraction_pct"))
-    rho = spearman(rows, ["p", "b"], "d", "d0", "rho").select("p", "b", (100 * (1 - F.col("rho"))).alias("ordering_loss_pct"))
-    return scale.join(rho, ["p", "b"])
+    pairs = d.select("p", "s", "t", "d").join(ref, ["s", "t"]).join(members, "s").join(members.withColumnRenamed("s", "t"), ["share", "t"]).select("p", "share", "s", "t", "d", "d0")
+    grid = F.broadcast(d.select("p").distinct())
+    weights = stored(times.withColumn("share", share).join(grid), "weights")
+    kind = dict(times.dtypes)["b"]
+    made = pairs.groupBy("p", "share").cogroup(weights.groupBy("p", "share")).applyInPandas(_resamples, f"p double, b {kind}, n_pairs long, scale_contraction_pct double, ordering_loss_pct double")
+    return made
 
 
 def bootstrap_intervals(resamples: DataFrame) -> DataFrame:
