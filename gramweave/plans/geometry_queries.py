@@ -326,11 +326,16 @@ def spc6_pair_quartiles(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.summary(supplier_metrics(spark, sf))
 
 
-RESAMPLES = f""",
-chosen as (select rep, s from (select rep, s, n, row_number() over (partition by rep order by md5('{SEED}|' || rep || '|' || s), s) as k from (select s, count(*) over () as n from ops), range(20) r(rep)) where k <= greatest(2, round_even(0.8 * n, 0))),
+
+def resamples(reps: int) -> str:
+    return f""",
+chosen as (select rep, s from (select rep, s, n, row_number() over (partition by rep order by md5('{SEED}|' || rep || '|' || s), s) as k from (select s, count(*) over () as n from ops), range({reps}) r(rep)) where k <= greatest(2, round_even(0.8 * n, 0))),
 res as (select p, a.rep, count(*) as n_pairs, {", ".join(f"median({m}) as {m}" for m in spectral.METRICS)} from met join chosen a on a.s = met.s join chosen b on b.s = met.t and b.rep = a.rep group by p, a.rep)"""
 
 
+RESAMPLES, RESAMPLES_FULL = resamples(20), resamples(300)
+
+
 @query("select p, cast(rep as int) as rep, n_pairs, max_equivalent_modes, leading_share, entropy_neff, ipr_neff from res", spectral.METRICS, SPECTRA + RATIOS + RESAMPLES)
 def spc7_subject_resamples(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.resampled(supplier_metrics(spark, sf), spectral.selections(supplier_operators(spark, sf), SEED, 20))
@@ -346,13 +351,13 @@ def spc8_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.with_intervals(spectral.summary(metrics), spectral.resampled(metrics, spectral.selections(supplier_operators(spark, sf), SEED, 20)))
 
 
-@query()
+@query("select p, cast(rep as int) as rep, n_pairs, max_equivalent_modes, leading_share, entropy_neff, ipr_neff from res", spectral.METRICS, SPECTRA + RATIOS + RESAMPLES_FULL)
 def spc7_subject_resamples_full(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's 300 resamples; the SQL above names 20."""
+    """The reference's 300 resamples."""
     return spectral.resampled(supplier_metrics(spark, sf), spectral.selections(supplier_operators(spark, sf), SEED, 300))
 
 
-@query()
+@query(f"select * from (select p, count(*) as n_pairs, {QUARTILES} from met group by p) left join (select p, {INTERVALS} from res group by p) using (p)", QUARTILE_NAMES + INTERVAL_NAMES, SPECTRA + RATIOS + RESAMPLES_FULL)
 def spc8_intervals_full(spark: SparkSession, sf: str) -> DataFrame:
     metrics = stored(supplier_metrics(spark, sf), "metrics")
     return spectral.with_intervals(spectral.summary(metrics), spectral.resampled(metrics, spectral.selections(supplier_operators(spark, sf), SEED, 300)))
@@ -412,17 +417,24 @@ def sel6_sensor_scores(spark: SparkSession, sf: str) -> DataFrame:
     return selection.sensor_scores(event_series(spark, sf))
 
 
-@query("""select cast(rep as int) as rep, cast(count(f.unit) as double) / (count(*) + 3 - count(f.unit)) as jaccard from (
-  select rep, unit, row_number() over (partition by rep order by avg(v) desc, unit) as k from day join ch using (s) group by rep, unit) left join full_top f using (unit) where k <= 3 group by rep""", ["jaccard"], DAYS + f""",
-ch as (select rep, s from (select rep, s, n, row_number() over (partition by rep order by md5('{SEED}|' || rep || '|' || s), s) as k from (select s, count(*) over () as n from (select distinct s from day)), range(20) r(rep)) where k <= greatest(2, round_even(0.8 * n, 0))),
-full_top as (select unit from (select unit, row_number() over (order by avg(v) desc, unit) as k from day group by unit) where k <= 3)""")
+STABILITY = """select cast(rep as int) as rep, cast(count(f.unit) as double) / (count(*) + 3 - count(f.unit)) as jaccard from (
+  select rep, unit, row_number() over (partition by rep order by avg(v) desc, unit) as k from day join ch using (s) group by rep, unit) left join full_top f using (unit) where k <= 3 group by rep"""
+
+
+def chosen_days(reps: int) -> str:
+    return DAYS + f""",
+ch as (select rep, s from (select rep, s, n, row_number() over (partition by rep order by md5('{SEED}|' || rep || '|' || s), s) as k from (select s, count(*) over () as n from (select distinct s from day)), range({reps}) r(rep)) where k <= greatest(2, round_even(0.8 * n, 0))),
+full_top as (select unit from (select unit, row_number() over (order by avg(v) desc, unit) as k from day group by unit) where k <= 3)"""
+
+
+@query(STABILITY, ["jaccard"], chosen_days(20))
 def sel7_stability(spark: SparkSession, sf: str) -> DataFrame:
     return selection.stability(event_series(spark, sf), 3, SEED, 20)
 
 
-@query()
+@query(STABILITY, ["jaccard"], chosen_days(30))
 def sel7_stability_full(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's 30 resamples; the SQL above names 20."""
+    """The reference's 30 resamples."""
     return selection.stability(event_series(spark, sf), 3, SEED, 30)
 
 

@@ -410,12 +410,17 @@ def phc17_split_invariance(spark: SparkSession, sf: str) -> DataFrame:
     return posthoc.split_invariance(surrogate(spark, sf)).agg(F.count("*").alias("differing"))
 
 
-BOOT = f""",
-dr as (select b, slot, s from (select b, slot, ('0x' || substr(md5('{SEED}|' || b || '|' || slot), 1, 8))::bigint % n as k from (select count(*) as n from ops), range(10) x(b), range(1000) y(slot) where slot < n) join (select s, row_number() over (order by s) - 1 as k from ops) using (k)),
+
+def boot(draws: int) -> str:
+    return f""",
+dr as (select b, slot, s from (select b, slot, ('0x' || substr(md5('{SEED}|' || b || '|' || slot), 1, 8))::bigint % n as k from (select count(*) as n from ops), range({draws}) x(b), range(1000) y(slot) where slot < n) join (select s, row_number() over (order by s) - 1 as k from ops) using (k)),
 bp as (select z.p, x.b, z.d, w.d as d0 from dr x join dr y on x.b = y.b and x.slot < y.slot and x.s <> y.s join d z on z.s = least(x.s, y.s) and z.t = greatest(x.s, y.s) join d w on w.s = z.s and w.t = z.t and w.p = 1.0),
 bo as (select p, b, count(*) as n_pairs, 100 * (1 - median(d) / median(d0)) as scale_contraction_pct, 100 * (1 - (case when count(*) >= 3 and stddev_samp(r) > 0 and stddev_samp(r0) > 0 then corr(r, r0) end)) as ordering_loss_pct from (select *, {rank('d', 'p, b')} as r, {rank('d0', 'p, b')} as r0 from bp) group by all)"""
 
 
+BOOT, BOOT_FULL = boot(10), boot(500)
+
+
 @query("select p, cast(b as int) as b, n_pairs, scale_contraction_pct, ordering_loss_pct from bo", ["scale_contraction_pct", "ordering_loss_pct"], DISTANCES + BOOT)
 def phc18_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return posthoc.bootstrap(stored(supplier_distances(spark, sf), "d"), posthoc.draws(supplier_operators(spark, sf).select("s"), SEED, 10), 1.0)
@@ -427,13 +432,13 @@ def phc18_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return posthoc.bootstrap_intervals(boot)
 
 
-@query()
+@query("select p, cast(b as int) as b, n_pairs, scale_contraction_pct, ordering_loss_pct from bo", ["scale_contraction_pct", "ordering_loss_pct"], DISTANCES + BOOT_FULL)
 def phc18_bootstrap_full(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's 500 draws; the SQL above names 10."""
+    """The reference's 500 draws."""
     return posthoc.bootstrap(stored(supplier_distances(spark, sf), "d"), posthoc.draws(supplier_operators(spark, sf).select("s"), SEED, 500), 1.0)
 
 
-@query()
+@query("select p, count(*) as n_resamples, quantile_cont(scale_contraction_pct, 0.025) as scale_contraction_pct_low, quantile_cont(scale_contraction_pct, 0.975) as scale_contraction_pct_high, quantile_cont(ordering_loss_pct, 0.025) as ordering_loss_pct_low, quantile_cont(ordering_loss_pct, 0.975) as ordering_loss_pct_high from bo group by p", [f"{c}_{e}" for c in ("scale_contraction_pct", "ordering_loss_pct") for e in ("low", "high")], DISTANCES + BOOT_FULL)
 def phc18_intervals_full(spark: SparkSession, sf: str) -> DataFrame:
     return posthoc.bootstrap_intervals(phc18_bootstrap_full(spark, sf))
 
