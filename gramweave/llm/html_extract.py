@@ -2,12 +2,17 @@
 
 A page's tags are read once into a tree of block containers, in time linear in its length.  Paragraph blocks give points for length and
 commas to their container, and half of what a container has goes on to the one above, up to the root; a container's value is its points
-discounted by its link density, by class words that speak against it, and doubled for article and main.  The best container is kept with
-its siblings: in an article or main (its shell), all text of the shell, and those siblings of the shell that score a fifth of it; elsewhere, level by level up to the root,
-all siblings that hold a block of their own text.  Blocks that are mostly links in a container that is mostly links are left out.
+discounted by its link density, by class words that speak against it, and doubled for article and main.
 
-Menus, headers, footers, sidebars, notices, forms, scripts and styles never enter the tree.  A class or id that marks an advert or the like
-takes its container out only if that does not hold most of the page's text.
+The best container by value is the start.  If an article or main holds it, that (the nearest) is kept; else the containers above it are
+climbed, and each whose other text has CLIMB of the points kept so far takes its place.  In a kept container that is no article, plain containers
+(div, section, ...) of under SHARE of the worth of the best of them are left out before the first and after the last part of worth, where worth is
+the value without the halving.  Siblings of the kept container stay if they have SHARE of its worth and few links; so do paragraphs of some length beside it, and the heading right before it.
+Blocks that are mostly links in a container that is mostly links are left out.
+
+Menus, headers, footers, sidebars, forms, scripts and styles by tag or role never enter the tree.  A class or id counts as a whole (ad, ad-box, not
+form-of-government).  One of FOREIGN takes its element out; one of DOUBTFUL halves its value, and takes it out where that leaves hardly any.  No class
+takes out what holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -29,12 +34,20 @@ CONTAINERS = {"html", "body", "div", "article", "section", "main", "ul", "ol", "
 #: What an open element ends when another begins.
 CLOSES_P = BLOCKS - {"td", "th", "caption", "figcaption", "summary"} | CONTAINERS | {"hr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form", "alertdialog", "status"}
-#: Words in class or id that mark what is no part of an article.
-UNLIKELY = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav",
-    "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "comment", "comments", "disqus", "reply", "replies", "respond",
-    "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing",
-    "social", "related", "recommended", "widget", "pagination", "pager", "toolbar", "skip", "legal", "disclaimer", "alert", "toast", "form", "search",
+#: Words of class or id of what is no part of an article.
+FOREIGN = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav",
+    "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "disqus", "reply", "replies", "respond",
+    "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing",
+    "related", "recommended", "widget", "pagination", "pager", "toolbar", "skip", "toast",
+}
+#: Words that may mark either.
+DOUBTFUL = {"alert", "notice", "form", "legal", "disclaimer", "search", "header", "banner", "social"}
+UNLIKELY = FOREIGN | DOUBTFUL
+#: Words that say nothing of their own beside those.
+NEUTRAL = {
+    "box", "bar", "area", "block", "wrap", "wrapper", "container", "section", "list", "item", "items", "inner", "outer", "top", "bottom", "left", "right", "site",
+    "page", "main", "global", "primary", "secondary", "links", "link", "buttons", "button", "icons", "icon", "panel", "unit", "slot", "zone", "row", "col", "module",
 }
 #: Those of them that even an article element may be marked with.
 READERS = {"comment", "comments", "disqus", "reply", "replies", "respond", "ad", "ads", "advert", "related"}
@@ -45,27 +58,46 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?"
 SPACE = re.compile(r"\s+")
 
 
+#: Points that other text needs, of those kept, for a container to be climbed to; and worth that a sibling needs, of the kept one's.
+CLIMB, SHARE = 0.3, 0.2
+#: Value under which a doubtful container, and a doubtful block, is left out; characters of a doubtful element within a block.
+LOW_CONTAINER, LOW_BLOCK, LOW_CHARS = 2.0, 0.6, 20
+#: Characters and points of a paragraph that stays beside the kept container.
+BESIDE_CHARS, BESIDE_POINTS = 80, 2.0
+#: What a score decides on; lists, tables and figures belong to the text around them.
+PLAIN = {"div", "section", "center", "fieldset", "header"}
+ENDS = tuple(".!?\u2026\u3002\uff01\uff1f\"\u201d\u00bb)")
+
+
 class Linked(str):
     """A block that is mostly links."""
 
 
+class Heading(str):
+    """A block that is a heading of the first two ranks."""
+
+
+def points_of(block: str, linked: int = 0) -> float:
+    return (1 + block.count(",") + min(len(block) / 100, 3)) * (1 - linked / len(block))
+
+
 class Box:
-    """A container: its blocks and inner containers in page order; ``held`` counts the characters in it, ``articles`` the article and main
-    elements in it, and size, linked, points and raw (points without the halving) leave out what is marked."""
+    """A container: its blocks and inner containers in page order; ``held``, ``all_points`` and ``all_linked`` count what is in it, ``articles`` the article and
+    main elements, and size, linked, points and raw (points without the halving) leave out what is out."""
 
-    __slots__ = ("tag", "parent", "parts", "marks", "held", "articles", "out", "size", "linked", "points", "raw")
+    __slots__ = ("tag", "parent", "parts", "marks", "held", "all_points", "all_linked", "articles", "out", "size", "linked", "points", "raw")
 
     def __init__(self, tag: str, parent: Box | None, marks: frozenset[str] | set[str] = frozenset()):
         self.tag, self.parent, self.marks, self.parts = tag, parent, marks, []
-        self.held = self.articles = self.size = self.linked = 0
-        self.points = self.raw = 0.0
+        self.held = self.all_linked = self.articles = self.size = self.linked = 0
+        self.all_points = self.points = self.raw = 0.0
         self.out = False
 
-    def add(self, block: str, linked: int) -> None:
-        n = len(block)
-        self.parts.append(Linked(block) if 2 * linked > n else block)
-        points = (1 + block.count(",") + min(n / 100, 3)) * (1 - linked / n)
-        self.held, self.size, self.linked, self.points, self.raw = self.held + n, self.size + n, self.linked + linked, self.points + points, self.raw + points
+    def add(self, block: str, linked: int, heading: bool = False) -> None:
+        n, points = len(block), points_of(block, linked)
+        self.parts.append(Linked(block) if 2 * linked > n else Heading(block) if heading else block)
+        self.held, self.all_linked, self.all_points = self.held + n, self.all_linked + linked, self.all_points + points
+        self.size, self.linked, self.points, self.raw = self.size + n, self.linked + linked, self.points + points, self.raw + points
 
     @property
     def is_shell(self) -> bool:
@@ -77,16 +109,26 @@ class Box:
             return 0.0
         return self.points * (1 - self.linked / self.size) * (2 if self.is_shell else 1) * (0.5 if self.marks else 1)
 
+    @property
+    def worth(self) -> float:
+        """The value without the halving on the way up, to compare containers of any depth."""
+        return self.raw * (1 - self.linked / self.size) * (0.5 if self.marks else 1) if self.size else 0.0
+
+    @property
+    def is_low(self) -> bool:
+        """Whether its marks, doubtful ones, leave hardly any value."""
+        return not self.held or 0.5 * self.all_points * (1 - self.all_linked / self.held) < (LOW_CONTAINER if self.tag in CONTAINERS else LOW_BLOCK)
+
 
 def weigh(boxes: list[Box]) -> None:
     """Sums over the containers, listed from the root down: all that they hold, who is out, and then points of what is in."""
     for b in reversed(boxes[1:]):
-        b.parent.held += b.held
-        b.parent.articles += b.articles + b.is_shell
+        up = b.parent
+        up.held, up.all_points, up.all_linked, up.articles = up.held + b.held, up.all_points + b.all_points, up.all_linked + b.all_linked, up.articles + b.articles + b.is_shell
     held, articles = boxes[0].held, boxes[0].articles
     for b in boxes[1:]:
         most = 2 * b.held > held and (not articles or (b.articles + b.is_shell and not b.marks & READERS))
-        b.out = b.parent.out or bool(b.marks and not most)
+        b.out = b.parent.out or bool(b.marks and not most and (b.marks & FOREIGN or b.is_low))
     for b in reversed(boxes[1:]):
         if not b.out:
             up = b.parent
@@ -109,14 +151,14 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def marked(tag: str, attributes: str, in_article: bool) -> set[str]:
-    """The words of class and id that mark an element as no part of an article."""
+    """The words of class and id that mark an element as no part of an article, of names that have no other word."""
     found: set[str] = set()
     if "=" in attributes and tag not in ("body", "html", "main"):
         for name, value in ATTRIBUTE.findall(attributes):
             if name.lower() in ("class", "id"):
                 for token in value.strip("\"'").lower().split():
                     words = set(NAME_PART.findall(token))
-                    if not words & LAYOUT:
+                    if not words & LAYOUT and words <= UNLIKELY | NEUTRAL:
                         found |= words & (READERS if tag == "article" else UNLIKELY)
     return found - ({"header"} if in_article else set())
 
@@ -199,14 +241,15 @@ def tree(page: str) -> list[Box]:
         nonlocal known
         known = known or extents(page)
         own, holds_article = known[0].get(at, (0, False))
-        return not (2 * own > known[1] and (not known[2] or (holds_article and not marks & READERS)))
+        most = 2 * own > known[1] and (not known[2] or (holds_article and not marks & READERS))
+        return not most and bool(marks & FOREIGN or own < LOW_CHARS)
 
     def flush() -> None:
         nonlocal text, links
         if text:
             block = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if block:
-                box.add(block, min(links, len(block)))
+                box.add(block, min(links, len(block)), opened.last("h1", "h2") >= 0)
             text, links = [], 0
 
     def close(k: int) -> None:
@@ -310,13 +353,13 @@ def past(page: str, at: int, tag: str, closed: bool) -> int:
 
 def blocks(box: Box, menus: bool = False) -> Iterator[str]:
     """The blocks in a container without those that are out and, but with ``menus``, those that are mostly links in a container that is
-    mostly links, and containers of one letter or sign."""
+    mostly links."""
     stack = [(box, iter(box.parts))]
     while stack:
         box, parts = stack[-1]
         for part in parts:
             if isinstance(part, Box):
-                if not part.out and (menus or part.size > 1 or any(x.isalnum() and not (x.isascii() and x.isalpha()) for x in part.parts if isinstance(x, str))):
+                if not part.out:
                     stack.append((part, iter(part.parts)))
                     break
             elif menus or not (isinstance(part, Linked) and 2 * box.linked > box.size):
@@ -325,29 +368,75 @@ def blocks(box: Box, menus: bool = False) -> Iterator[str]:
             stack.pop()
 
 
+def kept_container(best: Box) -> Box:
+    """The nearest article or main that holds the best container, or the last one that climbing from it takes."""
+    up = best
+    while up:
+        if up.is_shell:
+            return up
+        up = up.parent
+    kept, up = best, best.parent
+    while up:
+        if up.raw - kept.raw >= CLIMB * kept.raw:
+            kept = up
+        up = up.parent
+    return kept
+
+
+def inside(kept: Box) -> list[str]:
+    """The text of the kept container, without plain containers of little value at its ends."""
+    if kept.is_shell:
+        return list(blocks(kept))
+    plain = [p for p in kept.parts if isinstance(p, Box) and p.tag in PLAIN and not p.out]
+    least = SHARE * max((p.worth for p in plain), default=0.0)
+    on_page = kept.parent is None or kept.tag in ("html", "body")
+
+    def stays(part: Box | str) -> bool:
+        if not isinstance(part, Box):
+            return not isinstance(part, Linked)
+        if part.tag not in PLAIN or part.out:
+            return not part.out and part.size > 0 and 2 * part.linked <= part.size
+        text = "" if on_page or part.linked else next(iter(blocks_backwards(part)), "")
+        return (part.worth >= least and part.size > 0) or text.endswith(ENDS)
+
+    worth = [i for i, part in enumerate(kept.parts) if stays(part)]
+    if not worth:
+        return []
+    held = Box(kept.tag, None)
+    held.parts, held.size, held.linked = kept.parts[worth[0] : worth[-1] + 1], kept.size, kept.linked
+    return list(blocks(held))
+
+
+def blocks_backwards(box: Box) -> Iterator[str]:
+    """The last block of a container, if it has one that is in."""
+    stack = [box]
+    while stack:
+        part = stack.pop()
+        if not isinstance(part, Box):
+            yield part
+            return
+        if not part.out:
+            stack.extend(part.parts)
+
+
 def main_text(page: str | None) -> str:
-    """The blocks of the best container and its siblings, joined by line ends; all there are outside marked containers if that is nothing."""
+    """The kept container and what stays beside it, joined by line ends; all that is in the tree if that is nothing."""
     boxes = tree(page or "")
     weigh(boxes)
     root = boxes[0]
     if not root.size:
         return ""
-    best = max((b for b in boxes if not b.out and b.size), key=lambda b: b.value)
-    shell, up = None, best
-    while up:
-        if up.is_shell:
-            shell = up
-        up = up.parent
-    if shell is None or shell.parent is None:
-        return "\n".join(list(blocks(root)) or blocks(root, menus=True))
+    kept = kept_container(max((b for b in boxes if not b.out and b.size), key=lambda b: b.value))
     out: list[str] = []
-    for part in shell.parent.parts:
-        if part is shell:
-            out.extend(list(blocks(shell)) or blocks(shell, menus=True))
+    around = kept.parent.parts if kept.parent else [kept]
+    at = next(i for i, part in enumerate(around) if part is kept)
+    for i, part in enumerate(around):
+        if i == at:
+            out.extend(inside(kept) or blocks(kept, menus=True))
         elif isinstance(part, Box):
-            if not part.out and part.size and part.value >= max(2.0, 0.2 * shell.value) and part.linked < 0.3 * part.size:
+            if not part.out and part.size and part.worth >= max(2.0, SHARE * kept.worth) and part.linked < 0.3 * part.size:
                 out.extend(blocks(part))
-        elif shell.parent.tag not in ("html", "body") and not isinstance(part, Linked):
+        elif not isinstance(part, Linked) and ((len(part) >= BESIDE_CHARS and points_of(part) >= BESIDE_POINTS) or (i == at - 1 and isinstance(part, Heading))):
             out.append(part)
     return "\n".join(out)
 

@@ -48,75 +48,109 @@ def test_marked_words_within_a_block():
     assert main_text(f'<div class="with-sidebar"><p>{LONG}</p></div>') == LONG.strip() == main_text(f'<div class="sidebar"><p>{LONG}</p></div>')
 
 
-def brute(node, root):
-    """The scoring over a tree of (tag, class, children), children being nodes or (text, linked) blocks; walks all descendants every time."""
+def brute(body):
+    """The method as the module states it, over a tree of (tag, class, children), children being nodes or (text, linked) blocks; every question walks the tree anew."""
+    foreign, doubtful = {"ad", "ad-box", "sidebar"}, {"alert"}
 
-    def inside(n):
-        yield n
-        for c in n[2]:
-            if len(c) == 3:
-                yield from inside(c)
+    def nodes(n):
+        return [n] + [x for c in n[2] if len(c) == 3 for x in nodes(c)]
+
+    def own(n):
+        return [c for c in n[2] if len(c) == 2]
+
+    def block_points(b):
+        return 0 if b[1] else 1 + b[0].count(",") + min(len(b[0]) / 100, 3)
 
-    def texts(n):
-        return [b for x in inside(n) for b in x[2] if len(b) == 2]
+    parents = {id(c): n for n in nodes(body) for c in n[2] if len(c) == 3}
 
-    def shells(n):
-        return [x for x in inside(n) if x[0] == "article"]
+    def chain(n):
+        return [n] + (chain(parents[id(n)]) if id(n) in parents else [])
 
-    def marked(n):
-        return n[1] == "ad" or (n[1] == "sidebar" and n[0] != "article")
+    def everything(n):
+        return [b for x in nodes(n) for b in own(x)]
 
-    total = sum(len(t) for t, _ in texts(root))
-    parents = {id(c): n for n in inside(root) for c in n[2] if len(c) == 3}
+    def chars(n):
+        return sum(len(t) for t, _ in everything(n))
 
-    def out(n):
-        if n is root:
+    def has_article(n):
+        return any(x[0] == "article" for x in nodes(n))
+
+    def taken_out(n):
+        if n is body or n[1] not in foreign | doubtful or (n[0] == "article" and n[1] in ("sidebar", "alert")):
+            return False
+        if 2 * chars(n) > chars(body) and (not has_article(body) or (has_article(n) and n[1] not in ("ad", "ad-box"))):
             return False
-        most = 2 * sum(len(t) for t, _ in texts(n)) > total and (not shells(root) or (shells(n) and n[1] != "ad"))
-        return out(parents[id(n)]) or (marked(n) and not most)
+        linked = sum(len(t) for t, is_link in everything(n) if is_link)
+        return n[1] in foreign or not chars(n) or 0.5 * sum(map(block_points, everything(n))) * (1 - linked / chars(n)) < 2
 
-    def kept(n):
-        return [b for x in inside(n) if not out(x) for b in x[2] if len(b) == 2]
+    def stays_in(n):
+        return not any(taken_out(x) for x in chain(n))
+
+    def text(n):
+        return [b for x in nodes(n) if stays_in(x) for b in own(x)]
 
     def density(n):
-        size = sum(len(t) for t, _ in kept(n))
-        return sum(len(t) for t, linked in kept(n) if linked) / size if size else 0
+        return sum(len(t) for t, linked in text(n) if linked) / max(1, sum(len(t) for t, _ in text(n)))
 
     def points(n):
-        own = sum(1 + t.count(",") + min(len(t) / 100, 3) for t, linked in (b for b in n[2] if len(b) == 2) if not linked)
-        return own + sum(points(c) / 2 for c in n[2] if len(c) == 3 and not out(c))
+        return sum(map(block_points, own(n))) + sum(points(c) / 2 for c in n[2] if len(c) == 3 and stays_in(c))
+
+    def value(n, total=None):
+        marked = n[1] in foreign or (n[1] in doubtful and n[0] != "article")
+        if n[0] == "article" and n[1] == "sidebar":
+            marked = False
+        if total is None:
+            total = points(n) * (2 if n[0] == "article" else 1)
+        return total * (1 - density(n)) * (0.5 if marked else 1)
 
-    def value(n):
-        return points(n) * (1 - density(n)) * (2 if n[0] == "article" else 1) * (0.5 if marked(n) else 1)
+    def worth_of(n):
+        return value(n, sum(map(block_points, text(n))))
 
-    def emit(n, menus=False):
+    def emit(n, menus=False, parts=None):
         got = []
-        for c in n[2]:
-            if len(c) == 2:
-                if menus or not (c[1] and density(n) > 0.5):
-                    got.append(c[0])
-            elif not out(c) and (menus or sum(len(t) for t, _ in kept(c)) > 1):
-                got += emit(c, menus)
+        for c in n[2] if parts is None else parts:
+            if len(c) == 3:
+                got += emit(c, menus) if stays_in(c) else []
+            elif menus or not (c[1] and density(n) > 0.5):
+                got.append(c[0])
         return got
 
-    candidates = [n for n in inside(root) if not out(n) and kept(n)]
+    candidates = [n for n in nodes(body) if stays_in(n) and text(n)]
     if not candidates:
         return ""
     best = max(candidates, key=value)
-    shell, up = None, best
-    while up is not None:
-        shell = up if up[0] == "article" else shell
-        up = parents.get(id(up))
-    if shell is None:
-        return "\n".join(emit(root) or emit(root, True))
+    articles = [x for x in chain(best) if x[0] == "article"]
+    kept = articles[0] if articles else best
+    if not articles:
+        for up in chain(best)[1:]:
+            more = sum(map(block_points, text(up))) - sum(map(block_points, text(kept)))
+            if more >= 0.3 * sum(map(block_points, text(kept))):
+                kept = up
+
+    def worth(c):
+        if len(c) == 2:
+            return not c[1]
+        if not stays_in(c) or not text(c):
+            return False
+        if c[0] == "article":
+            return density(c) <= 0.5
+        plain = [x for x in kept[2] if len(x) == 3 and x[0] != "article" and stays_in(x)]
+        sentence = kept is not body and density(c) == 0 and emit(c, menus=True)[-1].endswith(".")
+        return worth_of(c) >= 0.2 * max(map(worth_of, plain)) or sentence
+
+    if kept[0] == "article":
+        inner = emit(kept)
+    else:
+        places = [i for i, c in enumerate(kept[2]) if worth(c)]
+        inner = emit(kept, parts=kept[2][places[0] : places[-1] + 1]) if places else []
     got = []
-    for c in parents[id(shell)][2]:
-        if c is shell:
-            got += emit(shell) or emit(shell, True)
+    for c in parents[id(kept)][2] if id(kept) in parents else [kept]:
+        if c is kept:
+            got += inner or emit(kept, menus=True)
         elif len(c) == 3:
-            if not out(c) and kept(c) and value(c) >= max(2.0, 0.2 * value(shell)) and density(c) < 0.3:
+            if stays_in(c) and text(c) and worth_of(c) >= max(2, 0.2 * worth_of(kept)) and density(c) < 0.3:
                 got += emit(c)
-        elif parents[id(shell)] is not root and not c[1]:
+        elif not c[1] and len(c[0]) >= 80 and block_points(c) >= 2:
             got.append(c[0])
     return "\n".join(got)
 
@@ -125,26 +159,51 @@ def test_scoring_against_brute_force():
     r = random.Random(6)
 
     def grow(depth):
-        tag = r.choice(["div", "div", "section", "article"])
+        tag = r.choice(["div", "div", "div", "section"] + ["article"] * with_articles)
         parts = []
         for _ in range(r.choice([1, 2, 4])):
             if depth and r.random() < 0.5:
                 parts.append(grow(depth - 1))
             else:
                 words = " ".join(r.choice(["one", "two,", "three", "fourteen"]) for _ in range(r.choice([1, 5, 40, 90])))
-                parts.append((words, r.random() < 0.2))
-        return tag, r.choice(["", "", "", "ad", "sidebar", "x"]), parts
+                parts.append((words.rstrip(",") + r.choice(["", "."]), r.random() < 0.2))
+        return tag, r.choice(["", "", "", "", "ad", "ad-box", "sidebar", "alert", "form-of-government", "no-sidebar"]), parts
 
     def show(n):
         inner = "".join(show(c) if len(c) == 3 else f"<p>{f'<a>{c[0]}</a>' if c[1] else c[0]}</p>" for c in n[2])
         return f'<{n[0]} class="{n[1]}">{inner}</{n[0]}>'
 
-    for _ in range(600):
+    outcomes = set()
+    for k in range(1200):
+        with_articles = k % 2
         body = [grow(3) for _ in range(r.choice([1, 2, 3]))]
         if r.random() < 0.3:
-            body.insert(1, ("loose text, here", r.random() < 0.3))
-        root = ("body", "", body)
-        assert main_text("".join(show(c) if len(c) == 3 else f"<p>{f'<a>{c[0]}</a>' if c[1] else c[0]}</p>" for c in body)) == brute(root, root)
+            body.insert(r.randrange(len(body) + 1), ("loose text, here", r.random() < 0.3))
+        want = brute(("body", "", body))
+        assert main_text("".join(show(c) if len(c) == 3 else f"<p>{f'<a>{c[0]}</a>' if c[1] else c[0]}</p>" for c in body)) == want
+        outcomes.add(min(want.count("\n"), 5))
+    assert len(outcomes) > 4
+
+
+def test_scores_decide_where_no_tag_does():
+    text = "".join(f"<p>{LONG}{i}</p>" for i in range(3))
+    want = "\n".join(f"{LONG}{i}" for i in range(3))
+    for before, after in (
+        ("<div>Sign in</div><div>My account</div>", "<div>All rights reserved</div>"),
+        ('<div><a href="/">Home</a> <a href="/n">News</a></div><div>We use cookies to improve this, and so on.</div>', "<div>\u00a9 2024 Example. All rights reserved.</div>"),
+        ("<div><div>Menu</div><div>Search</div></div>", "<div><p>Imprint</p><p>Contact</p></div>"),
+    ):
+        assert main_text(f"<body>{before}<div>{text}</div>{after}</body>") == want
+        assert main_text(f"<body><div>{before}<div><div>{text}</div></div>{after}</div></body>") == want
+        chunks = "".join(f"<div><div><p>{LONG}{i}</p></div></div>" for i in range(3))
+        assert main_text(f"<body>{before}<div>{chunks}</div>{after}</body>") == want
+    assert main_text(f"<body><div>Login</div><h1>Head</h1><div>{text}</div></body>") == f"Head\n{want}"
+
+
+def test_class_names_count_as_a_whole():
+    inner = '<section id="form-of-government"><p>Parliament sits.</p></section><div class="social-history"><p>Villages grew.</p></div><p class="alert">A storm, they said, was near the coast.</p>'
+    page = f'<body><article><p>{LONG}</p>{inner}<div class="cookie-notice">We use cookies.</div><div class="alert">Log in.</div><p class="ad">Buy, buy, buy.</p></article><p>{LONG}</p><p>Imprint</p></body>'
+    assert main_text(page) == "\n".join([LONG.strip(), "Parliament sits.", "Villages grew.", "A storm, they said, was near the coast.", LONG.strip()])
 
 
 def test_time_grows_with_the_page():
