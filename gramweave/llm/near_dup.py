@@ -2,7 +2,8 @@
 
 1. Every text gives its set of word shingles: size, an order-free 128-bit digest, hashes of its MinHash bands, and a signature.  Equal
    sets collapse to one node (the least doc_id), so exact copies never reach the pair stages.
-2. Band hashes are buckets, found by one sort.  Every member is paired with the leaders of its buckets, and of these with the TRIES that it
+2. Band hashes are buckets, found by one sort by hash and id, whose ranges may cut a bucket: one that holds a third of all rows is
+   dealt to a third of the tasks.  Every member is paired with the leaders of its buckets, and of these with the TRIES that it
    shares most buckets with: a bounded number of pairs for each node, however many copies a bucket holds.  Links found make components.
 3. Pairs are compared in batches of signature positions.  After each batch a pair is dropped if the posterior probability that its
    similarity reaches the threshold, given the matches so far, is below ``MISS``.
@@ -14,8 +15,8 @@
    found comes out: the output grows with the members, though the CPU time of a group whose members are near the threshold and not linked
    grows with its square.
 
-Banding misses a pair at the threshold with probability (1 - t**ROWS)**BANDS: 2e-6 with the defaults.  Joins on hot keys (a digest, a
-leader, a component) are left to adaptive skew joins but for the digest, which is looked up by broadcast.
+Banding misses a pair at the threshold with probability (1 - t**ROWS)**BANDS: 2e-6 with the defaults.  A digest that
+many rows have and the block numbers of leaders with many members are looked up by broadcast; joins on a component are left to adaptive skew joins.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ HOT = 1000
 LOOKED_UP = 2_000_000
 #: Bytes of sets, signatures and band hashes in a block of a bucket's members.
 CELL_BYTES = 8 << 20
+#: Copies of a leader that one task makes at a time, and leaders whose numbers of blocks are broadcast.
+FAN, MOST = 256, 10_000
 #: Leaders that a member is paired with: those it shares most buckets with.  Step 5 compares what this leaves open.
 TRIES = 24
 
@@ -111,8 +114,13 @@ def screen(left: np.ndarray, right: np.ndarray, percent: int, miss: float = MISS
     return alive
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, n) come sorted; those of keys with two members or more go on with the key's first id, the leader."""
+def _buckets(batches: Iterator[pa.RecordBatch], ranges: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, n) come sorted; those of keys with two members or more go on with the key's first id, the leader.
+
+    With ``ranges`` the rows are one range of a longer sequence, whose first and last key may go on outside: the first and the last row
+    stay even if they are their key's only ones here, and the first is marked as a ``cut``.
+    """
+    names, begun = ["key", "id", "n", "leader"] + ["cut"] * ranges, False
     last: np.ndarray | None = None  # the row before: key, id, n, its key's first id, and whether it is still to be emitted
     for batch in batches:
         rows = np.stack([c.to_numpy() for c in batch.columns])
@@ -130,10 +138,15 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[0] = True
             if last[4]:
                 more.append(last[:4, None])
+        cut, begun = ranges and not begun, True
+        keep[0] |= cut
         more.append(np.stack([key, rows[1], rows[2], first])[:, keep])
         last = np.array([key[-1], rows[1][-1], rows[2][-1], first[-1], not keep[-1]])
         key, ids, n, lead = np.concatenate(more, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, n, lead)], ["key", "id", "n", "leader"])
+        mark = [pa.array(np.arange(len(key)) == 0 if cut else np.zeros(len(key), bool))] * ranges
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, ids, n, lead)), *mark], names)
+    if ranges and last is not None and last[4]:
+        yield pa.RecordBatch.from_arrays([*(pa.array(last[k : k + 1]) for k in range(4)), pa.array([False])], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -309,12 +322,32 @@ def _star(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([piece.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "id")], ["a", "b"])
 
 
+def _leaders(blocks: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, block, signature, set): a leader's set once for each block of its members.
+
+    The copies of one with more than FAN blocks come out in two steps: one for each FAN of them, which are dealt anew and copied on where they lie, so a
+    leader of a hundred million members is copied 1,600 times in one task and 256 times in each of so many others.
+    """
+    many = F.col("blocks") > FAN
+    spread = lambda df, lo, hi: df.withColumn("block", F.explode(F.sequence(lo, hi)))
+    few = spread(blocks.where(~many), F.lit(0), F.col("blocks") - 1).select("a", "block").join(members.select(F.col("id").alias("a"), "signature", "set"), "a")
+    groups = blocks.where(many).withColumn("group", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / FAN).cast("int"))))
+    groups = groups.join(members.select(F.col("id").alias("a"), "signature", "set"), "a").repartition("a", "group")
+    most = spread(groups, F.col("group") * FAN, F.least((F.col("group") + 1) * FAN, "blocks") - 1)
+    return few.select("a", "block", "signature", "set").unionByName(most.select("a", "block", "signature", "set"))
+
+
 def _links(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (leader a, member b) whose sets reach the threshold; the leader's set is sent once for each block of its members."""
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    leaders = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    sent = rows.unionByName(leaders).join(members.select("id", "signature", "set"), "id").select("a", "block", "role", "id", "signature", "set")
+    """The pairs (leader a, member b) whose sets reach the threshold; the leader's set is sent once for each block of its members.
+
+    How many blocks the leaders with the most members have, at most MOST of them, is looked up by broadcast."""
+    blocks = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "leader-blocks")
+    bound = max(FAN, (blocks.agg(F.sum("blocks")).first()[0] or 0) // MOST)
+    hot = F.broadcast(blocks.where(F.col("blocks") > bound))
+    sized = pairs.join(hot, "a").unionByName(pairs.join(hot.select("a"), "a", "left_anti").join(blocks.where(F.col("blocks") <= bound), "a"))
+    rows = sized.select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    sent = rows.join(members.select("id", "signature", "set"), "id").select("a", "block", "role", "id", "signature", "set")
+    sent = sent.unionByName(_leaders(blocks, members).select("a", "block", F.lit(0).alias("role"), F.col("a").alias("id"), "signature", "set"))
     dealt = sent.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id")
     return written(dealt.mapInArrow(partial(_star, percent=percent), "a long, b long"), "links")
 
@@ -344,6 +377,16 @@ def _rest(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return rest
 
 
+def _led(buckets: DataFrame) -> DataFrame:
+    """Pairs (leader a, member b) once for each bucket.  A bucket that the sort cut into ranges has a leader in each; these are paired
+    with the first of them.  There are at most as many such buckets as partitions, so their keys are broadcast."""
+    cut = buckets.where("cut").select("key").distinct()
+    heads = buckets.where("id = leader").join(F.broadcast(cut), "key", "left_semi").select("key", "id")
+    first = heads.groupBy("key").agg(F.min("id").alias("a"))
+    across = heads.join(F.broadcast(first), "key").where("id != a").select("a", F.col("id").alias("b"))
+    return buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).unionByName(across)
+
+
 def _closest(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b), once for each shared bucket, every b's TRIES most frequent ones."""
     w = W.partitionBy("b").orderBy(F.col("shared").desc(), "a")
@@ -374,13 +417,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = wide.alias("s").join(reps.alias("r"), same).select("s.high", "s.low", "id", F.col("n_shingles").alias("n"), "bands", "signature")
     nodes = written(nodes.dropDuplicates(["high", "low"]) if repeated_ids(feats) else nodes, "nodes")
     dropped(wide)
-    rows = nodes.select(F.explode("bands").alias("key"), "id", "n").repartition("key").sortWithinPartitions("key", "id")
-    buckets = written(rows.mapInArrow(_buckets, "key long, id long, n long, leader long"), "buckets")
+    rows = nodes.select(F.explode("bands").alias("key"), "id", "n").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    buckets = written(rows.mapInArrow(partial(_buckets, ranges=True), "key long, id long, n long, leader long, cut boolean"), "buckets")
     members = _members(docs, nodes, written(buckets.select("id").distinct(), "ids"), shingle)
     ids = nodes.select("high", "low", "id")
     ids = written(ids, "names")
     dropped(nodes)
-    pairs = _closest(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    pairs = written(_closest(_led(buckets)), "pairs")
     links = _links(pairs, members, percent)
     parts = connected_components(links)
     placed = _placed(buckets, parts)

@@ -143,6 +143,64 @@ def test_buckets_over_batches():
         assert got == [(k, i, n, lead[k]) for k, i, n in rows if members[k] > 1]
 
 
+def test_buckets_over_ranges():
+    """Whatever ranges cut the sorted rows, members of a bucket stay and are paired with leaders that the first one leads."""
+    r = random.Random(5)
+    for _ in range(200):
+        rows = sorted((r.randrange(4), i, r.randrange(1, 5)) for i in range(r.randrange(1, 14)))
+        cuts = sorted(r.randrange(len(rows) + 1) for _ in range(3))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        got = []
+        for part in parts:
+            at = r.randrange(len(part) + 1)
+            batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], pa.int64()) for k in range(3)], ["key", "id", "n"]) for some in (part[:at], part[at:])]
+            found = [tuple(x.values()) for b in near_dup._buckets(iter(batches), True) for x in b.to_pylist()]
+            assert [x[4] for x in found] == [True] * bool(part) + [False] * (len(found) - 1)
+            assert all(x[3] == min(i for q, i, _ in part if q == x[0]) for x in found)
+            got += found
+        members = Counter(k for k, _, _ in rows)
+        assert len({x[:2] for x in got}) == len(got)
+        assert {x[:3] for x in got} >= {x for x in rows if members[x[0]] > 1}
+        marked = {x[0] for x in got if x[4]}
+        assert all(k in marked for k in members if len({x[3] for x in got if x[0] == k}) > 1)
+
+
+def test_led_across_ranges(spark):
+    rows = [(1, 1, 9, 1, True), (1, 2, 9, 1, False), (1, 5, 9, 5, True), (1, 6, 9, 5, False), (2, 3, 9, 3, False), (2, 4, 9, 3, False), (3, 7, 9, 7, False)]
+    got = near_dup._led(spark.createDataFrame(rows, "key long, id long, n long, leader long, cut boolean"))
+    assert sorted(tuple(x) for x in got.collect()) == [(1, 2), (1, 5), (3, 4), (5, 6)]
+
+
+def test_a_leader_of_many_blocks(spark, monkeypatch):
+    """A third of all texts are near copies of one, in a bucket that ranges cut and blocks of two that are copied in groups of two."""
+    for name, value in (("BLOCK", 2), ("FAN", 2), ("MOST", 1)):
+        monkeypatch.setattr(near_dup, name, value)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        own = list(base) if i % 3 == 0 else [f"d{i // 4}x{j}" for j in range(60)]
+        own[r.randrange(len(own))] = f"own{i}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = {i: c for i, (_, c) in brute(rows, 2, 80).items()}
+    assert len(set(want.values())) < 40
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {x.doc_id: x.component_id for x in near_duplicates(df, 2, 80).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_copies_of_a_leader_come_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "FAN", 4)
+    blocks = spark.createDataFrame([(1, 1), (2, 4), (3, 5), (4, 23)], "a long, blocks int")
+    members = spark.createDataFrame([(i, b"s%d" % i, b"x") for i in range(6)], "id long, signature binary, set binary")
+    got = sorted((x.a, x.block, bytes(x.signature)) for x in near_dup._leaders(blocks, members).collect())
+    assert got == [(a, k, b"s%d" % a) for a, n in ((1, 1), (2, 4), (3, 5), (4, 23)) for k in range(n)]
+
+
 def test_posterior_bound():
     assert least_matches(160, 80, 1e-6) > 80
     assert least_matches(32, 80, 1e-6) < 25
