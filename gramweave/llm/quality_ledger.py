@@ -90,10 +90,15 @@ def measured(docs: DataFrame) -> DataFrame:
     return repeated.select("_row.*", *(v.cast("long").alias(k) for k, v in out.items()))
 
 
-def ledger(docs: DataFrame, without: Sequence[str] = ()) -> DataFrame:
-    """``measured(docs)`` and ``failed``, written to the shared folder but for columns ``without``: bit i is set if rule i of RULES failed."""
+def judged(docs: DataFrame) -> DataFrame:
+    """``measured(docs)`` and ``failed``: bit i is set if rule i of RULES failed."""
     bits = [F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, condition) in enumerate(RULES)]
-    return written(measured(docs).withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits)).drop(*without), "ledger")
+    return measured(docs).withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits))
+
+
+def ledger(docs: DataFrame, without: Sequence[str] = ()) -> DataFrame:
+    """``judged(docs)``, written to the shared folder but for columns ``without``."""
+    return written(judged(docs).drop(*without), "ledger")
 
 
 def fails(policy: Policy) -> Column:
@@ -146,10 +151,15 @@ def quality_ablations(docs: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """``docs``, all its columns, without the rows that the policy rejects; every row is judged by its own text, null texts as empty."""
+    """``docs``, all its columns, without the rows that the policy rejects; every row is judged by its own text, null texts as empty.
+
+    The ledger's rows pass by without being stored, so whoever writes the result writes the texts once.  The row number keeps the filter behind the
+    measurements: moved before them, it would make them anew.
+    """
     names = list(docs.columns)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text"))
-    return ledger(whole, without=["text"]).where(~fails(policy)).select("row.*")
+    entries = judged(whole).select("row", "failed", F.monotonically_increasing_id().alias("number"))
+    return entries.where(~fails(policy)).select("row.*")
 
 
 #: Words, lines and windows by DuckDB's lists; the same rules.
