@@ -153,13 +153,13 @@ def quality_ablations(docs: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """``docs``, all its columns, without the rows that the policy rejects; every row is judged by its own text, null texts as empty.
 
-    The ledger's rows pass by without being stored, so whoever writes the result writes the texts once.  The row number keeps the filter behind the
-    measurements: moved before them, it would make them anew.
+    The ledger's rows pass by without being stored, so whoever writes the result writes the texts once.  That the filter reads a row number keeps it behind
+    the measurements: moved before them, it would make each anew wherever a rule names it.
     """
     names = list(docs.columns)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text"))
     entries = judged(whole).select("row", "failed", F.monotonically_increasing_id().alias("number"))
-    return entries.where(~fails(policy)).select("row.*")
+    return entries.where(~fails(policy) & (F.col("number") >= 0)).select("row.*")
 
 
 #: Words, lines and windows by DuckDB's lists; the same rules.
