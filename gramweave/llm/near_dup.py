@@ -16,7 +16,7 @@
    grows with its square.
 
 Banding misses a pair at the threshold with probability (1 - t**ROWS)**BANDS: 2e-6 with the defaults.  A digest that
-many rows have and the block numbers of leaders with many members are looked up by broadcast; joins on a component are left to adaptive skew joins.
+many rows have is looked up by broadcast; joins of small rows on a leader or a component are left to adaptive skew joins.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ HOT = 1000
 LOOKED_UP = 2_000_000
 #: Bytes of sets, signatures and band hashes in a block of a bucket's members.
 CELL_BYTES = 8 << 20
-#: Copies of a leader that one task makes at a time, and leaders whose numbers of blocks are broadcast.
-FAN, MOST = 256, 10_000
+#: Copies of a leader that come in one group.
+FAN = 256
 #: Leaders that a member is paired with: those it shares most buckets with.  Step 5 compares what this leaves open.
 TRIES = 24
 
@@ -329,23 +329,20 @@ def _leaders(blocks: DataFrame, members: DataFrame) -> DataFrame:
     leader of a hundred million members is copied 1,600 times in one task and 256 times in each of so many others.
     """
     many = F.col("blocks") > FAN
-    spread = lambda df, lo, hi: df.withColumn("block", F.explode(F.sequence(lo, hi)))
-    few = spread(blocks.where(~many), F.lit(0), F.col("blocks") - 1).select("a", "block").join(members.select(F.col("id").alias("a"), "signature", "set"), "a")
+    own = members.select(F.col("id").alias("a"), "signature", "set")
+    out = blocks.where(~many).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(own, "a").select("a", "block", "signature", "set")
+    if blocks.where(many).isEmpty():
+        return out
     groups = blocks.where(many).withColumn("group", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / FAN).cast("int"))))
-    groups = groups.join(members.select(F.col("id").alias("a"), "signature", "set"), "a").repartition("a", "group")
-    most = spread(groups, F.col("group") * FAN, F.least((F.col("group") + 1) * FAN, "blocks") - 1)
-    return few.select("a", "block", "signature", "set").unionByName(most.select("a", "block", "signature", "set"))
+    groups = groups.join(own, "a").repartition("a", "group")
+    ends = F.sequence(F.col("group") * FAN, F.least((F.col("group") + 1) * FAN, "blocks") - 1)
+    return out.unionByName(groups.withColumn("block", F.explode(ends)).select("a", "block", "signature", "set"))
 
 
 def _links(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (leader a, member b) whose sets reach the threshold; the leader's set is sent once for each block of its members.
-
-    How many blocks the leaders with the most members have, at most MOST of them, is looked up by broadcast."""
+    """The pairs (leader a, member b) whose sets reach the threshold; the leader's set is sent once for each block of its members."""
     blocks = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "leader-blocks")
-    bound = max(FAN, (blocks.agg(F.sum("blocks")).first()[0] or 0) // MOST)
-    hot = F.broadcast(blocks.where(F.col("blocks") > bound))
-    sized = pairs.join(hot, "a").unionByName(pairs.join(hot.select("a"), "a", "left_anti").join(blocks.where(F.col("blocks") <= bound), "a"))
-    rows = sized.select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    rows = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
     sent = rows.join(members.select("id", "signature", "set"), "id").select("a", "block", "role", "id", "signature", "set")
     sent = sent.unionByName(_leaders(blocks, members).select("a", "block", F.lit(0).alias("role"), F.col("a").alias("id"), "signature", "set"))
     dealt = sent.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id")
