@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 
 from gramweave.functions import kernels
 from gramweave.functions.masked import between, masked_pairs, masked_points, masked_sums, masks
-from gramweave.functions.stats import quantiles_by_ranges, spearman
+from gramweave.functions.stats import AVERAGE_RANK, pearson, positions, quantiles_by_ranges, spearman
 from gramweave.session import stored
 
 
+#: Rows of a block: a cell of two blocks has some CELL_ROWS ** 2 pairs at most.
+CELL_ROWS = 10_000
+
+
 def pairs(df: DataFrame, columns: Sequence[str], blocks: int = 8) -> DataFrame:
     """GEO1: every s < t once, with ``columns`` of both as <c>_s and <c>_t.
 
-    Rows are dealt to ``blocks`` blocks; a cell of the block grid is one group of an equality join, so the pairs spread over
-    blocks**2 groups and no side is broadcast.
+    Rows are dealt to blocks of about CELL_ROWS at most, ``blocks`` at least; a cell of the block grid is one group of an equality join, so the
+    pairs spread over blocks**2 groups and no side is broadcast.
     """
+    blocks = max(blocks, -(-df.count() // CELL_ROWS))
     block = F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = df.select(block.alias("_b"), "s", *(F.col(c).alias(f"{c}_s") for c in columns)).withColumn("_c", every)
@@ -41,27 +46,39 @@ BLOCK_BYTES, STEP_BYTES = 16 << 20, 8 << 20
 Work = Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray], pa.RecordBatch]
 
 
-def _stacks(left: tuple[list, np.ndarray], right: tuple[list, np.ndarray], kind: pa.DataType, work: Work, step: int, wanted: set | None) -> Iterator[pa.RecordBatch]:
-    """``work`` over the pairs of two lists of rows, ``step`` at a time; of one list with itself if both are the same."""
-    ids = pa.array(left[0] + right[0], kind)
-    names, rows = np.array(left[0] + right[0]), (left[1], right[1])
+Side = tuple[list, np.ndarray]
+
+
+def _places(left: Side, right: Side, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in left, in right) of all pairs of two lists of rows, ``step`` at a time; of one list with itself if both are the same."""
     n, m = len(left[0]), len(right[0])
     high = max(1, step // max(1, n))
     wide = max(1, min(n, step))
     for lo in range(0, m, high):
         for at in range(0, n, wide):
             k, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(n, at + wide)), np.arange(lo, min(m, lo + high))))
-            if left is right:
-                k, j = k[k < j], j[k < j]
+            yield (k[k < j], j[k < j]) if left is right else (k, j)
+
+
+def _asked(left: Side, right: Side, step: int, partners: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for the pairs asked for alone: ``partners`` has each id's; what is walked is these, not the pairs of the lists."""
+    place = {x: k for k, x in enumerate(left[0])}
+    found = [(place[x], j) for j, own in enumerate(right[0]) for x in partners.get(own, ()) if x in place and (left is not right or place[x] < j)]
+    for lo in range(0, len(found), step):
+        k, j = np.array(found[lo : lo + step]).T
+        yield k, j
+
+
+def _stacks(left: Side, right: Side, kind: pa.DataType, work: Work, step: int, partners: dict | None) -> Iterator[pa.RecordBatch]:
+    """``work`` over pairs of two lists of rows, ``step`` at a time: all, or those of ``partners``."""
+    ids = pa.array(left[0] + right[0], kind)
+    names, n = np.array(left[0] + right[0]), len(left[0])
+    for k, j in _places(left, right, step) if partners is None else _asked(left, right, step, partners):
+        if len(k):
             less = names[k] < names[n + j]
             s, t = np.where(less, k, n + j), np.where(less, n + j, k)
-            if wanted is not None:
-                keep = np.array([pair in wanted for pair in zip(names[s].tolist(), names[t].tolist(), strict=True)], bool)
-                k, j, less, s, t = k[keep], j[keep], less[keep], s[keep], t[keep]
-            if len(k):
-                one, other = rows[0][k], rows[1][j]
-                first = less[:, None]
-                yield work(ids.take(pa.array(s)), np.where(first, one, other), ids.take(pa.array(t)), np.where(first, other, one))
+            one, other, first = left[1][k], right[1][j], less[:, None]
+            yield work(ids.take(pa.array(s)), np.where(first, one, other), ids.take(pa.array(t)), np.where(first, other, one))
 
 
 def _meet(batches: Iterator[pa.RecordBatch], column: str, work: Work, step_bytes: int, chosen: bool) -> Iterator[pa.RecordBatch]:
@@ -71,24 +88,24 @@ def _meet(batches: Iterator[pa.RecordBatch], column: str, work: Work, step_bytes
     """
     at: tuple | None = None
     sides: tuple[list, list] = ([], [])
-    left: tuple[list, np.ndarray] | None = None
-    wanted: set = set()
+    left: Side | None = None
+    partners: dict = {}
     kind = pa.int64()
 
     def step(row: np.ndarray) -> int:
         return max(1, step_bytes // max(1, 16 * row.size))
 
-    def stacked(side: list) -> tuple[list, np.ndarray]:
+    def stacked(side: list) -> Side:
         return [x for x, _ in side], np.stack([x for _, x in side])
 
     def met() -> Iterator[pa.RecordBatch]:
         nonlocal left
         own, other = sides
-        if own and (wanted or not chosen):
+        if own and (partners or not chosen):
             left = left or stacked(own)
             right = left if at[0] == at[1] else stacked(other) if other else None
             if right:
-                yield from _stacks(left, right, kind, work, step(own[0][1]), wanted if chosen else None)
+                yield from _stacks(left, right, kind, work, step(own[0][1]), partners if chosen else None)
         other.clear()
 
     for batch in batches:
@@ -98,10 +115,11 @@ def _meet(batches: Iterator[pa.RecordBatch], column: str, work: Work, step_bytes
         for k, (i, j, role, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("i", "j", "role", "s")), others, strict=True)):
             if (i, j) != at:
                 yield from met()
-                at, left, wanted = (i, j), None, set()
+                at, left, partners = (i, j), None, {}
                 sides[0].clear()
             if role < 0:
-                wanted.add((s, t))
+                partners.setdefault(s, set()).add(t)
+                partners.setdefault(t, set()).add(s)
                 continue
             row = values.slice(k, 1).flatten().to_numpy(zero_copy_only=False)
             sides[role].append((s, row))
@@ -113,19 +131,20 @@ def _meet(batches: Iterator[pa.RecordBatch], column: str, work: Work, step_bytes
 def paired(df: DataFrame, column: str, work: Work, schema: str, blocks: int = 8, only: DataFrame | None = None) -> DataFrame:
     """GEO1 for kernels on arrays: ``work(s, rows of s, t, rows of t)`` over every pair s < t once, in stacks of STEP_BYTES.
 
-    Rows are dealt to blocks of about BLOCK_BYTES at most, ``blocks`` at least; a cell of the grid of blocks is a group of its own.  A row
+    Rows are dealt to blocks of about BLOCK_BYTES and CELL_ROWS rows at most, ``blocks`` at least; a cell of the grid of blocks is a group of its own.  A row
     is sent to as many cells as there are blocks and never to a pair, and a task holds one block.  ``only`` (s, t) names the pairs to be
-    worked on, all others cost nothing.  Ids must be distinct.
+    worked on: a cell without any gets no rows, and in the others these pairs alone are walked.  Ids must be distinct.
     """
-    size = df.agg(F.sum(F.size(column)).alias("n")).first()["n"] or 0
-    blocks = max(blocks, -(-8 * size // BLOCK_BYTES))
+    size, n = df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = max(blocks, -(-8 * size // BLOCK_BYTES), -(-n // CELL_ROWS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, "_b").alias("i"), F.greatest(k, "_b").alias("j")))
     rows = df.select("s", F.col(column).cast("array<double>").alias(column), block("s").alias("_b")).select("s", column, "_b", F.inline(cells))
     rows = rows.select("i", "j", (F.col("_b") != F.col("i")).cast("int").alias("role"), "s", column)
     if only is not None:
-        ends = only.select(F.least(block("s"), block("t")).alias("i"), F.greatest(block("s"), block("t")).alias("j"), F.lit(-1).alias("role"), F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
-        rows = rows.unionByName(ends, allowMissingColumns=True)
+        ends = only.where("s != t").select(F.least(block("s"), block("t")).alias("i"), F.greatest(block("s"), block("t")).alias("j"), F.lit(-1).alias("role"), F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
+        # There are at most blocks**2 cells.
+        rows = rows.join(F.broadcast(ends.select("i", "j").distinct()), ["i", "j"], "left_semi").unionByName(ends, allowMissingColumns=True)
     dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", "role", "s")
     return dealt.mapInArrow(partial(_meet, column=column, work=work, step_bytes=STEP_BYTES, chosen=only is not None), schema)
 
@@ -178,11 +197,16 @@ def both_ways(d: DataFrame) -> DataFrame:
     return d.select("p", "s", "t", "d").unionByName(d.select("p", F.col("t").alias("s"), F.col("s").alias("t"), "d"))
 
 
+def _products(s: pa.Array, a: np.ndarray, t: pa.Array, b: np.ndarray) -> pa.RecordBatch:
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+    return pa.RecordBatch.from_arrays([s, t, pa.array(np.sqrt(np.maximum(dot(a, a) + dot(b, b) - 2 * dot(a, b), 0.0)))], ["s", "t", "d"])
+
+
 def frobenius(operators: DataFrame, blocks: int = 8) -> DataFrame:
-    """GEO8: d_2 of every pair by the Gram identity sqrt(max(|a|^2 + |b|^2 - 2<a,b>, 0)); column rho holds vectors of one length."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    normed = operators.select("s", "rho", dot("rho", "rho").alias("sq"))
-    return pairs(normed, ["rho", "sq"], blocks).select("s", "t", F.sqrt(F.greatest(F.col("sq_s") + F.col("sq_t") - 2 * dot("rho_s", "rho_t"), F.lit(0.0))).alias("d"))
+    """GEO8: d_2 of every pair by the Gram identity sqrt(max(|a|^2 + |b|^2 - 2<a,b>, 0)); column rho holds vectors of one length.  Products are made
+    inside the cells of ``paired``, so no row has two matrices."""
+    kind = dict(operators.dtypes)["s"]
+    return paired(operators.select("s", "rho"), "rho", _products, f"s {kind}, t {kind}, d double", blocks)
 
 
 def shape_and_scale(d: DataFrame) -> DataFrame:
@@ -229,11 +253,8 @@ def heterogeneity(operators: DataFrame, blocks: int = 8) -> DataFrame:
     return pair.crossJoin(spread).withColumn("share_of_sqrt2", 100 * F.col("pair_rms") / F.lit(2**0.5))
 
 
-def deformation(d: DataFrame, reference: float, ranges: bool = True) -> DataFrame:
-    """GEO16, PHC1: per p, median and mean distance, their ratios to the reference, the log ratio and 1 - Spearman against it.
-
-    Medians go by ranges; without ``ranges`` the pairs of a p are ranked in one task.
-    """
+def _deformation_of_some(d: DataFrame, reference: float, ranges: bool) -> DataFrame:
+    """``deformation`` where some p lack pairs: each is compared with the reference over its own pairs."""
     first = F.max(F.when(F.col("p") == reference, F.col("d"))).over(W.partitionBy("s", "t"))
     both = stored(d.select("p", "s", "t", "d", first.alias("d0")).where("d0 is not null"), "against-reference")
     level = both.groupBy("p").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean_distance"), F.avg("d0").alias("_a"))
@@ -243,6 +264,32 @@ def deformation(d: DataFrame, reference: float, ranges: bool = True) -> DataFram
     return level.join(rho, "p").select("p", "n_pairs", "median_distance", "mean_distance", ratio.alias("median_scale_ratio_vs_p1"), F.try_divide(F.col("mean_distance"), F.col("_a")).alias("mean_scale_ratio_vs_p1"), F.log(ratio).alias("log_median_scale_ratio_vs_p1"), "distance_spearman_vs_p1", (1 - F.col("distance_spearman_vs_p1")).alias("relational_loss"))
 
 
+def deformation(d: DataFrame, reference: float, ranges: bool = True) -> DataFrame:
+    """GEO16, PHC1: per p, median and mean distance, their ratios to the reference, the log ratio and 1 - Spearman against it.
+
+    One order a p, made by ranges, gives its medians and ranks, the reference's too; the ranks of a pair at all p meet in one row.  Where some p lack pairs,
+    or without ``ranges``, each p is set against the reference anew.
+    """
+    d = stored(d.select("p", "s", "t", F.col("d").cast("double").alias("d")).where("d is not null"), "distances")
+    level = d.groupBy("p").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean_distance")).orderBy("p").collect()
+    grid = [r.p for r in level]
+    place = stored(positions(d, ["p"], "d").withColumn("_rank", F.expr(AVERAGE_RANK)), "places") if ranges and reference in grid else None
+    if place is not None:
+        at = [F.max(F.when(F.col("p") == p, F.col("_rank"))).alias(f"r{i}") for i, p in enumerate(grid)]
+        wide = stored(d.join(place.select("p", "d", "_rank"), ["p", "d"]).groupBy("s", "t").agg(*at), "ranks-by-pair")
+        first = grid.index(reference)
+        whole = wide.agg(F.count(F.lit(1)).alias("n"), *(pearson(f"r{i}", f"r{first}", 3).alias(f"x{i}") for i in range(len(grid)))).first()
+    if place is None or any(r.n_pairs != whole.n for r in level):
+        return _deformation_of_some(d, reference, ranges)
+    inside = lambda k: F.max(F.when((F.col("_start") <= k) & (k < F.col("_start") + F.col("_count")), F.col("d")))
+    last = F.col("_total") - 1
+    middle = {r.p: (r.lo + r.hi) / 2 for r in place.groupBy("p").agg(inside(F.floor(last / 2)).alias("lo"), inside(F.ceil(last / 2)).alias("hi")).collect()}
+    rows = [(r.p, r.n_pairs, middle[r.p], r.mean_distance, middle[reference], level[first].mean_distance, whole[f"x{i}"]) for i, r in enumerate(level)]
+    out = d.sparkSession.createDataFrame(rows, "p double, n_pairs long, median_distance double, mean_distance double, _m double, _a double, rho double")
+    ratio = F.try_divide(F.col("median_distance"), F.col("_m"))
+    return out.select("p", "n_pairs", "median_distance", "mean_distance", ratio.alias("median_scale_ratio_vs_p1"), F.try_divide(F.col("mean_distance"), F.col("_a")).alias("mean_scale_ratio_vs_p1"), F.log(ratio).alias("log_median_scale_ratio_vs_p1"), F.col("rho").alias("distance_spearman_vs_p1"), (1 - F.col("rho")).alias("relational_loss"))
+
+
 #: Pairs in a row of ``packed_pairs``.
 CHUNK = 1 << 16
 

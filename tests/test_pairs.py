@@ -1,6 +1,7 @@
 """Kernels over all pairs, in blocks: every pair once, whatever the blocks and stacks."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -83,3 +84,49 @@ def test_lowrank_kernels_agree_and_the_benchmark_says_so(spark):
     low = {(x.s, x.t): x.sv for x in geometry.factor_spectra(df, 8).collect()}
     assert np.allclose(sorted(low[(3, 7)])[-4:], sorted(np.abs(np.linalg.eigvalsh(f[3] @ f[3].T - f[7] @ f[7].T)))[-4:])
     assert kernels.schatten(np.zeros(0), 2.0) == 0
+
+
+def test_cells_go_by_the_number_of_pairs(spark, monkeypatch):
+    """However small the matrices, a cell has no more than some CELL_ROWS squared pairs."""
+
+    def counted(s, a, t, b):
+        return pa.RecordBatch.from_arrays([pa.array([len(s)])], ["n"])
+
+    _, df = operators(spark, 60, 2)
+    few = [r.n for r in geometry.paired(df, "rho", counted, "n long", 1).collect()]
+    monkeypatch.setattr(geometry, "CELL_ROWS", 5)
+    many = [r.n for r in geometry.paired(df, "rho", counted, "n long", 1).collect()]
+    assert sum(few) == sum(many) == 60 * 59 // 2
+    assert len(few) == 1 and len(many) > 50 and max(many) < 15**2
+    assert geometry.pairs(df, [], 1).count() == 60 * 59 // 2
+    assert geometry.frobenius(df, 1).count() == 60 * 59 // 2
+
+
+def test_pairs_asked_for_are_walked_and_no_others():
+    left, right = (list(range(0, 4000, 2)), np.zeros((2000, 1))), (list(range(1, 4000, 2)), np.zeros((2000, 1)))
+    partners = {2: {3, 5, 4}, 3: {2}, 5: {2}, 4: {2}, 999: {1001}, 1001: {999}}
+    got = [(left[0][k], right[0][j]) for ks, js in geometry._asked(left, right, 1, partners) for k, j in zip(ks, js, strict=True)]
+    assert sorted(got) == [(2, 3), (2, 5)]
+    own = [(left[0][k], left[0][j]) for ks, js in geometry._asked(left, left, 10, partners) for k, j in zip(ks, js, strict=True)]
+    assert own == [(2, 4)]
+    few = (left[0][:90], left[1][:90]), (right[0][:70], right[1][:70])
+    every = [(k, j) for ks, js in geometry._places(*few, 500) for k, j in zip(ks.tolist(), js.tolist(), strict=True)]
+    assert len(every) == len(set(every)) == 90 * 70
+
+
+@pytest.mark.parametrize("lacking", [False, True])
+@pytest.mark.parametrize("ranges", [True, False])
+def test_deformation_against_pandas(spark, lacking, ranges):
+    r = np.random.default_rng(8)
+    rows = [(p, s, t, float(r.integers(0, 30)) / 8 + (p == 1.0)) for p in (1.0, 2.0, 4.0) for s in range(12) for t in range(s + 1, 12)]
+    if lacking:
+        rows = [x for x in rows if not (x[0] == 2.0 and x[1] == 3) and not (x[0] == 1.0 and x[2] == 7)]
+    got = {x.p: x for x in geometry.deformation(spark.createDataFrame(rows, "p double, s long, t long, d double"), 1.0, ranges).collect()}
+    frame = pd.DataFrame(rows, columns=["p", "s", "t", "d"])
+    frame = frame.merge(frame[frame.p == 1.0][["s", "t", "d"]].rename(columns={"d": "d0"}), on=["s", "t"])
+    assert set(got) == {1.0, 2.0, 4.0}
+    for p, own in frame.groupby("p"):
+        x, rho = got[p], own.d.rank().corr(own.d0.rank())
+        assert (x.n_pairs, x.median_distance) == (len(own), own.d.median())
+        assert [x.mean_distance, x.median_scale_ratio_vs_p1, x.mean_scale_ratio_vs_p1, x.distance_spearman_vs_p1, x.relational_loss] == pytest.approx([own.d.mean(), own.d.median() / own.d0.median(), own.d.mean() / own.d0.mean(), rho, 1 - rho])
+        assert x.log_median_scale_ratio_vs_p1 == pytest.approx(np.log(own.d.median() / own.d0.median()))
