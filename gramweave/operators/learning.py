@@ -243,11 +243,24 @@ def reconstruction(fits: DataFrame, d: DataFrame) -> DataFrame:
 def mean_difference_scores(d: DataFrame, subjects: DataFrame, splits: DataFrame, gamma: float = 1.0) -> DataFrame:
     """A machine without fitting, for checks in SQL: the mean kernel value to positive training subjects less that to negative ones.
 
-    Gives ``oof`` rows: (p, repeat, fold, s, y, score, prediction).
+    Gives ``oof`` rows: (p, repeat, fold, s, y, score, prediction).  Every pair is summed once by the other end's class, and again for the repeats
+    in which that end does not train for the subject, about one in ``folds``: what trains is the difference.
     """
-    held = splits.join(subjects, "s")
-    train = held.select("repeat", F.col("fold").alias("fold_t"), F.col("s").alias("t"), F.col("y").alias("y_t"))
-    rows = both_ways(d).join(held, "s").join(train, ["repeat", "t"]).where("fold_t != fold").withColumn("k", kernel(F.col("d"), F.lit(gamma)))
-    score = F.avg(F.when(F.col("y_t") == 1, F.col("k"))) - F.avg(F.when(F.col("y_t") == 0, F.col("k")))
-    out = rows.groupBy("p", "repeat", "fold", "s", "y").agg(score.alias("score"))
+    repeats = [r.repeat for r in splits.select("repeat").distinct().orderBy("repeat").collect()]
+    held = splits.join(subjects, "s").select("repeat", "fold", "s", "y")
+    folds = held.groupBy("s").agg(F.array(*(F.max(F.when(F.col("repeat") == r, F.col("fold"))) for r in repeats)).alias("folds"), F.max("y").alias("y"))
+    ends = stored(folds, "folds")
+    rows = both_ways(d.select("p", "s", "t", kernel(F.col("d"), F.lit(gamma)).alias("d"))).withColumnRenamed("d", "k")
+    rows = rows.join(ends.select("s", "folds"), "s").join(ends.select(F.col("s").alias("t"), F.col("folds").alias("folds_t"), F.col("y").alias("y_t")), "t")
+    apart = F.filter(F.sequence(F.lit(0), F.lit(len(repeats) - 1)), lambda i: F.get("folds_t", i).isNull() | F.get("folds_t", i).eqNullSafe(F.get("folds", i))) if repeats else F.array().cast("array<int>")
+    sums = rows.select("p", "s", "y_t", "k", F.explode(F.concat(F.array(F.lit(-1)), apart)).alias("i")).groupBy("p", "s", "i").agg(
+        *(f(F.when(F.col("y_t") == c, F.col("k"))).alias(f"{name}{c}") for c in (0, 1) for name, f in (("k", F.sum), ("n", F.count)))
+    )
+    sums = stored(sums, "kernel-sums")
+    number = F.array_position(F.array(*(F.lit(r) for r in repeats)), F.col("repeat")).cast("int") - 1 if repeats else F.lit(0)
+    own = sums.where("i >= 0").select("p", "s", "i", *(F.col(f"{name}{c}").alias(f"o{name}{c}") for c in (0, 1) for name in "kn"))
+    every = held.withColumn("i", number).join(sums.where("i < 0").drop("i"), "s").join(own, ["p", "s", "i"], "left")
+    left = lambda c: F.col(c) - F.coalesce(F.col(f"o{c}"), F.lit(0))
+    mean = lambda c: F.when(left(f"n{c}") > 0, left(f"k{c}") / left(f"n{c}"))
+    out = every.where(left("n0") + left("n1") > 0).select("p", "repeat", "fold", "s", "y", (mean(1) - mean(0)).alias("score"))
     return out.withColumn("prediction", (F.col("score") >= 0).cast("int"))
