@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gramweave.functions.stats import roc_auc
 from gramweave.operators import decision, explain, geometry, learning, posthoc, spectral
+from gramweave.session import scratch
 from gramweave.sources.writers import by_units, configuration_hash, try_read
 
 #: Fits that a broken run can lose.
@@ -74,7 +75,8 @@ class Run:
         path = self.path(stage, name)
         found = try_read(self.spark, path)
         if found is None:
-            make().write.mode("overwrite").parquet(path)
+            with scratch(self.spark):
+                make().write.mode("overwrite").parquet(path)
             found = self.spark.read.parquet(path)
         return found
 

@@ -6,11 +6,16 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
 
+#: Scratch tables of each scope that is open, the innermost last.
+_SCOPES: list[list[str]] = []
+
 #: One BLAS thread per task: parallelism is Spark's.
 BLAS = {k: "1" for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")}
 
@@ -50,11 +55,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose scratch tables are deleted when it ends.
+
+    Inside, a result is written to its own place; what was stored on the way is not needed again, for a lost executor reads the result.  Frames built on
+    tables of the scope must not be used after it.
+    """
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES[:] = [x for x in _SCOPES if x is not own]
+        for uri in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` written as Parquet and read back: computed once, whatever is built on it."""
+    """``df`` written as Parquet and read back: computed once, whatever is built on it.  It stays until the scope of ``scratch`` or the driver's JVM ends."""
     path = new_path(df.sparkSession, name)
     writer = df.write
     if partition_by:

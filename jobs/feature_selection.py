@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.operators import construct, selection, tables
-from gramweave.session import stored
+from gramweave.session import scratch, stored
 from jobs.common import Config, Tally, command_line, log
 
 DIGITS = 9
@@ -83,8 +83,9 @@ def run(spark: SparkSession, c: Config) -> DataFrame:
     log.info("read %d new documents from %s", take_new(spark, c), c["documents"])
     sums, cells = (spark.read.schema(f"{kinds}, batch long").parquet(f"{c['state']}/{name}") for name, kinds in PARTS.items())
     tally = Tally("ranking")
-    made = tally.of(ranked(sums, cells, c))
-    made.write.mode("overwrite").partitionBy("method").parquet(c["output"])
+    with scratch(spark):
+        made = tally.of(ranked(sums, cells, c))
+        made.write.mode("overwrite").partitionBy("method").parquet(c["output"])
     log.info("wrote %d rows to %s", tally.counts["rows"], c["output"])
     return spark.read.schema(made.schema).parquet(c["output"])
 

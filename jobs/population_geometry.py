@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.operators import construct, geometry
-from gramweave.session import stored
+from gramweave.session import scratch, stored
 from jobs.common import Config, Tally, command_line, log
 
 DIGITS = 9
@@ -65,13 +65,14 @@ def run(spark: SparkSession, c: Config) -> DataFrame:
     A subject in both tables with a label and a sound matrix takes part; any other has a reason and no numbers.  Measurements without a
     subject are counted in the log and left out.  Of repeated subjects the largest label counts.  Empty tables give an empty table.
     """
-    subjects = judged(spark, c)
-    for r in subjects.groupBy("reason").count().orderBy("reason").toLocalIterator():
-        log.info("%d subjects: %s", r["count"], r["reason"] or "kept")
-    tally = Tally("geometry")
-    # Counted behind the sort, for the same reason.
-    made = tally.of(subject_rows(subjects, c["grid"]).repartitionByRange("p", "s").sortWithinPartitions("p", "s"))
-    made.write.mode("overwrite").partitionBy("p").parquet(c["output"])
+    with scratch(spark):
+        subjects = judged(spark, c)
+        for r in subjects.groupBy("reason").count().orderBy("reason").toLocalIterator():
+            log.info("%d subjects: %s", r["count"], r["reason"] or "kept")
+        tally = Tally("geometry")
+        # Counted behind the sort, for the same reason.
+        made = tally.of(subject_rows(subjects, c["grid"]).repartitionByRange("p", "s").sortWithinPartitions("p", "s"))
+        made.write.mode("overwrite").partitionBy("p").parquet(c["output"])
     log.info("wrote %d rows to %s", tally.counts["rows"], c["output"])
     return spark.read.schema(made.schema).parquet(c["output"])
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -5,6 +7,7 @@ from gramweave.operators import explain, geometry, learning, posthoc
 from gramweave.operators.simulate import toy_population
 from gramweave.plans import pipeline
 from gramweave.plans.pipeline import Config, run
+from gramweave.session import scratch, shared_folder, stored
 
 SETTINGS = {
     "dataset": {"name": "toy"}, "science": {"p_values": [1, 2, 16], "reference_p": 1}, "cv": {"outer_folds": 2, "repeats": 2, "inner_folds": 2, "random_state": 42},
@@ -100,3 +103,32 @@ def test_factor_and_dense_contributions_agree(spark):
 def test_bad_settings(change):
     with pytest.raises(ValueError):
         Config.load(SETTINGS | change)
+
+
+def test_scratch_tables_go_with_their_scope(spark, tmp_path):
+    """Ten tables of the pipeline's kind leave no scratch behind, one inside another neither; what a scope does not own stays."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {x.name for x in folder.iterdir()}
+    outside = stored(spark.range(3).toDF("x"), "outside")
+    for k in range(10):
+        with scratch(spark):
+            kept = stored(spark.range(10 + k).toDF("x"), "outer")
+            with scratch(spark):
+                stored(kept.where("x > 3"), "inner").write.parquet(f"file://{tmp_path}/{k}")
+            assert kept.count() == 10 + k
+            with pytest.raises(ZeroDivisionError), scratch(spark):
+                stored(kept, "broken")
+                raise ZeroDivisionError
+        left = {x.name.rpartition("-")[0] for x in folder.iterdir() if x.name not in before}
+        assert left == {"outside"} and spark.read.parquet(f"file://{tmp_path}/{k}").count() == 6 + k
+    assert outside.count() == 3
+
+
+def test_a_run_leaves_its_own_tables_alone(spark, tmp_path):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    config = Config.load(SETTINGS | {"pipeline": {"stages": ["spectral", "decision"]}})
+    toy = stored(toy_population(spark, 10, 4, 3), "toy")
+    before = {x.name for x in folder.iterdir()}
+    out = run(spark, f"file://{tmp_path}", config, toy.select("s", "n", "rho"), toy.select("s", "y"))
+    assert {x.name for x in folder.iterdir()} == before
+    assert out["spectral"].count() == 3 and out["decision"].count() == 3
