@@ -57,26 +57,33 @@ def inner_folds(y: np.ndarray, ids: np.ndarray, k: int, seed: int) -> np.ndarray
     return fold
 
 
+#: Bytes of the kernels that a search holds at once (one at least).
+KERNEL_BYTES = 128 << 20
+
+
 def search(d: np.ndarray, y: np.ndarray, ids: np.ndarray, grid: Grid, seed: int) -> tuple[float, float, float, np.ndarray, bool]:
     """LRN5: gamma and C of the best mean inner AUC, the first in grid order on ties, that AUC, the surface [gamma, C, fold], and whether every fit converged.
 
-    Folds whose validation part has one class have no AUC and are left out of the mean.  Along C the duals start from the smaller C's.
+    Folds whose validation part has one class have no AUC and are left out of the mean.  All folds of as many gammas as KERNEL_BYTES allow are fitted
+    together; along C the duals start from the smaller C's.
     """
     fold = inner_folds(y, ids, grid.inner, seed)
     converged = True
     surface = np.full((len(grid.gammas), len(grid.penalties), grid.inner), np.nan)
-    for g, gamma in enumerate(grid.gammas):
-        k = np.exp(-gamma * d * d)
-        for f in range(grid.inner):
-            a, b = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if len(set(y[a])) < 2 or len(set(y[b])) < 2:
-                continue
-            start = None
-            for c, penalty in enumerate(grid.penalties):
-                dual, bias, done = kernels.fit_svc(k[np.ix_(a, a)], y[a], penalty, alpha=start)
-                converged &= done
-                start = np.abs(dual)
-                surface[g, c, f] = kernels.auc(y[b], k[np.ix_(b, a)] @ dual + bias)
+    usable = [f for f in range(grid.inner) if len(set(y[fold != f])) == 2 and len(set(y[fold == f])) == 2]
+    most = max(1, KERNEL_BYTES // max(1, 8 * d.size))
+    for lo in range(0, len(grid.gammas) if usable else 0, most):
+        gammas = grid.gammas[lo : lo + most]
+        k = np.exp(-np.array(gammas)[:, None, None] * (d * d))
+        group, inner = (x.ravel() for x in np.meshgrid(np.arange(len(gammas)), usable, indexing="ij"))
+        start = None
+        for c, penalty in enumerate(grid.penalties):
+            duals, bias, done = kernels.fit_svc_many(k, group, y, fold != inner[:, None], penalty, alpha=start)
+            converged &= bool(done.all())
+            start = np.abs(duals)
+            for row, (g, f) in enumerate(zip(group, inner, strict=True)):
+                out = fold == f
+                surface[lo + g, c, f] = kernels.auc(y[out], k[g][out] @ duals[row] + bias[row])
     known = (~np.isnan(surface)).any(axis=2)
     mean = np.where(known, np.nansum(surface, axis=2) / np.maximum(1, (~np.isnan(surface)).sum(axis=2)), -np.inf)
     best = int(np.argmax(mean.ravel()))

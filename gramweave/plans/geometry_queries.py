@@ -118,6 +118,15 @@ def snk9_resume(spark: SparkSession, sf: str) -> DataFrame:
     return writers.remaining(work, stored(work.where("l_returnflag = 'R'"), "done"), ["l_returnflag", "l_linestatus"])
 
 
+@query("select o_orderstatus as name, count(*) as rows, sum(case when o_totalprice < 1000 then 1 end)::bigint as small from orders group by 1")
+def snk6_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts as JSON objects, written and read back; what is not known stays there as null."""
+    path = new_path(spark, "manifest")
+    rows = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("o_totalprice") < 1000, 1)).alias("small"))
+    writers.manifest(rows, path)
+    return spark.read.schema("name string, rows long, small long").json(path)
+
+
 # Filters and tables
 
 
@@ -373,6 +382,14 @@ def spc10_concentration_rate(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.concentration_rate(spectral.summary(supplier_metrics(spark, sf)))
 
 
+@query("select unnest(['p_first: ' || printf('%.6f', p_first), 'p_below: ' || coalesce(printf('%.6f', p_below), 'none'), 'share_at_first: ' || printf('%.6f', share_at_first)]) as value from (select min(p) as p_first, arg_min_null(b, p) as p_below, arg_min(share, p) as share_at_first from (select p, share, lag(p) over (order by p) as b from (select p, median(leading_share) as share from met group by p)) where share >= 0.6)", (), SPECTRA + RATIOS)
+def snk7_threshold_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The first p of a dominant mode as a text report, written and read back."""
+    path = new_path(spark, "report")
+    writers.text_report(stored(spectral.dominance(spectral.summary(supplier_metrics(spark, sf)), 0.6), "dominance"), path)
+    return spark.read.text(path)
+
+
 # Selection
 
 GENES = COUNTS + """,

@@ -75,3 +75,32 @@ def test_support_vector_machine_runs_to_its_tolerance():
     k = np.exp(-100 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert not kernels.fit_svc(k, y, 1000.0, limit=20_000)[2]
     assert kernels.fit_svc(k, y, 1000.0)[2]
+
+
+@pytest.mark.parametrize("n", [6, 25, 60])
+def test_many_machines_are_each_as_one(n):
+    """Every machine of a batch has the duals, intercept and verdict of its own fit; those of another kernel, training set or start are apart."""
+    r = np.random.default_rng(n)
+    x = r.normal(size=(n, 2))
+    y = (x[:, 0] + r.normal(size=n) > 0).astype(int)
+    y[:2] = 0, 1
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    k = np.exp(-np.array([1e-4, 0.5, 1e3])[:, None, None] * d)
+    group, fold = (v.ravel() for v in np.meshgrid(np.arange(3), np.arange(4), indexing="ij"))
+    train = (np.arange(n)[None] % 4 != fold[:, None]) | (np.arange(n)[None] < 2)
+    train[5] = y == 1
+    start = None
+    for c in (0.01, 1.0, 1000.0):
+        duals, bias, done = kernels.fit_svc_many(k, group, y, train, c, alpha=start)
+        for row in range(len(group)):
+            own = np.flatnonzero(train[row])
+            dual, b, closed = kernels.fit_svc(k[group[row]][np.ix_(own, own)], y[own], c, alpha=None if start is None else start[row, own])
+            inner, signs = k[group[row]][np.ix_(own, own)], np.where(y[own] > 0, 1, -1)
+            goal = lambda v: 0.5 * v @ inner @ v - v @ signs  # noqa: B023, E731
+            # Both stop within the tolerance of the optimum; where rounding breaks a tie they may take other steps to it.
+            assert abs(goal(duals[row, own]) - goal(dual)) <= 1e-3 * max(1, abs(goal(dual))) and not duals[row, ~train[row]].any()
+            assert np.allclose(inner @ duals[row, own] + bias[row], inner @ dual + b, atol=5e-3) and done[row] == closed
+            assert abs(duals[row].sum()) < 1e-8 * max(1, c) and (np.abs(duals[row]) <= c + 1e-12).all()
+        start = np.abs(duals)
+    short = kernels.fit_svc_many(k, group, y, train, 1000.0, limit=2)
+    assert not short[2].all()
