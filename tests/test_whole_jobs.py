@@ -66,8 +66,8 @@ def test_unconverged_inner_fits_are_reported(monkeypatch):
     np.fill_diagonal(d, 0)
     grid = learning.Grid((1.0,), (1.0, 10.0), 2)
     assert learning.search(d, y, np.arange(20), grid, 1)[4]
-    whole = kernels.fit_svc
-    monkeypatch.setattr(kernels, "fit_svc", lambda *a, **b: whole(*a, **b, limit=1))
+    whole = kernels.fit_svc_many
+    monkeypatch.setattr(kernels, "fit_svc_many", lambda *a, **b: whole(*a, **b, limit=1))
     assert not learning.search(d, y, np.arange(20), grid, 1)[4]
 
 
