@@ -162,5 +162,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op10_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs`` (doc_id, text); a null text is empty."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    A null text is empty: no ids, and the digests of nothing.  Every row is encoded by itself and whole, so repeated rows and null ids give rows like all
+    others; ties cannot arise.  No rows give no rows.
+    """
     return docs.select(F.col("doc_id"), "text").mapInArrow(partial(_encode, path=path, pattern=pattern, whole=False), StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))

@@ -175,7 +175,12 @@ def digest(ids: list[str]) -> str:
 
 
 def op3_decontamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined ids; of the empty string without any), contaminated; ``scan`` has the offsets."""
+    """doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined ids; of the empty string without any), contaminated; ``scan`` has the offsets.
+
+    Every row of ``docs`` (doc_id, text; other columns are ignored) is judged by its own whole text, however long, so repeated rows and null ids give rows like
+    all others.  A null, empty or wordless text has no words and no hits; a null or wordless item has no window.  Items with the same window all count.
+    No documents give no rows; without items nothing is contaminated.
+    """
     found = scan(docs, items, size)
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(

@@ -453,7 +453,8 @@ def op9_html_extraction(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Each block's white space becomes single spaces and its character references are decoded; blocks are joined in page order by a
-    line end.  Null, empty and textless pages give an empty text; every page is read whole.
+    line end.  Null, empty and textless pages give an empty text; every page is read whole.  Repeated rows give repeated results; of containers of
+    the same value the first in page order is the best.  No rows give no rows.
     """
     rows = pages.select("page_id", "url", "html")
     return rows.mapInArrow(_extract, StructType([rows.schema["page_id"], rows.schema["url"], StructField("text", StringType()), StructField("n_chars", LongType())]))

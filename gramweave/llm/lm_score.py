@@ -292,6 +292,11 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
 
 
 def op7_lm_scoring(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, log_score, mean_log (both to four decimals), n_backoff and n_once of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Null, empty and blank texts have no words, the score 0 and no mean.  Repeated rows are texts of their own and count again; null ids stay.  Texts of any length
+    are counted whole.  Ties cannot arise.  No rows give no rows.
+    """
     out = backoff_scores(docs)
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 4).alias("mean_log"), "n_backoff", "n_once")
 

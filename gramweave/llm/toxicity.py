@@ -323,7 +323,12 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
 
 
 def op6_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and the spans of every row; labels are learnt from where crc32(doc_id) mod 5 is not 0."""
+    """doc_id, held_out, score, predicted and the spans of every row; labels are learnt from where crc32(doc_id) mod 5 is not 0.
+
+    Every row of ``docs`` (doc_id, text; other columns are ignored) is scored by its own whole text, so repeated rows score alike; null and empty texts have no
+    spans and the score of a text without marked words.  A null doc_id is not held out.  A doc_id with both labels counts as unlabelled, and without
+    labelled rows of both classes all scores are one value under one half.  A score of one half is predicted toxic.  No documents give no rows.
+    """
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = train(docs, labels.where(~out))
     scored = score(docs, model)

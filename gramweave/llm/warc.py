@@ -233,7 +233,11 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
 
 def op8_warc(pages: DataFrame) -> DataFrame:
-    """Writes the pages' archives to the shared folder, merges their index and reads every record back in capture order."""
+    """Writes the pages' archives to the shared folder, merges their index and reads every record back in capture order.
+
+    A row of ``pages`` (page_id, url, html; other columns are ignored) is a record, whatever its size; a null html is an empty payload, a null url an empty key.
+    Of equal payloads of 1000 bytes or more the largest page_id responds.  No rows give no records.
+    """
     folder = fresh(pages.sparkSession, "warc")
     return read_archives(histories(write_archives(pages, folder)), folder)
 

@@ -64,3 +64,11 @@ def test_query(spark, monkeypatch):
     assert [r.text for r in whole] == [t or "" for _, t in rows]
     assert op10_bpe(df.limit(0), PATH, PATTERN).count() == 0
     assert bpe_tree.settled("ab  cd", 0, 6) == 2
+
+
+def test_no_rows_and_repeated_rows(spark):
+    schema = "doc_id long, text string, n_tokens string"
+    assert op10_bpe(spark.createDataFrame([], schema), PATH, PATTERN).count() == 0
+    got = op10_bpe(spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, None)], schema), PATH, PATTERN).collect()
+    assert len(got) == 3 and got[0] == got[1]
+    assert (got[2].n_tokens, got[2].ids_sha256, got[2].decoded_sha256) == (0, *[hashlib.sha256(b"").hexdigest()] * 2)

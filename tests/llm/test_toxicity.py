@@ -75,3 +75,12 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in op6_toxicity(df, none).collect()] == [0, 0]
     assert score(df.limit(0), train(df, none)).count() == 0
+
+
+def test_no_rows_and_rows_without_text(spark):
+    schema = "doc_id long, text string, score double, held_out int"
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert op6_toxicity(spark.createDataFrame([], schema), labels).count() == 0
+    got = op6_toxicity(spark.createDataFrame([(None, None, 1.0, 1), (3, "", 1.0, 1), (3, "", 1.0, 1)], schema), labels.limit(0)).collect()
+    assert len(got) == 3 and len({r.score for r in got}) == 1 and all(r.predicted == 0 and 0 <= r.score < 0.5 for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
