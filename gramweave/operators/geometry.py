@@ -145,7 +145,9 @@ def paired(df: DataFrame, column: str, work: Work, schema: str, blocks: int = 8,
         ends = only.where("s != t").select(F.least(block("s"), block("t")).alias("i"), F.greatest(block("s"), block("t")).alias("j"), F.lit(-1).alias("role"), F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
         # There are at most blocks**2 cells.
         rows = rows.join(F.broadcast(ends.select("i", "j").distinct()), ["i", "j"], "left_semi").unionByName(ends, allowMissingColumns=True)
-    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", "role", "s")
+    # A number of its own, for small matrices make much work: by their bytes alone, adaptive execution would put many cells into one task.
+    tasks = min(blocks * (blocks + 1) // 2, max(200, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    dealt = rows.repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "role", "s")
     return dealt.mapInArrow(partial(_meet, column=column, work=work, step_bytes=STEP_BYTES, chosen=only is not None), schema)
 
 
