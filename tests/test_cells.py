@@ -70,3 +70,42 @@ def test_surrogate_makes_no_row_of_a_pair(spark, monkeypatch):
 
     monkeypatch.setattr(geometry, "paired", refused)
     assert inputs.surrogate(spark, "/root/testdata/sf0.001").count() == 5 * 2 * 10
+
+
+@pytest.mark.parametrize("bin_rows", [0, 3, 50_000])
+def test_places_in_the_order_of_pairs(spark, monkeypatch, bin_rows):
+    """Ties, pairs without a value, groups of one or no pair; bins cut down to single values, or put in order."""
+    monkeypatch.setattr(cells, "BIN_ROWS", bin_rows)
+    df = operators(spark, 19, 3)
+    rows = {r.s: np.array(r.rho).reshape(3, 3) for r in df.collect()}
+    groups = [lambda s: True, lambda s: s % 2 == 0, lambda s: s < 14, lambda s: s < 7]
+    member = spark.createDataFrame([(s, [float(f(s)) for f in groups]) for s in rows], "s long, member array<double>")
+    values = cells.partial(geometry._positive_distances, grid=(1.0, 2.0))
+    got = {(x["k"], x["g"]): x for x in cells.pair_points(df.join(member, "s"), values, 4, [0.25, 0.5], 3)}
+    for k, p in enumerate((1.0, 2.0)):
+        for g, own in enumerate(groups):
+            ids = [s for s in rows if own(s)]
+            d = [kernels.schatten_of(cells.spectrum(rows[s].reshape(1, 9), rows[t].reshape(1, 9)), p)[0, 0] for s in ids for t in ids if s < t]
+            d = np.array([x for x in d if x > 0])
+            x = got.get((k, g), {"n": 0, "square": 0.0, "points": []})
+            assert x["n"] == len(d) and x["square"] == pytest.approx((d**2).sum())
+            want = [np.quantile(d, q) for q in (0.25, 0.5)] if len(d) else []
+            assert [lo * (1 - at) + hi * at for lo, hi, at in x["points"]] == pytest.approx(want, rel=1e-12)
+
+
+def test_train_diagnostics_of_operators_are_those_of_their_distances(spark, monkeypatch):
+    df = operators(spark, 14, 2)
+    ids = [r.s for r in df.collect()]
+    splits = spark.createDataFrame([(k, (s // 7 + k) % 3 + 1, s) for k in (1, 4) for s in ids if (k, s) != (4, 21)] + [(5, 1, ids[0]), (5, 2, ids[1])], "repeat int, fold int, s long")
+    key = lambda rows: {(r.p, r.repeat, r.fold): r for r in rows.collect()}
+    want = key(geometry.train_diagnostics(geometry.distances(geometry.spectra(df), GRID), splits))
+
+    def refused(*_):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(geometry, "paired", refused)
+    got = key(geometry.train_diagnostics_of_operators(df, GRID, splits))
+    assert got.keys() == want.keys() and len(got) == 6 * len(GRID)
+    for k, r in want.items():
+        assert tuple(got[k])[3:] == pytest.approx(tuple(r)[3:], abs=1e-9)
+    assert geometry.train_diagnostics_of_operators(df, GRID, splits.limit(0)).collect() == []
