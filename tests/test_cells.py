@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from gramweave.functions import kernels
-from gramweave.operators import cells, geometry, learning
+from gramweave.operators import cells, geometry, learning, spectral
 from gramweave.plans import inputs
 
 GRID = (1.0, 1.5, 2.0, 3.3, 16.0)
@@ -109,3 +109,20 @@ def test_train_diagnostics_of_operators_are_those_of_their_distances(spark, monk
     for k, r in want.items():
         assert tuple(got[k])[3:] == pytest.approx(tuple(r)[3:], abs=1e-9)
     assert geometry.train_diagnostics_of_operators(df, GRID, splits.limit(0)).collect() == []
+
+
+def test_summary_of_operators_is_that_of_their_metrics(spark, monkeypatch):
+    df = operators(spark, 13, 3).where("s != 21")
+    want = spectral.summary(spectral.concentration(spectral.relative_powers(geometry.spectra(df), GRID))).collect()
+
+    def refused(*_):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(geometry, "paired", refused)
+    got = {r.p: r.asDict() for r in spectral.summary_of_operators(df, GRID).collect()}
+    assert len(got) == len(want) == len(GRID)
+    for r in want:
+        assert got[r.p] == pytest.approx(r.asDict(), abs=1e-7)
+    with pytest.raises(ValueError, match="no positive singular value"):
+        spectral.summary_of_operators(operators(spark, 13, 3), GRID)
+    assert spectral.summary_of_operators(df.limit(1), GRID).collect() == []
