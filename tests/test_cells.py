@@ -126,3 +126,18 @@ def test_summary_of_operators_is_that_of_their_metrics(spark, monkeypatch):
     with pytest.raises(ValueError, match="no positive singular value"):
         spectral.summary_of_operators(operators(spark, 13, 3), GRID)
     assert spectral.summary_of_operators(df.limit(1), GRID).collect() == []
+
+
+def test_heterogeneity_and_pair_count_make_no_pair(spark, monkeypatch):
+    df = operators(spark, 17, 2)
+    d = np.array([r.d for r in geometry.frobenius(df).collect()])
+    monkeypatch.setattr(geometry, "paired", None)
+    monkeypatch.setattr(geometry, "pairs", None)
+    x = geometry.heterogeneity(df).first()
+    assert (x.pair_mean, x.pair_rms) == (pytest.approx(d.mean()), pytest.approx((d**2).mean() ** 0.5))
+    one = geometry.heterogeneity(df.limit(1)).first()
+    assert (one.pair_mean, one.pair_rms, one.about_mean) == (None, None, 0.0)
+    ids = [3, 3, 8, 1, 9, 9, 9]
+    rows = spark.createDataFrame([(x,) for x in ids], "s long")
+    assert geometry.pair_count(rows).first().n == sum(a < b for a in ids for b in ids)
+    assert geometry.pair_count(rows.limit(0)).first().n == 0
