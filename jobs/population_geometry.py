@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramweave.operators import construct, geometry
+from gramweave.operators import cells, construct
 from gramweave.session import scratch, stored
 from jobs.common import Config, Tally, command_line, log
 
@@ -40,17 +40,18 @@ def judged(spark: SparkSession, c: Config) -> DataFrame:
 def subject_rows(subjects: DataFrame, grid: list[float]) -> DataFrame:
     """Per p and subject: its pairs, and its distances to all, to its own class and to the other."""
     kept = subjects.where("reason is null")
-    d = geometry.both_ways(geometry.distances(geometry.spectra(construct.density(kept.select("s", "n", "a"))), grid))
     classes = kept.select("s", "y")
-    # Sums by the other end's class first: only they meet the subject's own class.
-    sums = d.join(classes.select(F.col("s").alias("t"), F.col("y").alias("z")), "t").groupBy("p", "s", "z").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("d").alias("d"), F.sum(F.col("d") * F.col("d")).alias("d2"), F.max("d").alias("top")
-    )
-    own, other = F.col("z") == F.col("y"), F.col("z") != F.col("y")
-    mean = lambda which: F.try_divide(F.sum(F.when(which, F.col("d"))), F.sum(F.when(which, F.col("k"))))
-    rows = sums.join(classes, "s").groupBy("p", "s").agg(
-        F.sum("k").alias("n_pairs"), (F.sum("d") / F.sum("k")).alias("mean_distance"), F.sqrt(F.sum("d2") / F.sum("k")).alias("rms_distance"),
-        F.max("top").alias("max_distance"), mean(own).alias("own_class"), mean(other).alias("other_class"),
+    # Sums by the other end's class, made where the pairs are met; a subject's distance of 0 to itself is among its own class's.
+    members = stored(construct.density(kept.select("s", "n", "a")).join(classes.select("s", F.array(F.col("y").cast("double")).alias("member")), "s").select("s", "rho", "member"), "members")
+    sums = cells.subject_sums(members, grid, 2)
+    sizes = {r.y: r.n for r in classes.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = lambda c, k: F.get(c, k)
+    both = lambda c: at(c, F.lit(0)) + at(c, F.lit(1))
+    size = lambda k: F.get(F.array(*(F.lit(sizes.get(i, 0)) for i in (0, 1))), k)
+    own, other, k = F.col("y"), 1 - F.col("y"), F.lit(sum(sizes.values()) - 1)
+    rows = sums.join(classes, "s").where(k > 0).select(
+        "p", "s", k.cast("long").alias("n_pairs"), (both("total") / k).alias("mean_distance"), F.sqrt(both("square") / k).alias("rms_distance"), F.array_max("most").alias("max_distance"),
+        F.try_divide(at("total", own), size(own) - 1).alias("own_class"), F.try_divide(at("total", other), size(other)).alias("other_class"),
     )
     # Kept, for the sort by ranges looks at its input twice, and the pairs should be met once.
     rows = stored(rows.withColumn("margin", F.col("other_class") - F.col("own_class")), "subject-rows")
