@@ -141,3 +141,22 @@ def test_heterogeneity_and_pair_count_make_no_pair(spark, monkeypatch):
     rows = spark.createDataFrame([(x,) for x in ids], "s long")
     assert geometry.pair_count(rows).first().n == sum(a < b for a in ids for b in ids)
     assert geometry.pair_count(rows.limit(0)).first().n == 0
+
+
+@pytest.mark.parametrize("bins", [16, 1 << 17])
+def test_deformation_of_operators_makes_no_row_of_a_pair(spark, monkeypatch, bins):
+    """Equal operators among them; few bins are cut again until few pairs count as tied."""
+    df = operators(spark, 40, 3)
+    want = {r.p: r.asDict() for r in geometry.deformation(geometry.distances(geometry.spectra(df), GRID), 1.0).collect()}
+
+    def refused(*_):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(geometry, "paired", refused)
+    monkeypatch.setattr(geometry, "SORTED_PAIRS", -1)
+    monkeypatch.setattr(cells, "RANK_BINS", bins)
+    got = {r.p: r.asDict() for r in geometry.deformation_of_operators(df, GRID, 1.0).collect()}
+    assert got.keys() == want.keys() and len(got) == len(GRID)
+    for p, row in want.items():
+        assert got[p] == pytest.approx(row, abs=1e-6 if bins > 16 else 1e-2)
+    assert geometry.deformation_of_operators(df.limit(1), GRID, 1.0).collect() == []
