@@ -130,3 +130,16 @@ def test_deformation_against_pandas(spark, lacking, ranges):
         assert (x.n_pairs, x.median_distance) == (len(own), own.d.median())
         assert [x.mean_distance, x.median_scale_ratio_vs_p1, x.mean_scale_ratio_vs_p1, x.distance_spearman_vs_p1, x.relational_loss] == pytest.approx([own.d.mean(), own.d.median() / own.d0.median(), own.d.mean() / own.d0.mean(), rho, 1 - rho])
         assert x.log_median_scale_ratio_vs_p1 == pytest.approx(np.log(own.d.median() / own.d0.median()))
+
+
+def test_rank_one_factors_have_a_closed_form(spark, monkeypatch):
+    """No pair is stacked; a repeated factor and its opposite are at distance 0."""
+    r = np.random.default_rng(4)
+    f = r.normal(size=(21, 5))
+    f[3], f[4], f[5] = f[2], -f[2], 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(f)], "s long, f array<double>")
+    monkeypatch.setattr(geometry, "paired", None)
+    got = {(x.p, x.s, x.t): x.d for x in geometry.factor_distances(df, 5, (1.0, 2.0, 16.0), 3).collect()}
+    assert len(got) == 3 * 210
+    for (p, s, t), d in got.items():
+        assert s < t and d == pytest.approx(kernels.schatten(np.abs(np.linalg.eigvalsh(np.outer(f[s], f[s]) - np.outer(f[t], f[t]))), p), abs=1e-7)
