@@ -29,8 +29,13 @@ def group_statistics(values: DataFrame, cells: DataFrame) -> DataFrame:
 
     ``cells`` is (cell, donor); a gene that a cell does not list is 0, so means divide by all cells of the donor.
     """
+    return sized_sums(values.join(cells, "cell"), cells)
+
+
+def sized_sums(values: DataFrame, cells: DataFrame) -> DataFrame:
+    """SEL1: ``group_statistics`` of values (donor, gene, x) that have their cells' donors already."""
     size = cells.groupBy("donor").agg(F.count(F.lit(1)).alias("n_cells"))
-    return donor_sums(values.join(cells, "cell")).join(size, "donor")
+    return donor_sums(values).join(size, "donor")
 
 
 def gene_statistics(stats: DataFrame, cells: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramweave.operators import construct, selection, tables
+from gramweave.operators import construct, selection
 from gramweave.session import scratch, stored
 from jobs.common import Config, Tally, command_line, log
 
@@ -26,8 +26,7 @@ METHODS = ("variance", "fano", "hvg_residual")
 
 def document_values(docs: DataFrame, scale: float) -> DataFrame:
     """(donor, gene, x): the log-normalised count of each distinct token of each document (donor, text); a document is one row, so nothing is shuffled."""
-    tokens = docs.select("donor", F.array_sort(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("tokens"))
-    counts = tokens.select("donor", F.size("tokens").alias("library"), F.explode(tables.run_lengths(F.col("tokens"))).alias("token")).select("donor", "library", F.col("token.value").alias("gene"), F.col("token.count").alias("count"))
+    counts = construct.word_counts(docs, ["donor"])
     return construct.log_normalised(counts, scale, "library").select("donor", "gene", "x")
 
 
