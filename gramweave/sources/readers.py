@@ -32,9 +32,12 @@ def metadata(spark: SparkSession, path: str, delimiter: str | None = None, schem
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def matrix_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """SRC2: headerless square matrices, one file each: (path, n, a) with a row-major; a file that is not square or finite is an error."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+def matrix_csv(spark: SparkSession, path: str, separator: str = ",", suffix: str | None = None) -> DataFrame:
+    """SRC2: headerless square matrices, one file each: (path, n, a) with a row-major; a file that is not square or finite is an error.
+
+    With ``suffix``, all files so named in ``path`` and the folders below it: Spark lists these in tasks, where the driver alone would expand a pattern."""
+    some = spark.read if suffix is None else spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    text = some.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     cells = F.transform(lines, lambda x: F.transform(F.split(x, separator), lambda c: F.trim(c).try_cast("double")))
     rows = text.select("path", cells.alias("rows"))

@@ -63,3 +63,15 @@ def test_stream_equals_batch(spark, tmp_path):
     got = run_once(spark, str(tmp_path / "in"), str(tmp_path / "check"), "stream_stats").collect()
     want = windowed(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()
     assert sorted((r.window_start, r.event_type, r.n) for r in got) == sorted((r.window_start, r.event_type, r.n) for r in want)
+
+
+def test_matrices_below_a_folder(spark, tmp_path):
+    """All files of a suffix, in folders too, without a pattern that the driver expands."""
+    from gramweave.sources import readers
+
+    for k in (1, 2):
+        (tmp_path / f"s={k}").mkdir()
+        (tmp_path / f"s={k}" / "part.txt").write_text(f"1,{k}\n{k},1\n")
+    (tmp_path / "s=1" / "other.csv").write_text("no matrix")
+    rows = readers.matrix_csv(spark, str(tmp_path), suffix=".txt").collect()
+    assert sorted((r.path.split("/")[-2], r.n, r.a) for r in rows) == [("s=1", 2, [1.0, 1.0, 1.0, 1.0]), ("s=2", 2, [1.0, 2.0, 2.0, 1.0])]
