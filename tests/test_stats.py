@@ -47,3 +47,21 @@ def test_no_task_holds_a_group(spark):
     place = stats.positions(df, ["g"], "x", range_rows=20)
     got = {p.x: (p._count, p._start, p._total) for p in place.collect()}
     assert got == {float(k): (5, 5 * k, 2000) for k in range(400)}
+
+
+def test_running_sums_by_ranges(spark):
+    """A range of few rows starts where those before it end; NULL values and a NULL group."""
+    import numpy as np
+
+    from gramweave.functions import stats
+
+    r = np.random.default_rng(6)
+    rows = [(g, int(k), None if k % 11 == 0 or (g == "b" and k < 40) else float(r.integers(0, 99))) for g in ("a", "b", None) for k in r.permutation(97)]
+    got = {(x.g, x.k): (x.before, x.running) for x in stats.along_ranges(spark.createDataFrame(rows, "g string, k int, x double"), ["g"], "k", "x", "before", "running", 20).collect()}
+    assert len(got) == 3 * 97
+    for g in ("a", "b", None):
+        last, total = None, None
+        for _, k, x in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            total = total if x is None else x + (total or 0.0)
+            assert got[g, k] == (last, total)
+            last = x
