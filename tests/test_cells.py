@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 from gramweave.functions import kernels
-from gramweave.operators import cells, geometry, learning, spectral
+from gramweave.operators import cells, geometry, learning, posthoc, spectral
 from gramweave.plans import inputs
+from gramweave.session import stored
 
 GRID = (1.0, 1.5, 2.0, 3.3, 16.0)
 
@@ -160,3 +161,49 @@ def test_deformation_of_operators_makes_no_row_of_a_pair(spark, monkeypatch, bin
     for p, row in want.items():
         assert got[p] == pytest.approx(row, abs=1e-6 if bins > 16 else 1e-2)
     assert geometry.deformation_of_operators(df.limit(1), GRID, 1.0).collect() == []
+
+
+@pytest.fixture(scope="module")
+def fields(spark):
+    """Weights below and above 0, those that the reference lacks, a kernel that vanishes, support vectors that are held out themselves, folds and p without a gamma or a reference; and the
+    result from stored distances."""
+    # Not the equal ones: their distances differ by rounding in one form and not in the other.
+    df = operators(spark, 40, 3).where("s not in (21, 28)")
+    r = np.random.default_rng(5)
+    ids = sorted(x.s for x in df.collect())
+    splits = [(k, int((s // 7 + k) % 3 + 1), s) for k in (1, 2) for s in ids if (k, s) != (2, 35)]
+    held = {(k, f, s) for k, f, s in splits}
+    # Equal weights only of those that are not held out: two that were both would have equal values in one form, and in the other such that differ by rounding.
+    own = [(p, k, f, s, float(r.normal() if (k, f, s) in held else r.choice([1.0, -0.5, r.normal()]))) for p in (1.0, 2.0, 4.0) for k, f, t in splits for s in (t, (t + 70) % 280) if r.random() < 0.8 and (p, k, f) != (1.0, 2, 3)]
+    own = list({x[:4]: x for x in own}.values())
+    gammas = [(p, k, f, 1e6 if (p, k, f) == (2.0, 1, 1) else p) for p in (1.0, 2.0, 4.0) for k in (1, 2) for f in (1, 2, 3) if (p, k, f) not in {(4.0, 1, 2), (1.0, 2, 2)}]
+    splits, own = spark.createDataFrame(splits, "repeat int, fold int, s long"), spark.createDataFrame(own, "p double, repeat int, fold int, sv long, alpha double")
+    gammas = spark.createDataFrame(gammas, "p double, repeat int, fold int, gamma double")
+    d = stored(geometry.distances(geometry.spectra(df), (1.0, 2.0, 4.0)), "d")
+    return own, splits, df, gammas, by_fold(posthoc.contribution_fields(own, splits, d, gammas, 1.0))
+
+
+def by_fold(rows):
+    return {(x.p, x.repeat, x.fold): x.asDict() for x in rows.collect()}
+
+
+@pytest.mark.parametrize(("bins", "at_once"), [(16, 60), (1 << 16, 14)])
+def test_contribution_fields_of_operators_make_no_row_of_a_pair(spark, fields, monkeypatch, bins, at_once):
+    own, splits, df, gammas, want = fields
+
+    def refused(*_):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(geometry, "paired", refused)
+    monkeypatch.setattr(posthoc, "FIELD_PAIRS", -1)
+    monkeypatch.setattr(cells, "FIELD_BINS", bins)
+    monkeypatch.setattr(cells, "FIELDS", at_once)
+    monkeypatch.setattr(cells, "FIELD_SORTED", 1 << 17 if bins > 16 else 50)
+    bare = at_once > 14
+    got = by_fold(posthoc.contribution_fields_of_operators(own, splits, df, gammas, 1.0, bare, 2))
+    assert got.keys() == want.keys() and len(got) == 13
+    for k, row in want.items():
+        if not bare:
+            del row["reference_kernel_spearman"]
+        assert got[k] == pytest.approx(row, abs=1e-6 if bins > 16 else 2e-2), k
+    assert posthoc.contribution_fields_of_operators(own.limit(0), splits, df, gammas, 1.0).collect() == []
