@@ -144,6 +144,42 @@ def test_heterogeneity_and_pair_count_make_no_pair(spark, monkeypatch):
     assert geometry.pair_count(rows.limit(0)).first().n == 0
 
 
+@pytest.mark.parametrize(("n", "blocks", "block_bytes"), [(3, 1, 1 << 20), (3, 4, 1 << 20), (2, 1, 100), (5, 3, 1 << 20)])
+@pytest.mark.parametrize("name", [None, "n{}"])
+def test_frobenius_distances_by_tiles(spark, monkeypatch, n, blocks, block_bytes, name):
+    """Every pair once, its smaller id first, ids of any kind; equal operators are at 0; no pair has a row of two matrices."""
+
+    def refused(*_):
+        raise AssertionError("a row of two matrices")
+
+    monkeypatch.setattr(geometry, "paired", refused)
+    monkeypatch.setattr(cells, "BLOCK_BYTES", block_bytes)
+    rows = {name.format(r.s) if name else r.s: np.array(r.rho) for r in operators(spark, 23, n).collect()}
+    df = spark.createDataFrame([(s, x.tolist()) for s, x in rows.items()], f"s {'string' if name else 'long'}, rho array<double>")
+    got = geometry.frobenius(df, blocks).collect()
+    assert {(r.s, r.t) for r in got} == {(s, t) for s in rows for t in rows if s < t} and len(got) == 23 * 11
+    for r in got:
+        assert r.d == pytest.approx(np.linalg.norm(rows[r.s] - rows[r.t]), abs=1e-7)
+    assert [r.d for r in got if {r.s, r.t} == {name.format(x) if name else x for x in (14, 21)}] == [0.0]
+    assert geometry.frobenius(df.limit(1), blocks).collect() == geometry.frobenius(df.limit(0), blocks).collect() == []
+
+
+def test_pairs_of_a_cell_come_in_runs_of_one_s(monkeypatch):
+    """Tiles of 4 rows and 8 columns: by s a run of 8 at most, with the same ids t as the row before but at the diagonal."""
+    monkeypatch.setattr(cells, "TILE", 32)
+    monkeypatch.setattr(cells, "RUN", 8)
+    r = np.random.default_rng(3)
+    a, b, ids = r.random((16, 9)), r.random((24, 9)), r.permutation(40)
+    s, t = cells.pa.array(ids[:16]), cells.pa.array(ids[16:])
+    for sides, count in ((((s, a), (t, b)), 16 * 24), (((t, b),) * 2, 24 * 23 // 2)):
+        made = list(cells._frobenius_distances(iter([sides])))
+        assert sum(x.num_rows for x in made) == count and max(x.num_rows for x in made) <= 32
+        for x in made:
+            one, other = (x.column(c).to_numpy() for c in ("s", "t"))
+            assert (one < other).all() and (np.diff(one) >= 0).all() and len(set(one.tolist())) <= 4 and len(set(other.tolist())) <= 8
+            assert (np.diff(other)[np.diff(one) == 0] > 0).all()
+
+
 @pytest.mark.parametrize("bins", [16, 1 << 17])
 def test_deformation_of_operators_makes_no_row_of_a_pair(spark, monkeypatch, bins):
     """Equal operators among them; few bins are cut again until few pairs count as tied."""
