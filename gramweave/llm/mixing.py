@@ -53,7 +53,8 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = C
     total, share = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0))).first()
     spare, known = total, 0
     while True:
-        wanted = F.col("_weight") * F.lit(spare) / F.lit(share) if share else F.col("_most").cast("double")
+        # As a long: from 430 million words on, five times them are no int any more.
+        wanted = F.col("_weight") * F.lit(spare).cast("long") / F.lit(share) if share else F.col("_most").cast("double")
         full = wanted > F.col("_most")
         n, words, taken, everything = weighed.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("_most"))), F.lit(0)), F.coalesce(F.sum(F.when(full, F.col("_weight"))), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0))).first()
         if n == known:

@@ -101,3 +101,9 @@ def test_small_and_other_weights(spark):
     df = spark.range(1000).select(F.col("id"), F.when(F.col("id") < 700, "a").otherwise("b").alias("source"), F.lit(10).alias("size"))
     got = mix(df, ["id"], weights=(1, 1), cap=2).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.max("copies").alias("m")).collect()
     assert all(abs(r.t - 5000) <= 10 and r.m <= 2 for r in got)
+
+
+def test_weighted_words_beyond_an_int(spark):
+    sizes = [600_000_000, 450_000_000, 100_000_000]
+    got = {r._key: r.target for r in targets(spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(sizes)], "_key string, source_size long")).collect()}
+    assert [got[f"s{i}"] for i in range(3)] == pytest.approx(water(sizes))
