@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gramweave.operators import cells
+from gramweave.operators.cells import Stored
+from gramweave.session import stored
+
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
@@ -96,6 +100,14 @@ def distance_faults(d: DataFrame, subjects: int) -> DataFrame:
     )
 
 
+def distance_faults_of_operators(operators: DataFrame, grid: Sequence[float], kept: Stored | None = None) -> DataFrame:
+    """SRC6, SRC7 for distances as they are made from operators (s, rho), in both orders and with diagonal: ``distance_faults`` inside the cells of pairs, no distance is a row.
+    ``kept`` says what is stored of them, all as they are by default."""
+    operators = stored(operators.select("s", "rho"), "operators")
+    n = operators.count()
+    return cells.distance_faults(operators, grid, kept).select("p", (F.lit(n * n) - F.col("there")).cast("long").alias("missing"), "not_finite", "negative", "asymmetric", "diagonal")
+
+
 def absolute_spectra(ev: str) -> Column:
     """SRC12: signed, padded eigenvalues to singular values: NULL, NaN and infinities become 0."""
     return F.transform(ev, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(F.abs(x)).cast("float"))
